@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: The characters that Unicode calls white space, but for U+001C to U+001F.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Where texts may be cut, by kind of vocabulary.
 CHUNKS = {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokenfiles
+from . import langid, packing, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = langid.fit(docs, remainder(3) != 1)
+    return langid.predict(docs, samples).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op7_token_files": op7_token_files}
+    return {"op1_packing": op1_packing, "op7_token_files": op7_token_files, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

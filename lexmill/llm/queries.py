@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, tokenfiles
+from . import langid, packing, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +37,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, samples).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_path(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), path, min_revisit=1000)
+    return warc.read_warc(spark, path).drop("payload")
+
+
+SQL9 = """
+with p as (
+  select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), g as (
+  select *, max(page_id) over (partition by payload_digest) as top from p
+)
+select page_id, url, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op7_token_files": op7_token_files, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": SQL9}

@@ -15,19 +15,31 @@ from functools import lru_cache
 #: The characters that Unicode calls white space, but for U+001C to U+001F.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Where texts may be cut, by kind of vocabulary.
+#: Letters of which every version of Unicode says the same, that compose with nothing before them.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: After them: the end, white space that cuts, or an ASCII character other than a letter or the apostrophe of 's and 're.
+ENDS = r"(?![^ \n!-&(-@\[-`{-~])"
+
+#: Where texts may be cut, by kind of vocabulary. A run of Latin letters up to a mark is one pre-token.
 CHUNKS = {
     # White space is dropped and nothing spans it: any run without space or line feed stands alone.
-    "word": re.compile(r"[^ \n]+"),
+    "word": re.compile(f"[{LATIN}]+{ENDS}|[^ \n]+"),
     # A space goes with the word after it; the rest of a run of white space is a token apart.
-    "byte": re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
+    "byte": re.compile(f" ?[{LATIN}]+{ENDS}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
 }
-MAX_CACHED = 300_000
+ONE = re.compile(f" ?[{LATIN}]+")
+#: Byte-level vocabularies write bytes as printable characters: those of Latin-1 that print stand for themselves, the others follow from U+0100 on.
+PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTS)}
+MAX_CACHED = 400_000
 MAX_CHUNK = 100
 
 
-class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
+class Encoder(dict):
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers; null counts as empty.
+
+    As a dict it maps the chunks it has met to their ids.
+    """
 
     def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,25 +47,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.findall = CHUNKS[kind].findall
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.findall, self.lower = CHUNKS[kind].findall, kind == "word"
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [self.findall(t) if t else [] for t in texts]
-        known = self.known
-        new = list({c for each in chunks for c in each if c not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = array("I", e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, each)) for each in chunks]
-        if len(known) > MAX_CACHED:
-            known.clear()
+    def __missing__(self, chunk: str) -> bytes:
+        if ONE.fullmatch(chunk):
+            # One pre-token: the library's model is asked for it without normalizing and cutting again.
+            word = chunk.lower() if self.lower else chunk
+            if word != chunk and (known := self.get(word)) is not None:
+                ids = known
+            else:
+                shown = word.encode().decode("latin-1").translate(SHOWN)
+                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         else:
-            for c in new:
-                if len(c) > MAX_CHUNK:
-                    del known[c]
-        return out
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= MAX_CHUNK:
+            self[chunk] = ids
+        return ids
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > MAX_CACHED:
+            self.clear()
+        findall, ids = self.findall, self.__getitem__
+        return [b"".join(map(ids, findall(t))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -8,18 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, tokenfiles, warc
+from . import langid, minhash, packing, quality, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=256)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), percent=75)
 
@@ -53,11 +65,6 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def remainder(n: int):
-    """crc32 of doc_id as text, modulo n; null ids have none."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     samples = langid.fit(docs, remainder(3) != 1)
@@ -84,7 +91,7 @@ from g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_near_duplicates": op4_near_duplicates, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality, tokenfiles, warc
+from . import decontaminate, langid, minhash, packing, quality, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
@@ -91,7 +95,7 @@ from g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

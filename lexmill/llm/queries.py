@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, quality, tokenfiles, warc
+from . import decontaminate, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ from documents d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.
 """
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfiles.new_path(spark)
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), kind="byte", end_id=0)
@@ -95,7 +102,7 @@ from g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

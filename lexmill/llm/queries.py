@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
+from . import decontaminate, embeddings, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,28 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+SQL6 = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98
+), r as (
+  select a as vec_id, b as other from l union select r.vec_id, l.b from r join l on l.a = r.other
+), m as (
+  select vec_id, min(other) as c from r group by vec_id
+), n as (
+  select a as vec_id, count(*) as n from l group by a
+)
+select d.vec_id, coalesce(n.n, 0) as n_links, least(d.vec_id, coalesce(m.c, d.vec_id)) as component_id, d.vec_id = least(d.vec_id, coalesce(m.c, d.vec_id)) as kept
+from embeddings d left join n on n.vec_id = d.vec_id left join m on m.vec_id = d.vec_id
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfiles.new_path(spark)
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), kind="byte", end_id=0)
@@ -102,8 +124,8 @@ from g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": SQL4, "op9_warc": SQL9}
+    return {"op4_near_duplicates": SQL4, "op6_embeddings": SQL6, "op9_warc": SQL9}

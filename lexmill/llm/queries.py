@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
+from . import decontaminate, embeddings, htmlwrap, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, samples).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlwrap.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.new_path(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path, min_revisit=1000)
@@ -124,7 +128,7 @@ from g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_html": op8_html, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ import numpy as np
 PRECISION = 20
 LOW = 31
 WORD = 32
-MAX_LANES = 1024
+MAX_LANES = 2048
 U = np.uint64
 
 
@@ -73,9 +73,9 @@ def encode(tokens: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """The lanes' states and the words; a decoder reads the words first to last."""
     n = len(tokens)
     lanes = min(MAX_LANES, max(1, n // 32))
-    freq, first = table.freq[tokens], table.first[tokens]
-    if n and not freq.min():
+    if n and (tokens.max() >= len(table.freq) or not table.freq[tokens].min()):
         raise ValueError("a symbol is not in the table")
+    freq, first = table.freq[tokens], table.first[tokens]
     x = np.full(lanes, 1 << LOW, dtype=np.uint64)
     words = []
     for at in range((n - 1) // lanes * lanes, -1, -lanes) if n else ():

@@ -28,7 +28,7 @@ from .blobs import read_blobs, write_blobs
 from .tokens import encoder, slices
 
 FILE, CHECKPOINT, BLOCK = struct.Struct(">8sQIQQI"), struct.Struct(">QQQ"), struct.Struct(">IIQQII")
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 
 
 def pack_block(docs: list[int | None], lengths: list[int], tokens: np.ndarray, table: rans.Table) -> bytes:
@@ -85,39 +85,42 @@ def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0,
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 22) -> None:
     """Write the ids of every text, end_id after each, to path/table and path/files in ascending doc_id order (null first).
 
-    vocab: no id is as large; up to 65,536 the ids wait in 16 bits each. file_tokens: about so many
+    vocab: no id is as large (a larger one raises); up to 65,536 the ids wait in 16 bits each. file_tokens: about so many
     ids a file. Null text: as empty, end_id alone. Repeated doc ids stay separate documents, next to each other, in no set order.
     An empty table writes a table without symbols and no file. Other columns are ignored.
     """
     importable(docs.sparkSession)
-    narrow = "<u2" if vocab <= 65_536 else "<u4"
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    small = vocab <= 65_536
+    narrow = "<u2" if small else "<u4"
+    width = int(narrow[2])
+    end = b"" if end_id is None else int(end_id).to_bytes(width, "little")
 
     def to_ids(batches):
+        """A row for each document, and a last one with the counts of all ids of the partition."""
         import pyarrow as pa
 
-        encode = encoder(tokenizer, kind).encode
+        encode = encoder(tokenizer, kind, small).encode
+        total = np.zeros(vocab, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, text="text"):
-                ids = [np.frombuffer(x + end, "<u4").astype(narrow).tobytes() for x in encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
+                ids = [x + end for x in encode(part.column("text").to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), narrow), minlength=vocab)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, type=pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
 
-    def count(batches):
+    def split(batches):
         import pyarrow as pa
 
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch):
-                own = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), narrow))
-                if len(own) > len(total):
-                    own, total = total, own.astype(np.int64)
-                total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(total[seen], type=pa.int64())], names=["token", "n"])
-
-    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary"), "token-ids")
+            for x in batch.column("counts").to_pylist():
+                own = np.frombuffer(x, np.int64)
+                seen = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(own[seen], type=pa.int64())], names=["token", "n"])
+
+    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids")
     # One row for each symbol of the vocabulary at most.
-    counts = {r.token: r.n for r in ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.token: r.n for r in ids.where("counts is not null").select("counts").mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    ids = ids.where("ids is not null").select("doc_id", "ids")
     table = rans.Table.of_counts(counts)
     body = table.to_bytes()
     write_blobs(docs.sparkSession.createDataFrame([(bytearray(body),)], "body binary").coalesce(1), "body", f"{path}/table")
@@ -136,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
 
         def close():
             tokens = np.frombuffer(b"".join(parts), narrow).astype(np.uint32)
-            blocks.append((len(owners), len(tokens), pack_block(owners, [len(p) // int(narrow[2]) for p in parts], tokens, table)))
+            blocks.append((len(owners), len(tokens), pack_block(owners, [len(p) // width for p in parts], tokens, table)))
             owners.clear()
             parts.clear()
 
@@ -150,7 +153,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
                 for doc, x in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
                     owners.append(doc)
                     parts.append(x)
-                    held += len(x) // int(narrow[2])
+                    held += len(x) // width
                     if held >= BLOCK_TOKENS:
                         in_file, held = in_file + held, 0
                         close()

@@ -31,36 +31,40 @@ ONE = re.compile(f" ?[{LATIN}]+")
 #: Byte-level vocabularies write bytes as printable characters: those of Latin-1 that print stand for themselves, the others follow from U+0100 on.
 PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTS)}
-MAX_CACHED = 400_000
+SPACE = SHOWN[32]
+#: Few enough for the dict's table of 2^20 places.
+MAX_CACHED = 650_000
 MAX_CHUNK = 100
 
 
 class Encoder(dict):
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers; null counts as empty.
+    """encode(texts) gives each text's ids as little-endian unsigned integers of 32 bits, or 16 if narrow; null counts as empty.
 
     As a dict it maps the chunks it has met to their ids.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, narrow: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.findall, self.lower = CHUNKS[kind].findall, kind == "word"
+        self.tokenize = self.tokenizer.model.tokenize
+        self.findall, self.lower, self.code = CHUNKS[kind].findall, kind == "word", "H" if narrow else "I"
 
     def __missing__(self, chunk: str) -> bytes:
-        if ONE.fullmatch(chunk):
-            # One pre-token: the library's model is asked for it without normalizing and cutting again.
-            word = chunk.lower() if self.lower else chunk
-            if word != chunk and (known := self.get(word)) is not None:
-                ids = known
-            else:
-                shown = word.encode().decode("latin-1").translate(SHOWN)
-                ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        bare = chunk[1:] if chunk[0] == " " else chunk
+        # One pre-token: the library's model is asked for it without normalizing and cutting again.
+        if bare.isascii() and bare.isalpha():
+            shown = chunk.lower() if self.lower else bare if bare is chunk else SPACE + bare
+        elif ONE.fullmatch(chunk):
+            shown = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(SHOWN)
         else:
-            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            shown = ""
+        if shown:
+            ids = array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+        else:
+            ids = array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= MAX_CHUNK:
             self[chunk] = ids
         return ids
@@ -73,8 +77,8 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> Encoder:
-    return Encoder(path, kind)
+def encoder(path: str, kind: str, narrow: bool = False) -> Encoder:
+    return Encoder(path, kind, narrow)
 
 
 def slices(batch, rows: int = 512, text: str | None = None, most: int = 4_000_000):

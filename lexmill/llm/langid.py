@@ -189,12 +189,12 @@ def parser(samples: dict[str, list[str]]) -> Parser:
     return _PARSERS[key]
 
 
-def predict(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score in 0 to 1 (by how much the best language's entropy is below the next one's), and the columns in keep.
+def predict(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score in 0 to 1 (by how much the best language's entropy is below the next one's).
 
     Null text, or text without a letter: und, 0. Ties go to the first language by name. Letters
     outside the learned alphabet are a phrase each. Without any labelled text all are und. Repeated
-    and null ids are rows like any other; an empty table gives none.
+    and null ids are rows like any other; an empty table gives none; other columns are ignored.
     """
     importable(docs.sparkSession)
 
@@ -203,10 +203,24 @@ def predict(docs: DataFrame, samples: dict[str, list[str]], id_col: str = "doc_i
 
         own = parser(samples)
         for batch in batches:
-            for part in slices(batch, rows=4096, text="__text", most=2_000_000):
-                lang, score = own.predict(part.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *(part.column(f"__keep_{k}") for k in range(len(keep)))], names=["doc_id", "lang_pred", "score", *keep])
+            for part in slices(batch, rows=4096, text="text", most=2_000_000):
+                lang, score = own.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__keep_{k}") for k, c in enumerate(keep)))
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return chosen.mapInArrow(run, ", ".join([SCHEMA, *kinds]))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def accept(docs: DataFrame, samples: dict[str, list[str]], langs: frozenset[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known, and one of langs if given; und (see predict) goes."""
+    importable(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = parser(samples)
+        for batch in batches:
+            for part in slices(batch, rows=4096, text=text_col, most=2_000_000):
+                lang, _ = own.predict(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([x != "und" and (langs is None or x in langs) for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

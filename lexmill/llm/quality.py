@@ -165,12 +165,6 @@ def fit_tables(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.
     return model
 
 
-def _numbers(docs: DataFrame, id_col: str, text_col: str, run, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    importable(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__keep_{k}") for k, c in enumerate(keep)))
-    return chosen.mapInArrow(run, schema)
-
-
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> Model:
     """A model from labelled documents that train (a predicate on the id column of docs) admits.
 
@@ -178,38 +172,55 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     a document labelled twice counts twice. Without labels every score is 0.5.
     """
 
+    importable(docs.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text="__text"):
-                rows = [features(t) for t in part.column("__text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            for part in slices(batch, text="text"):
+                rows = [features(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) == 1).cast("int").alias("y")).where("doc_id is not null and y is not null")
     n = marked.count()
     share = int(min(1.0, 2.0 * max_rows / max(1, n)) * (1 << 30))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), train.alias("ok")).where(F.col("ok") & (place < share))
-    rows = _numbers(own, "doc_id", "text", run, "doc_id long, x array<double>").join(marked.where(place < share), "doc_id").select(place.alias("place"), "doc_id", "x", "y").limit(4 * max_rows).collect()
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("ok")).where(F.col("ok") & (place < share)).select("doc_id", "text")
+    rows = own.mapInArrow(run, "doc_id long, x array<double>").join(marked.where(place < share), "doc_id").select(place.alias("place"), "doc_id", "x", "y").limit(4 * max_rows).collect()
     rows = sorted(rows, key=lambda r: (r.place, r.doc_id, r.y))[:max_rows]
     return fit_tables(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1) and the columns in keep for every row of docs.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score (0 to 1) for every row of docs.
 
     Null, empty and very long texts are scored like any other, from the whole text. Repeated and null
-    ids are rows of their own; an empty table gives no rows.
+    ids are rows of their own; an empty table gives no rows; other columns are ignored.
     """
+    importable(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, text="text"):
+                x = np.array([features(t) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def accept(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score least or more (see score)."""
+    importable(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text="__text"):
-                x = np.array([features(t) for t in part.column("__text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(model.score(x), pa.float64()), *(part.column(f"__keep_{k}") for k in range(len(keep)))], names=["doc_id", "score", *keep])
+            for part in slices(batch, text=text_col):
+                x = np.array([features(t) for t in part.column(text_col).to_pylist()])
+                yield part.filter(pa.array(model.score(x) >= least, pa.bool_()))
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return _numbers(docs, id_col, text_col, run, ", ".join(["doc_id long, score double", *kinds]), keep)
+    return docs.mapInArrow(run, docs.schema)

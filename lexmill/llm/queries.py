@@ -20,11 +20,14 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=256)
+def piece_digests(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=256))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
 

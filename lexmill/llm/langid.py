@@ -91,18 +91,22 @@ class Parser:
                 # Unknown letters and the ends of pieces match nothing: codes of their own, dropped from the table below.
                 joined += [c if c else self.width for c in self.of(t).tolist()] + [self.width]
             automaton = Automaton(joined)
-            table = np.full((len(automaton.next), self.width), -1, dtype=np.int64)
+            # One state more than the automaton's: after a character that the sample lacks, which is a phrase alone.
+            lost = len(automaton.next)
+            table = np.full((lost + 1, self.width), -1, dtype=np.int64)
             for s, edges in enumerate(automaton.next):
                 for c, to in edges.items():
                     if c < self.width:
                         table[s, c] = to
-            first = np.where(table[0] < 0, 0, table[0])
+            first = np.where(table[0] < 0, lost, table[0])
             new = table < 0
             table = (np.where(new, first, table) + at) * self.width
+            # No text comes back to the first state, and what begins there has been counted as a phrase.
+            new[0] = False
             tables.append(np.where(new, table + FLAG, table))
             self.roots.append(at * self.width)
             self.logs.append(math.log2(max(2, len(joined))))
-            at += len(automaton.next)
+            at += lost + 1
         if at * self.width >= FLAG:
             raise ValueError("the samples are too long for one table")
         self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)

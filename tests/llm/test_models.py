@@ -1,0 +1,113 @@
+"""Quality and language: held-out accuracy, brute force where there is one, odd rows."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.llm import langid, quality
+from lexmill.llm.queries import op3_quality, op10_language_id
+
+SF = "/root/testdata/sf0.01"
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "123 !?"), (5, "a" * 200_000), (6, "word " * 50_000), (None, "some words"), (7, "some words"), (7, "some words"), (8, "é"), (9, "漢字"), (10, "\U0001f389")]
+
+
+def rem(doc, n):
+    return zlib.crc32(str(doc).encode()) % n
+
+
+def test_quality_held_out(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = op3_quality(spark, SF).collect()
+    assert len(rows) == 1000 and all(r.held_out == (rem(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    own = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert len(own) > 40 and sum(a == b for a, b in own) / len(own) > 0.95
+
+
+def test_gam_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+    model = quality.fit_tables(x[:3000], y[:3000], rounds=40, pair_rounds=40)
+    assert (0, 1) in model.pairs and ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.95
+    # The tables add up: scoring row by row is scoring them together.
+    assert np.allclose(model.log_odds(x[:50]), np.concatenate([model.log_odds(x[k : k + 1]) for k in range(50)]))
+
+
+def test_two_cuts_is_the_best_first_cut():
+    g, h = np.array([3.0, 3, -9, -9, 1]), np.full(5, 10.0)
+    step = quality.two_cuts(g, h)
+    assert (step[:2] > 0).all() and (step[2:4] < 0).all() and len(set(step)) <= 3
+    assert quality.two_cuts(np.array([1.0]), np.array([1.0])).tolist() == [0]
+
+
+def test_quality_odd_rows(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "0.5 as score", "'x' as place")
+    labels = spark.createDataFrame([(7, 1), (7, None), (4, 0), (None, 1), (99, 1), (7, 1)], "doc_id long, quality int").selectExpr("*", "'clash' as text")
+    model = quality.fit(df, labels, F.lit(True))
+    rows = quality.score(df, model).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    none = quality.fit(df, labels.where("false"), F.lit(True))
+    assert {r.score for r in quality.score(df, none).collect()} == {0.5}
+    assert quality.score(df.where("false"), none).count() == 0
+    assert quality.accept(df, none, 0.5).count() == len(ODD) and quality.accept(df, none, 0.6).count() == 0 and quality.accept(df, none, 0.6).columns == df.columns
+    assert quality.features(None) == quality.features("") == quality.features(" ") == [0.0] * len(quality.FEATURES)
+
+
+def brute_phrases(text, sample):
+    """How many longest phrases of the sample a text falls into."""
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample and text[at : at + size] in sample:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_phrases_against_brute_force(seed):
+    rng = random.Random(seed)
+    make = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    samples = {"x": [make(300, "abc d")], "y": [make(200, "bcde ")]}
+    p = langid.Parser(samples)
+    texts = [make(rng.randrange(1, 400), "abcdefg ") for _ in range(6)]
+    bits, _ = p.entropies(texts)
+    squeeze = lambda t: re.sub(" +", " ", t.lstrip())
+    for k, lang in enumerate(p.langs):
+        sample = squeeze(samples[lang][0])
+        for t, b in zip(texts, bits[k]):
+            t = squeeze(t)
+            assert b == pytest.approx(brute_phrases(t, sample) * p.logs[k] / len(t))
+
+
+def test_blocks_count_as_the_parts_they_are():
+    p = langid.Parser({"x": ["the cat sat on the mat " * 20]})
+    text = "a cat on the mat sat " * 400
+    parts = [text[i : i + langid.BLOCK] for i in range(0, len(text), langid.BLOCK)]
+    whole = p.entropies([text])[0][0, 0] * len(text)
+    assert whole == pytest.approx(sum(p.entropies([x])[0][0, 0] * len(p.of(x)) for x in parts), rel=0.01)
+
+
+def test_language_held_out(spark):
+    rows = op10_language_id(spark, SF).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == 1000 and all(r.held_out == (rem(r.doc_id, 3) == 1) and 0 <= r.score <= 1 for r in rows)
+    own = [r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]
+    assert sum(own) / len(own) > 0.98
+
+
+def test_language_odd_rows(spark):
+    df = spark.createDataFrame([(d, t, None if d in (1, None) else "en" if k % 2 else "de") for k, (d, t) in enumerate(ODD)], "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as place", "3 as ok")
+    samples = langid.fit(df, F.lit(True))
+    rows = {r.doc_id: r for r in langid.predict(df, samples).collect()}
+    assert len(rows) == len({d for d, _ in ODD}) and {d for d, r in rows.items() if r.lang_pred == "und"} == {1, 2, 3, 4, 10} and all(rows[d].score == 0 for d in (1, 2, 3, 4, 10))
+    assert {r.lang_pred for r in langid.predict(df, langid.fit(df, F.lit(False))).collect()} == {"und"}
+    kept = langid.accept(df, samples)
+    assert kept.columns == df.columns and kept.count() == len(ODD) - 5 and langid.accept(df, samples, frozenset(["none"])).count() == 0
+    assert langid.predict(df.where("false"), samples).count() == 0 and langid.fit(df.where("false"), F.lit(True)) == {}
+    assert samples == langid.fit(df.repartition(5), F.lit(True))

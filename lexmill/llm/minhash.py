@@ -8,10 +8,10 @@ What keeps it whole and linear:
 * A node is listed only under the rarer half of its sketch. Two sketches that share more than half of
   their values meet in one of these at least, and sketches of sets with a similarity of 0.75 fail to do so
   about once in 100,000 pairs at k = 64. So a passage that many documents share makes no list.
-* Lists of up to SHORT nodes give all their pairs. Longer ones come from large groups of near copies:
-  in rounds, each gives the pairs of all its nodes with a few leaders. A node needs no further
-  comparison once it is linked with a leader and lies too far from all other leaders' nodes to be linked
-  with them: one minus the similarity is a metric. Rounds go on, with more leaders each, until no node needs more.
+* Lists of up to SHORT nodes give all their pairs. Longer ones come from large groups of near copies: each
+  compares its nodes with one leader. Nodes linked with the leaders of all their long lists hang together
+  through them. The others are compared with all nodes that long lists connect them with, block by block;
+  a block returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import importable, written
 from .components import components
+from .embeddings import joined
 from .tokens import slices
 
 K = 64
 SHORT = 16
+#: Nodes, and bytes of their sets, in a block of a long list.
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
 WORDS = 5
 #: How far the estimate of a pair that is similar enough may lie below the threshold, in standard deviations.
 SIGMAS = 5.0
@@ -177,7 +181,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     Documents are linked when 100 * shared shingles >= percent * shingles of both; component_id is the
     smallest doc_id reachable by links. Null and empty texts and texts without words have no shingle and
     are linked with nothing. A row of null id is linked with nothing, component_id null, kept true.
-    Rows that repeat an id are one document as far as links go. An empty table gives no rows; other columns are ignored.
+    Rows that repeat an id are documents of their own, linked by their own texts. An empty table gives no rows; other columns are ignored.
     """
     importable(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -200,11 +204,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     reach = components(found)
     ids = nodes.select("fp", "node").join(reach, "node", "left").select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n", "fp").join(ids, F.col("fp") == F.col("own"), "left")
-    # Rows that repeat an id reach what any of them reaches.
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, without near copies: of each linked group the smallest id stays (see link).
+
+    Rows that repeat an id stay or go together, but of those that also repeat the text one stays. Rows of null id stay.
+    """
+    linked = written(link(docs, id_col, text_col, percent).select(F.col("doc_id").alias("__id"), "kept"), "linked").where("__id is not null")
+    by_id = written(linked.groupBy("__id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "marked")
+    own = docs[id_col].cast("long")
+    once = docs.join(by_id, own == by_id["__id"], "left_anti")
+    again = by_id.where("kept")
+    if again.isEmpty():
+        return once
+    return once.unionByName(docs.join(again, own == again["__id"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def _listed(nodes: DataFrame, short: int) -> DataFrame:
     """v, node, hot (0 or 1): the nodes under each value of the rarer half of their sketches, for values with two nodes at least."""
     rows = nodes.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
@@ -218,27 +236,79 @@ def _listed(nodes: DataFrame, short: int) -> DataFrame:
     return rare.join(held, "v").select("v", "node", (F.col("n") > short).cast("int").alias("hot"))
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each set in a shares with each in b."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+
+    def places(sets, flat):
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        ok = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[ok], kind="stable")
+        return rows[ok][order], at[ok][order]
+
+    (row_a, col_a), (row_b, col_b) = places(a, flat_a), places(b, flat_b)
+    for lo in range(0, len(both), columns):
+        parts = []
+        for n, row, col in ((len(a), row_a, col_a), (len(b), row_b, col_b)):
+            i, j = np.searchsorted(col, (lo, lo + columns))
+            m = np.zeros((n, min(columns, len(both) - lo)), dtype=np.float32)
+            m[row[i:j], col[i:j] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _forest(percent: int):
+    def compare(pdf):
+        import pandas as pd
+
+        asks = pdf["asks"].to_numpy(bool)
+        node = pdf["node"].to_numpy()
+        sets = [np.frombuffer(x, "<i8") for x in pdf["shingles"]]
+        rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
+        order = np.unique(node)
+        rank = np.searchsorted(order, node)
+        found = [np.zeros((2, 0), int)]
+        if len(rows) and len(cols):
+            size = np.array([len(s) for s in sets])
+            both = shared_counts([sets[k] for k in rows], [sets[k] for k in cols])
+            i, j = np.nonzero(100 * both >= percent * (size[rows][:, None] + size[cols][None, :] - both))
+            found.append(np.stack((rank[rows[i]], rank[cols[j]])))
+        x, y = np.concatenate(found, axis=1)
+        root = joined(x, y, len(order))
+        linked = np.flatnonzero(root != np.arange(len(order)))
+        return pd.DataFrame({"a": order[linked], "b": order[root[linked]]})
+
+    return compare
+
+
 def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
     """Links of nodes in long lists that, with all of their kind, connect the same nodes as all links do."""
     if hot.isEmpty():
         return []
-    far = F.lit(1 - percent / 100)
+    # The nodes under most long lists are the likeliest centres.
     central = hot.groupBy("node").agg(F.count("*").alias("lists"))
-    waiting, shares, out, pasts = written(central, "waiting"), 1, [], None
-    while not waiting.isEmpty():
-        # The nodes under most long lists are the likeliest centres; each list takes the first of each share of its nodes.
-        first = F.min(F.struct((-F.col("lists")).alias("l"), "node"))
-        leads = hot.join(waiting, "node").groupBy("v", F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")).agg(first.alias("top")).select("v", F.col("top.node").alias("leader"))
-        pairs = hot.join(leads, "v").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        seen = written(confirmed(pairs, sets).select("a", "b", similar(percent).alias("linked"), (1 - F.col("both") / F.col("either")).alias("d")), "leaders")
-        out.append(seen.where("linked").select("a", "b"))
-        radius = seen.where("linked").groupBy("b").agg(F.max("d").alias("r"))
-        # Linked with no leader yet, or near enough to a leader's nodes to be linked with one of them without it.
-        state = seen.join(radius, "b", "left").groupBy("a").agg(F.max("linked").alias("linked"), F.max(~F.col("linked") & (F.col("d") <= far + F.coalesce("r", F.lit(0.0)) + 1e-9)).alias("border")).withColumnRenamed("a", "node")
-        chosen = leads.select(F.col("leader").alias("node")).distinct()
-        if pasts is not None:
-            state = state.unionByName(pasts).groupBy("node").agg(F.max("linked").alias("linked"), F.max("border").alias("border"))
-        pasts = written(state, "state")
-        waiting = written(waiting.join(chosen, "node", "left_anti").join(pasts.where("linked and not border"), "node", "left_anti"), "waiting")
-        shares = min(64, 4 * shares)
-    return out
+    ranked = hot.join(central, "node")
+    leads = ranked.groupBy("v").agg(F.min(F.struct((-F.col("lists")).alias("l"), "node")).alias("top")).select("v", F.col("top.node").alias("leader"))
+    led = written(hot.join(leads, "v").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "led")
+    seen = written(confirmed(led.where("a <> b"), sets).select("a", "b", similar(percent).alias("linked")), "leaders")
+    out = [seen.where("linked").select("a", "b")]
+    waiting = written(seen.where("not linked").select("a").distinct(), "waiting")
+    if waiting.isEmpty():
+        return out
+    reach = components(led, "groups").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    members = sets.join(reach, "doc_id").join(waiting.select(F.col("a").alias("doc_id"), F.lit(True).alias("waits")), "doc_id", "left")
+    members = written(members.select("group", F.col("doc_id").alias("node"), "shingles", F.coalesce("waits", F.lit(False)).alias("waits")), "members")
+    size = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.octet_length("shingles")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    blocks = members.groupBy("group").agg(size(F.col("waits")).alias("ask_blocks"), size(F.lit(True)).alias("all_blocks")).where("ask_blocks > 0")
+    dealt = members.join(blocks, "group").withColumn("place", F.xxhash64("node"))
+    own = lambda n: F.pmod("place", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = dealt.where("waits").select("group", own("ask_blocks").alias("i"), every("all_blocks").alias("j"), "node", "shingles", F.lit(True).alias("asks"))
+    answers = dealt.select("group", every("ask_blocks").alias("i"), own("all_blocks").alias("j"), "node", "shingles", F.lit(False).alias("asks"))
+    found = asks.unionByName(answers).groupBy("group", "i", "j").applyInPandas(_forest(percent), "a long, b long")
+    return [*out, written(found, "forest")]

@@ -102,7 +102,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
         import pyarrow as pa
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=level, dict_data=dictionary(trained)).compress if trained else zstandard.ZstdCompressor(level=level).compress
+        squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, **({"dict_data": dictionary(trained)} if trained else {})).compress
         head = skippable(DICTIONARY_MAGIC, trained) if trained else b""
         frames: list[bytes] = []
         held = 0
@@ -129,9 +129,12 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
 
 
 def records(data: bytes):
-    """Header dictionary and block of each record of a file; checks what it can."""
+    """Header dictionary and block of each record of a file; a file cut short or damaged raises."""
     import zstandard
 
+    if not data.endswith(skippable(CLOSING_MAGIC, b"end\n")):
+        raise ValueError("the archive was cut short")
+
     magic, size = struct.unpack_from("<II", data)
     own = dictionary(data[8 : 8 + size]) if magic == DICTIONARY_MAGIC else None
     unpack = zstandard.ZstdDecompressor(dict_data=own) if own else zstandard.ZstdDecompressor()

@@ -48,7 +48,7 @@ PAGES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(sql: str | None = None):

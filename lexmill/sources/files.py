@@ -22,8 +22,14 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.where(strip("value") != "").select(F.col("value").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a table of one small file would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_table(spark: SparkSession, path: str, column: str = "text", format: str = "parquet") -> DataFrame:
-    return spark.read.format(format).load(path).select(F.col(column).cast("string").alias("text"))
+    return spread(spark.read.format(format).load(path).select(F.col(column).cast("string").alias("text")))
 
 
 def from_strings(spark: SparkSession, texts: Iterable[str | None]) -> DataFrame:

@@ -13,6 +13,7 @@ words are those that had it when it came up. counting="exact" keeps true counts,
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -29,41 +30,32 @@ MAX_SIZE = 300_001
 Pair = tuple[int, int]
 
 
-def merged(tokens: list[int], pair: Pair, new: int) -> list[int]:
-    """tokens with pair replaced by new, left to right, without overlap."""
-    out, k, n = [], 0, len(tokens)
-    while k < n:
-        if k + 1 < n and tokens[k] == pair[0] and tokens[k + 1] == pair[1]:
-            out.append(new)
-            k += 2
-        else:
-            out.append(tokens[k])
-            k += 1
-    return out
-
-
 class Learner:
-    """Pair counts over a table of words that one merge after another changes."""
+    """Pair counts over a table of words that one merge after another changes.
+
+    A word is a string with one character a token, a pair a string of two: replacing is the string's own
+    method, and strings compare as pairs of ids do. Postings are arrays that may name a word twice.
+    """
 
     def __init__(self, words: Iterable[tuple[bytes, int]], counting: str = "compat"):
         if counting not in ("compat", "exact"):
             raise ValueError("counting is compat or exact")
         self.exact = counting == "exact"
-        self.tokens: list[list[int]] = []
+        self.tokens: list[str] = []
         self.freq: list[int] = []
-        self.count: dict[Pair, int] = defaultdict(int)
-        self.words: dict[Pair, set[int]] = defaultdict(set)
-        for word, freq in words:
-            own = list(word)
-            for pair in zip(own, own[1:]):
-                self.count[pair] += freq
-                self.words[pair].add(len(self.tokens))
+        self.count: dict[str, int] = defaultdict(int)
+        self.words: dict[str, array] = defaultdict(lambda: array("l"))
+        for k, (word, freq) in enumerate(words):
+            own = word.decode("latin-1")
             self.tokens.append(own)
             self.freq.append(freq)
+            for i in range(len(own) - 1):
+                self.count[own[i : i + 2]] += freq
+                self.words[own[i : i + 2]].append(k)
         self.queue = [(-n, pair) for pair, n in self.count.items()]
         heapq.heapify(self.queue)
 
-    def best(self, least: int) -> Pair | None:
+    def best(self, least: int) -> str | None:
         """The live pair of the highest count, ties to the smallest. Queue entries may be out of date; counts only fall after a pair's creation."""
         while self.queue:
             n, pair = self.queue[0]
@@ -75,46 +67,52 @@ class Learner:
                 heapq.heappush(self.queue, (-now, pair))
         return None
 
-    def merge(self, pair: Pair, new: int) -> None:
-        visited = self.words.pop(pair)
+    def merge(self, pair: str, new: int) -> None:
+        visited = set(self.words.pop(pair))
         self.count.pop(pair, None)
-        grown: set[Pair] = set()
+        grown: dict[str, int] = defaultdict(int)
+        less: dict[str, int] = defaultdict(int)
+        glyph = chr(new)
         for w in visited:
             old, f = self.tokens[w], self.freq[w]
-            now = merged(old, pair, new)
+            now = old.replace(pair, glyph)
+            if now == old and self.exact:
+                continue
+            i = now.find(glyph) if now != old else -1
+            while i >= 0:
+                if i and not (self.exact and now[i - 1] == glyph):
+                    grown[now[i - 1 : i + 1]] += f
+                    self.words[now[i - 1 : i + 1]].append(w)
+                if i + 1 < len(now):
+                    grown[now[i : i + 2]] += f
+                    self.words[now[i : i + 2]].append(w)
+                i = now.find(glyph, i + 1)
+            for i in range(len(old) - 1):
+                less[old[i : i + 2]] += f
             if self.exact:
-                if now == old:
-                    continue
-                gone, come = list(zip(old, old[1:])), list(zip(now, now[1:]))
-                for p in come:
-                    self.count[p] += f
-                    self.words[p].add(w)
-                    grown.add(p)
-            else:
-                gone = list(zip(old, old[1:]))
-                for p in zip(now, now[1:]):
-                    for side in p:
-                        if side == new:
-                            self.count[p] += f
-                            self.words[p].add(w)
-                            grown.add(p)
-            for p in gone:
-                if p != pair and p in self.count:
-                    self.count[p] -= f
-                    if self.count[p] <= 0 and not (self.exact and p in grown):
-                        del self.count[p]
+                for i in range(len(now) - 1):
+                    if now[i] != glyph and now[i + 1] != glyph:
+                        less[now[i : i + 2]] -= f
             self.tokens[w] = now
-        for p in grown:
-            if self.count.get(p, 0) > 0:
-                heapq.heappush(self.queue, (-self.count[p], p))
+        # What grows has the new token and what shrinks has not; a pair that falls to nothing is dead.
+        for p, n in less.items():
+            if n and p in self.count:
+                if self.count[p] > n:
+                    self.count[p] -= n
+                else:
+                    del self.count[p]
+        for p, n in grown.items():
+            self.count[p] = n
+            heapq.heappush(self.queue, (-n, p))
 
 
 def learn(words: Iterable[tuple[bytes, int]], num_merges: int, min_frequency: int = 2, counting: str = "compat", first: int = FIRST_MERGE) -> list[tuple[Pair, int]]:
     """Up to num_merges rules from (bytes of a word, frequency); independent of the order of words."""
     learner, out = Learner(words, counting), []
     while len(out) < num_merges and (pair := learner.best(min_frequency)) is not None:
-        out.append((pair, first + len(out)))
-        learner.merge(*out[-1])
+        new = first + len(out)
+        out.append(((ord(pair[0]), ord(pair[1])), new))
+        learner.merge(pair, new)
     return out
 
 

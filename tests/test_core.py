@@ -52,6 +52,15 @@ def test_exact_counting_is_the_textbook(spark):
     assert rules(train.train(corpus(spark, GOLDEN[4][0]), 259, counting="exact")) == [(97, 98, 256), (98, 99, 257), (256, 99, 258)]
 
 
+def merged(tokens, pair, new):
+    out, k = [], 0
+    while k < len(tokens):
+        hit = tuple(tokens[k : k + 2]) == pair
+        out.append(new if hit else tokens[k])
+        k += 1 + hit
+    return out
+
+
 def textbook(words, n, least):
     state, out = {w: list(w) for w in words}, []
     while len(out) < n:
@@ -63,7 +72,7 @@ def textbook(words, n, least):
             break
         pair = min(count, key=lambda p: (-count[p], p))
         out.append((pair, 256 + len(out)))
-        state = {w: train.merged(t, *out[-1]) for w, t in state.items()}
+        state = {w: merged(t, *out[-1]) for w, t in state.items()}
     return out
 
 

@@ -7,6 +7,7 @@ what the library returns for the whole text (tested), at several times the speed
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -73,7 +74,14 @@ class Encoder(dict):
         if len(self) > MAX_CACHED:
             self.clear()
         findall, ids = self.findall, self.__getitem__
-        return [b"".join(map(ids, findall(t))) if t else b"" for t in texts]
+        # Nothing here can form a cycle, and the collector's rounds over so many new objects cost a seventh of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return [b"".join(map(ids, findall(t))) if t else b"" for t in texts]
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)

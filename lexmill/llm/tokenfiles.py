@@ -69,6 +69,10 @@ def pack_file(ordinal: int, blocks: list[tuple[int, int, bytes]], table_crc: int
     return b"".join((FILE.pack(b"LXTOKEN1", ordinal, len(blocks), docs, tokens, table_crc), *marks, *(b[2] for b in blocks), b"\n"))
 
 
+def ordinal_of(data: bytes) -> int:
+    return FILE.unpack_from(data)[1]
+
+
 def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0, count: int | None = None):
     """doc, tokens of the file before it, ids; from block number first on, count blocks or all."""
     magic, _, blocks, _, _, crc = FILE.unpack_from(data)
@@ -82,7 +86,7 @@ def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0,
             start += len(ids) // 4
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 22) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 24) -> None:
     """Write the ids of every text, end_id after each, to path/table and path/files in ascending doc_id order (null first).
 
     vocab: no id is as large (a larger one raises); up to 65,536 the ids wait in 16 bits each. file_tokens: about so many
@@ -117,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
                 seen = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(own[seen], type=pa.int64())], names=["token", "n"])
 
-    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids")
+    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids", compression="snappy")
     # One row for each symbol of the vocabulary at most.
     counts = {r.token: r.n for r in ids.where("counts is not null").select("counts").mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     ids = ids.where("ids is not null").select("doc_id", "ids")
@@ -173,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit) from files of write_tokens.
 
-    The driver gathers one small row a file (its place and count of ids) and the table. A damaged
+    The driver gathers two numbers a file (its ordinal and count of ids) and the table. A damaged
     block or a table that isn't the files' own raises.
     """
     importable(spark)
@@ -181,28 +185,29 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     crc = zlib.crc32(body)
     files = read_blobs(spark, f"{path}/files")
     number = lambda at, n: F.conv(F.hex(F.expr(f"substring(content, {at + 1}, {n})")), 16, 10).cast("long")
-    starts, before = {}, 0
-    for r in sorted(files.select("path", number(8, 8).alias("ordinal"), number(28, 8).alias("n")).collect(), key=lambda r: r.ordinal):
-        starts[r.path] = before
-        before += r.n
+    heads = files.select(number(8, 8).alias("ordinal"), number(28, 8).alias("n")).toArrow().sort_by("ordinal")
+    ordinals, sizes = heads["ordinal"].to_numpy(), heads["n"].to_numpy()
+    known = spark.sparkContext.broadcast((ordinals, np.cumsum(sizes) - sizes))
 
     def run(batches):
         import pyarrow as pa
 
         table = rans.Table.from_bytes(body)
+        ordinals, starts = known.value
         for batch in batches:
-            for k in range(batch.num_rows):
-                first = starts[batch.column("path")[k].as_py()]
+            for content in batch.column("content"):
+                data = content.as_py()
+                before = int(starts[np.searchsorted(ordinals, ordinal_of(data))])
                 rows: list[tuple] = []
-                for doc, start, ids in unpack_file(batch.column("content")[k].as_py(), table, crc):
-                    rows.append((doc, first + start, len(ids) // 4, ids))
+                for doc, start, ids in unpack_file(data, table, crc):
+                    rows.append((doc, before + start, len(ids) // 4, ids))
                     if len(rows) >= 1000:
                         yield _rows(pa, rows)
                         rows = []
                 if rows:
                     yield _rows(pa, rows)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(pa, rows):

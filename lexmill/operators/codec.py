@@ -203,6 +203,12 @@ class Tokenizer:
         rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
         return [r.ids for r in encode(rows, self.vocab, specials=specials).orderBy("k").collect()]
 
+    def encode_text(self, spark: SparkSession, text: str | None, specials: bool = False) -> list[int]:
+        return self.encode_batch(spark, [text], specials)[0]
+
+    def decode_ids(self, spark: SparkSession, ids: list[int], skip_special: bool = True) -> str:
+        return self.decode_batch(spark, [ids], skip_special)[0]
+
     def decode_batch(self, spark: SparkSession, ids: list[list[int]], skip_special: bool = True) -> list[str]:
         rows = spark.createDataFrame(list(enumerate(ids)), "k int, ids array<int>")
         return [r.decoded for r in decode(rows, self.vocab, skip_special=skip_special).orderBy("k").collect()]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import pretokens as P
 from ..functions import text as X
 from ..functions import wikitext as K
+from ..functions.sql import register
 from ..operators import codec, report, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
 from ..sources import files, wiki
@@ -331,6 +332,13 @@ def decode_unknown_ids(spark, sf_dir):
     return codec.decode(rows, VOCAB).select("k", "decoded")
 
 
+@query(f"select item_id, len({pre_sql('text')}) as n_tokens, len({encoded_sql('text')}) as n_ids, text as decoded from benchmark")
+def sql_functions(spark, sf_dir):
+    register(spark, VOCAB)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("lexmill_texts")
+    return spark.sql("select item_id, size(pre_tokenize(text)) as n_tokens, size(bpe_encode(text)) as n_ids, bpe_decode(bpe_encode(text)) as decoded from lexmill_texts")
+
+
 # Cleaning
 
 

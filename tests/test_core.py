@@ -10,9 +10,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexmill.__main__ import main
 from lexmill.functions import pretokens as P
 from lexmill.functions import text as X
 from lexmill.functions import wikitext as K
+from lexmill.functions.sql import register
 from lexmill.operators import codec, report, train
 from lexmill.operators.vocab import BOS, EOS, PAD, Vocabulary
 from lexmill.plans import queries as Q
@@ -226,6 +228,24 @@ def test_files(spark, tmp_path):
         wiki.download("http://example.org/d.bz2", str(tmp_path))
 
 
+def test_sql_functions(spark, tokenizer):
+    register(spark, tokenizer.vocab)
+    corpus(spark, [*TEXTS, None]).createOrReplaceTempView("sql_texts")
+    rows = spark.sql("select text, pre_tokenize(text) as p, bpe_decode(bpe_encode(text)) as d, strip_text(text) as s, clean_control(text) as c from sql_texts").collect()
+    assert all(r.d == (r.text or "") and "".join(r.p) == (r.text or "") for r in rows)
+    assert all(r.s == r.text.strip() for r in rows if r.text is not None)
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "in.txt").write_text("\n".join(SENTENCES * 20))
+    model = str(tmp_path / "model")
+    assert main(["train", str(tmp_path / "in.txt"), model, "--vocab-size", "280"]) == 0 and Vocabulary.load(model).num_merges == 24
+    assert main(["encode", model, str(tmp_path / "in.txt"), str(tmp_path / "ids")]) == 0 and spark.read.parquet(str(tmp_path / "ids")).count() == 80
+    capsys.readouterr()
+    assert main(["bench", model]) == 0 and json.loads(capsys.readouterr().out)["roundtrip_errors"] == 0
+    assert main(["train", str(tmp_path / "gone"), model]) == 1
+
+
 def test_report(spark, tokenizer):
     texts = files.benchmark_texts(spark)
     found = report.totals(texts, tokenizer.vocab).first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.codec import _encode_lists
 from ..operators.vocab import Vocabulary
-from ..runtime import importable
+from ..runtime import prepare
 from . import text as X
 from .pretokens import PATTERN
 
@@ -28,7 +28,7 @@ def register(spark: SparkSession, vocab: Vocabulary | None = None) -> None:
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
     if vocab is None:
         return
-    importable(spark)
+    prepare(spark)
     known = spark.sparkContext.broadcast((vocab.ranks, vocab.token_bytes))
 
     @F.arrow_udf("array<int>")

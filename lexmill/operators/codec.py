@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pretokens import exploded, pre_tokenize
 from ..functions.text import column
-from ..runtime import importable
+from ..runtime import prepare
 from .vocab import BOS, EOS, PAD, SPECIAL_TOKENS, Vocabulary
 
 SHORT = 48
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str
         return _encode_by_join(docs, vocab, text_col, out, specials)
     if mode != "map":
         raise ValueError("mode is map or join")
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocab.ranks)
 
     @F.arrow_udf("array<int>")
@@ -120,7 +120,7 @@ def _wrapped(ids: Column, text: Column, specials: bool) -> Column:
 
 
 def _encode_by_join(docs: DataFrame, vocab: Vocabulary, text_col: str, out: str, specials: bool) -> DataFrame:
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocab.ranks)
 
     @F.arrow_udf("array<int>")
@@ -153,7 +153,7 @@ def decode(rows: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out: str =
     """
     if len(vocab.token_bytes) <= jvm_tokens:
         return rows.withColumn(out, F.make_valid_utf8(token_bytes_column(ids_col, vocab, skip_special).cast("string")))
-    importable(rows.sparkSession)
+    prepare(rows.sparkSession)
     table = {**vocab.token_bytes, **{i: b"" if skip_special else t.encode() for t, i in SPECIAL_TOKENS.items()}}
     known = rows.sparkSession.sparkContext.broadcast(table)
 

@@ -12,12 +12,20 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _OWN: dict[str, str] = {}
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
+#: Bounds of a batch on its way to a Python worker. Spark's own bound of 10,000 rows is hundreds of MB of long texts in each task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "16m")}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver found it, and send them small batches unless the session says otherwise."""
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
+    given = spark.sparkContext.getConf()
+    for key, (default, ours) in BATCHES.items():
+        if not given.contains(key) and (default is None or spark.conf.get(key, default) == default):
+            spark.conf.set(key, ours)
 
 
 def scratch(spark: SparkSession) -> str:

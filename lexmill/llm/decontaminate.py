@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import importable, written
-from .tokens import slices
+from ..runtime import prepare, written
+from .tokens import kept, slices
 
 SEED = 5
 COVERAGE = 0.4
@@ -132,15 +132,9 @@ class Index:
         return out
 
 
-_INDEXES: dict[str, Index] = {}
-
-
 def _index(items: list[tuple[int, str]], seed: int) -> Index:
     key = hashlib.sha256(repr((seed, items)).encode()).hexdigest()
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(items, seed)
-    return _INDEXES[key]
+    return kept(("index", key), lambda: Index(items, seed))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
@@ -160,7 +154,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
     repeated rows on either side give a row each. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    importable(spark)
+    prepare(spark)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
     for items in blocks(benchmark, block_chars=block_chars):
@@ -192,7 +186,7 @@ def _finder(items, seed, coverage):
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, all columns, that cover no item far enough; one pass for each block of the benchmark."""
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     for items in blocks(benchmark, block_chars=block_chars):
 
         def run(batches, items=items):

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import importable, written
+from ..runtime import prepare, written
 from .components import components
 from .tokens import slices
 
@@ -110,7 +110,7 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
     Fitting the cells takes SAMPLE_A_CELL nodes a cell, of MAX_CELLS cells at most; all nodes are assigned and compared.
     """
     spark = vectors.sparkSession
-    importable(spark)
+    prepare(spark)
 
     def keyed(batches):
         import pyarrow as pa

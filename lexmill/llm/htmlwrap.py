@@ -21,7 +21,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import importable, written
+from ..runtime import prepare, written
 from .tokens import slices
 from .urlfilter import host as host_of
 
@@ -316,7 +316,7 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     Pages of null url or url without host are the host "". Null and empty html are pages without elements.
     """
-    importable(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_learn, PARTIAL)
     rows = written(rows, "partial-wrappers")
     own = rows.where("wrapper is not null").groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import importable, written
+from ..runtime import prepare, written
 from .components import components
 from .embeddings import joined
 from .tokens import slices
@@ -183,7 +183,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     are linked with nothing. A row of null id is linked with nothing, component_id null, kept true.
     Rows that repeat an id are documents of their own, linked by their own texts. An empty table gives no rows; other columns are ignored.
     """
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(signatures(texts, k, words), "sketches")
     nodes = written(signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")

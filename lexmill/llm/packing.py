@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import importable
+from ..runtime import prepare
 from .tokens import encoder, slices
 
+CACHED = 250_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
@@ -117,7 +118,7 @@ def pack(
     Null or empty text: only end_id, or no row without one. Null or repeated ids are packed as any
     row. Each row's ids lie in exactly one piece each. An empty table gives no rows; other columns are ignored.
     """
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     max_loss = capacity if max_loss is None else max_loss
     if min(capacity, max_segments, max_loss, min_cut) < 1:
         raise ValueError("limits must be positive")
@@ -128,7 +129,7 @@ def pack(
         from pyspark import TaskContext
 
         schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset", "loss_tokens")), ("ids", pa.binary())])
-        encode = encoder(tokenizer, kind).encode
+        encode = encoder(tokenizer, kind, most=CACHED).encode
         packer = Packer(capacity, max_segments, max_loss, window, min_cut, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
 

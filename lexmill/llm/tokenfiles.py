@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, importable, written
+from ..runtime import fresh_path, prepare, written
 from . import rans
 from .blobs import read_blobs, write_blobs
 from .tokens import encoder, slices
@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     ids a file. Null text: as empty, end_id alone. Repeated doc ids stay separate documents, next to each other, in no set order.
     An empty table writes a table without symbols and no file. Other columns are ignored.
     """
-    importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     small = vocab <= 65_536
     narrow = "<u2" if small else "<u4"
     width = int(narrow[2])
@@ -180,7 +180,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     The driver gathers two numbers a file (its ordinal and count of ids) and the table. A damaged
     block or a table that isn't the files' own raises.
     """
-    importable(spark)
+    prepare(spark)
     body = bytes(read_blobs(spark, f"{path}/table").collect()[0].content)
     crc = zlib.crc32(body)
     files = read_blobs(spark, f"{path}/files")

@@ -11,7 +11,6 @@ import gc
 import os
 import re
 from array import array
-from functools import lru_cache
 
 #: The characters that Unicode calls white space, but for U+001C to U+001F.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,7 +43,7 @@ class Encoder(dict):
     As a dict it maps the chunks it has met to their ids.
     """
 
-    def __init__(self, path: str, kind: str, narrow: bool = False):
+    def __init__(self, path: str, kind: str, narrow: bool = False, most: int = MAX_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,6 +51,7 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
         self.findall, self.lower, self.code = CHUNKS[kind].findall, kind == "word", "H" if narrow else "I"
+        self.most = most
 
     def __missing__(self, chunk: str) -> bytes:
         bare = chunk[1:] if chunk[0] == " " else chunk
@@ -71,7 +71,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > MAX_CACHED:
+        if len(self) > self.most:
             self.clear()
         findall, ids = self.findall, self.__getitem__
         # Nothing here can form a cycle, and the collector's rounds over so many new objects cost a seventh of the time.
@@ -84,9 +84,19 @@ class Encoder(dict):
                 gc.enable()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, kind: str, narrow: bool = False) -> Encoder:
-    return Encoder(path, kind, narrow)
+_KEPT: list = [None, None]
+
+
+def kept(key, make):
+    """make(), kept by the worker's process until another key is asked for: a process that goes on to other work holds one model or cache at a time."""
+    if _KEPT[0] != key:
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [key, make()]
+    return _KEPT[1]
+
+
+def encoder(path: str, kind: str, narrow: bool = False, most: int = MAX_CACHED) -> Encoder:
+    return kept(("encoder", path, kind, narrow, most), lambda: Encoder(path, kind, narrow, most))
 
 
 def slices(batch, rows: int = 512, text: str | None = None, most: int = 4_000_000):

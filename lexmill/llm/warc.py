@@ -17,7 +17,7 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, importable
+from ..runtime import fresh_path, prepare
 from .blobs import read_blobs, write_blobs
 from .tokens import slices
 
@@ -88,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     Null html is an empty payload, a null url has no target URI, a null page_id an empty record id; a
     group whose ids are all null is stored in full each. An empty table writes no file.
     """
-    importable(pages.sparkSession)
+    prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     trained = train(sample(F.col("payload"), F.col("page_id"), rows, dict_records, dict_longest), dict_size)
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
@@ -164,7 +164,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A response whose payload doesn't match its digest raises.
     """
-    importable(spark)
+    prepare(spark)
 
     def run(batches):
         import pyarrow as pa

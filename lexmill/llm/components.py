@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if ends.where("n > 1").isEmpty() and edges.join(ends, F.col("b") == F.col("end"), "left_semi").isEmpty():
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place reachable from each of n places by links a-b."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            return label

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, written
-from .components import components
+from .components import components, joined
 from .tokens import slices
 
 CELL = 2_000
@@ -50,28 +50,23 @@ def spherical_k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) ->
     return np.unique(centers, axis=0)
 
 
-def cells(x: np.ndarray, centers: np.ndarray, least: float) -> list[list[int]]:
-    """For each row its own cell, then the earlier cells in which a row of cosine least or more to it may lie."""
+def planes(centers: np.ndarray) -> np.ndarray:
+    """The distances between centroids."""
+    return np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T))
+
+
+def cells(x: np.ndarray, centers: np.ndarray, between: np.ndarray, least: float) -> list[list[int]]:
+    """For each row its own cell, then the earlier cells in which a row of cosine least or more to it may lie.
+
+    between: planes(centers). A row that is apart from x by no more than the cosine says can't cross a plane that x is further from.
+    """
     dots = x @ centers.T
     own = dots.argmax(axis=1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * least)) + 1e-9
-    between = np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T))
     visits = (dots[np.arange(len(x)), own][:, None] - dots <= apart * between[own]) & (np.arange(len(centers)) < own[:, None])
     return [[o, *np.flatnonzero(v).tolist()] for o, v in zip(own.tolist(), visits)]
 
 
-def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest place reachable from each of n places by links a-b."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def block_links(node, home, weight, half, x, least: float, one: bool):
     """Of one block, or of two (half 0 and 1; either may be empty): each linked node, the weight of those it is linked with, and a smaller node to hang on.
 
@@ -145,15 +140,18 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
     def assign(batches):
         import pyarrow as pa
 
+        apart: dict = {}
         for batch in batches:
-            for part in slices(batch, rows=2048):
+            for part in slices(batch, rows=512):
                 groups: dict = {}
                 for i, k in enumerate(zip(part.column("label").to_pylist(), part.column("dim").to_pylist())):
                     groups.setdefault(k, []).append(i)
                 keys, to = part.column("key").to_pylist(), [None] * part.num_rows
                 for k, at in groups.items():
                     own = known.value.get(k)
-                    lists = [[0]] * len(at) if own is None else cells(units([keys[i] for i in at], k[1]), own, least)
+                    if own is not None and k not in apart:
+                        apart[k] = planes(own)  # MAX_CELLS squared numbers over all labels at most
+                    lists = [[0]] * len(at) if own is None else cells(units([keys[i] for i in at], k[1]), own, apart[k], least)
                     for i, c in zip(at, lists):
                         to[i] = c
                 take = pa.array([i for i, c in enumerate(to) for _ in c], pa.int64())

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, written
-from .components import components
-from .embeddings import joined
+from .components import components, joined
 from .tokens import slices
 
 K = 64

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .text import column, strip
 
+#: Tags whose content goes, and the kinds of links that go whole.
 DROPPED_TAGS = ("ref", "references", "table", "gallery")
 DROPPED_LINKS = ("file", "image", "category")
 OPEN = re.compile(r"\{\{|\{\||\[\[|\}\}|\|\}|\]\]")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import wikitext
 from ..functions.text import preprocess, strip
 
+#: What a title holds that names no article.
 SKIPPED_TITLES = ("disambiguation", "list of", "index of")
 TEXT = T.StructType([T.StructField("_VALUE", T.StringType())])
 REVISION = T.StructType([T.StructField("text", TEXT)])

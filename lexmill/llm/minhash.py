@@ -225,13 +225,14 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 def _listed(nodes: DataFrame, short: int) -> DataFrame:
     """v, node, hot (0 or 1): the nodes under each value of the rarer half of their sketches, for values with two nodes at least."""
     rows = nodes.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    spread = rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    # Counts are written before they are joined: Spark can split a frequent value's rows only in a join of plain shuffles.
+    spread = written(rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "spread")
     shared = rows.join(spread, "v")
     by_node = Window.partitionBy("node")
     # Values that no other node has come first and list nothing.
     ranked = shared.select("v", "node", "size", F.row_number().over(by_node.orderBy("n", "v")).alias("rank"), F.count("*").over(by_node).alias("shared"))
-    rare = ranked.where("rank + size - shared <= ceil(size / 2)").select("v", "node")
-    held = rare.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    rare = written(ranked.where("rank + size - shared <= ceil(size / 2)").select("v", "node"), "rare")
+    held = written(rare.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "held")
     return rare.join(held, "v").select("v", "node", (F.col("n") > short).cast("int").alias("hot"))
 
 
@@ -292,7 +293,7 @@ def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     # The nodes under most long lists are the likeliest centres.
     central = hot.groupBy("node").agg(F.count("*").alias("lists"))
     ranked = hot.join(central, "node")
-    leads = ranked.groupBy("v").agg(F.min(F.struct((-F.col("lists")).alias("l"), "node")).alias("top")).select("v", F.col("top.node").alias("leader"))
+    leads = written(ranked.groupBy("v").agg(F.min(F.struct((-F.col("lists")).alias("l"), "node")).alias("top")).select("v", F.col("top.node").alias("leader")), "leads")
     led = written(hot.join(leads, "v").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "led")
     seen = written(confirmed(led.where("a <> b"), sets).select("a", "b", similar(percent).alias("linked")), "leaders")
     out = [seen.where("linked").select("a", "b")]
@@ -304,6 +305,7 @@ def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     members = written(members.select("group", F.col("doc_id").alias("node"), "shingles", F.coalesce("waits", F.lit(False)).alias("waits")), "members")
     size = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.octet_length("shingles")).otherwise(0)) / BLOCK_BYTES)).cast("int")
     blocks = members.groupBy("group").agg(size(F.col("waits")).alias("ask_blocks"), size(F.lit(True)).alias("all_blocks")).where("ask_blocks > 0")
+    blocks = written(blocks, "blocks")
     dealt = members.join(blocks, "group").withColumn("place", F.xxhash64("node"))
     own = lambda n: F.pmod("place", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

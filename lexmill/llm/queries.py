@@ -71,7 +71,7 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,7 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     learn = rows.where("rule is not null").select("items", F.col("by_rule").alias("verdict"))
     if labels is not None:
         learn = learn.unionByName(split(labels.select("url", "verdict")).select("items", "verdict"))
-    mined = match(rows.where("rule is null"), mine(learn, min_support, min_confidence))
+    # Written before it is joined: Spark can split a frequent token set's rows only in a join of plain shuffles.
+    mined = written(match(rows.where("rule is null"), mine(learn, min_support, min_confidence)), "mined")
     out = rows.join(mined, "items", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "mined", F.lit(default)).alias("verdict"))

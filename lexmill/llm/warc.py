@@ -17,7 +17,7 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, prepare
+from ..runtime import fresh_path, prepare, written
 from .blobs import read_blobs, write_blobs
 from .tokens import slices
 
@@ -92,8 +92,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     trained = train(sample(F.col("payload"), F.col("page_id"), rows, dict_records, dict_longest), dict_size)
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    # One row for each payload that occurs more than once; its join deals the rows, hot payloads are split by the join.
+    # One row for each payload that occurs more than once, written before it is joined: Spark can split a
+    # frequent payload's rows only in a join of plain shuffles.
     groups = rows.where(F.col("size") >= min_revisit).select("digest", "size", "page_id").groupBy("digest", "size").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").select(F.col("digest").alias("g_digest"), F.col("size").alias("g_size"), "refers")
+    groups = written(groups, "payload-groups")
     marked = rows.join(groups, (rows.digest == groups.g_digest) & (rows["size"] == groups.g_size), "left")
     revisit = F.col("refers").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers"))
     marked = marked.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", "refers", revisit.alias("revisit"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import json
 import random
 import re
 
@@ -61,7 +62,8 @@ def test_rules_match_as_brute_force(spark):
     sets = [sorted(rng.sample("abcdefgh", rng.randrange(0, 6))) for _ in range(60)]
     rules = [(f"r{k}", sorted(rng.sample("abcdefgh", rng.randrange(1, 4))), rng.choice(["allow", "block"]), rng.choice([0.8, 0.9, 1.0]), rng.random()) for k in range(15)]
     frame = spark.createDataFrame([(i, t, len(t), v, c, s) for i, t, v, c, s in rules], "rule_id string, items array<string>, size int, verdict string, confidence double, support double")
-    got = {tuple(r.items): r.mined for r in urlfilter.match(spark.createDataFrame([(s,) for s in sets], "items array<string>"), frame).select("items", "mined").toLocalIterator() for r in [type("R", (), {"items": r[0], "mined": r[1]})]}
+    rows = urlfilter.match(spark.createDataFrame([(s,) for s in sets], "items array<string>"), frame).collect()
+    got = {tuple(r["items"]): r["mined"] for r in rows}
     for s in sets:
         fits = [r for r in rules if set(r[1]) <= set(s)]
         assert got.get(tuple(s)) == (max(fits, key=lambda r: (r[3], r[4], len(r[1]), r[0]))[2] if fits else None)
@@ -120,7 +122,7 @@ def test_inference_by_parts(spark):
     pages = [PAGE.format(k=k, extra="<ul><li>z</ul>" * (k % 3)) for k in range(30)]
     df = spark.createDataFrame([(k, "http://h.test/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     one, many = (htmlwrap.infer(df.coalesce(1)).first(), htmlwrap.infer(df.repartition(6)).first())
-    assert one.pages == many.pages == 30 and htmlwrap.has_main(__import__("json").loads(many.wrapper))
+    assert one.pages == many.pages == 30 and htmlwrap.has_main(json.loads(many.wrapper))
     assert one.fixed == many.fixed
 
 

@@ -158,8 +158,9 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
                 flat = part.take(take)
                 yield pa.RecordBatch.from_arrays([*flat.columns, pa.array([x for c in to for x in c], pa.int32()), pa.array([k == 0 for c in to for k in range(len(c))], pa.bool_())], names=[*flat.schema.names, "cell", "home"])
 
-    placed = written(nodes.mapInArrow(assign, nodes.schema.simpleString()[7:-1].replace(":", " ") + ", cell int, home boolean"), "cells")
-    counts = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = written(nodes.mapInArrow(assign, "label string, key binary, node long, weight long, dim int, cell int, home boolean"), "cells")
+    # Written before they are joined: Spark can split a large cell's rows only in a join of plain shuffles.
+    counts = written(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cell-counts")
     dealt = placed.join(counts, ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "weight", "home", "key")

@@ -86,7 +86,7 @@ def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0,
             start += len(ids) // 4
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 24) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 23) -> None:
     """Write the ids of every text, end_id after each, to path/table and path/files in ascending doc_id order (null first).
 
     vocab: no id is as large (a larger one raises); up to 65,536 the ids wait in 16 bits each. file_tokens: about so many
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
                 seen = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(own[seen], type=pa.int64())], names=["token", "n"])
 
-    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids", compression="snappy")
+    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids")
     # One row for each symbol of the vocabulary at most.
     counts = {r.token: r.n for r in ids.where("counts is not null").select("counts").mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     ids = ids.where("ids is not null").select("doc_id", "ids")

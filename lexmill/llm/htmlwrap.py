@@ -6,9 +6,11 @@ that repeat fold into a repeated group, what only some pages have becomes option
 slot. Alignment merges, so partitions build wrappers of their own pages, which then merge by host; no
 task sees all pages of a host.
 
-The wrapper says where a host's articles are: in the elements made for it if it has any (article, main,
-or named so), else in every slot whose text changes from page to page. In there, elements for menus, headers,
-footers, sidebars, notices, adverts, forms and comments are left out by their tag, role or name.
+Then each page is aligned with its host's wrapper, which gives every block a slot, and each slot's texts are
+compared over the host's pages. The article is in what changes from page to page: in the elements made for it
+if the page has any (article, main, or named so), of which those that never change are passed over, else in every
+slot that changes. In there, elements for menus, headers, footers, sidebars, notices, adverts, forms and comments
+are left out by their tag, role or name.
 """
 
 from __future__ import annotations
@@ -234,68 +236,103 @@ def has_main(node: list) -> bool:
     return not left_out(node[0] or "html", False) and (is_main(node[0]) or any(has_main(k) for k in node[1]))
 
 
-def slots(tree: list):
-    """(path, text, under a main element, left out) of each block of a page."""
-    todo = [(tree, "", False, False)]
+def places(kids: list, known: list) -> list:
+    """(place, node) of the wrapper's children known for each of a page's children: runs of one label, then groups, then alignment as in align().
+
+    What doesn't align takes the first place of its label; (None, None) where the wrapper has no such label.
+    """
+    runs: list = []
+    for i, k in enumerate(kids):
+        if runs and runs[-1][0] == k[0]:
+            runs[-1][1].append(i)
+        else:
+            runs.append([k[0], [i]])
+    if groups := [k for k in known if k[0] == "()"]:
+        runs = grouped(runs, groups)
+    items: list = []
+    for run in runs:
+        if items and items[-1][0] == key(run):
+            items[-1][1].append(run)
+        else:
+            items.append((key(run), [run]))
+    x, y = [k for k, _ in items], [key(k) for k in known]
+    if x == y:
+        to = dict(enumerate(range(len(y))))
+    else:
+        to = {m.a + n: m.b + n for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for n in range(m.size)}
+    first: dict = {}
+    if len(to) < len(x):
+        for j, node in enumerate(known):
+            for place, own in [(f"{j}.{r}", n) for r, n in enumerate(node[1])] if node[0] == "()" else [(f"{j}", node)]:
+                first.setdefault(own[0], (place, own))
+    out: list = [(None, None)] * len(kids)
+    for i, (_, same) in enumerate(items):
+        j = to.get(i)
+        for run in same:
+            for r, (name, members) in enumerate(part[:2] for part in (run[1] if run[0] == "()" else [run])):
+                at = first.get(name, (None, None)) if j is None else (f"{j}.{r}", known[j][1][r]) if run[0] == "()" else (f"{j}", known[j])
+                for k in members:
+                    out[k] = at
+    return out
+
+
+def slots(tree: list, whole: list):
+    """(slot, text, outermost main element or None) of each block of a page that isn't left out, in page order; slot and element are places in the wrapper.
+
+    Blocks that the wrapper doesn't have get a slot by their labels, below the last element that it has.
+    """
+    todo: list = [(tree, whole, "", None)]
     while todo:
-        (name, kids), path, main, out = todo.pop()
+        (name, kids), node, place, main = todo.pop()
         if name == "#":
-            yield path, kids, main, out
+            yield place, kids, main
             continue
-        out = out or left_out(name or "html", main)
-        main = main or is_main(name)
-        todo += [(k, f"{path}/{name}" if name else path, main, out) for k in reversed(kids)]
+        if left_out(name or "html", main is not None):
+            continue
+        if main is None and is_main(name):
+            main = place
+        found = places(kids, node[1] if node else [])
+        todo += [(k, n, f"{place}?{k[0]}" if at is None else f"{place}/{at}", main) for k, (at, n) in zip(reversed(kids), reversed(found))]
 
 
-def main_text(page: str | None, rules: dict | None) -> str:
-    """rules: of the page's host, main (whether its articles have elements of their own) and fixed (paths whose text never changes)."""
-    rules = rules or {"main": False, "fixed": []}
-    fixed = set(rules["fixed"])
-    blocks = [(text, main) for path, text, main, out in slots(parse(page)) if not out and (main or path not in fixed)]
-    # A page without the elements that its host's articles have is taken like a host without them.
-    inside = rules["main"] and any(main for _, main in blocks)
-    return "\n".join(text for text, main in blocks if main or not inside)
+def parts(page: str | None, whole: list) -> list[tuple[str, str, bool]]:
+    """(part, text, main) of a page's blocks: a main element of the wrapper is one part, outside them each slot is one."""
+    return [(slot if main is None else f"{main}>", text, main is not None) for slot, text, main in slots(parse(page), whole)]
 
 
-PARTIAL = "host string, wrapper string, path string, low string, high string, pages long"
+def main_text(page: str | None, whole: list, fixed) -> str:
+    """whole: the wrapper of the page's host; fixed: its parts whose text never changes.
 
+    The text is in the parts that change: in main elements if the page has any, which are taken whole, else in single slots.
+    If all its main elements are the same on all pages they are the article still.
+    """
+    blocks = parts(page, whole)
+    mains = [b for b in blocks if b[2]]
+    kept = [b for b in mains or blocks if b[0] not in fixed]
+    return "\n".join(text for _, text, _ in kept or mains)
 
-def _learn(batches):
-    """Rows of wrappers (host, wrapper, pages) and of slots outside main elements (host, path, least and greatest text's digest, pages)."""
-    import hashlib
 
+def _learn(batches):
+    """Rows of wrappers (host, wrapper, pages)."""
     import pyarrow as pa
 
-    names = ["host", "wrapper", "path", "low", "high", "pages"]
-    kinds = [pa.string()] * 5 + [pa.int64()]
     wrappers: dict[str, list] = {}
-    texts: dict[tuple[str, str], list] = {}
 
     def out():
-        rows = [(h, json.dumps(w), None, None, None, n) for h, (w, n) in wrappers.items()] + [(h, None, p, *v) for (h, p), v in texts.items()]
+        rows = [(h, json.dumps(w), n) for h, (w, n) in wrappers.items()]
         wrappers.clear()
-        texts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], names=["host", "wrapper", "pages"])
 
     for batch in batches:
         for part in slices(batch, rows=256, text="html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                tree = parse(page)
-                own = wrapper(tree)
+                own = wrapper(parse(page))
                 if host in wrappers:
                     known = wrappers[host]
                     known[:] = [both(known[0], own), known[1] + 1]
                 else:
                     wrappers[host] = [own, 1]
-                seen: dict[str, list[str]] = {}
-                for path, text, main, dropped in slots(tree):
-                    if not main and not dropped:
-                        seen.setdefault(path, []).append(text)
-                for path, blocks in seen.items():
-                    digest = hashlib.md5("\n".join(blocks).encode("utf-8", "replace")).hexdigest()
-                    low, high, n = texts.get((host, path), (digest, digest, 0))
-                    texts[host, path] = [min(low, digest), max(high, digest), n + 1]
-            if len(wrappers) + len(texts) > 5_000:
+            if len(wrappers) > 5_000:
                 yield out()
     if wrappers:
         yield out()
@@ -311,29 +348,82 @@ def _merge(pdf):
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(whole)], "pages": [pages]})
 
 
+BROADCAST_BYTES = 4_000_000
+
+
+def with_rules(rows: DataFrame, wrappers: DataFrame):
+    """rows with columns wrapper and fixed, and a function that gives the wrapper and fixed parts of a batch's rows.
+
+    The wrappers go to the workers at once while they take BROADCAST_BYTES at most; beyond that rows are joined with them by host.
+    """
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.coalesce(F.octet_length(F.array_join("fixed", " ")), F.lit(0)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        known = rows.sparkSession.sparkContext.broadcast({r.host: (r.wrapper, r.fixed) for r in wrappers.collect()})
+        rows = rows.withColumns({"wrapper": F.lit(None).cast("string"), "fixed": F.lit(None).cast("array<string>")})
+    else:
+        known = rows.sparkSession.sparkContext.broadcast(None)
+        rows = rows.join(wrappers.select(F.col("host").alias("own"), "wrapper", "fixed"), F.col("host") == F.col("own"), "left").drop("own")
+    cached: dict[str, tuple] = {}
+
+    def rules(part):
+        for host, own, fixed in zip(*(part.column(c).to_pylist() for c in ("host", "wrapper", "fixed"))):
+            if host not in cached:
+                if len(cached) > 1000:
+                    cached.clear()
+                if known.value is not None:
+                    own, fixed = known.value[host]
+                cached[host] = json.loads(own), frozenset(fixed or ())
+            yield cached[host]
+
+    return rows, rules
+
+
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON), pages, fixed (paths of slots outside main elements whose text is the same on every page, two at least), one row a host.
+    """host, wrapper (JSON), pages, fixed (main elements and slots outside them whose text is the same on every page that has them, two at least), one row a host.
 
     Pages of null url or url without host are the host "". Null and empty html are pages without elements.
     """
     prepare(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(_learn, PARTIAL)
-    rows = written(rows, "partial-wrappers")
-    own = rows.where("wrapper is not null").groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
+    rows = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
     shape = "host string, wrapper string, pages long"
+    own = written(rows.mapInArrow(_learn, shape), "partial-wrappers").groupBy("host", "wrapper").agg(F.sum("pages").alias("pages"))
     # First shares of a host's wrappers, then their few results.
     first = own.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(16)).alias("share")).applyInPandas(_merge, shape)
-    wrappers = first.groupBy("host").applyInPandas(_merge, shape)
-    texts = rows.where("path is not null").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("n"))
-    fixed = texts.where("n > 1 and low = high").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("fixed"))
-    return wrappers.join(fixed, "host", "left")
+    wrappers = written(first.groupBy("host").applyInPandas(_merge, shape), "merged-wrappers")
+    rows, rules = with_rules(rows, wrappers.withColumn("fixed", F.lit(None).cast("array<string>")))
 
+    def run(batches):
+        """Parts of pages (host, part, least and greatest text's digest, pages)."""
+        import hashlib
 
-def rules_of(wrapper_json: str, fixed) -> dict:
-    return {"main": has_main(json.loads(wrapper_json)), "fixed": list(fixed) if fixed is not None else []}
+        import pyarrow as pa
 
+        texts: dict[tuple[str, str], list] = {}
 
-BROADCAST_BYTES = 4_000_000
+        def out():
+            cells = [(h, p, *v) for (h, p), v in texts.items()]
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*cells), [pa.string()] * 4 + [pa.int64()])], names=["host", "part", "low", "high", "pages"])
+
+        for batch in batches:
+            for part in slices(batch, rows=256, text="html"):
+                for host, page, (whole, _) in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), rules(part)):
+                    seen: dict[str, list[str]] = {}
+                    for name, text, _ in parts(page, whole):
+                        seen.setdefault(name, []).append(text)
+                    for name, blocks in seen.items():
+                        digest = hashlib.md5("\n".join(blocks).encode("utf-8", "replace")).hexdigest()
+                        low, high, n = texts.get((host, name), (digest, digest, 0))
+                        texts[host, name] = [min(low, digest), max(high, digest), n + 1]
+                if len(texts) > 5_000:
+                    yield out()
+        if texts:
+            yield out()
+
+    texts = rows.mapInArrow(run, "host string, part string, low string, high string, pages long")
+    texts = texts.groupBy("host", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("n"))
+    fixed = texts.where("n > 1 and low = high").groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("fixed"))
+    return wrappers.join(fixed, "host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -342,39 +432,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text: the article's blocks in page order, one line each; white space inside a block is one space.
     Null or empty html and pages without an article have the text "". Broken markup is read on, whole texts
     of any length are kept. Repeated rows are extracted alike; an empty table gives no rows; other columns are ignored.
-
-    The wrappers' rules go to the workers at once while they take BROADCAST_BYTES at most; beyond that pages are joined with them by host.
     """
-    spark = pages.sparkSession
     wrappers = written(infer(pages, url_col, html_col), "wrappers")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url")))
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.coalesce(F.octet_length(F.array_join("fixed", " ")), F.lit(0)))).first()[0] or 0
+    rows, rules = with_rules(rows.withColumn("host", host_of(F.col("url"))), wrappers)
     kind = pages.schema[id_col].dataType.simpleString()
-    if size <= BROADCAST_BYTES:
-        known = spark.sparkContext.broadcast({r.host: rules_of(r.wrapper, r.fixed) for r in wrappers.collect()})
-        rows = rows.withColumns({"wrapper": F.lit(None).cast("string"), "fixed": F.lit(None).cast("array<string>")})
-    else:
-        known = spark.sparkContext.broadcast(None)
-        rows = rows.join(wrappers.select(F.col("host").alias("own"), "wrapper", "fixed"), F.col("host") == F.col("own"), "left").drop("own")
 
     def run(batches):
         import pyarrow as pa
 
-        cached: dict[str, dict] = {}
         for batch in batches:
             for part in slices(batch, rows=256, text="html"):
-                texts = []
-                for host, page, own, fixed in zip(*(part.column(c).to_pylist() for c in ("host", "html", "wrapper", "fixed"))):
-                    if known.value is not None:
-                        rules = known.value.get(host)
-                    else:
-                        if len(cached) > 1000:
-                            cached.clear()
-                        if host not in cached:
-                            cached[host] = rules_of(own, fixed)
-                        rules = cached[host]
-                    texts.append(main_text(page, rules))
+                texts = [main_text(page, whole, fixed) for page, (whole, fixed) in zip(part.column("html").to_pylist(), rules(part))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -101,6 +101,14 @@ def test_hosts_without_articles(spark):
     assert texts(spark, pages) == [f"Story {k}\nMore {k}" for k in range(4)]
 
 
+def test_slots_are_aligned(spark):
+    """One path, two slots: only the wrapper tells the line that stays from the story; a main element that never changes isn't the article."""
+    pages = [f"<body><p>Always the same</p><h2>Title {k}</h2><p>Story {k}</p></body>" for k in range(3)]
+    assert texts(spark, pages) == [f"Title {k}\nStory {k}" for k in range(3)]
+    pages = [f"<body><main><p>Our house</p></main><div class=content><h1>Title {k}</h1><p>By us</p></div></body>" for k in range(3)]
+    assert texts(spark, pages) == [f"Title {k}\nBy us" for k in range(3)]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     long = "<article>" + "".join(f"<p>w{k} " + "x" * 50 for k in range(20_000)) + "</article>"

@@ -379,7 +379,9 @@ def with_rules(rows: DataFrame, wrappers: DataFrame):
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper (JSON), pages, fixed (main elements and slots outside them whose text is the same on every page that has them, two at least), one row a host.
+    """host, wrapper (JSON), pages, fixed (main elements and slots outside them whose text is the same on every page that has them, two different pages at least), one row a host.
+
+    Pages are different if any text in their slots is; copies, also under other URLs or in other frames, count as one page.
 
     Pages of null url or url without host are the host "". Null and empty html are pages without elements.
     """
@@ -393,17 +395,20 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     rows, rules = with_rules(rows, wrappers.withColumn("fixed", F.lit(None).cast("array<string>")))
 
     def run(batches):
-        """Parts of pages (host, part, least and greatest text's digest, pages)."""
+        """Parts of pages (host, part, least and greatest digest of its text, the same of its pages' whole texts)."""
         import hashlib
 
         import pyarrow as pa
 
         texts: dict[tuple[str, str], list] = {}
 
+        def digest(blocks):
+            return hashlib.md5("\n".join(blocks).encode("utf-8", "replace")).hexdigest()
+
         def out():
             cells = [(h, p, *v) for (h, p), v in texts.items()]
             texts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*cells), [pa.string()] * 4 + [pa.int64()])], names=["host", "part", "low", "high", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*cells), [pa.string()] * 6)], names=["host", "part", "low", "high", "first", "last"])
 
         for batch in batches:
             for part in slices(batch, rows=256, text="html"):
@@ -411,18 +416,19 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
                     seen: dict[str, list[str]] = {}
                     for name, text, _ in parts(page, whole):
                         seen.setdefault(name, []).append(text)
+                    own = digest([text for blocks in seen.values() for text in blocks])
                     for name, blocks in seen.items():
-                        digest = hashlib.md5("\n".join(blocks).encode("utf-8", "replace")).hexdigest()
-                        low, high, n = texts.get((host, name), (digest, digest, 0))
-                        texts[host, name] = [min(low, digest), max(high, digest), n + 1]
+                        text = digest(blocks)
+                        low, high, first, last = texts.get((host, name), (text, text, own, own))
+                        texts[host, name] = [min(low, text), max(high, text), min(first, own), max(last, own)]
                 if len(texts) > 5_000:
                     yield out()
         if texts:
             yield out()
 
-    texts = rows.mapInArrow(run, "host string, part string, low string, high string, pages long")
-    texts = texts.groupBy("host", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("n"))
-    fixed = texts.where("n > 1 and low = high").groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("fixed"))
+    texts = rows.mapInArrow(run, "host string, part string, low string, high string, first string, last string")
+    texts = texts.groupBy("host", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"))
+    fixed = texts.where("first < last and low = high").groupBy("host").agg(F.sort_array(F.collect_list("part")).alias("fixed"))
     return wrappers.join(fixed, "host", "left")
 
 

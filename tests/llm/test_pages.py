@@ -109,6 +109,14 @@ def test_slots_are_aligned(spark):
     assert texts(spark, pages) == [f"Title {k}\nBy us" for k in range(3)]
 
 
+def test_copies_keep_their_text(spark):
+    copy = "<body><div class=bq><p>Once upon</p><p>a time</p></div><footer>{}</footer></body>"
+    assert texts(spark, [copy.format(1)] * 3) == ["Once upon\na time"] * 3
+    assert texts(spark, [copy.format(k) for k in range(3)]) == ["Once upon\na time"] * 3
+    other = [f"<body><div id=top>Always the same</div><p>Story {k}</p></body>" for k in range(2)]
+    assert texts(spark, [copy.format(1)] * 2 + other) == ["Once upon\na time"] * 2 + ["Story 0", "Story 1"]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     long = "<article>" + "".join(f"<p>w{k} " + "x" * 50 for k in range(20_000)) + "</article>"

@@ -9,6 +9,7 @@ most gets a tree of one cut on either side. Scoring is a lookup and an addition
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
@@ -42,8 +43,9 @@ def features(text: str | None) -> list[float]:
     n = len(words)
     # How many words are new, in the mean of pieces of 500: it doesn't fall with the length.
     pieces = [words[i : i + 500] for i in range(0, n, 500)]
-    distinct = sum(len(set(p)) for p in pieces) / n
-    top = max(max(map(p.count, set(p[:20]))) for p in pieces) / min(n, 500)
+    counted = [Counter(p) for p in pieces]
+    distinct = sum(map(len, counted)) / n
+    top = max(max(c.values()) for c in counted) / min(n, 500)
     lines = text.split("\n")
     return [
         float(np.log1p(n)), solid / n, share["letters"], share["capitals"], share["digits"], share["stops"], share["marks"], share["bars"], share["exclaims"], share["other_signs"],

@@ -27,6 +27,15 @@ def test_quality_held_out(spark):
     assert len(own) > 40 and sum(a == b for a, b in own) / len(own) > 0.95
 
 
+def test_top_word_counts_all_words():
+    rng = random.Random(6)
+    top = quality.FEATURES.index("top_word")
+    assert quality.features(" ".join([*(f"intro{k}" for k in range(20)), *["buy"] * 60]))[top] == 60 / 80
+    for n in (1, 19, 80, 500, 501, 1300):
+        words = [f"w{int(rng.expovariate(0.2))}" for _ in range(n)]
+        assert quality.features(" ".join(words))[top] == max(words[i : i + 500].count(w) for i in range(0, n, 500) for w in words[i : i + 500]) / min(n, 500)
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 4))

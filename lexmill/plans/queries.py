@@ -410,6 +410,12 @@ def preprocess_text(spark, sf_dir):
     return rows.select("id", X.preprocess("text").alias("clean"))
 
 
+@query()
+def preprocess_documents(spark, sf_dir):
+    # All rows, also those with character references, which DuckDB can't decode and preprocess_text leaves out.
+    return both(spark, sf_dir).select("id", X.preprocess("text").alias("clean"))
+
+
 @query()
 def preprocess_full(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.preprocess_wiki("html").alias("clean"))

@@ -193,6 +193,22 @@ def test_cleaning(spark):
     assert raw == "see ok"
 
 
+def test_preprocess_covers_all_documents(spark, tmp_path):
+    import html
+    import unicodedata
+
+    texts = ["a &amp;amp; b &nbsp;", "&lt;p&gt;\n\n\n\n&#10;x", "e&#x301; &bogus; &", "plain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.QUERIES["preprocess_documents"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) + len(Q.MARKED)
+    for r in rows:
+        t = texts[r.id - 1000] if r.id >= 1000 else dict(Q.MARKED)[r.id]
+        if t:
+            t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", unicodedata.normalize("NFC", html.unescape(t)))
+            t = re.sub("\n{3,}", "\n\n", "\n".join(re.sub(r"[ \t]+", " ", x).strip() for x in t.split("\n"))).strip()
+        assert r.clean == t
+
+
 def test_wikitext(spark):
     cases = {
         "a {{t|{{u}}|x}} b": "a b", "x<ref name='q'>c [[d]]</ref>y<ref name=z />z": "xyz", "{| class=w\n| a {{b}}\n|}t": "t", "[[A|b]] [[C]] [[File:x.png|thumb|[[Y]] z]]w": "b C w", "'''b''' ''i''": "b i",

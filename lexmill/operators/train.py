@@ -26,6 +26,7 @@ from .vocab import FIRST_MERGE, Vocabulary
 
 KERNEL_WORDS = 5_000_000
 MAX_SIZE = 300_001
+COUNTINGS = ("compat", "exact")
 
 Pair = tuple[int, int]
 
@@ -38,7 +39,7 @@ class Learner:
     """
 
     def __init__(self, words: Iterable[tuple[bytes, int]], counting: str = "compat"):
-        if counting not in ("compat", "exact"):
+        if counting not in COUNTINGS:
             raise ValueError("counting is compat or exact")
         self.exact = counting == "exact"
         self.tokens: list[str] = []
@@ -116,8 +117,8 @@ def learn(words: Iterable[tuple[bytes, int]], num_merges: int, min_frequency: in
     return out
 
 
-def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2) -> list[tuple[Pair, int]]:
-    """The compat rule as relational steps over words (word_id, freq, toks); the driver holds one pair a step.
+def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2, counting: str = "compat") -> list[tuple[Pair, int]]:
+    """Either rule as relational steps over words (word_id, freq, toks); the driver holds one pair a step.
 
     Each step's state is written to the shared folder, so plans don't grow and lost executors cost one step.
     """
@@ -140,10 +141,15 @@ def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2)
         state = written(state.select("word_id", "freq", "toks", "now", F.col("w").isNotNull().alias("visited")), "visited")
         seen = state.where("visited")
         sides = (F.col("p.l") == new).cast("long") + (F.col("p.r") == new).cast("long")
+        times = sides if counting == "compat" else F.lit(1)
         come = seen.select("word_id", "freq", F.explode(pairs("now")).alias("p")).where(sides > 0)
-        gone = seen.select("freq", F.explode(pairs("toks")).alias("p")).groupBy(F.col("p.l").alias("gl"), F.col("p.r").alias("gr")).agg(F.sum("freq").alias("less"))
+        lost = seen.select("freq", F.explode(pairs("toks")).alias("p"))
+        if counting == "exact":
+            # Pairs that a merge left as they were count again.
+            lost = lost.unionByName(seen.select((-F.col("freq")).alias("freq"), F.explode(pairs("now")).alias("p")).where(sides == 0))
+        gone = lost.groupBy(F.col("p.l").alias("gl"), F.col("p.r").alias("gr")).agg(F.sum("freq").alias("less"))
         kept = counts.where(~chosen).join(gone, (F.col("l") == F.col("gl")) & (F.col("r") == F.col("gr")), "left").select("l", "r", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
-        grown = come.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum(F.col("freq") * sides).alias("n"))
+        grown = come.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum(F.col("freq") * times).alias("n"))
         counts = written(kept.unionByName(grown), "pairs")
         posts = written(posts.where(~chosen).unionByName(come.select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "word_id").distinct()), "postings")
         words = state.select("word_id", "freq", F.col("now").alias("toks"))
@@ -160,12 +166,12 @@ def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, te
         raise ValueError("min_frequency must be positive")
     if vocab_size > MAX_SIZE:
         raise ValueError(f"vocab_size may not pass {MAX_SIZE}")
+    if counting not in COUNTINGS:
+        raise ValueError("counting is compat or exact")
     counts = written(word_counts(docs, text_col), "word-counts")
     merges = vocab_size - len(Vocabulary().token_bytes)
     if counts.count() <= kernel_words:
         table = counts.toArrow()
         words = zip((w.encode() for w in table["pre_token"].to_pylist()), table["freq"].to_pylist())
         return Vocabulary.of_merges(learn(words, merges, min_frequency, counting))
-    if counting != "compat":
-        raise ValueError("beyond kernel_words only counting='compat' is there")
-    return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency))
+    return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting))

@@ -84,6 +84,13 @@ def test_exact_counting_against_recounting(words):
     assert train.learn(words.items(), 12, 2, "exact") == textbook(words, 12, 2)
 
 
+def test_exact_counting_beyond_the_kernel(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(40)] + ["aaaa aaa abab", "hello"] * 3
+    words = {r.pre_token.encode(): r.freq for r in P.word_counts(corpus(spark, texts)).collect()}
+    assert rules(train.train(corpus(spark, texts), 266, counting="exact", kernel_words=0)) == [(*p, n) for p, n in textbook(words, 10, 2)]
+
+
 def test_training_ignores_order_and_partitions(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["low", "lower", "newest", "widest", "aaa", "aaaa"]) for _ in range(9)) for _ in range(60)]

@@ -5,9 +5,9 @@ with equal sets of shingles are one node. Inverted lists of the retained values
 sketch of a pair's union estimates its similarity, and full sets confirm it.
 
 What keeps it whole and linear:
-* A node is listed only under the rarer half of its sketch. Two sketches that share more than half of
-  their values meet in one of these at least, and sketches of sets with a similarity of 0.75 fail to do so
-  about once in 100,000 pairs at k = 64. So a passage that many documents share makes no list.
+* A node is listed only under the rarer three quarters of its sketch. Two sketches that share more than a quarter
+  of their values meet in one of these at least, and sketches of sets with a similarity of 0.75 fail to do so
+  less than once in 10^16 pairs at k = 64. So a passage that is a small part of many documents makes no list.
 * Lists of up to SHORT nodes give all their pairs. Longer ones come from large groups of near copies: each
   compares its nodes with one leader. Nodes linked with the leaders of all their long lists hang together
   through them. The others are compared with all nodes that long lists connect them with, block by block;
@@ -33,7 +33,7 @@ BLOCK = 512
 BLOCK_BYTES = 16 << 20
 WORDS = 5
 #: How far the estimate of a pair that is similar enough may lie below the threshold, in standard deviations.
-SIGMAS = 5.0
+SIGMAS = 9.0
 U = np.uint64
 BASE, MIX = U(0x9E3779B97F4A7C15), (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -223,7 +223,7 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
 
 def _listed(nodes: DataFrame, short: int) -> DataFrame:
-    """v, node, hot (0 or 1): the nodes under each value of the rarer half of their sketches, for values with two nodes at least."""
+    """v, node, hot (0 or 1): the nodes under each value of the rarer three quarters of their sketches, for values with two nodes at least."""
     rows = nodes.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     # Counts are written before they are joined: Spark can split a frequent value's rows only in a join of plain shuffles.
     spread = written(rows.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "spread")
@@ -231,7 +231,7 @@ def _listed(nodes: DataFrame, short: int) -> DataFrame:
     by_node = Window.partitionBy("node")
     # Values that no other node has come first and list nothing.
     ranked = shared.select("v", "node", "size", F.row_number().over(by_node.orderBy("n", "v")).alias("rank"), F.count("*").over(by_node).alias("shared"))
-    rare = written(ranked.where("rank + size - shared <= ceil(size / 2)").select("v", "node"), "rare")
+    rare = written(ranked.where("rank + size - shared <= ceil(3 * size / 4)").select("v", "node"), "rare")
     held = written(rare.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "held")
     return rare.join(held, "v").select("v", "node", (F.col("n") > short).cast("int").alias("hot"))
 

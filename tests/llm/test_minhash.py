@@ -98,3 +98,19 @@ def test_components(spark):
         want[n] = min(seen)
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+
+
+def test_borderline_pairs_with_few_shared_values(spark):
+    """A document at 0.75 of a longer one whose own shingles have small hashes, so that the sketches share less than half."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    words = [word() for _ in range(124)]
+    short = " ".join(words)
+    for _ in range(40):
+        tries = [word() for _ in range(8)]
+        own = minhash.shingle_sets([" ".join([*words[-4:], t]) for t in tries])
+        words.append(min(zip(own, tries), key=lambda x: x[0][0])[1])
+    a, b = minhash.shingle_sets([short, " ".join(words)])
+    assert 100 * minhash.common(a, b) >= 75 * len(b) and 16 < minhash.common(a[: minhash.K], b[: minhash.K]) < 31
+    rows = minhash.link(spark.createDataFrame([(1, short), (2, " ".join(words))], "doc_id long, text string")).collect()
+    assert {r.component_id for r in rows} == {1}

@@ -59,7 +59,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*kinds))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, longest: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
     """Rules (rule_id, items, size, verdict, confidence, support) from labelled (items, verdict).
 
     FP-growth runs over the distinct combinations' own rows, every labelled one. A rule is kept if no
@@ -70,7 +70,7 @@ def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float =
     marks = [f"verdict:{v}" for v in verdicts]
     rows = labelled.where(F.col("verdict").isin(verdicts)).select(F.array_union("items", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.where(F.col("consequent")[0].isin(marks) & ~F.arrays_overlap("antecedent", F.lit(marks)) & (F.size("antecedent") <= longest))
+    found = model.associationRules.where(F.col("consequent")[0].isin(marks) & ~F.arrays_overlap("antecedent", F.lit(marks)))
     rules = written(found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 9, 10).alias("verdict"), "confidence", "support"), "rules")
     part = rules.select(F.col("items").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
     # A rule's parts share its first kept token or lie within it: they are met under each of its tokens.

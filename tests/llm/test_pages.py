@@ -57,6 +57,16 @@ def test_rules_are_mined(spark):
     assert got == {k: "block" if "casino" in u and "/win/" in u else "allow" for k, u in enumerate(urls[300:])}
 
 
+def test_long_rules_are_mined(spark):
+    """Only all five words together tell what is blocked."""
+    words = ["one", "two", "three", "four", "five"]
+    sets = [[w for k, w in enumerate(words) if bits >> k & 1] for bits in range(32)]
+    labels = spark.createDataFrame([(f"http://h.test/{'/'.join(own)}", "block" if len(own) == 5 else "allow") for own in sets for _ in range(4)], "url string, verdict string")
+    pages = spark.createDataFrame([(k, f"http://h.test/{'/'.join(own)}") for k, own in enumerate(sets)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, {}, labels=labels).collect()}
+    assert got == {k: "block" if len(own) == 5 else "allow" for k, own in enumerate(sets)}
+
+
 def test_rules_match_as_brute_force(spark):
     rng = random.Random(4)
     sets = [sorted(rng.sample("abcdefgh", rng.randrange(0, 6))) for _ in range(60)]

@@ -16,6 +16,7 @@ import hashlib
 import math
 import sys
 from collections import Counter
+from itertools import islice, product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,19 +72,39 @@ def simple_fold(c: str) -> str:
     return low if len(low) == 1 else c
 
 
+def spellings(n: int) -> list[tuple[int, ...]]:
+    """Codes from 2 on for n letters, the most frequent first: one each while LETTERS codes suffice, else several for the rarer ones.
+
+    Codes that begin a letter, follow in one and stand alone are different ones, so letters match only where letters begin.
+    """
+    if n <= LETTERS:
+        return [(k + 2,) for k in range(n)]
+    for size in (2, 3):
+        for alone in range(LETTERS - 2, -1, -1):
+            heads = (LETTERS - alone) // 2
+            tails = LETTERS - alone - heads
+            if alone + heads * tails ** (size - 1) >= n:
+                first, last = range(alone + 2, alone + heads + 2), range(alone + heads + 2, LETTERS + 2)
+                return [*((k + 2,) for k in range(alone)), *islice(product(first, *[last] * (size - 1)), n - alone)]
+    raise ValueError("more letters than there are")
+
+
 class Parser:
     """samples: for each language, pieces of its text."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         seen = Counter(simple_fold(c) for own in samples.values() for t in own for c in t if c.isalpha())
-        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
+        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        spelled = dict(zip(alphabet, spellings(len(alphabet))))
         self.codes = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8)
-        rank = {c: k + 2 for k, c in enumerate(alphabet)}
+        # The further codes of letters that have several; 0 where there is none.
+        self.more = np.zeros((sys.maxunicode + 1, max(map(len, spelled.values()), default=1) - 1), dtype=np.uint8)
         for i in range(sys.maxunicode + 1):
             if (c := chr(i)).isalpha():
-                self.codes[i] = rank.get(simple_fold(c), UNKNOWN)
-        self.width = len(alphabet) + 2
+                self.codes[i], *rest = spelled.get(simple_fold(c), (UNKNOWN,))
+                self.more[i, : len(rest)] = rest
+        self.width = min(len(alphabet), LETTERS) + 2
         tables, self.roots, self.logs, at = [], [], [], 0
         for lang in self.langs:
             joined: list[int] = []
@@ -113,9 +134,16 @@ class Parser:
 
     def of(self, text: str) -> np.ndarray:
         """Codes of a text, runs of gaps as one."""
-        codes = self.codes[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
+        chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        codes = self.codes[chars]
+        if not len(codes):
+            return codes
         gap = codes == GAP
-        return codes[~(gap & np.concatenate(([True], gap[:-1])))] if len(codes) else codes
+        new = ~(gap & np.concatenate(([True], gap[:-1])))
+        if not self.more.shape[1]:
+            return codes[new]
+        rest = self.more[chars[new]]
+        return np.column_stack((codes[new], rest))[np.column_stack((np.ones(len(rest), bool), rest > 0))]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For each text, bits a character by language; whether it has a letter."""

@@ -102,6 +102,21 @@ def test_blocks_count_as_the_parts_they_are():
     assert whole == pytest.approx(sum(p.entropies([x])[0][0, 0] * len(p.of(x)) for x in parts), rel=0.01)
 
 
+def test_rare_letters_tell_languages():
+    """Both languages share 260 frequent letters; only rare ones, more than one byte has codes for, tell them apart."""
+    rng = random.Random(8)
+    common = [chr(0x4E00 + k) for k in range(260)]
+    rare = {lang: [chr(at + k) for k in range(600)] for lang, at in (("a", 0x5800), ("b", 0x6800))}
+    words = {lang: ["".join(rng.choices(own, k=3)) for _ in range(300)] for lang, own in rare.items()}
+    p = langid.Parser({lang: ["".join(common) * 4 + " ".join(own)] for lang, own in words.items()})
+    for lang, own in words.items():
+        got, score = p.predict([" ".join(rng.choices(own, k=5)) for _ in range(50)])
+        assert got == [lang] * 50 and min(score) > 0.2
+    for n in (0, 1, 250, 251, 5_000, 15_625, 30_000):
+        codes = langid.spellings(n)
+        assert len(set(codes)) == len(codes) == n and all(2 <= c < langid.LETTERS + 2 for own in codes for c in own)
+
+
 def test_language_held_out(spark):
     rows = op10_language_id(spark, SF).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

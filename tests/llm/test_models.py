@@ -94,27 +94,45 @@ def test_phrases_against_brute_force(seed):
             assert b == pytest.approx(brute_phrases(t, sample) * p.logs[k] / len(t))
 
 
-def test_blocks_count_as_the_parts_they_are():
-    p = langid.Parser({"x": ["the cat sat on the mat " * 20]})
-    text = "a cat on the mat sat " * 400
-    parts = [text[i : i + langid.BLOCK] for i in range(0, len(text), langid.BLOCK)]
-    whole = p.entropies([text])[0][0, 0] * len(text)
-    assert whole == pytest.approx(sum(p.entropies([x])[0][0, 0] * len(p.of(x)) for x in parts), rel=0.01)
-
-
-def test_rare_letters_tell_languages():
-    """Both languages share 260 frequent letters; only rare ones, more than one byte has codes for, tell them apart."""
-    rng = random.Random(8)
-    common = [chr(0x4E00 + k) for k in range(260)]
-    rare = {lang: [chr(at + k) for k in range(600)] for lang, at in (("a", 0x5800), ("b", 0x6800))}
-    words = {lang: ["".join(rng.choices(own, k=3)) for _ in range(300)] for lang, own in rare.items()}
-    p = langid.Parser({lang: ["".join(common) * 4 + " ".join(own)] for lang, own in words.items()})
-    for lang, own in words.items():
-        got, score = p.predict([" ".join(rng.choices(own, k=5)) for _ in range(50)])
-        assert got == [lang] * 50 and min(score) > 0.2
-    for n in (0, 1, 250, 251, 5_000, 15_625, 30_000):
-        codes = langid.spellings(n)
-        assert len(set(codes)) == len(codes) == n and all(2 <= c < langid.LETTERS + 2 for own in codes for c in own)
+@pytest.mark.parametrize("seed", range(8))
+def test_blocks_parse_as_the_whole_text(seed, monkeypatch):
+    """Small blocks, phrases that span several of them, texts that are copies of the sample: the same as one parse of the whole text."""
+    monkeypatch.setattr(langid, "BLOCK", 16)
+    rng = random.Random(seed)
+    sample = "".join(rng.choice("ab" if seed % 2 else "abcd ") for _ in range(400)).strip()
+    sample = re.sub(" +", " ", sample)
+    p = langid.Parser({"x": [sample], "y": ["zz"]})
+    texts = [sample, sample[7:] + "z" + sample[100:300] * 2, "".join(rng.choice("abcd ") for _ in range(300)).strip(), "ab" * 100, "a", ""]
+    texts = [re.sub(" +", " ", t.lstrip()) for t in texts]
+    bits, _ = p.entropies(texts)
+    for t, b in zip(texts, bits[0]):
+        assert b * max(1, len(t)) == pytest.approx(brute_phrases(t, sample) * p.logs[0] if t else 0)
+
+
+def test_languages_of_many_letters():
+    """Two languages of two-letter words over 3,000 letters each, mostly shared: as good as an uncapped parse."""
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + k) for k in range(3_000)]
+    words = {lang: ["".join(rng.choices(letters, k=2)) for _ in range(3_000)] for lang in "ab"}
+    samples = {lang: "".join(rng.choices(own, k=10_000)) for lang, own in words.items()}
+    p = langid.Parser({lang: [t] for lang, t in samples.items()})
+    texts = ["".join(rng.choices(words[lang], k=100)) for lang in "ab" for _ in range(40)]
+    got, score = p.predict(texts)
+    assert got == ["a"] * 40 + ["b"] * 40 and min(score) > 0.1
+    bits, _ = p.entropies(texts[:3])
+    for t, b in zip(texts, bits[0]):
+        assert b * len(t) == pytest.approx(brute_phrases(t, samples["a"]) * p.logs[0])
+
+
+def test_fifty_languages_are_small():
+    rng = random.Random(4)
+    p = langid.Parser({f"l{k:02}": ["".join(rng.choice([chr(0x4E00 + 20 * k + j) for j in range(60)]) for _ in range(20_000))] for k in range(50)})
+    assert p.size < 100 << 20
+
+
+def test_language_ties_go_to_the_first_name():
+    p = langid.Parser({"b": ["one two"], "a": ["one two"]})
+    assert p.predict(["one", "two one", "xyz"]) == (["a"] * 3, [0.0] * 3)
 
 
 def test_language_held_out(spark):

@@ -9,14 +9,17 @@ What keeps it whole and linear:
   of their values meet in one of these at least, and sketches of sets with a similarity of 0.75 fail to do so
   less than once in 10^16 pairs at k = 64. So a passage that is a small part of many documents makes no list.
 * Lists of up to SHORT nodes give all their pairs. Longer ones come from large groups of near copies: each
-  compares its nodes with one leader. Nodes linked with the leaders of all their long lists hang together
-  through them. The others are compared with all nodes that long lists connect them with, block by block;
-  a block returns a spanning forest of its links, never all pairs.
+  compares its nodes with one leader. Nodes linked with a leader hang together through it. The others are
+  compared with all nodes of that leader's lists, block by block: first by their sketches, then, where these
+  say that links may be, by full sets. A block returns a spanning forest, never all pairs.
+* A node is named by the smallest id of its rows. Ids that rows of different sets share name none: their
+  nodes are named by their sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +31,14 @@ from .tokens import slices
 
 K = 64
 SHORT = 16
-#: Nodes, and bytes of their sets, in a block of a long list.
-BLOCK = 512
+#: Nodes, and bytes of their sets or sketches, in a block of a long list.
+BLOCK = 2048
 BLOCK_BYTES = 16 << 20
+#: Bytes of a text that are hashed at once: each takes some 30 while they are.
+PIECE = 1 << 20
+BLANK = re.compile(rb"[ \t-\r]")
+#: Names made from sets are negative.
+SIGN = -(1 << 63)
 WORDS = 5
 #: How far the estimate of a pair that is similar enough may lie below the threshold, in standard deviations.
 SIGMAS = 9.0
@@ -53,6 +61,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in data, and where each starts."""
+    data = np.frombuffer(data + b" ", dtype=np.uint8)
+    white = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
+    if not len(starts):
+        return np.zeros(0, U), starts
+    head = int(starts[0])
+    place = np.arange(len(data) - head) - np.repeat(starts - head, np.diff(np.append(starts, len(data))))
+    letters = np.where(white[head:], U(0), data[head:].astype(U) + U(1))
+    return mix(np.add.reduceat(letters * powers(int(place.max()) + 1)[place], starts - head)), starts
+
+
+def pieces(data: bytes):
+    """data in parts of about PIECE bytes, cut at white space."""
+    at = 0
+    while at < len(data):
+        found = BLANK.search(data, at + PIECE)
+        to = found.start() if found else len(data)
+        yield data[at:to]
+        at = to
+
+
+def set_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The distinct shingles of a text whose words have these hashes."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    factors = powers(words + 1)[1:]
+    if n < words:
+        return (mix(np.array([(hashes * factors[:n]).sum(dtype=U) + U(n)])) >> U(1)).astype(np.int64)
+    rolled = np.zeros(n - words + 1, dtype=U)
+    for k in range(words):
+        rolled += hashes[k : k + len(rolled)] * factors[k]
+    return np.unique((mix(rolled) >> U(1)).view(np.int64))
+
+
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 63-bit hashes.
 
@@ -60,35 +105,11 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     fewer words is one shingle, one without words has none.
     """
     raw = [t.encode("utf-8", "replace").translate(LOWER) if t else b"" for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
-    if not len(starts):
-        return [np.zeros(0, np.int64) for _ in texts]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))).astype(np.int64)) if starts[0] == 0 else None
-    if place is None:
-        place = np.arange(len(data)) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, len(data))))))
-    letters = np.where(white, U(0), data.astype(U) + U(1))
-    hashes = mix(np.add.reduceat(letters * powers(int(place.max()) + 1)[place], starts))
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    last = np.searchsorted(starts, ends)
-    factors = powers(words + 1)[1:]
-    rolled = np.zeros(max(0, len(hashes) - words + 1), dtype=U)
-    for k in range(words):
-        rolled += hashes[k : k + len(rolled)] * factors[k]
-    rolled = (mix(rolled) >> U(1)).astype(np.int64)
-    out, first = [], 0
-    for to in last.tolist():
-        n = to - first
-        if n >= words:
-            out.append(np.unique(rolled[first : to - words + 1]))
-        elif n:
-            whole = (hashes[first:to] * factors[:n]).sum(dtype=U) + U(n)
-            out.append((mix(np.array([whole])) >> U(1)).astype(np.int64))
-        else:
-            out.append(np.zeros(0, np.int64))
-        first = to
-    return out
+    if sum(map(len, raw)) > 2 * PIECE:
+        return [set_of(np.concatenate([np.zeros(0, U), *(word_hashes(x)[0] for x in pieces(r))]), words) for r in raw]
+    hashes, starts = word_hashes(b" ".join(raw))
+    bounds = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])).tolist()
+    return [set_of(hashes[lo:hi], words) for lo, hi in zip([0, *bounds], bounds)]
 
 
 def _lists(pa, arrays: list[np.ndarray]):
@@ -96,8 +117,12 @@ def _lists(pa, arrays: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
+def digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
-    """doc_id, n (shingles), fp (128 bits of the set; null without shingles), sketch, from docs (doc_id, text)."""
+    """doc_id, mark, n (shingles), fp (128 bits of the set; null without shingles), sketch, from docs (doc_id, mark, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -105,14 +130,14 @@ def signatures(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text="text", most=1_000_000):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
-                fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), _lists(pa, [s[:k] for s in sets])], names=["doc_id", "n", "fp", "sketch"])
+                fps = [digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), _lists(pa, [s[:k] for s in sets])], names=["doc_id", "mark", "n", "fp", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, fp binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, shingles (sorted hashes as bytes), from docs (doc_id, text)."""
+    """doc_id, fp, shingles (sorted hashes as bytes), from docs (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,9 +145,9 @@ def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch, text="text", most=1_000_000):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, fp binary, shingles binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -143,8 +168,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     either.append(len(x) // 8 + len(y) // 8 - both[-1])
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, both long, either long")
 
 
@@ -174,52 +199,99 @@ def similar(percent: int) -> Column:
     return F.col("both") * 100 >= F.col("either") * percent
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = K, words: int = WORDS, short: int = SHORT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def named(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """rows (doc_id, fp, ...) with own: whether the id names a node, that is isn't one of the ids mixed."""
+    return rows.join(mixed.select(F.col("doc_id").alias("__id"), F.lit(False).alias("own")), F.col("doc_id") == F.col("__id"), "left").drop("__id").withColumn("own", F.coalesce("own", F.lit(True)))
 
-    Documents are linked when 100 * shared shingles >= percent * shingles of both; component_id is the
-    smallest doc_id reachable by links. Null and empty texts and texts without words have no shingle and
-    are linked with nothing. A row of null id is linked with nothing, component_id null, kept true.
-    Rows that repeat an id are documents of their own, linked by their own texts. An empty table gives no rows; other columns are ignored.
-    """
+
+def set_name() -> Column:
+    return F.xxhash64("fp").bitwiseOR(F.lit(SIGN))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, words: int, short: int) -> tuple[DataFrame, bool]:
+    """doc_id, mark (64 bits of the text), n, component_id and class (a number of the group; null where there is none) of every row, and whether ids repeat."""
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     signed = written(signatures(texts, k, words), "sketches")
-    nodes = written(signed.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")
+    usable = signed.where("n > 0 and doc_id is not null")
+    h = F.xxhash64("fp")
+    repeats = written(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(h).alias("low"), F.max(h).alias("high")).where("rows > 1").select("doc_id", (F.col("low") != F.col("high")).alias("mixed")), "repeats")
+    repeated = not repeats.isEmpty()
+    first = [F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")]
+    if repeated:
+        mixed = repeats.where("mixed")
+        nodes = named(usable, mixed).groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), *first)
+        nodes = nodes.select("fp", F.coalesce("own", set_name()).alias("node"), "least", "sketch")
+    else:
+        nodes = usable.groupBy("fp").agg(*first).select("fp", F.col("least").alias("node"), "least", "sketch")
+    nodes = written(nodes, "nodes")
 
     listed = written(_listed(nodes, short), "lists")
     near = listed.where("hot = 0").groupBy("v").agg(F.collect_set("node").alias("all"))
     near = near.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b").distinct()
     near = written(estimated(near, nodes, percent / 100, k), "pairs")
     hot = listed.where("hot = 1").select("v", "node")
-    wanted = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).unionByName(hot.select(F.col("node").alias("doc_id"))).distinct()
-    # A node is the smallest id with its set.
-    sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi"), words), "sets")
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
+    if repeated:
+        # A node's set is that of any of its rows; rows that repeat both id and text are one.
+        own = nodes.join(wanted, "node", "left_semi").select("fp").join(usable.select("fp", "doc_id", "mark"), "fp").select("doc_id", "mark").distinct()
+        rows = full_sets(texts.join(own, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]), words)
+        rows = named(rows, mixed).groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), F.first("shingles").alias("shingles"))
+        sets = rows.select(F.coalesce("own", set_name()).alias("node"), "shingles")
+    else:
+        sets = full_sets(texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words).select(F.col("doc_id").alias("node"), "shingles")
+    sets = written(sets, "sets")
     links = confirmed(near, sets).where(similar(percent)).select("a", "b")
-    parts = [written(links, "links"), *_hot_links(hot, sets, percent)]
+    parts = [written(links, "links"), *_hot_links(hot, nodes, sets, percent, k)]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     reach = components(found)
-    ids = nodes.select("fp", "node").join(reach, "node", "left").select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n", "fp").join(ids, F.col("fp") == F.col("own"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    ids = nodes.select("fp", "node", "least").join(reach, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("class"))
+    if repeated:
+        # Names made from sets are no ids.
+        ids = written(ids, "node-classes")
+        smallest = written(ids.groupBy("class").agg(F.min("least").alias("component")), "class-ids")
+        ids = ids.join(smallest, "class")
+    else:
+        ids = ids.withColumn("component", F.col("class"))
+    ids = ids.select(F.col("fp").alias("own"), "class", "component")
+    out = signed.select("doc_id", "mark", "n", "fp").join(ids, (F.col("fp") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "mark", "n", F.coalesce("component", "doc_id").alias("component_id"), "class"), repeated
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = K, words: int = WORDS, short: int = SHORT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Documents are linked when 100 * shared shingles >= percent * shingles of both; component_id is the
+    smallest doc_id reachable by links. Null and empty texts and texts without words have no shingle and
+    are linked with nothing. A row of null id is linked with nothing, component_id null, kept true.
+    Rows that repeat an id are documents of their own, linked by their own texts alone. An empty table gives no rows; other columns are ignored.
+    """
+    out, _ = _classes(docs, id_col, text_col, percent, k, words, short)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, without near copies: of each linked group the smallest id stays (see link).
+    """The rows of docs, all columns, without near copies: of each linked group one row stays, one of the smallest id (see link).
 
-    Rows that repeat an id stay or go together, but of those that also repeat the text one stays. Rows of null id stay.
+    Rows that repeat an id are judged by their own texts; of those that also repeat the text, with or without words, one stays. Rows of null id stay.
     """
-    linked = written(link(docs, id_col, text_col, percent).select(F.col("doc_id").alias("__id"), "kept"), "linked").where("__id is not null")
-    by_id = written(linked.groupBy("__id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "marked")
+    rows, repeated = _classes(docs, id_col, text_col, percent, K, WORDS, SHORT)
+    rows = written(rows, "linked").where("doc_id is not null")
     own = docs[id_col].cast("long")
-    once = docs.join(by_id, own == by_id["__id"], "left_anti")
-    again = by_id.where("kept")
-    if again.isEmpty():
-        return once
-    return once.unionByName(docs.join(again, own == again["__id"], "left_semi").dropDuplicates([id_col, text_col]))
+    if not repeated:
+        gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+        return docs.join(gone, own == F.col("__id"), "left_anti")
+    # Texts, told by their marks: the smallest of the rows that could stay for a group stays.
+    texts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"), F.min("class").alias("class"))
+    texts = written(texts, "texts")
+    stays = texts.where("doc_id = component_id").groupBy("doc_id", F.coalesce("class", "mark").alias("key"), F.col("class").isNull().alias("wordless")).agg(F.min("mark").alias("mark"))
+    marked = texts.join(stays.select("doc_id", "mark", F.lit(True).alias("stays")), ["doc_id", "mark"], "left").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.coalesce("stays", F.lit(False)).alias("stays"), "n")
+    marked = written(marked.where("not stays or n > 1"), "marked")
+    same = (own == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__mark"))
+    return docs.join(marked, same, "left_anti").unionByName(docs.join(marked.where("stays"), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def _listed(nodes: DataFrame, short: int) -> DataFrame:
@@ -236,57 +308,96 @@ def _listed(nodes: DataFrame, short: int) -> DataFrame:
     return rare.join(held, "v").select("v", "node", (F.col("n") > short).cast("int").alias("hot"))
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """How many values each set in a shares with each in b."""
     flat_a, flat_b = np.concatenate(a), np.concatenate(b)
     both = np.intersect1d(flat_a, flat_b)
     out = np.zeros((len(a), len(b)), dtype=np.float32)
+    if not len(both):
+        return out
 
     def places(sets, flat):
+        """Owners of the shared values, by value, and the values' places."""
         at = np.searchsorted(both, flat)
         at[at == len(both)] = 0
         rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        ok = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        ok = both[at] == flat
         order = np.argsort(at[ok], kind="stable")
         return rows[ok][order], at[ok][order]
 
     (row_a, col_a), (row_b, col_b) = places(a, flat_a), places(b, flat_b)
-    for lo in range(0, len(both), columns):
+    n_a, n_b = np.bincount(col_a, minlength=len(both)), np.bincount(col_b, minlength=len(both))
+    # Values of many sets are counted by products of matrices, those of few pair by pair.
+    many = n_a * n_b > out.size // 64
+    for lo in range(0, int(many.sum()), columns):
+        own = np.flatnonzero(many)[lo : lo + columns]
         parts = []
         for n, row, col in ((len(a), row_a, col_a), (len(b), row_b, col_b)):
-            i, j = np.searchsorted(col, (lo, lo + columns))
-            m = np.zeros((n, min(columns, len(both) - lo)), dtype=np.float32)
-            m[row[i:j], col[i:j] - lo] = 1
+            m = np.zeros((n, len(own)), dtype=np.float32)
+            at = np.searchsorted(own, col)
+            at[at == len(own)] = 0
+            ok = own[at] == col
+            m[row[ok], at[ok]] = 1
             parts.append(m)
         out += parts[0] @ parts[1].T
+    few = np.flatnonzero(~many)
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    pairs = np.cumsum(n_a[few] * n_b[few])
+    at = 0
+    while at < len(few):
+        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 2_000_000, side="right")))
+        own = few[at:to]
+        each = n_a[own] * n_b[own]
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        wide = np.repeat(n_b[own], each)
+        i = row_a[np.repeat(first_a[own], each) + k // wide]
+        j = row_b[np.repeat(first_b[own], each) + k % wide]
+        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape).astype(np.float32)
+        at = to
     return out
 
 
-def _forest(percent: int):
+def _forest(alike):
+    """Spanning forests of the pairs in a block that alike(shared, sizes of the one, sizes of the other) admits."""
+
     def compare(pdf):
         import pandas as pd
 
         asks = pdf["asks"].to_numpy(bool)
         node = pdf["node"].to_numpy()
-        sets = [np.frombuffer(x, "<i8") for x in pdf["shingles"]]
+        sets = [np.frombuffer(x, "<i8") if isinstance(x, bytes) else np.asarray(x) for x in pdf["values"]]
         rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
         order = np.unique(node)
         rank = np.searchsorted(order, node)
-        found = [np.zeros((2, 0), int)]
+        found = np.zeros((2, 0), int)
         if len(rows) and len(cols):
             size = np.array([len(s) for s in sets])
             both = shared_counts([sets[k] for k in rows], [sets[k] for k in cols])
-            i, j = np.nonzero(100 * both >= percent * (size[rows][:, None] + size[cols][None, :] - both))
-            found.append(np.stack((rank[rows[i]], rank[cols[j]])))
-        x, y = np.concatenate(found, axis=1)
-        root = joined(x, y, len(order))
+            i, j = np.nonzero(alike(both, size[rows][:, None], size[cols][None, :]))
+            found = np.stack((rank[rows[i]], rank[cols[j]]))
+        root = joined(*found, len(order))
         linked = np.flatnonzero(root != np.arange(len(order)))
         return pd.DataFrame({"a": order[linked], "b": order[root[linked]]})
 
     return compare
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+def _blocked(members: DataFrame, alike, name: str) -> DataFrame:
+    """Forests (a, b) of members (group, node, values, waits): those that wait are compared with all of their group, block by block."""
+    members = written(members, f"{name}-members")
+    length = F.octet_length("values") if members.schema["values"].dataType.typeName() == "binary" else 8 * F.size("values")
+    size = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, length).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    blocks = members.groupBy("group").agg(size(F.col("waits")).alias("ask_blocks"), size(F.lit(True)).alias("all_blocks")).where("ask_blocks > 0")
+    blocks = written(blocks, f"{name}-blocks")
+    dealt = members.join(blocks, "group").withColumn("place", F.xxhash64("node"))
+    own = lambda n: F.pmod("place", F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = dealt.where("waits").select("group", own("ask_blocks").alias("i"), every("all_blocks").alias("j"), "node", "values", F.lit(True).alias("asks"))
+    answers = dealt.select("group", every("ask_blocks").alias("i"), own("all_blocks").alias("j"), "node", "values", F.lit(False).alias("asks"))
+    return written(asks.unionByName(answers).groupBy("group", "i", "j").applyInPandas(_forest(alike), "a long, b long"), name)
+
+
+def _hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int) -> list[DataFrame]:
     """Links of nodes in long lists that, with all of their kind, connect the same nodes as all links do."""
     if hot.isEmpty():
         return []
@@ -297,19 +408,19 @@ def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]
     led = written(hot.join(leads, "v").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "led")
     seen = written(confirmed(led.where("a <> b"), sets).select("a", "b", similar(percent).alias("linked")), "leaders")
     out = [seen.where("linked").select("a", "b")]
-    waiting = written(seen.where("not linked").select("a").distinct(), "waiting")
-    if waiting.isEmpty():
+    if seen.where("not linked").isEmpty():
         return out
-    reach = components(led, "groups").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    members = sets.join(reach, "doc_id").join(waiting.select(F.col("a").alias("doc_id"), F.lit(True).alias("waits")), "doc_id", "left")
-    members = written(members.select("group", F.col("doc_id").alias("node"), "shingles", F.coalesce("waits", F.lit(False)).alias("waits")), "members")
-    size = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.octet_length("shingles")).otherwise(0)) / BLOCK_BYTES)).cast("int")
-    blocks = members.groupBy("group").agg(size(F.col("waits")).alias("ask_blocks"), size(F.lit(True)).alias("all_blocks")).where("ask_blocks > 0")
-    blocks = written(blocks, "blocks")
-    dealt = members.join(blocks, "group").withColumn("place", F.xxhash64("node"))
-    own = lambda n: F.pmod("place", F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = dealt.where("waits").select("group", own("ask_blocks").alias("i"), every("all_blocks").alias("j"), "node", "shingles", F.lit(True).alias("asks"))
-    answers = dealt.select("group", every("ask_blocks").alias("i"), own("all_blocks").alias("j"), "node", "shingles", F.lit(False).alias("asks"))
-    found = asks.unionByName(answers).groupBy("group", "i", "j").applyInPandas(_forest(percent), "a long, b long")
-    return [*out, written(found, "forest")]
+    # Two nodes that share a list share its leader: they hang together if both are linked with it, else one of them waits.
+    members = seen.select(F.col("b").alias("group"), F.col("a").alias("node"), (~F.col("linked")).alias("waits")).unionByName(leads.select(F.col("leader").alias("group"), F.col("leader").alias("node"), F.lit(False).alias("waits")).distinct())
+    least = percent / 100
+    floor = least - SIGMAS * (least * (1 - least) / k) ** 0.5
+
+    def near(both, n, m):
+        # What two sketches share is no less than what the sketch of their union shows.
+        return both >= np.maximum(1, floor * np.minimum(k, n + m - both))
+
+    rough = _blocked(members.join(nodes.select("node", F.col("sketch").alias("values")), "node"), near, "rough")
+    groups = components(rough, "groups").select("node", F.col("component").alias("group"))
+    waiting = written(seen.where("not linked").select(F.col("a").alias("node"), F.lit(True).alias("waits")).distinct(), "waiting")
+    members = sets.withColumnRenamed("shingles", "values").join(groups, "node").join(waiting, "node", "left").withColumn("waits", F.coalesce("waits", F.lit(False)))
+    return [*out, _blocked(members, lambda both, n, m: 100 * both >= percent * (n + m - both), "forest")]

@@ -72,6 +72,69 @@ def test_odd_rows(spark):
     assert minhash.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4"
+    rows = [(1, near), (2, near + " 5"), (2, "quite another text about other things"), (2, "Quite another text about other things"), (3, "quite another text about other things now"), (4, ""), (4, ""), (4, None), (4, "lone words"), (4, near + " 5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("clash"))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.link(df).collect())
+    want = [(1, 26, 1, True), (2, 27, 1, False), (2, 2, 2, True), (2, 2, 2, True), (3, 3, 3, True), (4, 0, 4, True), (4, 0, 4, True), (4, 0, 4, True), (4, 1, 4, True), (4, 27, 1, False)]
+    assert got == sorted(want)
+    kept = minhash.unique(df)
+    texts = sorted((r.doc_id, (r.text or "-").lower()) for r in kept.collect())
+    assert kept.columns == df.columns and texts == [(1, near), (2, "quite another text about other things"), (3, "quite another text about other things now"), (4, "-"), (4, "-"), (4, "lone words")]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_repeated_ids_against_brute_force(spark, seed):
+    """A third of the rows have one id, others take over ids of texts near to theirs."""
+    rng = random.Random(seed)
+    docs = [(rng.choice((7, k // 2, k)), t) for k, (_, t) in enumerate(corpus(seed, copies=20))]
+    sets = [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                label = [label[b] if x == label[a] else x for x in label]
+    want = sorted((i, len(s), min(j for (j, _), m in zip(docs, label) if m == k)) for (i, _), s, k in zip(docs, sets, label))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.link(df, short=4).collect()) == want
+    left = minhash.unique(df).collect()
+    assert sorted(label[docs.index((r.doc_id, r.text))] for r in left) == sorted(set(label))
+
+
+def test_shared_counts():
+    rng = random.Random(2)
+    sets = [minhash.np.array(sorted({int(rng.expovariate(0.02)) for _ in range(rng.randrange(1, 60))})) for _ in range(70)]
+    got = minhash.shared_counts(sets[:30], sets[30:], columns=7)
+    assert got.tolist() == [[float(minhash.common(a, b)) for b in sets[30:]] for a in sets[:30]]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(1)
+    text = " \t\n".join(rng.choice(["é", "Wort", "x" * 300, "a"]) for _ in range(400))
+    whole = minhash.shingle_sets([text, "one Two"])
+    monkeypatch.setattr(minhash, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, minhash.shingle_sets([text, "one Two"])))
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs at similarities from 0.75 to 0.80, each of its own words: all are found."""
+    rng = random.Random(11)
+    docs, want = [], set()
+    for k in range(1500):
+        n = rng.choice((60, 120, 400))
+        base = [f"{k}w{j}" for j in range(n + 4)]
+        size = n
+        # The other is the base and more words: similarity n over n and those.
+        more = rng.randrange(int(n / 0.8) - n, int(n / 0.75) - n + 1)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"{k}x{j}" for j in range(more)]))]
+        if 100 * size >= 75 * (size + more):
+            want.add(2 * k + 1)
+    got = {r.doc_id for r in minhash.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect() if not r.kept}
+    assert len(want) > 1400 and got == want
+
+
 def test_long_text_is_read_whole(spark):
     rng = random.Random(4)
     long = [str(rng.randrange(10**6)) for _ in range(60_000)]

@@ -1,9 +1,9 @@
-"""Connected components of a distributed list of links."""
+"""Connected components of a distributed list of links, and names for its nodes."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
@@ -43,3 +43,14 @@ def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             return label
+
+
+def named(rows: DataFrame, mixed: DataFrame, id_col: str) -> DataFrame:
+    """rows with own: whether a row's id names a node, that is isn't one of the ids in mixed, which different contents share."""
+    shared = mixed.select(F.col(id_col).alias("__id"), F.lit(False).alias("own"))
+    return rows.join(shared, F.col(id_col) == F.col("__id"), "left").drop("__id").withColumn("own", F.coalesce("own", F.lit(True)))
+
+
+def made_name(*content: str) -> Column:
+    """A name made from a node's content: negative, 63 bits of a hash."""
+    return F.xxhash64(*content).bitwiseOR(F.lit(-(1 << 63)))

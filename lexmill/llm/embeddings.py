@@ -1,10 +1,12 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells.
 
-Vectors are compared within a label. Equal vectors are one node with a weight. A label with many nodes
-is cut into cells by spherical k-means; a node is compared in its own cell and in every earlier cell
-that a vector similar enough to it may call its own, which the distance to the plane between the two
-centroids tells exactly, so cells lose no link. Large cells are compared block by block. A block
-returns sums and a spanning forest, never all pairs.
+Vectors are compared within a label. Equal vectors are one node with a weight. A cell of many nodes, a
+whole label to begin with, is cut into cells by spherical k-means, and these again, until they are small or
+cutting helps no more: cells keep their size as the table grows. Centroids are fitted on a bounded sample of
+each cell, by the workers. A node goes to its own cell and to every earlier cell that a vector similar enough
+to it may call its own, which the distance to the plane between the two centroids tells exactly, so cells lose
+no link. Cells that stay large are compared block by block. A block returns sums and a spanning forest, never
+all pairs.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, written
-from .components import components, joined
+from .components import components, joined, made_name, named
 from .tokens import slices
 
+#: Nodes of a cell that is cut no further, cells that one is cut into at most, and nodes to fit each of these on.
 CELL = 2_000
-MAX_CELLS = 4_096
+FAN = 64
 SAMPLE_A_CELL = 20
 BLOCK = 2_048
+#: Nodes of one cell that a task assigns.
+DEAL = 50_000
+#: A cut that leaves more than this share of the pairs to compare isn't made.
+WORTH = 0.7
 
 
 def usable(values: list | None) -> bytes | None:
@@ -67,17 +74,17 @@ def cells(x: np.ndarray, centers: np.ndarray, between: np.ndarray, least: float)
     return [[o, *np.flatnonzero(v).tolist()] for o, v in zip(own.tolist(), visits)]
 
 
-def block_links(node, home, weight, half, x, least: float, one: bool):
+def block_links(node, visits, weight, half, x, least: float, one: bool):
     """Of one block, or of two (half 0 and 1; either may be empty): each linked node, the weight of those it is linked with, and a smaller node to hang on.
 
-    Two nodes are compared if one of them at least is at home.
+    Two nodes are compared if at every level one of them at least is in its own cell.
     """
     rows = np.flatnonzero(half == 0)
     cols = rows if one else np.flatnonzero(half == 1)
     found = []
     for at in range(0, len(rows), 512):
         part = rows[at : at + 512]
-        near = (x[part] @ x[cols].T >= least) & (home[part][:, None] | home[cols][None, :]) & (node[part][:, None] != node[cols][None, :])
+        near = (x[part] @ x[cols].T >= least) & (visits[part][:, None] & visits[cols][None, :] == 0) & (node[part][:, None] != node[cols][None, :])
         i, j = np.nonzero(near)
         found.append((part[i], cols[j]))
     a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -93,19 +100,87 @@ def block_links(node, home, weight, half, x, least: float, one: bool):
     return node[linked], links[linked].astype(np.int64), root[linked]
 
 
+def cut(sample: np.ndarray, n: int, cell: int, least: float) -> np.ndarray | None:
+    """Centroids for a cell of n nodes, or None if cells by them would save too little."""
+    centers = spherical_k_means(sample, min(FAN, -(-n // cell)))
+    to = np.bincount([c for own in cells(sample, centers, planes(centers), least) for c in own], minlength=len(centers)) / len(sample)
+    return centers if len(centers) > 1 and (to * to).sum() < WORTH else None
+
+
+def in_cells(nodes: DataFrame, least: float, cell: int) -> DataFrame:
+    """nodes (label, dim, key, node, weight) with cell, and visits: a bit for each level at which this isn't the node's own cell. A node comes once for each cell that it goes to."""
+    at = ["label", "dim", "cell"]
+    placed = nodes.select("label", "dim", "key", "node", "weight", F.lit("").alias("cell"), F.lit(0).cast("long").alias("visits"))
+    kept: list[DataFrame] = []
+    for level in range(62):
+        # Written before they are joined: Spark can split a large cell's rows only in a join of plain shuffles.
+        large = written(placed.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > cell), "large-cells")
+        if large.isEmpty():
+            break
+        place = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30))
+        taken = placed.join(large, at).where(place < F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_A_CELL * FAN) / F.col("n")) * (1 << 30)).select(*at, "n", place.alias("place"), "node", "key")
+
+        def fit(pdf):
+            import pandas as pd
+
+            n, dim = int(pdf["n"].iloc[0]), int(pdf["dim"].iloc[0])
+            own = pdf.sort_values(["place", "node"])["key"].tolist()[: SAMPLE_A_CELL * FAN]
+            centers = cut(units(own, dim), n, cell, least)
+            rows = pdf[[*at, "n"]].head(0 if centers is None else 1)
+            return rows.assign(centers=pd.Series([b"" if centers is None else centers.tobytes()] * len(rows), index=rows.index, dtype=object), deals=-(-n // DEAL))
+
+        centers = written(taken.groupBy(*at).applyInPandas(fit, "label string, dim int, cell string, n long, centers binary, deals int"), "centers")
+        if centers.isEmpty():
+            break
+        dealt = written(centers.select(*at, "deals"), "deals")
+        kept.append(written(placed.join(dealt, at, "left_anti"), "cells"))
+        rows = placed.join(dealt, at).select(*at, F.pmod(F.xxhash64("node"), F.col("deals")).cast("int").alias("deal"), F.lit(None).cast("binary").alias("centers"), "key", "node", "weight", "visits")
+        heads = centers.select(*at, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "centers", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("weight"), F.lit(None).cast("long").alias("visits"))
+        # Each share of a cell's nodes comes behind its centroids.
+        lined = rows.unionByName(heads).repartition(*at, "deal").sortWithinPartitions(*at, "deal", F.col("centers").isNull())
+        placed = written(lined.mapInArrow(_assign(least, level), "label string, dim int, key binary, node long, weight long, cell string, visits long"), "assigned")
+    for part in kept:
+        placed = placed.unionByName(part)
+    return placed
+
+
+def _assign(least: float, level: int):
+    def run(batches):
+        import pyarrow as pa
+
+        centers = between = None
+        for batch in batches:
+            for part in slices(batch, rows=2048):
+                heads = part.column("centers").to_pylist()
+                edges = [k for k, c in enumerate(heads) if c is not None]
+                for a, b in zip([0, *edges], [*edges, part.num_rows]):
+                    if a < b and heads[a] is not None:
+                        centers = np.frombuffer(heads[a], np.float64).reshape(-1, part.column("dim")[a].as_py())
+                        between = planes(centers)
+                        a += 1
+                    own = part.slice(a, b - a)
+                    for few in slices(own, rows=512) if b > a else ():
+                        to = cells(units(few.column("key").to_pylist(), centers.shape[1]), centers, between, least)
+                        flat = few.take(pa.array([i for i, c in enumerate(to) for _ in c], pa.int64()))
+                        names = [f"{cell}.{c}" for cell, own in zip(few.column("cell").to_pylist(), to) for c in own]
+                        visits = [v | (1 << level if k else 0) for v, own in zip(few.column("visits").to_pylist(), to) for k in range(len(own))]
+                        yield pa.RecordBatch.from_arrays([flat.column(c) for c in ("label", "dim", "key", "node", "weight")] + [pa.array(names, pa.string()), pa.array(visits, pa.int64())], names=["label", "dim", "key", "node", "weight", "cell", "visits"])
+
+    return run
+
+
 def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
     Two vectors are linked when their labels are equal and not null, they have as many components and
     their cosine, in double precision, is least or more. Vectors that are null, empty, zero or hold a
     null or a number that isn't finite are linked with nothing. A row of null id is linked with nothing:
-    component_id null, kept true. Rows that repeat an id are vectors of their own in n_links. An empty
-    table gives no rows; other columns are ignored.
+    component_id null, kept true. Rows that repeat an id are vectors of their own, linked by their own
+    components and label. An empty table gives no rows; other columns are ignored.
 
-    Fitting the cells takes SAMPLE_A_CELL nodes a cell, of MAX_CELLS cells at most; all nodes are assigned and compared.
+    Cutting a cell takes FAN * SAMPLE_A_CELL of its nodes to fit on; all nodes are assigned and compared.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
+    prepare(vectors.sparkSession)
 
     def keyed(batches):
         import pyarrow as pa
@@ -118,64 +193,38 @@ def link(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = written(rows.mapInArrow(keyed, "vec_id long, label string, key binary"), "vectors")
     good = rows.where("vec_id is not null and label is not null and key is not null")
-    nodes = good.groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")).withColumn("dim", (F.octet_length("key") / 8).cast("int"))
-    nodes = written(nodes, "nodes")
-
-    total = nodes.count()
-    size = max(cell, -(-total // MAX_CELLS))
-    # At most MAX_CELLS labels have more than size nodes.
-    large = {(r.label, r.dim): -(-r.n // size) for r in nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > size).collect()}
-    centers: dict = {}
-    if large:
-        share = min(1.0, 2.0 * SAMPLE_A_CELL / size)
-        taken: dict = {}
-        for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "dim", "node", "key").collect():
-            if (r.label, r.dim) in large:
-                taken.setdefault((r.label, r.dim), []).append((r.node, bytes(r.key)))
-        for k, own in taken.items():
-            own.sort()
-            centers[k] = spherical_k_means(units([x for _, x in own[: SAMPLE_A_CELL * large[k]]], k[1]), large[k])
-    known = spark.sparkContext.broadcast(centers)
-
-    def assign(batches):
-        import pyarrow as pa
-
-        apart: dict = {}
-        for batch in batches:
-            for part in slices(batch, rows=512):
-                groups: dict = {}
-                for i, k in enumerate(zip(part.column("label").to_pylist(), part.column("dim").to_pylist())):
-                    groups.setdefault(k, []).append(i)
-                keys, to = part.column("key").to_pylist(), [None] * part.num_rows
-                for k, at in groups.items():
-                    own = known.value.get(k)
-                    if own is not None and k not in apart:
-                        apart[k] = planes(own)  # MAX_CELLS squared numbers over all labels at most
-                    lists = [[0]] * len(at) if own is None else cells(units([keys[i] for i in at], k[1]), own, apart[k], least)
-                    for i, c in zip(at, lists):
-                        to[i] = c
-                take = pa.array([i for i, c in enumerate(to) for _ in c], pa.int64())
-                flat = part.take(take)
-                yield pa.RecordBatch.from_arrays([*flat.columns, pa.array([x for c in to for x in c], pa.int32()), pa.array([k == 0 for c in to for k in range(len(c))], pa.bool_())], names=[*flat.schema.names, "cell", "home"])
-
-    placed = written(nodes.mapInArrow(assign, "label string, key binary, node long, weight long, dim int, cell int, home boolean"), "cells")
-    # Written before they are joined: Spark can split a large cell's rows only in a join of plain shuffles.
+    h = F.xxhash64("label", "key")
+    mixed = written(good.groupBy("vec_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("vec_id"), "mixed")
+    sums = [F.min("vec_id").alias("least"), F.count("*").alias("weight")]
+    if shared := not mixed.isEmpty():
+        nodes = named(good, mixed, "vec_id").groupBy("label", "key").agg(F.min(F.when(F.col("own"), F.col("vec_id"))).alias("own"), *sums)
+        nodes = nodes.withColumn("node", F.coalesce("own", made_name("label", "key"))).drop("own")
+    else:
+        nodes = good.groupBy("label", "key").agg(*sums).withColumn("node", F.col("least"))
+    nodes = written(nodes.withColumn("dim", (F.octet_length("key") / 8).cast("int")), "nodes")
+    placed = in_cells(nodes, least, cell)
     counts = written(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "cell-counts")
     dealt = placed.join(counts, ["label", "dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "weight", "home", "key")
+    dealt = dealt.select("label", "dim", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "weight", "visits", "key")
 
     def compare(pdf):
         import pandas as pd
 
         x = units(pdf["key"].tolist(), int(pdf["dim"].iloc[0]))
-        node, links, root = block_links(pdf["node"].to_numpy(), pdf["home"].to_numpy(bool), pdf["weight"].to_numpy(np.float64), pdf["half"].to_numpy(), x, least, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]))
+        node, links, root = block_links(pdf["node"].to_numpy(), pdf["visits"].to_numpy(), pdf["weight"].to_numpy(np.float64), pdf["half"].to_numpy(), x, least, bool(pdf["i"].iloc[0] == pdf["j"].iloc[0]))
         return pd.DataFrame({"node": node, "links": links, "root": root})
 
     found = written(dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(compare, "node long, links long, root long"), "links")
     reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("node").agg(F.sum("links").alias("links")).join(reach, "node", "left")
-    ends = nodes.join(sums, "node", "left").select(F.col("label").alias("own_label"), F.col("key").alias("own_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    ends = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")).join(reach, "node", "left"), "node", "left")
+    ends = ends.select(F.col("label").alias("own_label"), F.col("key").alias("own_key"), "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("class"))
+    if shared:
+        # Names made from vectors are no ids.
+        ends = written(ends, "ends")
+        ends = ends.join(written(ends.groupBy("class").agg(F.min("least").alias("component")), "class-ids"), "class")
+    else:
+        ends = ends.withColumn("component", F.col("class"))
     out = rows.join(ends, (F.col("label") == F.col("own_label")) & (F.col("key") == F.col("own_key")) & F.col("vec_id").isNotNull(), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

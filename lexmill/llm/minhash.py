@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, written
-from .components import components, joined
+from .components import components, joined, made_name, named
 from .tokens import slices
 
 K = 64
@@ -37,8 +37,6 @@ BLOCK_BYTES = 16 << 20
 #: Bytes of a text that are hashed at once: each takes some 30 while they are.
 PIECE = 1 << 20
 BLANK = re.compile(rb"[ \t-\r]")
-#: Names made from sets are negative.
-SIGN = -(1 << 63)
 WORDS = 5
 #: How far the estimate of a pair that is similar enough may lie below the threshold, in standard deviations.
 SIGMAS = 9.0
@@ -199,15 +197,6 @@ def similar(percent: int) -> Column:
     return F.col("both") * 100 >= F.col("either") * percent
 
 
-def named(rows: DataFrame, mixed: DataFrame) -> DataFrame:
-    """rows (doc_id, fp, ...) with own: whether the id names a node, that is isn't one of the ids mixed."""
-    return rows.join(mixed.select(F.col("doc_id").alias("__id"), F.lit(False).alias("own")), F.col("doc_id") == F.col("__id"), "left").drop("__id").withColumn("own", F.coalesce("own", F.lit(True)))
-
-
-def set_name() -> Column:
-    return F.xxhash64("fp").bitwiseOR(F.lit(SIGN))
-
-
 def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, words: int, short: int) -> tuple[DataFrame, bool]:
     """doc_id, mark (64 bits of the text), n, component_id and class (a number of the group; null where there is none) of every row, and whether ids repeat."""
     prepare(docs.sparkSession)
@@ -221,8 +210,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
     first = [F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")]
     if repeated:
         mixed = repeats.where("mixed")
-        nodes = named(usable, mixed).groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), *first)
-        nodes = nodes.select("fp", F.coalesce("own", set_name()).alias("node"), "least", "sketch")
+        nodes = named(usable, mixed, "doc_id").groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), *first)
+        nodes = nodes.select("fp", F.coalesce("own", made_name("fp")).alias("node"), "least", "sketch")
     else:
         nodes = usable.groupBy("fp").agg(*first).select("fp", F.col("least").alias("node"), "least", "sketch")
     nodes = written(nodes, "nodes")
@@ -237,8 +226,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
         # A node's set is that of any of its rows; rows that repeat both id and text are one.
         own = nodes.join(wanted, "node", "left_semi").select("fp").join(usable.select("fp", "doc_id", "mark"), "fp").select("doc_id", "mark").distinct()
         rows = full_sets(texts.join(own, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]), words)
-        rows = named(rows, mixed).groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), F.first("shingles").alias("shingles"))
-        sets = rows.select(F.coalesce("own", set_name()).alias("node"), "shingles")
+        rows = named(rows, mixed, "doc_id").groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), F.first("shingles").alias("shingles"))
+        sets = rows.select(F.coalesce("own", made_name("fp")).alias("node"), "shingles")
     else:
         sets = full_sets(texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words).select(F.col("doc_id").alias("node"), "shingles")
     sets = written(sets, "sets")

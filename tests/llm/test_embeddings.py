@@ -46,3 +46,27 @@ def test_odd_rows(spark):
     want = [(1, 2, 1, True), *((k, 0, k, True) for k in range(2, 9)), (9, 2, 1, False), (9, 2, 1, False), (None, 0, None, True)]
     assert got == sorted(want, key=repr)
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [0.0, 1.0], 0), (2, [5.0, 1.0], 1), (3, [0.0, 2.0], 0), (2, [0.0, 1.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False), (2, 2, 2, True), (2, 2, 2, True), (3, 2, 2, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cells_within_cells(spark, monkeypatch, seed):
+    """Several levels of cells, a dense cell that cutting doesn't help, ids that repeat: as brute force."""
+    monkeypatch.setattr(embeddings, "FAN", 3)
+    monkeypatch.setattr(embeddings, "DEAL", 100)
+    rng = np.random.default_rng(seed)
+    bases = rng.normal(size=(60, 4))
+    rows = [(int(rng.integers(0, 700)), (bases[k % 60] + rng.normal(size=4) * rng.choice([0.02, 0.2])).tolist(), 0) for k in range(700)]
+    rows += [(2000 + k, (bases[0] + rng.normal(size=4) * 0.001).tolist(), 0) for k in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got: dict = {}
+    for r in embeddings.link(df, 0.98, cell=20, block=64).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in brute(rows, 0.98).items()}
+    unit = embeddings.units([np.array(v).tobytes() for _, v, _ in rows[700:]], 4)
+    assert embeddings.cut(unit, 150, 20, 0.98) is None

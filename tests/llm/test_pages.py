@@ -2,7 +2,6 @@
 
 import hashlib
 import html
-import json
 import random
 import re
 
@@ -148,8 +147,53 @@ def test_inference_by_parts(spark):
     pages = [PAGE.format(k=k, extra="<ul><li>z</ul>" * (k % 3)) for k in range(30)]
     df = spark.createDataFrame([(k, "http://h.test/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     one, many = (htmlwrap.infer(df.coalesce(1)).first(), htmlwrap.infer(df.repartition(6)).first())
-    assert one.pages == many.pages == 30 and htmlwrap.has_main(json.loads(many.wrapper))
-    assert one.fixed == many.fixed
+    assert one.pages == many.pages == 30
+    chosen = [htmlwrap.rule(r.wrapper, r.slots) for r in (one, many)]
+    for whole, _, own in chosen:
+        found = [text for _, text, _ in htmlwrap.slots(htmlwrap.parse(pages[1]), whole, own)]
+        assert found[0] == "Head 1 & more" and found[-1] == "z" and len(found) == 4
+
+
+def neutral(page):
+    """The page without any name or tag that says what an element is for."""
+    page = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b", r"<\1div", page)
+    return re.sub(r' (class|id|role)=("[^"]*"|[^ >]+)', "", page)
+
+
+def test_names_and_tags_are_not_needed(spark):
+    """All pages without tags like article and nav and without class names: the same texts."""
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, neutral(r.html)) for r in df.collect()]
+    assert not any(re.search("<(article|nav|footer)|class=", h) for _, _, h in rows)
+    want = {r.page_id: r.text for r in htmlwrap.extract(df).collect()}
+    assert {r.page_id: r.text for r in htmlwrap.extract(spark.createDataFrame(rows, df.schema)).collect()} == want
+
+
+def test_names_do_not_delete_articles(spark):
+    body = "<{0}><h1>Title {1}</h1><p>Body text {1}.</p><p class='notice-board'>Board {1} <span class=share>shared</span> <math><mi>x</mi></math>.</p></{2}>"
+    for tag in ("article class='post no-comments'", "div class='has-sidebar content'", "div class='with-header-menu'", "div class=widget", "main id=comments-page", "form id=aspnetForm", "div"):
+        pages = [f"<body><nav><a href=x>Menu {k}</a></nav>{body.format(tag, k, tag.split()[0])}</body>" for k in range(3)]
+        assert texts(spark, pages[:1]) + texts(spark, pages) == [f"Title {k}\nBody text {k}.\nBoard {k} shared x." for k in (0, 0, 1, 2)]
+
+
+def test_parts_that_go(spark):
+    """Names of several words, hidden elements, controls, lists of links, and comments longer than the article."""
+    parts = ["<div class=cookie-notice>Cookies {0}</div>", "<div class='comments-list'>" + "<p>Long comment {0} indeed</p>" * 9 + "</div>", "<ul><li><a href=a>One {0}</a><li><a href=b>Two</a></ul>", "<p hidden>no</p><div style='display: none'><p>no {0}</div>", "<p>A <button>Buy {0}</button><span hidden>no</span>line {0}</p>"]
+    pages = [f"<body><nav><a href=x>Menu {k}</a></nav><article><h1>Title {k}</h1><p>The story of number {k}, told well</p>{''.join(parts).format(k)}<p>End {k}</p></article></body>" for k in range(3)]
+    assert texts(spark, pages) == [f"Title {k}\nThe story of number {k}, told well\nA line {k}\nEnd {k}" for k in range(3)]
+
+
+def test_menus_stay_menus_in_the_deep(spark):
+    page = "<body>" + "<div>" * 400 + "<nav><a href=x>MENU {0}</a></nav><div><h1>Head {0}</h1><p>Text {0}</p></div>" + "</div>" * 400 + "</body>"
+    assert texts(spark, [page.format(k) for k in range(3)]) == [f"Head {k}\nText {k}" for k in range(3)]
+    deep = htmlwrap.wrapper(htmlwrap.parse("<div>" * 5000 + "x"))
+    assert htmlwrap.dumped(htmlwrap.loaded(htmlwrap.dumped(deep))) == htmlwrap.dumped(deep)
+
+
+def test_pages_of_another_kind(spark):
+    """A host of two layouts: pages that lack what the host's sums choose are decided by their own."""
+    pages = [f"<body><div><a href=x>Menu {k}</a></div><div><h1>Head {k}</h1><p>Text {k} and more of it</p></div></body>" for k in range(4)] + [f"<body><div><a href=x>Menu {k}</a></div><table><tr><td>Cell {k}</td><td>other {k}</td></tr></table></body>" for k in range(2)]
+    assert texts(spark, pages) == [f"Head {k}\nText {k} and more of it" for k in range(4)] + [f"Cell {k}\nother {k}" for k in range(2)]
 
 
 def test_join_extracts_alike(spark, monkeypatch):

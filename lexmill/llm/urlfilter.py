@@ -8,8 +8,10 @@ inverted index under their rarest token, and the one of highest confidence wins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import written
@@ -29,18 +31,31 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def given(host: Column, path: Column, rules: dict[str, str]) -> Column:
-    """The longest rule (host and path, like example.net/en/) that fits, else null; rules maps them to verdicts.
+def table_of(spark: SparkSession, rules: dict[str, str]) -> DataFrame:
+    """rule, verdict, own (host), start (path) of given rules."""
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.partition("/")[0]).alias("own"), F.lit("/" + r.partition("/")[2]).alias("start")) for r, v in rules.items()]
+    out = spark.range(0).select(F.lit("").alias("rule"), F.lit("").alias("verdict"), F.lit("").alias("own"), F.lit("").alias("start"))
+    for k in range(0, len(rows), 500):
+        out = out.unionByName(spark.range(1).select(F.inline(F.array(*rows[k : k + 500]))))
+    return out
+
+
+def given(urls: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
+    """urls (host, path) with rule and by_rule, the longest of rules (see table_of) that fits and its verdict, else nulls.
 
     A rule fits its host and every subdomain, if the path starts with the rule's. An empty path of a
-    URL counts as it stands: it starts with nothing but an empty path.
+    URL counts as it stands: it starts with nothing but an empty path. Each host is joined with the rules of its domains
+    of up to depth labels (no rule has more) once; ties in length go to the last by name.
     """
-    out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r), r)):
-        own, _, rest = rule.partition("/")
-        fits = ((host == own) | host.endswith("." + own)) & path.startswith("/" + rest)
-        out = F.when(fits, F.lit(rule)).otherwise(out)
-    return out
+    hosts = urls.select("host").distinct()
+    labels = F.slice(F.reverse(F.split("host", r"\.", -1)), 1, depth)
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.reverse(F.slice(labels, 1, k)), "."))
+    fits = hosts.select("host", F.explode(ends).alias("own")).join(rules, "own")
+    fits = fits.groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("size"), "rule", "verdict", "start")).alias("fits"))
+    # Written before it is joined: Spark can split a frequent host's rows only in a join of plain shuffles.
+    fits = written(fits.withColumnRenamed("host", "fits_host"), "host-rules")
+    best = F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["start"])))
+    return urls.join(fits, F.col("host") == F.col("fits_host"), "left").withColumn("best", best).withColumns({"rule": F.col("best.rule"), "by_rule": F.col("best.verdict")}).drop("fits_host", "fits", "best")
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
@@ -59,39 +74,74 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*kinds))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> DataFrame:
-    """Rules (rule_id, items, size, verdict, confidence, support) from labelled (items, verdict).
+def grouped(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Rules of single tokens that settle the verdict, and tokens (token, item) that mining goes on with.
+
+    rows: items and verdict, n times each. Only tokens of at least least rows count. A token all of whose rows have one verdict is a rule, and no longer rule with
+    it can say more. Of the others, those that have the same rows are one item: else each set of them
+    would be mined for itself.
+    """
+    each = rows.select("verdict", "n", F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g"), F.explode("items").alias("token"))
+    sums = [F.sum("n").alias("n"), F.sum(F.when(F.col("verdict") == BLOCK, F.col("n")).otherwise(0)).alias("blocked")]
+    # What rows a token has, told by sums of their hashes.
+    mark = [F.sum(F.col(c).cast("decimal(20)")).alias(c) for c in ("h", "g")]
+    tokens = written(each.groupBy("token").agg(*sums, *mark).where(F.col("n") >= least), "url-tokens")
+    sure = (F.col("blocked") == 0) | (F.col("blocked") == F.col("n"))
+    return tokens.where(sure), tokens.where(~sure).groupBy("n", "blocked", "h", "g").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("item")).select(F.explode("tokens").alias("token"), "item")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, size, verdict, confidence, support) from labelled (items, verdict), and names (token, item): a URL that has a token has the item.
 
-    FP-growth runs over the distinct combinations' own rows, every labelled one. A rule is kept if no
-    kept verdict's rule with a part of its tokens is as confident: the longer says nothing more. Null verdicts count for nothing; without
+    FP-growth runs over every labelled row, over items that no single token settles (see grouped). A rule is kept if no
+    kept verdict's rule with a part of its items is as confident: the longer says nothing more. Null verdicts count for nothing; without
     labelled rows there are no rules.
     """
     verdicts = [ALLOW, BLOCK]
     marks = [f"verdict:{v}" for v in verdicts]
-    rows = labelled.where(F.col("verdict").isin(verdicts)).select(F.array_union("items", F.array(F.concat(F.lit("verdict:"), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
+    rows = written(labelled.where(F.col("verdict").isin(verdicts)).groupBy(F.array_sort("items").alias("items"), "verdict").agg(F.count("*").alias("n")), "labelled")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    sure, names = grouped(rows, max(1, math.ceil(min_support * total - 1e-9)))
+    names = written(names, "items")
+    single = sure.select(F.array("token").alias("items"), F.when(F.col("blocked") == 0, ALLOW).otherwise(BLOCK).alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(max(1, total))).alias("support"))
+    # A row's items, and how often it is there: rows without any count for the supports still.
+    known = rows.withColumn("row", F.monotonically_increasing_id())
+    known = written(known, "rows")
+    item = known.select("row", F.explode("items").alias("token")).join(names, "token").groupBy("row").agg(F.collect_set("item").alias("own"))
+    basket = F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(F.concat(F.lit("verdict:"), F.col("verdict"))))
+    baskets = known.join(item, "row", "left").groupBy(F.array_sort(basket).alias("items")).agg(F.sum("n").alias("n"))
+    baskets = baskets.select("items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("items")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].isin(marks) & ~F.arrays_overlap("antecedent", F.lit(marks)))
-    rules = written(found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 9, 10).alias("verdict"), "confidence", "support"), "rules")
+    found = found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 9, 10).alias("verdict"), "confidence", "support")
+    rules = written(found.unionByName(single), "rules")
     part = rules.select(F.col("items").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
-    # A rule's parts share its first kept token or lie within it: they are met under each of its tokens.
+    # A rule's parts share its first kept item or lie within it: they are met under each of its items.
     parts = rules.select("items", "verdict", "confidence", F.explode("items").alias("token")).join(part.withColumn("token", F.col("part")[0]), "token")
     covered = parts.where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("verdict") == F.col("part_verdict")) & (F.col("part_confidence") >= F.col("confidence"))).select("items", "verdict").distinct()
     kept = rules.join(covered, ["items", "verdict"], "left_anti")
-    return written(kept.select(F.concat_ws(" ", F.col("verdict"), F.array_join("items", " ")).alias("rule_id"), "items", F.size("items").alias("size"), "verdict", "confidence", "support"), "rules")
+    kept = written(kept.select(F.concat_ws(" ", F.col("verdict"), F.array_join("items", " ")).alias("rule_id"), "items", F.size("items").alias("size"), "verdict", "confidence", "support"), "rules")
+    return kept, names
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """items and the verdict of the best rule for each distinct token set in urls (items); sets that no rule fits are left out.
 
-    Best: highest confidence, then support, then the more specific, then by name.
+    names: which tokens stand for which items of rules; other tokens stand for themselves. Best: highest confidence,
+    then support, then the more specific, then by name.
     """
     sets = urls.select("items").distinct()
-    # A rule hangs under its rarest token among the rules, so a token of nearly every URL indexes few.
+    tokens = sets.select("items", F.explode("items").alias("token"))
+    if names is not None:
+        tokens = tokens.join(names, "token", "left").withColumn("token", F.coalesce("item", "token")).drop("item").distinct()
+    # A rule hangs under its rarest item among the rules, so an item of nearly every URL indexes few.
     spread = rules.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     posted = rules.select("rule_id", "items", F.explode("items").alias("token")).join(spread, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     index = posted.join(rules, "rule_id").select("token", F.col("items").alias("rule_items"), "verdict", F.struct("confidence", "support", "size", "rule_id").alias("rank"))
     index = F.broadcast(index) if rules.count() <= BROADCAST_RULES else index
-    hits = sets.select("items", F.explode("items").alias("token")).join(index, "token").where(F.size(F.array_except("rule_items", "items")) == 0)
+    # The items of a set, as far as rules have them, then the rules under each of these.
+    known = tokens.join(spread.select("token"), "token", "left_semi").groupBy("items").agg(F.collect_set("token").alias("own"))
+    hits = known.select("items", "own", F.explode("own").alias("token")).join(index, "token").where(F.size(F.array_except("rule_items", "own")) == 0)
     return hits.groupBy("items").agg(F.max_by("verdict", "rank").alias("mined"))
 
 
@@ -109,14 +159,12 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
         df = df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
         return df.withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path")))
 
-    verdicts = F.lit(None).cast("string")
-    for rule, verdict in rules.items():
-        verdicts = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(verdicts)
-    rows = written(split(rows).withColumn("rule", given(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdicts).select("page_id", "host", "path", "items", "rule", "by_rule"), "urls")
+    spark = pages.sparkSession
+    rows = written(given(split(rows), table_of(spark, rules), max((r.partition("/")[0].count(".") + 1 for r in rules), default=1)).select("page_id", "host", "path", "items", "rule", "by_rule"), "urls")
     learn = rows.where("rule is not null").select("items", F.col("by_rule").alias("verdict"))
     if labels is not None:
         learn = learn.unionByName(split(labels.select("url", "verdict")).select("items", "verdict"))
     # Written before it is joined: Spark can split a frequent token set's rows only in a join of plain shuffles.
-    mined = written(match(rows.where("rule is null"), mine(learn, min_support, min_confidence)), "mined")
+    mined = written(match(rows.where("rule is null"), *mine(learn, min_support, min_confidence)), "mined")
     out = rows.join(mined, "items", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "mined", F.lit(default)).alias("verdict"))

@@ -80,8 +80,42 @@ def test_empty_and_repeated(spark):
 
 def test_query(spark):
     got = {(r.doc_id, r.start): r for r in op1_packing(spark, "/root/testdata/sf0.001").collect()}
-    for doc, text in duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet' limit 40").fetchall():
+    docs = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    assert {d for d, _ in got} == {d for d, _ in docs}
+    for doc, text in docs:
         ids = PLAIN["word"].encode(text, add_special_tokens=False).ids + [1]
         own = [r for (d, _), r in got.items() if d == doc]
         assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
         assert sum(r.length for r in own) == len(ids)
+
+
+def test_conversations_with_loss_on_answers(spark):
+    """All turns of a conversation are one example, the assistant's bear loss: every limit binds, each id is in one piece, and the spans are the answers' ids."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns.createOrReplaceTempView("turns")
+    examples = spark.sql("select conv_id, transform(array_sort(collect_list(struct(turn, role, text))), x -> struct(x.text as text, x.role = 'assistant' as loss)) as parts from turns group by conv_id").coalesce(1)
+    want = {}
+    for r in examples.collect():
+        ids, bears = [], []
+        for p in r.parts:
+            own = PLAIN["word"].encode(p.text, add_special_tokens=False).ids if p.text else []
+            ids, bears = ids + own, bears + [p.loss] * len(own)
+        want[r.conv_id] = (ids + [1], bears + [r.parts[-1].loss])
+    share = sum(sum(b) for _, b in want.values()) / sum(len(i) for i, _ in want.values())
+    assert 0.1 < share < 0.9
+    for segments, loss in ((64, int(512 * share * 0.8)), (64, 512), (2, 512)):
+        rows = packing.pack(examples, public_tokenizers.path(FILES["word"]), id_col="conv_id", parts="parts", capacity=512, max_segments=segments, max_loss=loss).collect()
+        seqs = check_pieces(rows, {d: i for d, (i, _) in want.items()}, 512, segments, loss)
+        for r in rows:
+            bears = want[r.doc_id][1][r.start : r.start + r.length]
+            marked = [any(s.start <= k < s.start + s.length for s in r.loss_spans) for k in range(r.length)]
+            assert marked == bears and r.loss_tokens == sum(bears)
+        # Hardly more sequences than the scarcest of the three limits asks for, which is the loss in the first round.
+        least = [sum(len(i) for i, _ in want.values()) / 512, sum(sum(b) for _, b in want.values()) / loss, len(want) / segments]
+        assert len(seqs) <= 1.02 * max(least) + 2 and (max(least) == least[1]) == (loss < 512)
+
+
+def test_odd_parts(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [None, (None, True), ("", None)]), (4, [("a b", None), ("c", True)]), (None, [("a", True)])], "doc_id long, p array<struct<text:string,loss:boolean>>").coalesce(1)
+    rows = {r.doc_id: (r.length, r.loss_tokens, [tuple(s) for s in r.loss_spans]) for r in packing.pack(df, public_tokenizers.path(FILES["word"]), parts="p").collect()}
+    assert rows == {1: (1, 0, []), 2: (1, 0, []), 3: (1, 0, []), 4: (4, 2, [(2, 2)]), None: (2, 2, [(0, 2)])}

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_blobs(df: DataFrame, column: str, path: str) -> None:
-    """One file for each row of df; the bytes in column must end in a line feed."""
+def write_blobs(df: DataFrame, column: str, path: str, by: tuple[str, ...] = ()) -> None:
+    """One file for each row of df; the bytes in column must end in a line feed. by: columns whose values name folders."""
     body = F.expr(f"substring(`{column}`, 1, octet_length(`{column}`) - 1)")
-    (df.select(body.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path))
+    df.select(body.cast("string").alias("value"), *by).write.partitionBy(*by).option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
-def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """path, content; files in path are those of write_blobs."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
+def read_blobs(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """content and the columns by of the files of write_blobs; where only the latter are asked for no file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    return files.select("content", *(F.col(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in by))

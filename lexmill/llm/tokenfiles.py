@@ -10,7 +10,8 @@ the one shared frequency table (see rans). A file, numbers big-endian in headers
             then states, doc ids, whether each is null, lengths, words
     a line feed
 
-Ordinals ascend with doc_id. A checkpoint lets a reader start at any block.
+Ordinals ascend with doc_id. A file lies in the folder ordinal=N/tokens=M, so the places of all files are known
+from their folders' names. A checkpoint lets a reader start at any block.
 """
 
 from __future__ import annotations
@@ -73,17 +74,23 @@ def ordinal_of(data: bytes) -> int:
     return FILE.unpack_from(data)[1]
 
 
-def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0, count: int | None = None):
-    """doc, tokens of the file before it, ids; from block number first on, count blocks or all."""
-    magic, _, blocks, _, _, crc = FILE.unpack_from(data)
+def unpack_file(data: bytes, table: rans.Table, table_crc: int, first: int = 0, last: int | None = None):
+    """doc, tokens of the file before it, ids, of the documents that have any of the file's tokens from first to last (not included); blocks without any are passed over."""
+    magic, _, blocks, _, tokens, crc = FILE.unpack_from(data)
     if magic != b"LXTOKEN1" or crc != table_crc:
         raise ValueError("not a token file of this table")
     view = memoryview(data)
-    for k in range(first, blocks if count is None else min(blocks, first + count)):
-        at, start, _ = CHECKPOINT.unpack_from(data, FILE.size + k * CHECKPOINT.size)
+    marks = [CHECKPOINT.unpack_from(data, FILE.size + k * CHECKPOINT.size) for k in range(blocks)]
+    ends = [m[1] for m in marks[1:]] + [tokens]
+    for (at, start, _), end in zip(marks, ends):
+        # A document without ids lies where it begins.
+        if last is not None and (start >= last or end < first):
+            continue
         for doc, ids in unpack_block(view, at, table):
-            yield doc, start, ids
-            start += len(ids) // 4
+            n = len(ids) // 4
+            if last is None or start < last and max(start + n, start + 1) > first:
+                yield doc, start, ids
+            start += n
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int | None = 0, vocab: int = 65_536, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 1 << 23) -> None:
@@ -148,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
             parts.clear()
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array([pack_file(ordinal, blocks, crc)], type=pa.binary())], names=["body"])
+            made = pa.RecordBatch.from_arrays([pa.array([ordinal], pa.int64()), pa.array([sum(b[1] for b in blocks)], pa.int64()), pa.array([pack_file(ordinal, blocks, crc)], type=pa.binary())], names=["ordinal", "tokens", "body"])
             blocks.clear()
             return made
 
@@ -171,23 +178,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
 
     files = max(1, round(sum(counts.values()) / file_tokens))
     dealt = ids.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    write_blobs(dealt.mapInArrow(to_files, "body binary"), "body", f"{path}/files")
+    write_blobs(dealt.mapInArrow(to_files, "ordinal long, tokens long, body binary"), "body", f"{path}/files", ("ordinal", "tokens"))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit) from files of write_tokens.
 
-    The driver gathers two numbers a file (its ordinal and count of ids) and the table. A damaged
+    first, last: only the documents that have any of the ids from first to last (not included) of all; other files aren't
+    opened and other blocks aren't decoded. The driver gathers two numbers a file, from the folders' names, and the table. A damaged
     block or a table that isn't the files' own raises.
     """
     prepare(spark)
     body = bytes(read_blobs(spark, f"{path}/table").collect()[0].content)
     crc = zlib.crc32(body)
-    files = read_blobs(spark, f"{path}/files")
-    number = lambda at, n: F.conv(F.hex(F.expr(f"substring(content, {at + 1}, {n})")), 16, 10).cast("long")
-    heads = files.select(number(8, 8).alias("ordinal"), number(28, 8).alias("n")).toArrow().sort_by("ordinal")
-    ordinals, sizes = heads["ordinal"].to_numpy(), heads["n"].to_numpy()
-    known = spark.sparkContext.broadcast((ordinals, np.cumsum(sizes) - sizes))
+    shape = "doc_id long, start long, n_tokens long, ids binary"
+    files = read_blobs(spark, f"{path}/files", ("ordinal", "tokens")).withColumns({c: F.col(c).cast("long") for c in ("ordinal", "tokens")})
+    heads = files.select("ordinal", "tokens").toArrow().sort_by("ordinal")
+    ordinals, sizes = heads["ordinal"].to_numpy(), heads["tokens"].to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    if last is not None:
+        wanted = ordinals[(starts < last) & (starts + np.maximum(sizes, 1) > first)]
+        files = files.where(F.col("ordinal").between(int(wanted[0]), int(wanted[-1]))) if len(wanted) else files.where("false")
+    known = spark.sparkContext.broadcast((ordinals, starts))
 
     def run(batches):
         import pyarrow as pa
@@ -195,11 +207,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         table = rans.Table.from_bytes(body)
         ordinals, starts = known.value
         for batch in batches:
-            for content in batch.column("content"):
+            for ordinal, content in zip(batch.column("ordinal").to_pylist(), batch.column("content")):
                 data = content.as_py()
-                before = int(starts[np.searchsorted(ordinals, ordinal_of(data))])
+                if ordinal != ordinal_of(data):
+                    raise ValueError("a file lies in another one's folder")
+                before = int(starts[np.searchsorted(ordinals, ordinal)])
                 rows: list[tuple] = []
-                for doc, start, ids in unpack_file(data, table, crc):
+                for doc, start, ids in unpack_file(data, table, crc, max(0, first - before), None if last is None else last - before):
                     rows.append((doc, before + start, len(ids) // 4, ids))
                     if len(rows) >= 1000:
                         yield _rows(pa, rows)
@@ -207,7 +221,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _rows(pa, rows)
 
-    return files.select("content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("ordinal", "content").mapInArrow(run, shape)
 
 
 def _rows(pa, rows):

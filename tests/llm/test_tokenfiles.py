@@ -52,7 +52,15 @@ def test_checkpoints_start_anywhere():
     data = tokenfiles.pack_file(3, blocks, 77)
     every = list(tokenfiles.unpack_file(data, table, 77))
     assert [(d, s) for d, s, _ in every] == [(1, 0), (2, 5), (3, 15), (4, 30)]
-    assert list(tokenfiles.unpack_file(data, table, 77, first=2, count=1)) == every[2:3]
+    for first in range(0, 52):
+        for last in (first, first + 1, first + 7, 60):
+            assert list(tokenfiles.unpack_file(data, table, 77, first, last)) == [(d, s, i) for d, s, i in every if s < last and s + len(i) // 4 > first]
+    # Blocks outside aren't decoded: damage there goes unnoticed.
+    damaged = bytearray(data)
+    damaged[-9] ^= 1
+    assert list(tokenfiles.unpack_file(bytes(damaged), table, 77, 0, 20)) == every[:3]
+    with pytest.raises(ValueError):
+        list(tokenfiles.unpack_file(bytes(damaged), table, 77))
     with pytest.raises(ValueError):
         list(tokenfiles.unpack_file(data, table, 78))
 
@@ -72,6 +80,9 @@ def test_files_hold_every_text(spark):
     for r in rows:
         assert r.start == at and r.n_tokens == len(r.ids) // 4
         at += r.n_tokens
+    for first, last in ((0, 1), (0, at), (5, 9), (at - 1, at), (at, at + 9), (100, 3000), (7, 7)):
+        got = sorted((r.start, bytes(r.ids)) for r in tokenfiles.read_tokens(spark, path, first, last).collect())
+        assert got == [(r.start, bytes(r.ids)) for r in rows if r.start < last and r.start + r.n_tokens > first]
 
 
 def test_empty_table(spark):

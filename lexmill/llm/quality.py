@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import prepare
+from ..runtime import prepare, written
 from .tokens import slices
 
 FEATURES = (
@@ -170,8 +170,8 @@ def fit_tables(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000) -> Model:
     """A model from labelled documents that train (a predicate on the id column of docs) admits.
 
-    Bound: max_rows labelled rows, by the hash of their id. Rows of null id or label count for nothing;
-    a document labelled twice counts twice. Without labels every score is 0.5.
+    Bound: max_rows labelled rows, those of the smallest hashes of their ids. Rows of null id or label count for nothing;
+    a document labelled more than once has the label that most say, 1 if they are even. Without labels every score is 0.5.
     """
 
     prepare(docs.sparkSession)
@@ -186,11 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) == 1).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    # Labels of one document become one, so that no id's rows multiply.
+    marked = written(marked.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")), "labels")
     n = marked.count()
     share = int(min(1.0, 2.0 * max_rows / max(1, n)) * (1 << 30))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("ok")).where(F.col("ok") & (place < share)).select("doc_id", "text")
-    rows = own.mapInArrow(run, "doc_id long, x array<double>").join(marked.where(place < share), "doc_id").select(place.alias("place"), "doc_id", "x", "y").limit(4 * max_rows).collect()
-    rows = sorted(rows, key=lambda r: (r.place, r.doc_id, r.y))[:max_rows]
+    rows = own.mapInArrow(run, "doc_id long, x array<double>").join(marked.where(place < share), "doc_id").select(place.alias("place"), "doc_id", "x", "y")
+    rows = sorted(rows.orderBy("place", "doc_id", "x").limit(max_rows).collect(), key=lambda r: (r.place, r.doc_id, r.x))
     return fit_tables(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows]))
 
 

@@ -36,6 +36,58 @@ def test_top_word_counts_all_words():
         assert quality.features(" ".join(words))[top] == max(words[i : i + 500].count(w) for i in range(0, n, 500) for w in words[i : i + 500]) / min(n, 500)
 
 
+def slow_features(text):
+    """The features by their names, a character or word at a time."""
+    import math
+
+    ws = (text or "").split()
+    if not ws:
+        return [0.0] * len(quality.FEATURES)
+    raw = text.encode("utf-8", "replace")
+    solid = max(1, sum(b not in b" \n" for b in raw))
+    share = lambda ok: sum(map(ok, raw)) / solid
+    among = lambda chars: share(lambda b: chr(b) in chars)
+    pieces = [ws[i : i + 500] for i in range(0, len(ws), 500)]
+    lines = text.split("\n")
+    found = {
+        "log_words": math.log(1 + len(ws)), "word_length": solid / len(ws), "letters": share(lambda b: b >= 128 or chr(b).isalpha()), "capitals": share(lambda b: 65 <= b <= 90),
+        "digits": among("0123456789"), "stops": among(".,"), "marks": among("\"'();:?-"), "bars": among("|"), "exclaims": among("!"), "other_signs": among("#$%&*+/<=>@[\\]^_`{}~"),
+        "repeats": sum(ws[k] == ws[k - 1] for k in range(1, len(ws))) / len(ws), "distinct_500": sum(len(set(p)) for p in pieces) / len(ws),
+        "top_word": max(p.count(w) for p in pieces for w in set(p)) / min(len(ws), 500), "same_lines": 1 - len(set(lines)) / len(lines), "line_words": len(ws) / len(lines),
+        "long_words": sum(len(w) > 20 for w in ws) / len(ws), "signs_at_ends": sum(text[k] in "#$%&*!|" and text[k + 1].isspace() for k in range(len(text) - 1)) / len(ws),
+    }
+    return [found[name] for name in quality.FEATURES]
+
+
+def test_features_against_a_slow_reading(spark):
+    texts = [t for _, t in ODD if len(t or "") < 1000] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["a b! c# |d A.1\n\na b! #", "\u2003x\u2003", "x" * 25 + " y"]
+    for t in texts:
+        assert quality.features(t) == pytest.approx(slow_features(t))
+
+
+def test_scores_against_tables_read_by_hand(spark):
+    """The query's score of every document: base, one entry a feature and one a pair, added and squashed."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    bin_of = lambda cuts, v: sum(v >= c for c in cuts)
+    got = {r.doc_id: r.score for r in op3_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == docs.count() and model.pairs
+    for r in docs.collect():
+        x = quality.features(r.text)
+        odds = model.base + sum(t[bin_of(c, v)] for c, t, v in zip(model.cuts, model.tables, x))
+        odds += sum(g[bin_of(model.coarse[i], x[i]), bin_of(model.coarse[j], x[j])] for (i, j), g in zip(model.pairs, model.grids))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-odds)))
+
+
+def test_bounded_rows_are_the_same_whatever_the_partitions(spark):
+    df = spark.createDataFrame([(k % 90, f"word{k % 7} " * (k % 50)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 90, int(k % 90 % 3 == 0)) for k in range(400)], "doc_id long, quality int")
+    one, many = (quality.fit(d, labels, F.lit(True), max_rows=40) for d in (df.coalesce(1), df.repartition(7)))
+    assert one.base == many.base and all((a == b).all() for a, b in zip(one.tables + one.grids, many.tables + many.grids))
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 4))

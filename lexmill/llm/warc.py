@@ -14,10 +14,11 @@ import hashlib
 import io
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import fresh_path, prepare, written
+from . import bloom
 from .blobs import read_blobs, write_blobs
 from .tokens import slices
 
@@ -52,14 +53,15 @@ def skippable(magic: int, content: bytes) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
 
-def sample(payload: Column, key: Column, pages: DataFrame, records: int, longest: int) -> list[bytes]:
-    """At most records payloads, each cut after longest bytes, chosen by the hash of the page's id."""
-    n = pages.count()
+def sample(rows: DataFrame, records: int, longest: int, date: str) -> list[bytes]:
+    """At most records pages' records, as if each were archived in full, payloads cut after longest bytes; chosen by the hash of the page's id."""
+    n = rows.count()
     if not n:
         return []
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    rows = pages.where(place < int(min(1.0, 1.5 * records / n) * (1 << 30))).select(place.alias("place"), F.substring(payload, 1, longest).alias("payload"))
-    return [bytes(r.payload) for r in sorted(rows.limit(2 * records).collect(), key=lambda r: (r.place, r.payload))[:records]]
+    place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
+    taken = rows.where(place < int(min(1.0, 1.5 * records / n) * (1 << 30))).select(place.alias("place"), "page_id", "url", F.substring("payload", 1, longest).alias("payload"), "size", "digest")
+    found = sorted(taken.limit(2 * records).collect(), key=lambda r: (r.place, r.payload, r.url or ""))[:records]
+    return [page_record(r.page_id, r.url, bytes(r.payload), r["size"], r.digest, None, False, date) for r in found]
 
 
 def train(samples: list[bytes], size: int) -> bytes:
@@ -73,6 +75,15 @@ def train(samples: list[bytes], size: int) -> bytes:
         return whole[-size:] if len(whole) >= 8 else b""
 
 
+def pa_mask(known: bloom.Bloom, keys):
+    """Which rows' keys the filter knows; null is known to none."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = known.has(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).view("uint64"))
+    return pc.and_(pa.array(found, pa.bool_()), pc.is_valid(keys))
+
+
 def dictionary(data: bytes):
     import zstandard
 
@@ -83,25 +94,41 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     """Archive pages (page_id, url, html) under path, one record a row.
 
     Payloads of at least min_revisit bytes that are equal are stored once (rows that repeat the
-    largest page_id are stored each). The dictionary is built from at most dict_records payloads, of each
-    dict_longest bytes at most. file_bytes: a file is closed when its records take so much.
+    largest page_id are stored each). The dictionary is built from at most dict_records pages' records, with
+    dict_longest bytes of each payload at most. file_bytes: a file is closed when its records take so much.
     Null html is an empty payload, a null url has no target URI, a null page_id an empty record id; a
     group whose ids are all null is stored in full each. An empty table writes no file.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    trained = train(sample(F.col("payload"), F.col("page_id"), rows, dict_records, dict_longest), dict_size)
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    # One row for each payload that occurs more than once, written before it is joined: Spark can split a
-    # frequent payload's rows only in a join of plain shuffles.
-    groups = rows.where(F.col("size") >= min_revisit).select("digest", "size", "page_id").groupBy("digest", "size").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").select(F.col("digest").alias("g_digest"), F.col("size").alias("g_size"), "refers")
-    groups = written(groups, "payload-groups")
-    marked = rows.join(groups, (rows.digest == groups.g_digest) & (rows["size"] == groups.g_size), "left")
-    revisit = F.col("refers").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers"))
-    marked = marked.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", "refers", revisit.alias("revisit"))
+    trained = train(sample(rows, dict_records, dict_longest, date), dict_size)
+    # Which pages are revisits is found out without their payloads.
+    light = written(rows.select("page_id", "url", "size", "digest"), "digests")
+    groups = light.where(F.col("size") >= min_revisit).groupBy("digest", "size").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null")
+    # Written before it is joined: Spark can split a frequent payload's rows only in a join of plain shuffles.
+    groups = written(groups.select("digest", "size", "refers"), "payload-groups")
+    revisits = written(light.join(groups, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers"))).select("page_id", "url", "size", "digest", "refers"), "revisits")
+    # Payloads stay where they are read: a filter of bounded size tells the rows that may be revisits. Those few that it takes for one wrongly are looked up.
+    key = F.xxhash64("digest", "page_id").alias("key")
+    known = pages.sparkSession.sparkContext.broadcast(bloom.build(revisits.select(key), "key"))
+
+    def hits(batches):
+        for batch in batches:
+            yield batch.filter(pa_mask(known.value, batch.column("key")))
+
+    wrong = light.select("page_id", "digest", key).mapInArrow(hits, "page_id long, digest string, key long").join(revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest")), (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_page")), "left_anti")
+    wrong = written(wrong.select(F.col("page_id").alias("w_page"), F.col("digest").alias("w_digest")).distinct(), "wrong")
+    none = F.lit(None).cast("long")
+    marked = rows.select("page_id", "url", "payload", "size", "digest", none.alias("refers"), F.lit(False).alias("revisit"), key)
+    marked = marked.unionByName(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", "refers", F.lit(True).alias("revisit"), none.alias("key")))
+    if not wrong.isEmpty():
+        again = rows.join(wrong, (F.col("digest") == F.col("w_digest")) & F.col("page_id").eqNullSafe(F.col("w_page")), "left_semi")
+        marked = marked.unionByName(again.select("page_id", "url", "payload", "size", "digest", none.alias("refers"), F.lit(False).alias("revisit"), none.alias("key")))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, **({"dict_data": dictionary(trained)} if trained else {})).compress
@@ -116,6 +143,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
 
         for batch in batches:
             for part in slices(batch):
+                part = part.filter(pa.compute.invert(pa_mask(known.value, part.column("key")))).drop_columns(["key"])
                 for row in zip(*(c.to_pylist() for c in part.columns)):
                     if not frames:
                         frames.append(squeeze(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:lexmill:info>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: lexmill\r\nformat: WARC File Format 1.1\r\n")))

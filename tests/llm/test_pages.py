@@ -271,6 +271,25 @@ def test_archives_round_trip(spark):
     assert {p: r.refers_to for p, r in by_id.items() if r.record_type == "revisit"} == {1: 5, 2: 5, 8: 9}
 
 
+def test_pages_that_the_filter_takes_wrongly(spark, monkeypatch):
+    """A filter that knows every page: all payloads are looked up, none is lost."""
+    from lexmill.llm import bloom
+
+    monkeypatch.setattr(bloom, "build", lambda keys, column: bloom.Bloom(warc_all()))
+    df = spark.createDataFrame([(k, f"http://h.test/{k}", p) for k, p in PAYLOADS.items()], "page_id long, url string, html string").repartition(3)
+    path = warc.new_path(spark)
+    warc.write_warc(df, path)
+    got = {r.page_id: r for r in warc.read_warc(spark, path).collect()}
+    assert {p: r.refers_to for p, r in got.items() if r.record_type == "revisit"} == {1: 5, 2: 5, 8: 9}
+    assert all(bytes(r.payload) == (PAYLOADS[p] or "").encode() for p, r in got.items() if r.record_type == "response") and len(got) == len(PAYLOADS)
+
+
+def warc_all():
+    import numpy as np
+
+    return np.full(64, 2**64 - 1, np.uint64)
+
+
 def test_archives_are_plain_zstandard(spark):
     import zstandard
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare, written
+from . import bloom
 from .components import components, joined, made_name, named
 from .tokens import slices
 
@@ -229,7 +230,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
         rows = named(rows, mixed, "doc_id").groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), F.first("shingles").alias("shingles"))
         sets = rows.select(F.coalesce("own", made_name("fp")).alias("node"), "shingles")
     else:
-        sets = full_sets(texts.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), words).select(F.col("doc_id").alias("node"), "shingles")
+        sets = full_sets(bloom.roughly(texts.select("doc_id", "text"), written(wanted.withColumnRenamed("node", "doc_id"), "wanted"), ["doc_id"]), words).select(F.col("doc_id").alias("node"), "shingles")
     sets = written(sets, "sets")
     links = confirmed(near, sets).where(similar(percent)).select("a", "b")
     parts = [written(links, "links"), *_hot_links(hot, nodes, sets, percent, k)]
@@ -268,19 +269,22 @@ def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     Rows that repeat an id are judged by their own texts; of those that also repeat the text, with or without words, one stays. Rows of null id stay.
     """
     rows, repeated = _classes(docs, id_col, text_col, percent, K, WORDS, SHORT)
-    rows = written(rows, "linked").where("doc_id is not null")
-    own = docs[id_col].cast("long")
+    every = written(rows, "linked")
+    rows = every.where("doc_id is not null")
+    light = every.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    docs = docs.withColumns({"__id": F.col(id_col).cast("long"), "__mark": F.xxhash64(F.col(text_col).cast("string"))})
     if not repeated:
-        gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-        return docs.join(gone, own == F.col("__id"), "left_anti")
+        gone = written(rows.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")), "gone")
+        return bloom.without(docs.drop("__mark"), light, gone, ["__id"]).drop("__id")
     # Texts, told by their marks: the smallest of the rows that could stay for a group stays.
     texts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"), F.min("class").alias("class"))
     texts = written(texts, "texts")
     stays = texts.where("doc_id = component_id").groupBy("doc_id", F.coalesce("class", "mark").alias("key"), F.col("class").isNull().alias("wordless")).agg(F.min("mark").alias("mark"))
     marked = texts.join(stays.select("doc_id", "mark", F.lit(True).alias("stays")), ["doc_id", "mark"], "left").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.coalesce("stays", F.lit(False)).alias("stays"), "n")
     marked = written(marked.where("not stays or n > 1"), "marked")
-    same = (own == F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__mark"))
-    return docs.join(marked, same, "left_anti").unionByName(docs.join(marked.where("stays"), same, "left_semi").dropDuplicates([id_col, text_col]))
+    out = bloom.without(docs, light, marked, ["__id", "__mark"]).drop("__id", "__mark")
+    again = docs.join(marked.where("stays").select("__id", "__mark"), ["__id", "__mark"], "left_semi").drop("__id", "__mark")
+    return out.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def _listed(nodes: DataFrame, short: int) -> DataFrame:

@@ -75,15 +75,6 @@ def train(samples: list[bytes], size: int) -> bytes:
         return whole[-size:] if len(whole) >= 8 else b""
 
 
-def pa_mask(known: bloom.Bloom, keys):
-    """Which rows' keys the filter knows; null is known to none."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    found = known.has(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).view("uint64"))
-    return pc.and_(pa.array(found, pa.bool_()), pc.is_valid(keys))
-
-
 def dictionary(data: bytes):
     import zstandard
 
@@ -109,26 +100,14 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     # Written before it is joined: Spark can split a frequent payload's rows only in a join of plain shuffles.
     groups = written(groups.select("digest", "size", "refers"), "payload-groups")
     revisits = written(light.join(groups, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers"))).select("page_id", "url", "size", "digest", "refers"), "revisits")
-    # Payloads stay where they are read: a filter of bounded size tells the rows that may be revisits. Those few that it takes for one wrongly are looked up.
-    key = F.xxhash64("digest", "page_id").alias("key")
-    known = pages.sparkSession.sparkContext.broadcast(bloom.build(revisits.select(key), "key"))
-
-    def hits(batches):
-        for batch in batches:
-            yield batch.filter(pa_mask(known.value, batch.column("key")))
-
-    wrong = light.select("page_id", "digest", key).mapInArrow(hits, "page_id long, digest string, key long").join(revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest")), (F.col("digest") == F.col("r_digest")) & F.col("page_id").eqNullSafe(F.col("r_page")), "left_anti")
-    wrong = written(wrong.select(F.col("page_id").alias("w_page"), F.col("digest").alias("w_digest")).distinct(), "wrong")
+    # Payloads stay where they are read.
     none = F.lit(None).cast("long")
-    marked = rows.select("page_id", "url", "payload", "size", "digest", none.alias("refers"), F.lit(False).alias("revisit"), key)
-    marked = marked.unionByName(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", "refers", F.lit(True).alias("revisit"), none.alias("key")))
-    if not wrong.isEmpty():
-        again = rows.join(wrong, (F.col("digest") == F.col("w_digest")) & F.col("page_id").eqNullSafe(F.col("w_page")), "left_semi")
-        marked = marked.unionByName(again.select("page_id", "url", "payload", "size", "digest", none.alias("refers"), F.lit(False).alias("revisit"), none.alias("key")))
+    full = bloom.without(rows, light, revisits, ["digest", "page_id"])
+    marked = full.select("page_id", "url", "payload", "size", "digest", none.alias("refers"), F.lit(False).alias("revisit"))
+    marked = marked.unionByName(revisits.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", "refers", F.lit(True).alias("revisit")))
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute  # noqa: F401
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, **({"dict_data": dictionary(trained)} if trained else {})).compress
@@ -143,7 +122,6 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
 
         for batch in batches:
             for part in slices(batch):
-                part = part.filter(pa.compute.invert(pa_mask(known.value, part.column("key")))).drop_columns(["key"])
                 for row in zip(*(c.to_pylist() for c in part.columns)):
                     if not frames:
                         frames.append(squeeze(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:lexmill:info>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: lexmill\r\nformat: WARC File Format 1.1\r\n")))

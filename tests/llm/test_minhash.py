@@ -103,6 +103,20 @@ def test_repeated_ids_against_brute_force(spark, seed):
     assert sorted(label[docs.index((r.doc_id, r.text))] for r in left) == sorted(set(label))
 
 
+@pytest.mark.parametrize("useful", [0.01, 1.0])
+def test_filters_that_know_everything(spark, monkeypatch, useful):
+    """Rows that a filter takes wrongly are looked up; filters of no use give way to joins."""
+    from lexmill.llm import bloom
+
+    monkeypatch.setattr(bloom, "USEFUL", useful)
+    monkeypatch.setattr(bloom, "build", lambda keys, column: bloom.Bloom(minhash.np.full(64, 2**64 - 1, minhash.U)))
+    docs = [*corpus(3), (None, "one two"), (6000, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {d: least for d, (_, least) in brute([d for d in docs if d[0] is not None]).items()}
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect() if r.doc_id is not None} == want
+    assert sorted((r.doc_id for r in minhash.unique(df).collect()), key=str) == sorted([d for d, least in want.items() if d == least] + [None], key=str)
+
+
 def test_shared_counts():
     rng = random.Random(2)
     sets = [minhash.np.array(sorted({int(rng.expovariate(0.02)) for _ in range(rng.randrange(1, 60))})) for _ in range(70)]

@@ -271,10 +271,12 @@ def test_archives_round_trip(spark):
     assert {p: r.refers_to for p, r in by_id.items() if r.record_type == "revisit"} == {1: 5, 2: 5, 8: 9}
 
 
-def test_pages_that_the_filter_takes_wrongly(spark, monkeypatch):
-    """A filter that knows every page: all payloads are looked up, none is lost."""
+@pytest.mark.parametrize("useful", [0.01, 1.0])
+def test_pages_that_the_filter_takes_wrongly(spark, monkeypatch, useful):
+    """A filter that knows every page: all payloads are looked up, or joined if it is of no use; none is lost."""
     from lexmill.llm import bloom
 
+    monkeypatch.setattr(bloom, "USEFUL", useful)
     monkeypatch.setattr(bloom, "build", lambda keys, column: bloom.Bloom(warc_all()))
     df = spark.createDataFrame([(k, f"http://h.test/{k}", p) for k, p in PAYLOADS.items()], "page_id long, url string, html string").repartition(3)
     path = warc.new_path(spark)

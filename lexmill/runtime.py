@@ -13,7 +13,7 @@ _OWN: dict[str, str] = {}
 
 
 #: Bounds of a batch on its way to a Python worker. Spark's own bound of 10,000 rows is hundreds of MB of long texts in each task.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "16m")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "4m")}
 
 
 def prepare(spark: SparkSession) -> None:

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from .text import column, strip
 
-#: Tags whose content goes, and the kinds of links that go whole.
+#: Tags whose content goes, the kinds of links that go whole, and the patterns of the passes after the scanner.
 DROPPED_TAGS = ("ref", "references", "table", "gallery")
 DROPPED_LINKS = ("file", "image", "category")
+NAMESPACED = r"(?iu)\[\[(File|Image|Category):[^\]]+\]\]"
+LABELLED = r"\[\[([^\]|]+\|)?([^\]]+)\]\]"
+QUOTES, HEADERS, LINES, SPACES = "'{2,}", "(?d)={2,}.*?={2,}", r"\n{3,}", " {2,}"
 OPEN = re.compile(r"\{\{|\{\||\[\[|\}\}|\|\}|\]\]")
 CLOSE = {"{{": "}}", "{|": "|}", "[[": "]]"}
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -68,7 +71,7 @@ def plain_column(c: Column | str) -> Column:
         def one(x):
             try:
                 return x if x is None else plain(x)
-            except Exception:  # noqa: BLE001  a page that can't be read is left out, as its filter says
+            except (ValueError, RecursionError):
                 return None
 
         return pa.array([one(x) for x in part.to_pylist()], pa.string())
@@ -78,24 +81,24 @@ def plain_column(c: Column | str) -> Column:
 
 def remove_namespaced(c: Column | str) -> Column:
     """Without links to files, images and categories."""
-    return F.regexp_replace(column(c), r"(?iu)\[\[(File|Image|Category):[^\]]+\]\]", "")
+    return F.regexp_replace(column(c), NAMESPACED, "")
 
 
 def link_labels(c: Column | str) -> Column:
     """[[target|label]] as label, [[target]] as target."""
-    return F.regexp_replace(column(c), r"\[\[([^\]|]+\|)?([^\]]+)\]\]", "$2")
+    return F.regexp_replace(column(c), LABELLED, "$2")
 
 
 def remove_quotes(c: Column | str) -> Column:
-    return F.regexp_replace(column(c), "'{2,}", "")
+    return F.regexp_replace(column(c), QUOTES, "")
 
 
 def remove_headers(c: Column | str) -> Column:
-    return F.regexp_replace(column(c), "(?d)={2,}.*?={2,}", "")
+    return F.regexp_replace(column(c), HEADERS, "")
 
 
 def cap_runs(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(column(c), r"\n{3,}", "\n\n"), " {2,}", " ")
+    return F.regexp_replace(F.regexp_replace(column(c), LINES, "\n\n"), SPACES, " ")
 
 
 def markup_passes(c: Column | str) -> Column:

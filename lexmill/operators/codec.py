@@ -7,12 +7,14 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pretokens import exploded, pre_tokenize
+from ..functions.pretokens import exploded, pre_tokenize, word_counts
 from ..functions.text import column
-from ..runtime import prepare
+from ..runtime import prepare, written
 from .vocab import BOS, EOS, PAD, SPECIAL_TOKENS, Vocabulary
 
 SHORT = 48
+#: Words that mode "join" sends to all workers, and the longest of them.
+HOT_WORDS, HOT_LENGTH = 10_000, 100
 CACHED = 300_000
 
 
@@ -75,7 +77,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str
     """docs with a column out of ids (array<int>), for batch and streaming frames alike.
 
     Texts are cut into pre-tokens in the JVM. mode "map": each worker encodes the pre-tokens it meets,
-    each once while its cache holds; no shuffle. mode "join" (batch frames with a unique doc_id): the
+    each once while its cache holds; no shuffle. mode "join" (batch frames): the
     distinct pre-tokens of the whole corpus are encoded once and joined back, which pays when rules are slow.
     specials: start and end marks around the ids. Null and empty texts have no ids, with specials too.
     """
@@ -129,12 +131,19 @@ def _encode_by_join(docs: DataFrame, vocab: Vocabulary, text_col: str, out: str,
 
         return _encode_lists(pa.array([[w] for w in words.to_pylist()], pa.list_(pa.string())), known.value)
 
-    rows = exploded(docs, "doc_id", text_col)
-    table = rows.select("pre_token").distinct().select(F.col("pre_token").alias("own"), run("pre_token").alias("part"))
-    parts = rows.join(table, F.col("pre_token") == F.col("own")).groupBy(F.col("doc_id").alias("own_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    whole = parts.select("own_id", F.flatten(F.transform("parts", lambda x: x["part"])).alias("__ids"))
-    joined = docs.join(whole, docs["doc_id"] == whole["own_id"], "left")
-    return joined.withColumn(out, _wrapped(F.col("__ids"), F.col(text_col), specials)).drop("own_id", "__ids")
+    # Rows are told apart by a number of their own, which a written frame keeps: ids may repeat.
+    base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    table = written(word_counts(base, text_col).select("pre_token", "freq", run("pre_token").alias("part")), "encoded-words")
+    # The most frequent words make up most rows: as few as HOT_WORDS short ones go to where the rows are, the others' rows are shuffled.
+    hot = table.where(F.length("pre_token") <= HOT_LENGTH).orderBy(F.desc("freq"), "pre_token").limit(HOT_WORDS)
+    rows = exploded(base, "__row", text_col)
+    met = rows.join(F.broadcast(hot.select(F.col("pre_token").alias("own"), F.col("part").alias("hot"))), F.col("pre_token") == F.col("own"), "left").drop("own")
+    rare = met.where("hot is null").drop("hot").join(table.select(F.col("pre_token").alias("own"), "part"), F.col("pre_token") == F.col("own"))
+    parts = met.where("hot is not null").select("__row", "pos", F.col("hot").alias("part")).unionByName(rare.select("__row", "pos", "part"))
+    whole = parts.groupBy(F.col("__row").alias("__own")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
+    whole = whole.select("__own", F.flatten(F.transform("parts", lambda x: x["part"])).alias("__ids"))
+    joined = base.join(whole, F.col("__row") == F.col("__own"), "left")
+    return joined.withColumn(out, _wrapped(F.col("__ids"), F.col(text_col), specials)).drop("__row", "__own", "__ids")
 
 
 def token_bytes_column(ids: Column | str, vocab: Vocabulary, skip_special: bool = True) -> Column:

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import prepare
 from .codec import decode, encode
 from .vocab import Vocabulary
 
@@ -37,6 +38,39 @@ def benchmark(docs: DataFrame, vocab: Vocabulary, name: str, iterations: int = 1
     }
 
 
+def benchmark_other(docs: DataFrame, tokenizer, name: str, iterations: int = 1, text_col: str = "text") -> dict:
+    """As benchmark, of any object with encode(text) and decode(ids) that can be sent to the workers; null texts count as empty."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids = [list(tokenizer.encode(t)) for t in texts]
+            wrong = [tokenizer.decode(i) != t for i, t in zip(ids, texts)] if check else [False] * len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([len(i) for i in ids], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(wrong, pa.bool_())], names=["tokens", "chars", "wrong"])
+
+    def sums():
+        shape = "tokens long, chars long, wrong boolean"
+        return rows.mapInArrow(run, shape).agg(F.sum("tokens").alias("tokens"), F.sum("chars").alias("chars"), F.count_if("wrong").alias("wrong")).first()
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).persist()
+    check = True
+    found = sums()
+    check = False
+    start = time.perf_counter()
+    for _ in range(iterations):
+        sums()
+    elapsed = time.perf_counter() - start
+    rows.unpersist()
+    tokens, chars = found.tokens or 0, found.chars or 0
+    return {
+        "name": name, "total_time": elapsed, "iterations": iterations, "total_tokens": iterations * tokens, "total_chars": iterations * chars, "tokens_per_char": tokens / chars if chars else None,
+        "chars_per_token": chars / tokens if tokens else None, "throughput_chars": iterations * chars / elapsed, "roundtrip_errors": found.wrong,
+    }
+
+
 def compare(own: dict, other: dict) -> dict:
     """token_efficiency: other's tokens by own; speed_ratio: own characters a second by other's."""
     return {"token_efficiency": other["total_tokens"] / own["total_tokens"], "speed_ratio": own["throughput_chars"] / other["throughput_chars"]}

@@ -16,11 +16,13 @@ import heapq
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pretokens import best_pair, byte_words, pair_counts, pairs, postings, word_counts
+from ..functions.pretokens import byte_words, pair_counts, pairs, postings, word_counts
 from ..runtime import written
 from .vocab import FIRST_MERGE, Vocabulary
 
@@ -69,7 +71,7 @@ class Learner:
         return None
 
     def merge(self, pair: str, new: int) -> None:
-        visited = set(self.words.pop(pair))
+        visited = set(self.words.pop(pair, ()))
         self.count.pop(pair, None)
         grown: dict[str, int] = defaultdict(int)
         less: dict[str, int] = defaultdict(int)
@@ -107,9 +109,15 @@ class Learner:
             heapq.heappush(self.queue, (-n, p))
 
 
-def learn(words: Iterable[tuple[bytes, int]], num_merges: int, min_frequency: int = 2, counting: str = "compat", first: int = FIRST_MERGE) -> list[tuple[Pair, int]]:
-    """Up to num_merges rules from (bytes of a word, frequency); independent of the order of words."""
+def learn(words: Iterable[tuple[bytes, int]], num_merges: int, min_frequency: int = 2, counting: str = "compat", first: int = FIRST_MERGE, known: Iterable[tuple[Pair, int]] = ()) -> list[tuple[Pair, int]]:
+    """Up to num_merges rules from (bytes of a word, frequency); independent of the order of words.
+
+    known: rules learned before, which come first and count; over the same words the rest is what learning all at once gives.
+    """
     learner, out = Learner(words, counting), []
+    for pair, new in list(known)[:num_merges]:
+        out.append((pair, new))
+        learner.merge(chr(pair[0]) + chr(pair[1]), new)
     while len(out) < num_merges and (pair := learner.best(min_frequency)) is not None:
         new = first + len(out)
         out.append(((ord(pair[0]), ord(pair[1])), new))
@@ -117,47 +125,98 @@ def learn(words: Iterable[tuple[bytes, int]], num_merges: int, min_frequency: in
     return out
 
 
-def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2, counting: str = "compat") -> list[tuple[Pair, int]]:
-    """Either rule as relational steps over words (word_id, freq, toks); the driver holds one pair a step.
+def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2, counting: str = "compat", known: Iterable[tuple[Pair, int]] = (), batch: int = 64, compact: int = 32) -> list[tuple[Pair, int]]:
+    """Either rule as relational steps over words (freq, toks); the driver holds batch pairs a step.
 
-    Each step's state is written to the shared folder, so plans don't grow and lost executors cost one step.
+    A step takes several merges where that gives what one after the other would: the best pairs of all, as many
+    as no word has two of, up to the first that a pair made by an earlier one would have come before. It reads
+    the words those pairs name and writes what changes, words, counts and postings, as frames beside the
+    older ones; every compact steps these become one. Plans don't grow with steps, and lost executors cost one step.
     """
-    words = written(words.select("word_id", "freq", "toks"), "words")
-    counts, posts = written(pair_counts(words), "pairs"), written(postings(words), "postings")
+    spark = words.sparkSession
+    if counting not in COUNTINGS:
+        raise ValueError("counting is compat or exact")
+    # Numbers that a written frame keeps tell words apart.
+    words = written(words.select(F.monotonically_increasing_id().alias("word_id"), "freq", "toks", F.lit(0).alias("step")), "words")
+    texts, counts = [words], [written(pair_counts(words), "pairs")]
+    posts = [written(postings(words).sortWithinPartitions("l", "r"), "postings")]
     out: list[tuple[Pair, int]] = []
-    while len(out) < num_merges and (best := best_pair(counts, min_frequency).first()) is not None:
-        pair, new = (best.l, best.r), FIRST_MERGE + len(out)
-        out.append((pair, new))
-        chosen = (F.col("l") == pair[0]) & (F.col("r") == pair[1])
-        touched = posts.where(chosen).select(F.col("word_id").alias("w"))
-        # Words visited change; the rest keep their tokens. A fold from the left merges without overlap.
-        last = lambda done: F.get(done, F.size(done) - 1)
-        joined = F.aggregate(
-            "toks",
-            F.array().cast("array<int>"),
-            lambda done, t: F.when((F.size(done) > 0) & (last(done) == pair[0]) & (t == pair[1]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.lit(new)))).otherwise(F.concat(done, F.array(t))),
-        )
-        state = words.join(touched, F.col("word_id") == F.col("w"), "left").withColumn("now", F.when(F.col("w").isNotNull(), joined).otherwise(F.col("toks")))
-        state = written(state.select("word_id", "freq", "toks", "now", F.col("w").isNotNull().alias("visited")), "visited")
-        seen = state.where("visited")
-        sides = (F.col("p.l") == new).cast("long") + (F.col("p.r") == new).cast("long")
-        times = sides if counting == "compat" else F.lit(1)
-        come = seen.select("word_id", "freq", F.explode(pairs("now")).alias("p")).where(sides > 0)
-        lost = seen.select("freq", F.explode(pairs("toks")).alias("p"))
+    forced = list(known)[:num_merges]
+    for step in count(1):
+        if len(out) == num_merges:
+            break
+        if len(out) < len(forced):
+            best = [(forced[len(out)][0], 0)]
+        else:
+            live = _all(counts).groupBy("l", "r").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, min_frequency))
+            best = [((r.l, r.r), r.n) for r in live.orderBy(F.desc("n"), "l", "r").limit(min(batch, num_merges - len(out))).collect()]
+        if not best:
+            break
+        first = FIRST_MERGE + len(out) if len(out) >= len(forced) else forced[len(out)][1]
+        chosen = spark.createDataFrame([(k, *pair, first + k) for k, (pair, _) in enumerate(best)], "k int, own_l int, own_r int, new int")
+        named = _all(posts).join(F.broadcast(chosen), (F.col("l") == F.col("own_l")) & (F.col("r") == F.col("own_r"))).select("word_id", "k", "own_l", "own_r", "new")
+        named = written(named, "named")
+        # The second of two pairs that name one word must wait for the first.
+        second = named.groupBy("word_id").agg(F.sort_array(F.collect_set("k")).alias("all")).where(F.size("all") > 1).agg(F.min(F.col("all")[1])).first()[0]
+        many = len(best) if second is None else second
+        touched = named.where(F.col("k") < many)
+        state = written(_merged_words(_all(texts), touched), "visited")
+        sides = (F.col("p.l") == F.col("new")).cast("long") + (F.col("p.r") == F.col("new")).cast("long")
+        come = state.select("k", "word_id", "freq", F.explode(pairs("now")).alias("p"), "new").withColumn("sides", sides)
+        grown = come.where("sides > 0").groupBy("k", F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum(F.col("freq") * (F.col("sides") if counting == "compat" else F.lit(1))).alias("n"))
+        grown = written(grown, "grown")
+        if many > 1:
+            made = {r.k: (r.top.n, r.top.l, r.top.r) for r in grown.groupBy("k").agg(F.min(F.struct((-F.col("n")).alias("n"), "l", "r")).alias("top")).collect()}
+            best_made = None
+            for k in range(many):
+                (left, right), n = best[k]
+                if best_made is not None and best_made[0] <= -min_frequency and best_made < (-n, left, right):
+                    many = k
+                    break
+                if k in made and (best_made is None or made[k] < best_made):
+                    best_made = made[k]
+        out += [(pair, first + k) for k, (pair, _) in enumerate(best[:many])]
+        state, come, grown = (frame.where(F.col("k") < many) for frame in (state, come, grown))
+        lost = state.select("freq", F.explode(pairs("toks")).alias("p"))
         if counting == "exact":
             # Pairs that a merge left as they were count again.
-            lost = lost.unionByName(seen.select((-F.col("freq")).alias("freq"), F.explode(pairs("now")).alias("p")).where(sides == 0))
-        gone = lost.groupBy(F.col("p.l").alias("gl"), F.col("p.r").alias("gr")).agg(F.sum("freq").alias("less"))
-        kept = counts.where(~chosen).join(gone, (F.col("l") == F.col("gl")) & (F.col("r") == F.col("gr")), "left").select("l", "r", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")).where("n > 0")
-        grown = come.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum(F.col("freq") * times).alias("n"))
-        counts = written(kept.unionByName(grown), "pairs")
-        posts = written(posts.where(~chosen).unionByName(come.select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "word_id").distinct()), "postings")
-        words = state.select("word_id", "freq", F.col("now").alias("toks"))
+            lost = lost.unionByName(come.where("sides = 0").select((-F.col("freq")).alias("freq"), "p"))
+        lost = lost.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg((-F.sum("freq")).alias("n"))
+        over = chosen.where(F.col("k") < many).select(F.col("own_l").alias("l"), F.col("own_r").alias("r"), F.lit(GONE).alias("n"))
+        texts.append(written(state.select("word_id", "freq", F.col("now").alias("toks"), F.lit(step).alias("step")), "words"))
+        counts.append(written(grown.select("l", "r", "n").unionByName(lost).unionByName(over), "pairs"))
+        posts.append(written(come.where("sides > 0").select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "word_id").distinct().sortWithinPartitions("l", "r"), "postings"))
+        if step % compact == 0:
+            texts = [written(_all(texts).groupBy("word_id").agg(F.first("freq").alias("freq"), F.max_by("toks", "step").alias("toks"), F.max("step").alias("step")), "words")]
+            # A pair that has fallen to nothing never comes back.
+            counts = [written(_all(counts).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0"), "pairs")]
+            posts = [written(_all(posts).join(counts[0].select("l", "r"), ["l", "r"], "left_semi").sortWithinPartitions("l", "r"), "postings")]
     return out
 
 
-def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, text_col: str = "text", counting: str = "compat", kernel_words: int = KERNEL_WORDS) -> Vocabulary:
-    """A vocabulary from all texts of docs: 256 bytes and up to vocab_size - 256 merges.
+#: Less than any count: what is added to the count of a pair that has been merged.
+GONE = -(1 << 60)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _merged_words(texts: DataFrame, touched: DataFrame) -> DataFrame:
+    """k, word_id, freq, toks, now and new of the touched words (word_id, k, own_l, own_r, new), in their last state and merged."""
+    own = texts.join(touched, "word_id").groupBy("word_id", "k", "own_l", "own_r", "new").agg(F.first("freq").alias("freq"), F.max_by("toks", "step").alias("toks"))
+    # A fold from the left merges without overlap.
+    last = lambda done: F.get(done, F.size(done) - 1)
+    joined = F.aggregate(
+        "toks",
+        F.array().cast("array<int>"),
+        lambda done, t: F.when((F.size(done) > 0) & (last(done) == F.col("own_l")) & (t == F.col("own_r")), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.col("new")))).otherwise(F.concat(done, F.array(t))),
+    )
+    return own.select("k", "word_id", "freq", "toks", joined.alias("now"), "new")
+
+
+def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, text_col: str = "text", counting: str = "compat", kernel_words: int = KERNEL_WORDS, resume: Vocabulary | None = None) -> Vocabulary:
+    """A vocabulary from all texts of docs: 256 bytes and up to vocab_size - 256 merges, those of resume first.
 
     Null texts have no words; an empty corpus gives the 256 bytes. vocab_size may not pass 300,001,
     where ids would meet those of special tokens; min_frequency must be 1 at least.
@@ -170,8 +229,9 @@ def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, te
         raise ValueError("counting is compat or exact")
     counts = written(word_counts(docs, text_col), "word-counts")
     merges = vocab_size - len(Vocabulary().token_bytes)
+    known = resume.merges if resume else ()
     if counts.count() <= kernel_words:
         table = counts.toArrow()
         words = zip((w.encode() for w in table["pre_token"].to_pylist()), table["freq"].to_pylist())
-        return Vocabulary.of_merges(learn(words, merges, min_frequency, counting))
-    return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting))
+        return Vocabulary.of_merges(learn(words, merges, min_frequency, counting, known=known))
+    return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting, known))

@@ -17,6 +17,7 @@ from ..functions import wikitext as K
 from ..functions.sql import register
 from ..operators import codec, report, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
+from ..runtime import fresh_path
 from ..sources import files, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +235,32 @@ def train_exact_counts(spark, sf_dir):
     return train.train(table(spark, sf_dir, "documents"), vocab_size=512, counting="exact").merges_frame(spark)
 
 
+def exact_sql(steps: int, least: int = 2) -> str:
+    """The textbook unrolled: after each step all pairs of all words are counted anew."""
+    pairs = "list_transform(range(1, len(toks)), lambda i: {'l': toks[i], 'r': toks[i + 1]})"
+    out = [f"w as ({WORDS_SQL})", f"w0 as materialized (select freq, {ids_sql(bracket_sql('pre_token'))} as toks from w)"]
+    for k in range(steps):
+        glued = f"replace(' ' || replace(array_to_string(toks, ' '), ' ', '  ') || ' ', ' ' || b.l || '  ' || b.r || ' ', ' {256 + k} ')"
+        out += [
+            f"c{k} as (select p.l as l, p.r as r, sum(freq) as n from (select freq, unnest({pairs}) as p from w{k}) group by p.l, p.r)",
+            f"b{k} as materialized (select l, r from c{k} where n >= {least} order by n desc, l, r limit 1)",
+            f"w{k + 1} as materialized (select freq, list_transform(list_filter(string_split({glued}, ' '), lambda y: y <> ''), lambda y: cast(y as int)) as toks from w{k}, b{k} b)",
+        ]
+    rules = " union all ".join(f"select {k} as priority, l, r, {256 + k} as new_token from b{k}" for k in range(steps))
+    return f"with {', '.join(out)} {rules}"
+
+
+@query(exact_sql(8))
+def train_exact_first(spark, sf_dir):
+    return train.train(table(spark, sf_dir, "documents"), vocab_size=256 + 8, counting="exact").merges_frame(spark)
+
+
+@query(train_sql(12))
+def train_resumed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return train.train(docs, vocab_size=256 + 12, resume=train.train(docs, vocab_size=256 + 5)).merges_frame(spark)
+
+
 # Vocabularies
 
 SPECIAL_SQL = rows_sql([(i, t) for t, i in SPECIAL_TOKENS.items()], "token_id, token")
@@ -271,6 +298,33 @@ def merge_bytes(spark, sf_dir):
     return VOCAB.vocab_frame(spark).where("not special").select("token_id", F.hex("bytes").alias("hex"))
 
 
+@query(f"select *, false as special from ({bytes_sql()}) union all select token_id, upper(hex(encode(token))), true from {SPECIAL_SQL}")
+def saved_vocab(spark, sf_dir):
+    path = fresh_path(spark, "vocabulary")
+    VOCAB.write(spark, path)
+    return Vocabulary.read(spark, path).vocab_frame(spark).select("token_id", F.hex("bytes").alias("hex"), "special")
+
+
+@query(f"select priority, l, r, 256 + priority as new_token from {rows_sql([(k, *p) for k, p in enumerate(RULES)], 'priority, l, r')}")
+def saved_merges(spark, sf_dir):
+    path = fresh_path(spark, "vocabulary")
+    VOCAB.write(spark, path)
+    return Vocabulary.read(spark, path).merges_frame(spark)
+
+
+LOOKED_UP = [0, 65, 255, 256, 257, 268, 269, 300_000, 300_001, 300_003, -1]
+
+
+@query(f"""with v as (select token_id, hex from ({bytes_sql()}) union all select token_id, upper(hex(encode(token))) from {SPECIAL_SQL}), k as (select unnest({LOOKED_UP}) as token_id)
+select k.token_id, v.hex, (select max(x.token_id) from v x where x.hex = v.hex and x.token_id < 300001) as by_bytes, s.token_id as special from k left join v using (token_id) left join {SPECIAL_SQL.replace(' as t(', ' as s(')} on upper(hex(encode(s.token))) = v.hex""")
+def token_lookups(spark, sf_dir):
+    rows = []
+    for i in LOOKED_UP:
+        raw = VOCAB.get_token_bytes(i)
+        rows.append((i, None if raw is None else raw.hex().upper(), None if raw is None else VOCAB.get_token_id(raw), None if raw is None else VOCAB.get_special_token_id(raw.decode("utf-8", "replace"))))
+    return spark.createDataFrame(rows, "token_id int, hex string, by_bytes int, special int")
+
+
 @query(f"select priority, l || ' ' || r || ' -> ' || (256 + priority) as line from {rows_sql([(k, *p) for k, p in enumerate(RULES)], 'priority, l, r')}")
 def merges_txt_lines(spark, sf_dir):
     return VOCAB.merges_frame(spark).select("priority", F.concat_ws(" ", "l", "r", F.lit("->"), "new_token").alias("line"))
@@ -379,10 +433,13 @@ def clean_newline_cap(spark, sf_dir):
     return both(spark, sf_dir).select("id", X.cap_newlines("text").alias("clean"), X.cap_newlines("text", 0).alias("without"))
 
 
-@query(f"select id, nfc_normalize(text) as nfc, {strip_sql('nfc_normalize(text)')} as stripped from {BOTH_SQL} where id <> 1")
+# DuckDB's normal form ends at U+0000: texts are cut there, and the parts joined again.
+NFC_SQL = "array_to_string(list_transform(string_split(text, chr(0)), lambda x: nfc_normalize(x)), chr(0))"
+
+
+@query(f"select id, {NFC_SQL} as nfc, {strip_sql(NFC_SQL)} as stripped from {BOTH_SQL}")
 def normalize_nfc(spark, sf_dir):
-    # The first fixture holds U+0000, at which DuckDB's normal form ends.
-    return both(spark, sf_dir).where("id <> 1").select("id", X.normalize_unicode("text").alias("nfc"), X.normalize_text("text").alias("stripped"))
+    return both(spark, sf_dir).select("id", X.normalize_unicode("text").alias("nfc"), X.normalize_text("text").alias("stripped"))
 
 
 @query(f"select id, regexp_replace(text, 'https?://[^{PYWS}]+', '', 'g') as clean from {BOTH_SQL}")
@@ -400,28 +457,35 @@ def strip_citations(spark, sf_dir):
     return both(spark, sf_dir).select("id", X.strip_citations("text").alias("clean"))
 
 
-# DuckDB's normal form ends at U+0000, so control characters go first; on these texts the order makes no difference.
-PREPROCESS_SQL = strip_sql(cap_sql(lines_sql(f"nfc_normalize(regexp_replace(text, '{CONTROL_SQL}', '', 'g'))")))
+#: Character references that the tables and fixtures hold, & last: what it gives isn't decoded again.
+REFERENCES = [("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("#39", "'"), ("#xe9", "é"), ("amp", "&")]
 
 
-@query(f"select id, {PREPROCESS_SQL} as clean from {BOTH_SQL} where text is null or not contains(text, '&')")
-def preprocess_text(spark, sf_dir):
-    rows = both(spark, sf_dir).where("text is null or not contains(text, '&')")
-    return rows.select("id", X.preprocess("text").alias("clean"))
+def unescape_sql(x: str) -> str:
+    for name, char in REFERENCES:
+        x = f"regexp_replace({x}, '&{name};?', {quoted(char)}, 'g')"
+    return x
 
 
-@query()
-def preprocess_documents(spark, sf_dir):
-    # All rows, also those with character references, which DuckDB can't decode and preprocess_text leaves out.
+def preprocess_sql(x: str) -> str:
+    # DuckDB's normal form ends at U+0000, so control characters go first; on these texts the order makes no difference.
+    return strip_sql(cap_sql(lines_sql(f"nfc_normalize(regexp_replace({unescape_sql(x)}, '{CONTROL_SQL}', '', 'g'))")))
+
+
+@query(f"select id, {preprocess_sql('text')} as clean from {BOTH_SQL}")
+def preprocess_text(spark, sf_dir):
     return both(spark, sf_dir).select("id", X.preprocess("text").alias("clean"))
 
 
-@query()
+WIKI_PREPROCESS_SQL = rf"regexp_replace(regexp_replace(regexp_replace(html, 'https?://[^{PYWS}]+', '', 'g'), '[^{PYWS}]+@[^{PYWS}]+\.[^{PYWS}]+', '', 'g'), '(?i)\[(\p{{Nd}}+|citation needed)\]', '', 'g')"
+
+
+@query(f"select page_id, {preprocess_sql(WIKI_PREPROCESS_SQL)} as clean from pages")
 def preprocess_full(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.preprocess_wiki("html").alias("clean"))
 
 
-@query()
+@query(f"select page_id, {unescape_sql('html')} as clean from pages")
 def html_unescape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.unescape("html").alias("clean"))
 
@@ -457,29 +521,109 @@ def wiki_filters(spark, sf_dir):
     return pages.where(wiki.is_article(X.strip("ns"), F.col("title"), F.col("text")))
 
 
-@query(f"select title, {strip_sql('text')} as text from {PAGES_SQL} where {ARTICLE_SQL} and length({strip_sql('text')}) >= 16")
+def plain_sql(x: str) -> str:
+    """Markup to plain text: innermost constructs first, as often as they nest in what the queries read, then the passes over the rest."""
+    x = rf"regexp_replace({x}, '(?s)<!--.*?(-->|\z)', '', 'g')"
+    for tag in ("ref", "references", "table", "gallery"):
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b([^>]*?/>|[^>]*>.*?</{tag}\s*>)', '', 'g')"
+    for _ in range(3):
+        x = rf"regexp_replace(regexp_replace({x}, '\{{\{{[^{{}}]*\}}\}}', '', 'g'), '\{{\|[^{{}}]*\|\}}', '', 'g')"
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '(?i)\[\[\s*(file|image|category):[^\[\]]*\]\]', '', 'g')"
+        x = rf"regexp_replace({x}, '\[\[([^\[\]|]*\|)?([^\[\]]*)\]\]', '\2', 'g')"
+    x = rf"regexp_replace({x}, '\[(https?:)?//[^\s\]]+(\s+([^\]]*))?\]', '\3', 'g')"
+    for n in range(6, 0, -1):
+        x = rf"regexp_replace({x}, '(?m)^={{{n}}}[ \t]*(.*?)[ \t]*={{{n}}}[ \t]*$', '\1', 'g')"
+    x = unescape_sql(rf"regexp_replace({x}, '</?[a-zA-Z][^<>]*>', '', 'g')")
+    x = rf"regexp_replace({x}, '(?i)\[\[(File|Image|Category):[^\]]+\]\]', '', 'g')"
+    x = rf"regexp_replace({x}, '\[\[([^\]|]+\|)?([^\]]+)\]\]', '\2', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '''{{2,}}', '', 'g'), '={{2,}}.*?={{2,}}', '', 'g')"
+    return strip_sql(rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g')")
+
+
+@query(f"select title, text from (select title, {preprocess_sql(plain_sql('text'))} as text from {PAGES_SQL} where {ARTICLE_SQL}) where length(text) >= 16")
 def wiki_min_length(spark, sf_dir):
-    pages = spark.createDataFrame([p for p in PAGES if p[0] != "Led"], "title string, ns string, text string")
-    return wiki.articles(pages, min_length=16)
-
-
-SQL["wiki_min_length"] = SQL["wiki_min_length"].replace(PAGES_SQL, rows_sql([p for p in PAGES if p[0] != "Led"], "title, ns, text"))
+    return wiki.articles(spark.createDataFrame(PAGES, "title string, ns string, text string"), min_length=16)
 
 
-@query()
+@query(f"select page_id, {plain_sql('html')} as clean from pages")
 def wiki_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.clean("html").alias("clean"))
 
 
+#: What stands before and after a text to make it markup: templates in templates, tables, files, references, links, headings, tags.
+BEFORE = "{{Info|a={{b|c}}|d=[[x]]}}'''Entry''' (''né'' [[1 May]], [[Town|a  town]])[[File:p.jpg|thumb|A [[view|sight]] of it]]\n\n\n\n== Life ==\n"
+AFTER = '<ref name="r">see {{cite|x}}</ref><ref name="r"/> <!-- a\nnote --><b class="k">bold</b>\n{| class="w"\n! a\n|-\n| {{in|side}}\n|}\n<gallery>a.jpg</gallery>[http://a.b/c the site] [//a.b/d]&eacute; &amp;lt; [[Category:Things]] <references />\n=== End ===\nx'
+
+
+def markup_sql() -> str:
+    lines = lambda x: " || chr(10) || ".join(quoted(part) for part in x.split("\n"))
+    return f"({lines(BEFORE)} || text || {lines(AFTER)})"
+
+
+def with_markup(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.concat(F.lit(BEFORE), "text", F.lit(AFTER)))
+
+
+@query(f"select doc_id, {plain_sql(markup_sql())} as clean from documents")
+def wiki_markup(spark, sf_dir):
+    return with_markup(table(spark, sf_dir, "documents")).select("doc_id", K.clean("text").alias("clean"))
+
+
 # Sources
 
+LINES_SQL = f"select text from (select {strip_sql('unnest(string_split(text, chr(10)))')} as text from documents) where text <> ''"
+
 
-@query(f"select text from (select {strip_sql('unnest(string_split(text, chr(10)))')} as text from documents) where text <> ''")
+@query(LINES_SQL)
 def line_documents(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
     return lines.select(X.strip("value").alias("text")).where("text <> ''")
 
 
+@query(LINES_SQL)
+def lines_of_files(spark, sf_dir):
+    path = fresh_path(spark, "lines")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    return files.read_lines(spark, path)
+
+
+@query("select text || chr(10) as text from benchmark")
+def files_of_folder(spark, sf_dir):
+    path = fresh_path(spark, "folder")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").write.option("maxRecordsPerFile", 1).text(f"{path}/below")
+    return files.read_corpus(spark, path)
+
+
+def dump(docs: DataFrame, path: str, compression: str) -> None:
+    """docs (doc_id, text, lang) as a wiki dump: every third page a talk page, French ones redirects, German ones lists."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit("#REDIRECT "), escaped)).otherwise(escaped)
+    title = F.concat(F.when(F.col("lang") == "de", "List of ").otherwise("Page "), F.col("doc_id").cast("string"))
+    ns = (F.col("doc_id") % 3 == 1).cast("int").cast("string")
+    page = F.concat(F.lit("  <page>\n    <title>"), title, F.lit("</title>\n    <ns>"), ns, F.lit('</ns>\n    <revision><text bytes="1" xml:space="preserve">'), text, F.lit("</text></revision>\n  </page>"))
+    docs.select(page.alias("value")).write.option("compression", compression).text(path)
+
+
+DUMP_SQL = f"select title, clean as text from (select 'Page ' || doc_id as title, {preprocess_sql(plain_sql(markup_sql()))} as clean from documents where doc_id % 3 <> 1 and lang not in ('fr', 'de')) where length(clean) >= 500"
+
+
+def read_dump(spark, sf_dir, compression: str) -> DataFrame:
+    path = fresh_path(spark, "dump")
+    dump(with_markup(table(spark, sf_dir, "documents")), path, compression)
+    return wiki.read_articles(spark, path)
+
+
+@query(DUMP_SQL)
+def wiki_dump(spark, sf_dir):
+    return read_dump(spark, sf_dir, "none")
+
+
+@query(DUMP_SQL)
+def wiki_dump_bz2(spark, sf_dir):
+    return read_dump(spark, sf_dir, "bzip2")
+
+
 @query("select text from documents")
 def table_documents(spark, sf_dir):
     return files.read_table(spark, f"{sf_dir}/documents.parquet")

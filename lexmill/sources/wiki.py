@@ -38,10 +38,15 @@ def is_article(ns, title, text):
     return own & ~listed & text.isNotNull() & (text != "") & ~F.startswith(F.lower(text), F.lit("#redirect"))
 
 
+def unreadable(pages: DataFrame) -> DataFrame:
+    """title of the pages that are articles but whose markup can't be read: articles() leaves them out."""
+    return pages.where(is_article(strip("ns"), F.col("title"), F.col("text"))).where(wikitext.plain_column("text").isNull()).select("title")
+
+
 def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None = None, unicode_form: str | None = "NFC", **options) -> DataFrame:
     """title, text (clean) of the pages that are articles of min_length characters at least.
 
-    Cheap filters come before the scanner. Pages whose markup can't be read are left out. max_articles
+    Cheap filters come before the scanner. Pages whose markup can't be read are left out (see unreadable). max_articles
     counts after all filters; 0 or None is no limit.
     """
     kept = pages.where(is_article(strip("ns"), F.col("title"), F.col("text")))
@@ -51,8 +56,3 @@ def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None =
 
 def read_articles(spark: SparkSession, path: str, **options) -> DataFrame:
     return articles(read_pages(spark, path), **options)
-
-
-def download(url: str, folder: str) -> str:
-    """Dumps are not fetched over the network here: copy the file and give its path to read_pages."""
-    raise NotImplementedError("no network access; pass a path that Spark can read")

@@ -91,6 +91,34 @@ def test_exact_counting_beyond_the_kernel(spark):
     assert rules(train.train(corpus(spark, texts), 266, counting="exact", kernel_words=0)) == [(*p, n) for p, n in textbook(words, 10, 2)]
 
 
+@pytest.mark.parametrize("counting", ["compat", "exact"])
+@pytest.mark.parametrize(("seed", "batch", "compact"), [(1, 1, 3), (2, 8, 2), (3, 64, 32)])
+def test_relational_steps_of_many_merges(spark, counting, seed, batch, compact):
+    """Many words with few letters in common: several merges a step give what one after the other gives."""
+    rng = random.Random(seed)
+    words = {bytes(rng.choice([b"ab", b"cd", b"ef", b"abc"])[0:1] * rng.randrange(1, 3) + bytes(rng.choices(rng.choice([b"ab", b"cde", b"fgh", b"ij"]), k=rng.randrange(1, 6)))): rng.randrange(1, 40) for _ in range(60)}
+    frame = spark.createDataFrame([(f, list(w)) for w, f in words.items()], "freq long, toks array<int>")
+    steps = []
+    want = train.learn(words.items(), 25, 2, counting)
+    real, train.written = train.written, lambda df, name, *a: (steps.append(name), real(df, name, *a))[1]
+    try:
+        assert train.learn_relational(frame, 25, 2, counting, batch=batch, compact=compact) == want
+        assert len(want) == 25 and (batch == 1 or steps.count("visited") < 25)
+        assert train.learn_relational(frame, 9, 2, counting, known=want[:4], batch=batch) == want[:9] == train.learn(words.items(), 9, 2, counting, known=want[:4])
+    finally:
+        train.written = real
+
+
+def test_training_goes_on(spark):
+    df = corpus(spark, SENTENCES * 9)
+    whole, part = train.train(df, 300), train.train(df, 270)
+    assert train.train(df, 300, resume=part).merges == whole.merges and part.merges == whole.merges[:14]
+    assert train.train(df, 300, resume=part, kernel_words=0).merges == whole.merges
+    # Another corpus: the rules learned before stay, whether or not it has their pairs.
+    other = train.train(corpus(spark, ["zzzz zz"] * 5), 272, resume=part)
+    assert other.merges[:14] == part.merges and other.merges[14][0] == (122, 122)
+
+
 def test_training_ignores_order_and_partitions(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["low", "lower", "newest", "widest", "aaa", "aaaa"]) for _ in range(9)) for _ in range(60)]
@@ -161,6 +189,46 @@ def test_both_modes_agree(spark, tokenizer):
     assert a == {r.doc_id: r.ids for r in codec.encode(df, tokenizer.vocab, specials=True, mode="join").collect()}
 
 
+def test_join_keeps_rows_of_one_id_apart(spark, tokenizer, monkeypatch):
+    rows = [(1, "ab cd"), (1, "xyz"), (None, "the the"), (2, ""), (2, None), (1, "ab cd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (10_000, 1):
+        monkeypatch.setattr(codec, "HOT_WORDS", hot)
+        one, other = (codec.encode(df, tokenizer.vocab, mode=m) for m in ("map", "join"))
+        assert other.columns == one.columns and sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+
+
+def test_vocabularies_on_any_file_system(spark, tokenizer, tmp_path):
+    tokenizer.vocab.write(spark, f"file://{tmp_path}/v")
+    assert Vocabulary.read(spark, f"file://{tmp_path}/v") == tokenizer.vocab
+    tokenizer.vocab.save(tmp_path / "w")
+    assert Vocabulary.read(spark, f"file://{tmp_path}/w") == tokenizer.vocab == Vocabulary.load(tmp_path / "w")
+    data = tokenizer.vocab.to_dict()
+    assert Vocabulary.from_dict({k: v for k, v in data.items() if k != "special_tokens"}) == tokenizer.vocab and Vocabulary.from_dict(data | {"special_tokens": {}}).special_tokens == {}
+
+
+def test_other_tokenizers_are_compared(spark):
+    class Letters:
+        def encode(self, text):
+            return [ord(c) for c in text]
+
+        def decode(self, ids):
+            return "".join(map(chr, ids)).replace("z", "?")
+
+    df = corpus(spark, ["abc", "xyz", None, ""])
+    found = report.benchmark_other(df, Letters(), "letters", iterations=3)
+    assert (found["total_tokens"], found["total_chars"], found["roundtrip_errors"], found["name"]) == (18, 18, 1, "letters")
+    assert report.compare(report.benchmark(df, Vocabulary(), "own", 3), found)["token_efficiency"] == 1
+    assert report.benchmark_other(df.where("false"), Letters(), "none")["tokens_per_char"] is None
+
+
+def test_unreadable_pages_are_told(spark, monkeypatch):
+    pages = spark.createDataFrame([("A", "0", "x" * 600), ("B", "1", "y")], "title string, ns string, text string")
+    assert wiki.unreadable(pages).count() == 0
+    monkeypatch.setattr(K, "plain_column", lambda c: F.lit(None).cast("string"))
+    assert [r.title for r in wiki.unreadable(pages).collect()] == ["A"] and wiki.articles(pages).count() == 0
+
+
 @given(st.lists(st.tuples(st.integers(97, 99), st.integers(97, 99)), max_size=4), st.text("abc", max_size=90))
 @settings(max_examples=200, deadline=None)
 def test_heap_and_scan_merge_alike(base, word):
@@ -206,7 +274,7 @@ def test_preprocess_covers_all_documents(spark, tmp_path):
 
     texts = ["a &amp;amp; b &nbsp;", "&lt;p&gt;\n\n\n\n&#10;x", "e&#x301; &bogus; &", "plain", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = Q.QUERIES["preprocess_documents"](spark, str(tmp_path)).collect()
+    rows = Q.QUERIES["preprocess_text"](spark, str(tmp_path)).collect()
     assert len(rows) == len(texts) + len(Q.MARKED)
     for r in rows:
         t = texts[r.id - 1000] if r.id >= 1000 else dict(Q.MARKED)[r.id]
@@ -247,8 +315,6 @@ def test_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         files.read_corpus(spark, str(tmp_path / "none"))
     assert files.from_strings(spark, ["a", None]).count() == 2
-    with pytest.raises(NotImplementedError):
-        wiki.download("http://example.org/d.bz2", str(tmp_path))
 
 
 def test_sql_functions(spark, tokenizer):

@@ -23,6 +23,16 @@ def test_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
 
 
+def test_with_a_subpackage_that_cannot_be_imported(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.parquet", "spark-warehouse"))
+    for folder in ("lexmill/llm", "."):
+        (copy / folder).mkdir(exist_ok=True)
+    (copy / "lexmill/llm/__init__.py").write_text("import a_module_that_is_not_there\n")
+    code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'pretoken_count' in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+
+
 def test_nothing_else_imports_the_subpackage():
     for folder, _, files in os.walk(os.path.join(ROOT, "lexmill")):
         for f in files:

@@ -35,6 +35,8 @@ SHORT = 16
 #: Nodes, and bytes of their sets or sketches, in a block of a long list.
 BLOCK = 2048
 BLOCK_BYTES = 16 << 20
+#: Nodes of a block that are compared with the others at once.
+STRIP = 256
 #: Bytes of a text that are hashed at once: each takes some 30 while they are.
 PIECE = 1 << 20
 BLANK = re.compile(rb"[ \t-\r]")
@@ -338,7 +340,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048)
     pairs = np.cumsum(n_a[few] * n_b[few])
     at = 0
     while at < len(few):
-        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 2_000_000, side="right")))
+        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + 500_000, side="right")))
         own = few[at:to]
         each = n_a[own] * n_b[own]
         k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
@@ -362,13 +364,15 @@ def _forest(alike):
         rows, cols = np.flatnonzero(asks), np.flatnonzero(~asks)
         order = np.unique(node)
         rank = np.searchsorted(order, node)
-        found = np.zeros((2, 0), int)
-        if len(rows) and len(cols):
-            size = np.array([len(s) for s in sets])
-            both = shared_counts([sets[k] for k in rows], [sets[k] for k in cols])
-            i, j = np.nonzero(alike(both, size[rows][:, None], size[cols][None, :]))
-            found = np.stack((rank[rows[i]], rank[cols[j]]))
-        root = joined(*found, len(order))
+        size = np.array([len(s) for s in sets])
+        root = np.arange(len(order))
+        # Strip by strip, of whose links only a forest is kept.
+        for at in range(0, len(rows) if len(cols) else 0, STRIP):
+            own = rows[at : at + STRIP]
+            both = shared_counts([sets[k] for k in own], [sets[k] for k in cols])
+            i, j = np.nonzero(alike(both, size[own][:, None], size[cols][None, :]))
+            known = np.flatnonzero(root != np.arange(len(order)))
+            root = joined(np.concatenate((known, rank[own[i]])), np.concatenate((root[known], rank[cols[j]])), len(order))
         linked = np.flatnonzero(root != np.arange(len(order)))
         return pd.DataFrame({"a": order[linked], "b": order[root[linked]]})
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pretokens import byte_words, pair_counts, pairs, postings, word_counts
-from ..runtime import written
+from ..runtime import remove, temporary, written
 from .vocab import FIRST_MERGE, Vocabulary
 
 KERNEL_WORDS = 5_000_000
@@ -176,6 +176,7 @@ def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2,
                 if k in made and (best_made is None or made[k] < best_made):
                     best_made = made[k]
         out += [(pair, first + k) for k, (pair, _) in enumerate(best[:many])]
+        spent = [named, state, grown]
         state, come, grown = (frame.where(F.col("k") < many) for frame in (state, come, grown))
         lost = state.select("freq", F.explode(pairs("toks")).alias("p"))
         if counting == "exact":
@@ -187,10 +188,13 @@ def learn_relational(words: DataFrame, num_merges: int, min_frequency: int = 2,
         counts.append(written(grown.select("l", "r", "n").unionByName(lost).unionByName(over), "pairs"))
         posts.append(written(come.where("sides > 0").select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "word_id").distinct().sortWithinPartitions("l", "r"), "postings"))
         if step % compact == 0:
+            spent += texts + counts + posts
             texts = [written(_all(texts).groupBy("word_id").agg(F.first("freq").alias("freq"), F.max_by("toks", "step").alias("toks"), F.max("step").alias("step")), "words")]
             # A pair that has fallen to nothing never comes back.
             counts = [written(_all(counts).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0"), "pairs")]
             posts = [written(_all(posts).join(counts[0].select("l", "r"), ["l", "r"], "left_semi").sortWithinPartitions("l", "r"), "postings")]
+        for frame in spent:
+            remove(spark, frame._lexmill_path)
     return out
 
 
@@ -227,11 +231,12 @@ def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, te
         raise ValueError(f"vocab_size may not pass {MAX_SIZE}")
     if counting not in COUNTINGS:
         raise ValueError("counting is compat or exact")
-    counts = written(word_counts(docs, text_col), "word-counts")
-    merges = vocab_size - len(Vocabulary().token_bytes)
-    known = resume.merges if resume else ()
-    if counts.count() <= kernel_words:
-        table = counts.toArrow()
-        words = zip((w.encode() for w in table["pre_token"].to_pylist()), table["freq"].to_pylist())
-        return Vocabulary.of_merges(learn(words, merges, min_frequency, counting, known=known))
-    return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting, known))
+    with temporary(docs.sparkSession):
+        counts = written(word_counts(docs, text_col), "word-counts")
+        merges = vocab_size - len(Vocabulary().token_bytes)
+        known = resume.merges if resume else ()
+        if counts.count() <= kernel_words:
+            table = counts.toArrow()
+            words = zip((w.encode() for w in table["pre_token"].to_pylist()), table["freq"].to_pylist())
+            return Vocabulary.of_merges(learn(words, merges, min_frequency, counting, known=known))
+        return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting, known))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +44,42 @@ def scratch(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_OPEN: list[list[str]] = []
+
+
+class Scope(list):
+    """Paths written while the scope is open; those of the frames kept stay."""
+
+    def keep(self, *frames: DataFrame) -> None:
+        """frames as written() returns them. A scope around this one takes them over."""
+        for frame in frames:
+            path = frame._lexmill_path
+            self.remove(path)
+            if len(_OPEN) > 1:
+                _OPEN[-2].append(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Scope]:
+    """What is written within is removed at its end, but for what was kept: only frames that read nothing else may leave."""
+    _OPEN.append(Scope())
+    try:
+        yield _OPEN[-1]
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -51,4 +87,6 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out

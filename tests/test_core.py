@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexmill import runtime
 from lexmill.__main__ import main
 from lexmill.functions import pretokens as P
 from lexmill.functions import text as X
@@ -380,3 +381,19 @@ def test_queries_against_duckdb(spark, name):
     want = con.sql(f"select {', '.join(cols)} from ({Q.SQL[name]})")
     key = lambda rows: sorted(repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in rows)
     assert sorted(want.columns) == cols and key(got) == key(want.fetchall())
+
+
+def test_written_frames_go_with_their_scope(spark):
+    df = spark.range(5)
+    before = len(runtime._OPEN)
+    with runtime.temporary(spark) as outer:
+        with runtime.temporary(spark) as inner:
+            a, b, c = (runtime.written(df, name) for name in "abc")
+            inner.keep(a, b)
+        assert files.exists(spark, a._lexmill_path)[0] and not files.exists(spark, c._lexmill_path)[0]
+        outer.keep(b)
+    assert b.count() == 5 and not files.exists(spark, a._lexmill_path)[0] and len(runtime._OPEN) == before
+    with pytest.raises(KeyError), runtime.temporary(spark):
+        d = runtime.written(df, "d")
+        raise KeyError
+    assert not files.exists(spark, d._lexmill_path)[0]

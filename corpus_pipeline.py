@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontaminate, langid, minhash, packing, quality
 from lexmill.llm.queries import piece_digests, remainder
-from lexmill.runtime import written
+from lexmill.runtime import temporary, written
 
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.3
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. What the stages wrote goes with them, but for the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with temporary(spark) as scope:
+        for name, stage in STAGES:
+            with temporary(spark) as own:
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+                own.keep(docs)
+        scope.keep(docs)
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import prepare, written
+from ..runtime import prepare, temporary, written
 from . import bloom
 from .minhash import PIECE, word_hashes
 from .tokens import slices
@@ -180,7 +180,7 @@ class Text:
 
 
 def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Owners (fp, item_id, item_words) of items, and their different word sequences (fp, words)."""
+    """Items (fp, item_id, item_words, words), and their different word sequences (fp, words)."""
 
     def run(batches):
         import pyarrow as pa
@@ -194,7 +194,7 @@ def _items(benchmark: DataFrame, seed: int, id_col: str, text_col: str) -> tuple
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     rows = written(rows.mapInArrow(run, "item_id long, fp binary, item_words long, words string").where("fp is not null"), "items")
-    return rows.drop("words"), written(rows.groupBy("fp").agg(F.first("words").alias("words")), "item-words")
+    return rows, written(rows.groupBy("fp").agg(F.first("words").alias("words")), "item-words")
 
 
 def _listed(texts: DataFrame, seed: int, coverage: float) -> DataFrame:
@@ -279,20 +279,24 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed
     repeated rows on either side give a row each. Empty tables give no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    owners, texts = _items(benchmark, seed, "item_id", "text")
-    listed = _listed(texts, seed, coverage)
-    rows = _sifted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", listed, seed, False)
-    found = _tiled(rows.select(F.col("__row").alias("row"), "doc_id", "text", F.col("__hits").alias("hits")), texts, listed, seed, coverage)
-    return found.join(owners, "fp").select("doc_id", "item_id", "matched", "item_words", (F.col("matched") / F.col("item_words")).alias("coverage"), "tiles")
+    with temporary(docs.sparkSession) as scope:
+        owners, texts = _items(benchmark, seed, "item_id", "text")
+        listed = _listed(texts, seed, coverage)
+        rows = _sifted(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", listed, seed, False)
+        found = _tiled(rows.select(F.col("__row").alias("row"), "doc_id", "text", F.col("__hits").alias("hits")), texts, listed, seed, coverage)
+        scope.keep(found, owners)
+    return found.join(owners.drop("words"), "fp").select("doc_id", "item_id", "matched", "item_words", (F.col("matched") / F.col("item_words")).alias("coverage"), "tiles")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that cover no item far enough (see find)."""
     prepare(docs.sparkSession)
-    _, texts = _items(benchmark, seed, "item_id", "text")
-    listed = _listed(texts, seed, coverage)
-    rows = _sifted(docs, text_col, listed, seed, True)
-    hit = rows.where("__hits is not null")
-    found = _tiled(hit.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__hits").alias("hits")), texts, listed, seed, coverage)
-    gone = found.select(F.col("row").alias("__gone")).distinct()
+    with temporary(docs.sparkSession) as scope:
+        _, texts = _items(benchmark, seed, "item_id", "text")
+        listed = _listed(texts, seed, coverage)
+        rows = _sifted(docs, text_col, listed, seed, True)
+        hit = rows.where("__hits is not null")
+        found = _tiled(hit.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__hits").alias("hits")), texts, listed, seed, coverage)
+        gone = written(found.select(F.col("row").alias("__gone")).distinct(), "gone")
+        scope.keep(rows, gone)
     return rows.where("__hits is null").unionByName(hit.join(gone, F.col("__row") == F.col("__gone"), "left_anti")).drop("__hits", "__row")

@@ -26,7 +26,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import prepare, written
+from ..runtime import prepare, temporary, written
 from .tokens import slices
 from .urlfilter import host as host_of
 
@@ -626,7 +626,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html and pages without text have the text "". Broken markup is read on, whole texts
     of any length and elements of any depth are kept. Repeated rows are extracted alike; an empty table gives no rows; other columns are ignored.
     """
-    rules = written(infer(pages, url_col, html_col), "rules").select("host", "wrapper", "slots")
+    with temporary(pages.sparkSession) as scope:
+        rules = written(infer(pages, url_col, html_col).select("host", "wrapper", "slots"), "rules")
+        scope.keep(rules)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows, get = with_rules(rows.withColumn("host", host_of(F.col("url"))), rules, rule)
     kind = pages.schema[id_col].dataType.simpleString()

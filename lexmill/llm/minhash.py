@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import prepare, written
+from ..runtime import prepare, temporary, written
 from . import bloom
 from .components import components, joined, made_name, named
 from .tokens import slices
@@ -203,6 +203,15 @@ def similar(percent: int) -> Column:
 def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, words: int, short: int) -> tuple[DataFrame, bool]:
     """doc_id, mark (64 bits of the text), n, component_id and class (a number of the group; null where there is none) of every row, and whether ids repeat."""
     prepare(docs.sparkSession)
+    with temporary(docs.sparkSession) as scope:
+        signed, ids, repeated = _linked(docs, id_col, text_col, percent, k, words, short)
+        scope.keep(signed, ids)
+    out = signed.select("doc_id", "mark", "n", "fp").join(ids, (F.col("fp") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "mark", "n", F.coalesce("component", "doc_id").alias("component_id"), "class"), repeated
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, words: int, short: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Signatures of all rows, own (fp), class and component of each set, and whether ids repeat."""
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     signed = written(signatures(texts, k, words), "sketches")
@@ -248,9 +257,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int,
         ids = ids.join(smallest, "class")
     else:
         ids = ids.withColumn("component", F.col("class"))
-    ids = ids.select(F.col("fp").alias("own"), "class", "component")
-    out = signed.select("doc_id", "mark", "n", "fp").join(ids, (F.col("fp") == F.col("own")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", "mark", "n", F.coalesce("component", "doc_id").alias("component_id"), "class"), repeated
+    return signed, written(ids.select(F.col("fp").alias("own"), "class", "component"), "set-classes"), repeated
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = K, words: int = WORDS, short: int = SHORT) -> DataFrame:

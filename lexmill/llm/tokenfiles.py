@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, prepare, written
+from ..runtime import fresh_path, prepare, remove, written
 from . import rans
 from .blobs import read_blobs, write_blobs
 from .tokens import encoder, slices
@@ -128,10 +128,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
                 seen = np.flatnonzero(own)
                 yield pa.RecordBatch.from_arrays([pa.array(seen, type=pa.int64()), pa.array(own[seen], type=pa.int64())], names=["token", "n"])
 
-    ids = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids")
+    whole = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(to_ids, "doc_id long, ids binary, counts binary"), "token-ids")
     # One row for each symbol of the vocabulary at most.
-    counts = {r.token: r.n for r in ids.where("counts is not null").select("counts").mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    ids = ids.where("ids is not null").select("doc_id", "ids")
+    counts = {r.token: r.n for r in whole.where("counts is not null").select("counts").mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    ids = whole.where("ids is not null").select("doc_id", "ids")
     table = rans.Table.of_counts(counts)
     body = table.to_bytes()
     write_blobs(docs.sparkSession.createDataFrame([(bytearray(body),)], "body binary").coalesce(1), "body", f"{path}/table")
@@ -179,6 +179,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     files = max(1, round(sum(counts.values()) / file_tokens))
     dealt = ids.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     write_blobs(dealt.mapInArrow(to_files, "ordinal long, tokens long, body binary"), "body", f"{path}/files", ("ordinal", "tokens"))
+    remove(docs.sparkSession, whole._lexmill_path)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:

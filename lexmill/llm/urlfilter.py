@@ -14,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import temporary, written
 
 ALLOW, BLOCK = "allow", "block"
 BROADCAST_RULES = 100_000
@@ -160,11 +160,13 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
         return df.withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path")))
 
     spark = pages.sparkSession
-    rows = written(given(split(rows), table_of(spark, rules), max((r.partition("/")[0].count(".") + 1 for r in rules), default=1)).select("page_id", "host", "path", "items", "rule", "by_rule"), "urls")
-    learn = rows.where("rule is not null").select("items", F.col("by_rule").alias("verdict"))
-    if labels is not None:
-        learn = learn.unionByName(split(labels.select("url", "verdict")).select("items", "verdict"))
-    # Written before it is joined: Spark can split a frequent token set's rows only in a join of plain shuffles.
-    mined = written(match(rows.where("rule is null"), *mine(learn, min_support, min_confidence)), "mined")
+    with temporary(spark) as scope:
+        rows = written(given(split(rows), table_of(spark, rules), max((r.partition("/")[0].count(".") + 1 for r in rules), default=1)).select("page_id", "host", "path", "items", "rule", "by_rule"), "urls")
+        learn = rows.where("rule is not null").select("items", F.col("by_rule").alias("verdict"))
+        if labels is not None:
+            learn = learn.unionByName(split(labels.select("url", "verdict")).select("items", "verdict"))
+        # Written before it is joined: Spark can split a frequent token set's rows only in a join of plain shuffles.
+        mined = written(match(rows.where("rule is null"), *mine(learn, min_support, min_confidence)), "mined")
+        scope.keep(rows, mined)
     out = rows.join(mined, "items", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "mined", F.lit(default)).alias("verdict"))

@@ -17,7 +17,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path, prepare, written
+from ..runtime import fresh_path, prepare, temporary, written
 from . import bloom
 from .blobs import read_blobs, write_blobs
 from .tokens import slices
@@ -91,6 +91,11 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 1000, date: str =
     group whose ids are all null is stored in full each. An empty table writes no file.
     """
     prepare(pages.sparkSession)
+    with temporary(pages.sparkSession):
+        _write(pages, path, min_revisit, date, level, dict_size, dict_records, dict_longest, file_bytes)
+
+
+def _write(pages: DataFrame, path: str, min_revisit: int, date: str, level: int, dict_size: int, dict_records: int, dict_longest: int, file_bytes: int) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     trained = train(sample(rows, dict_records, dict_longest, date), dict_size)

@@ -18,14 +18,17 @@ def literal(pattern: str) -> str:
 
 def register(spark: SparkSession, vocab: Vocabulary | None = None) -> None:
     """pre_tokenize(text), strip_text(text), clean_control(text) as SQL expressions that Catalyst sees through; with a
-    vocabulary also bpe_encode(text) and bpe_decode(ids), which run in Arrow batches. Null gives no ids, and null text."""
+    vocabulary also bpe_encode(text) and bpe_decode(ids), which run in Arrow batches. Null gives no ids, and null text.
+    As tables, a row a token: pre_tokens(text) with pos and pre_token, bpe_tokens(text) with pos and token_id."""
+    words = f"regexp_extract_all(coalesce(t, ''), {literal(PATTERN)}, 0)"
     bodies = {
-        "pre_tokenize": ("array<string>", f"regexp_extract_all(coalesce(t, ''), {literal(PATTERN)}, 0)"),
+        "pre_tokenize": ("array<string>", words),
         "strip_text": ("string", f"regexp_replace(t, {literal(rf'\A[{X.WS}]+|[{X.WS}]+\z')}, '')"),
         "clean_control": ("string", f"regexp_replace(t, {literal(X.CONTROL)}, '')"),
     }
     for name, (kind, body) in bodies.items():
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
+    spark.sql(f"create or replace temporary function pre_tokens(t string) returns table(pos int, pre_token string) return select pos, col from posexplode({words})")
     if vocab is None:
         return
     prepare(spark)
@@ -45,3 +48,4 @@ def register(spark: SparkSession, vocab: Vocabulary | None = None) -> None:
     spark.udf.register("bpe_words", bpe_words)
     spark.udf.register("bpe_decode", bpe_decode)
     spark.sql("create or replace temporary function bpe_encode(t string) returns array<int> return bpe_words(pre_tokenize(t))")
+    spark.sql(f"create or replace temporary function bpe_tokens(t string) returns table(pos int, token_id int) return select pos, col from (select bpe_words({words}) as ids), lateral posexplode(ids)")

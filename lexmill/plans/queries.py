@@ -393,6 +393,20 @@ def sql_functions(spark, sf_dir):
     return spark.sql("select item_id, size(pre_tokenize(text)) as n_tokens, size(bpe_encode(text)) as n_ids, bpe_decode(bpe_encode(text)) as decoded from lexmill_texts")
 
 
+@query(f"select item_id, cast(generate_subscripts(w, 1) - 1 as int) as pos, unnest(w) as pre_token from (select item_id, {pre_sql('text')} as w from benchmark)")
+def sql_token_rows(spark, sf_dir):
+    register(spark, VOCAB)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("lexmill_texts")
+    return spark.sql("select item_id, p.pos, p.pre_token from lexmill_texts, lateral pre_tokens(text) p")
+
+
+@query(f"select item_id, cast(generate_subscripts(ids, 1) - 1 as int) as pos, unnest(ids) as token_id from (select item_id, {encoded_sql('text')} as ids from benchmark)")
+def sql_id_rows(spark, sf_dir):
+    register(spark, VOCAB)
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("lexmill_texts")
+    return spark.sql("select item_id, p.pos, p.token_id from lexmill_texts, lateral bpe_tokens(text) p")
+
+
 # Cleaning
 
 

@@ -54,6 +54,10 @@ NEGATIONS = frozenset("no not non has have with without is hide enable disable".
 CONTAINERS = frozenset("area bar block bottom box container content group inner item items left list outer panel posts right section text top unit widget wrap wrapper".split())
 
 
+#: Children of an element that are aligned in their order, at most.
+WIDE = 64
+
+
 def deep() -> None:
     """Pages may nest as deep as they like: functions here that call themselves need frames, which Python keeps on its heap."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
@@ -202,6 +206,21 @@ def both(a: list, b: list) -> list:
     return [a[0], align(a[1], b[1]), min(a[2], b[2]), a[3] or b[3]]
 
 
+def narrow(kids: list) -> list:
+    """Children that are more than WIDE, such as an article's of every kind in any order, as one repeated part for each label: their order says nothing, and comparing it takes its square in time."""
+    if len(kids) <= WIDE:
+        return kids
+    out: dict = {}
+    todo = kids[::-1]
+    while todo:
+        k = todo.pop()
+        if k[0] == "()":
+            todo += k[1][::-1]
+        else:
+            out[k[0]] = [*both(out[k[0]], k)[:2], 0, True] if k[0] in out else [*k[:2], 0, True]
+    return list(out.values())
+
+
 def fold(kids: list) -> list:
     """Neighbours of one label become a repeated part, then runs of a few that recur a repeated group."""
     out: list = []
@@ -227,7 +246,7 @@ def fold(kids: list) -> list:
                 folded.append(out[i])
                 i += 1
         out = folded
-    return out
+    return narrow(out)
 
 
 def grouped(kids: list, groups: list[list]) -> list:
@@ -271,7 +290,7 @@ def align(a: list, b: list) -> list:
             merged[-1] = [*both(merged[-1], node)[:2], max(merged[-1][2], node[2]), True]
         else:
             merged.append(node)
-    return merged
+    return narrow(merged)
 
 
 def expression(node: list) -> str:
@@ -326,6 +345,8 @@ def places(kids: list, known: list) -> list:
     x, y = [k for k, _ in items], [key(k) for k in known]
     if x == y:
         to = dict(enumerate(range(len(y))))
+    elif len(x) > WIDE:
+        to = {}
     else:
         to = {m.a + n: m.b + n for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for n in range(m.size)}
     first: dict = {}

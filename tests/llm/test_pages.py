@@ -236,6 +236,17 @@ def test_pages_of_another_kind(spark):
     assert texts(spark, pages) == [f"Head {k}\nText {k} and more of it" for k in range(4)] + [f"Cell {k}\nother {k}" for k in range(2)]
 
 
+def test_long_articles_of_every_kind(spark):
+    """Thousands of blocks in any order: all are kept, in order, and the wrapper stays small."""
+    rng = random.Random(3)
+    kinds = ["<p>{0}</p>", "<h2>{0}</h2>", "<ul><li>{0}</ul>", "<blockquote>{0}</blockquote>", "<pre>{0}</pre>"]
+    blocks = [[f"block {k} {j}" for j in range(n)] for k, n in enumerate((3_000, 2_500, 70, 5))]
+    pages = [f"<body><div><a href=x>Menu {k}</a></div><div>{''.join(rng.choice(kinds).format(b) for b in own)}</div></body>" for k, own in enumerate(blocks)]
+    assert texts(spark, pages) == ["\n".join(own) for own in blocks]
+    whole = htmlwrap.wrapper(htmlwrap.parse(pages[0]))
+    assert len(htmlwrap.dumped(htmlwrap.both(whole, htmlwrap.wrapper(htmlwrap.parse(pages[1]))))) < 2_000
+
+
 def test_join_extracts_alike(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     by_broadcast = sorted(tuple(r) for r in htmlwrap.extract(df).collect())

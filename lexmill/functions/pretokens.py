@@ -45,7 +45,7 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 def byte_words(counts: DataFrame) -> DataFrame:
-    """word_id, pre_token, freq, toks (bytes) of word counts. The id is a hash of the word: the same on every run and partitioning."""
+    """word_id, pre_token, freq, toks (bytes) of word counts. The id is a hash of the word, the same on every run and partitioning; learning numbers words anew, as two of some 10^9 may share one."""
     return counts.select(F.xxhash64("pre_token").alias("word_id"), "pre_token", "freq", text_bytes("pre_token").alias("toks"))
 
 

@@ -56,3 +56,20 @@ def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None =
 
 def read_articles(spark: SparkSession, path: str, **options) -> DataFrame:
     return articles(read_pages(spark, path), **options)
+
+
+def download(spark: SparkSession, url: str, folder: str) -> str:
+    """The place in folder of a copy of the file at url, under its last part's name; a file that is there already is not fetched again.
+
+    url is anything that Spark's file systems read, http and https among them. A copy cut short leaves no file of that name.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop.fs
+    source, name = hadoop.Path(url), url.split("?")[0].rstrip("/").rsplit("/", 1)[-1]
+    place, part = hadoop.Path(f"{folder}/{name}"), hadoop.Path(f"{folder}/.{name}.part")
+    system = place.getFileSystem(conf)
+    if not system.exists(place):
+        system.mkdirs(hadoop.Path(folder))
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, system, part, False, True, conf)
+        system.rename(part, place)
+    return place.toString()

@@ -306,6 +306,34 @@ def test_dumps(spark, tmp_path, suffix):
     assert wiki.read_articles(spark, str(file), max_articles=4).count() == 4 and wiki.read_articles(spark, str(file), min_length=5000).count() == 0
 
 
+def test_download(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<page>one</page>")
+    place = wiki.download(spark, f"file://{tmp_path}/d.xml", f"file://{tmp_path}/into/it")
+    assert place.endswith("/into/it/d.xml") and (tmp_path / "into/it/d.xml").read_text() == "<page>one</page>"
+    (tmp_path / "d.xml").write_text("other")
+    assert wiki.download(spark, f"file://{tmp_path}/d.xml", f"file://{tmp_path}/into/it") == place and "one" in (tmp_path / "into/it/d.xml").read_text()
+    assert sorted(p.name for p in (tmp_path / "into/it").iterdir() if not p.name.endswith(".crc")) == ["d.xml"]
+    with pytest.raises(Exception, match="gone"):
+        wiki.download(spark, f"file://{tmp_path}/gone.xml", f"file://{tmp_path}/into")
+
+
+def test_downloads_over_http(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web/dump.xml").write_text("<page>by http</page>" * 500)
+    quiet = type("Quiet", (SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(quiet, directory=str(tmp_path / "web")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        place = wiki.download(spark, f"http://127.0.0.1:{server.server_port}/dump.xml", f"file://{tmp_path}/got")
+    finally:
+        server.shutdown()
+    assert (tmp_path / "got/dump.xml").read_text() == "<page>by http</page>" * 500 and place.endswith("got/dump.xml")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "a.txt").write_text(" one \n\n two\n")

@@ -92,12 +92,6 @@ def _same(rows: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFra
     return rows.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}_other")) for c in on)), how)
 
 
-def roughly(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows whose columns on are in keys, and maybe a few others. Rows are shuffled only if keys are too many for a filter."""
-    known = build(keys.select(F.xxhash64(*on).alias("key")), "key")
-    return _passed(rows, known, on, True) if known.rate <= USEFUL else _same(rows, keys, on, "left_semi")
-
-
 def without(rows: DataFrame, light: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """The rows whose columns on aren't in gone. light: these columns of all rows, cheap to read.
 

@@ -33,12 +33,14 @@ from .tokens import slices
 K = 64
 SHORT = 16
 #: Nodes, and bytes of their sets or sketches, in a block of a long list.
-BLOCK = 2048
+BLOCK = 512
 BLOCK_BYTES = 16 << 20
 #: Nodes of a block that are compared with the others at once.
 STRIP = 256
 #: Bytes of a text that are hashed at once: each takes some 30 while they are.
 PIECE = 1 << 20
+#: Bytes of short texts that are hashed together.
+AT_ONCE = 400_000
 BLANK = re.compile(rb"[ \t-\r]")
 WORDS = 5
 #: How far the estimate of a pair that is similar enough may lie below the threshold, in standard deviations.
@@ -129,7 +131,7 @@ def signatures(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text="text", most=1_000_000):
+            for part in slices(batch, text="text", most=AT_ONCE):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 fps = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), _lists(pa, [s[:k] for s in sets])], names=["doc_id", "mark", "n", "fp", "sketch"])
@@ -137,18 +139,21 @@ def signatures(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, n long, fp binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp, shingles (sorted hashes as bytes), from docs (doc_id, text)."""
+def full_sets(docs: DataFrame, words: int = WORDS, wanted: bloom.Bloom | None = None) -> DataFrame:
+    """doc_id, fp, shingles (sorted hashes as bytes), from docs (doc_id, text); with wanted only of the ids that it knows, and maybe a few others."""
+    known = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text="text", most=1_000_000):
+            if known.value:
+                batch = batch.filter(known.value.mask(batch.column("key")))
+            for part in slices(batch, text="text", most=AT_ONCE):
                 sets = shingle_sets(part.column("text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, shingles binary")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, fp binary, shingles binary")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -241,7 +246,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int, w
         rows = named(rows, mixed, "doc_id").groupBy("fp").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("own"), F.first("shingles").alias("shingles"))
         sets = rows.select(F.coalesce("own", made_name("fp")).alias("node"), "shingles")
     else:
-        sets = full_sets(bloom.roughly(texts.select("doc_id", "text"), written(wanted.withColumnRenamed("node", "doc_id"), "wanted"), ["doc_id"]), words).select(F.col("doc_id").alias("node"), "shingles")
+        known = bloom.build(written(wanted, "wanted").select(F.xxhash64("node").alias("key")), "key")
+        if known.rate > bloom.USEFUL:
+            texts, known = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), None
+        sets = full_sets(texts, words, known).select(F.col("doc_id").alias("node"), "shingles")
     sets = written(sets, "sets")
     links = confirmed(near, sets).where(similar(percent)).select("a", "b")
     parts = [written(links, "links"), *_hot_links(hot, nodes, sets, percent, k)]

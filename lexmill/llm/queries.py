@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
-from . import decontaminate, embeddings, htmlwrap, langid, minhash, packing, quality, tokenfiles, urlfilter, warc
+from . import decontaminate, embeddings, hardneg, htmlwrap, langid, minhash, packing, quality, tokenfiles, urlfilter, veccodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,10 +130,78 @@ select page_id, url, cast(payload_bytes as bigint) as payload_bytes, payload_dig
 from g
 """
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+SQL12 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(cast(a.e as double[]), cast(b.e as double[])) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, p.positive_id, cast(row_number() over w as integer) as rank, s.id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+window w as (partition by p.anchor_id, p.positive_id order by s.score desc, s.id)
+qualify row_number() over w <= 10
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+#: A round: each part's nearest entry, then the entries' floored means.
+ROUND13 = """, a{k} as (
+  select p.vec_id, p.part, arg_min(b.entry, {{'d': list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'entry': b.entry}}) as entry,
+    min(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as d
+  from p join b{j} b on b.part = p.part group by p.vec_id, p.part
+)"""
+MOVE13 = """, m{k} as (
+  select part, entry, list(cast(floor(total / n) as bigint) order by place) as c from (
+    select part, entry, place, cast(sum(component) as double) as total, count(*) as n
+    from (select a.part, a.entry, unnest(p.x) as component, unnest(range(len(p.x))) as place from a{k} a join p on p.vec_id = a.vec_id and p.part = a.part) group by part, entry, place
+  ) group by part, entry
+), b{k} as (
+  select b.part, b.entry, coalesce(m.c, b.c) as c from b{j} b left join m{k} m on m.part = b.part and m.entry = b.entry
+)"""
+SQL13 = (
+    """
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), p as materialized (
+  select vec_id, part, e[part * (len(e) // 16) + 1 : (part + 1) * (len(e) // 16)] as x from v, range(16) t(part)
+), f as (
+  select vec_id, row_number() over (order by vec_id) - 1 as entry from v order by vec_id limit 64
+), b0 as (
+  select p.part, f.entry, p.x as c from p join f on f.vec_id = p.vec_id
+)"""
+    + ROUND13.format(k=1, j=0)
+    + MOVE13.format(k=1, j=0)
+    + ROUND13.format(k=2, j=1)
+    + MOVE13.format(k=2, j=1)
+    + ROUND13.format(k=3, j=2)
+    + """, o as (
+  select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a3 group by vec_id
+), h as (
+  select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as codebooks_sha256 from b2
+)
+select o.vec_id, o.code, o.error, cast(sum(o.error) over (partition by v.label) as bigint) as label_error, h.codebooks_sha256 from o join v on v.vec_id = o.vec_id, h
+"""
+)
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_html": op8_html, "op9_warc": op9_warc, "op10_language_id": op10_language_id}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_html": op8_html, "op9_warc": op9_warc, "op10_language_id": op10_language_id, "op12_hard_negatives": op12_hard_negatives, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": SQL4, "op6_embeddings": SQL6, "op9_warc": SQL9}
+    return {"op4_near_duplicates": SQL4, "op6_embeddings": SQL6, "op9_warc": SQL9, "op12_hard_negatives": SQL12, "op13_vector_codes": SQL13}

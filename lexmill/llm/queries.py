@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import spread
-from . import decontaminate, embeddings, hardneg, htmlwrap, langid, minhash, packing, quality, tokenfiles, urlfilter, veccodes, warc
+from . import decontaminate, embeddings, hardneg, htmlwrap, langid, minhash, packing, quality, secretscan, tokenfiles, urlfilter, veccodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,60 @@ select page_id, url, cast(payload_bytes as bigint) as payload_bytes, payload_dig
   case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
 from g
 """
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The matches of each pattern with their ends, from the lengths of what lies between them; the windows of the candidates that are left.
+SQL11 = (
+    """
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), z as (
+  select r, g, list_zip(string_split_regex(t, p), regexp_extract_all(t, p)) as z from d, (values """
+    + ", ".join(f"({k}, {quoted(p)})" for k, p in enumerate((*secretscan.PATTERNS.values(), f"{secretscan.BASE}|{secretscan.CANDIDATE}")))
+    + """) as patterns(g, p) where regexp_matches(t, p)
+), u as (
+  select r, g, unnest(range(len(z))) as pos, unnest(z) as cut from z
+), m as (
+  select * from (select r, g, cut[2] as match, sum(length(cut[1]) + coalesce(length(cut[2]), 0)) over (partition by r, g order by pos) as stop from u) where match is not null
+), w as (
+  select r, stop, k, substring(match, cast(k + 1 as bigint), 20) as w from (
+    select r, stop, match, unnest(range(length(match) - 19)) as k from m where g = 3 and not ("""
+    + " or ".join(f"regexp_matches(match, {quoted(p)})" for p in (secretscan.BASE, *secretscan.ALLOWED))
+    + """))
+), n as (
+  select r, stop, k, any_value(w) as w, sum(round(n * log2(n) * 4294967296)) as total from (
+    select r, stop, k, c, any_value(w) as w, count(*) as n from (select *, unnest(string_split(w, '')) as c from w) group by r, stop, k, c) group by r, stop, k
+), e as (
+  select r, stop, case when regexp_matches(w, '^[0-9a-fA-F]*$') then case when regexp_matches(w, '[0-9]') and regexp_matches(w, '[a-fA-F]') then 'entropy_hex' end
+      when not regexp_matches(w, '[^0-9a-zA-Z]') and length(regexp_replace(w, '[^0-9]', '', 'g')) >= 3 and regexp_matches(w, '[a-z]') <> regexp_matches(w, '[A-Z]') then 'entropy_base36'
+      when regexp_matches(w, '[0-9]') and regexp_matches(w, '[a-z]') and regexp_matches(w, '[A-Z]') then 'entropy_base64' end as class, total from n
+), x as (
+  select r, stop, min(case class when 'entropy_hex' then 4 when 'entropy_base36' then 5 else 6 end) as place from e
+  where total <= floor(20 * (log2(20) - case class when 'entropy_hex' then """
+    + f"{secretscan.THRESHOLDS['entropy_hex']} when 'entropy_base36' then {secretscan.THRESHOLDS['entropy_base36']} when 'entropy_base64' then {secretscan.THRESHOLDS['entropy_base64']}"
+    + """ end) * 4294967296) group by r, stop
+), s as (
+  select m.r, m.stop - length(match) as start, m.stop, case when g = 3 then x.place else g + 1 end as place
+  from m left join x on x.r = m.r and x.stop = m.stop and g = 3
+  where case g when 0 then length(regexp_extract(match, """
+    + quoted(secretscan.PATTERNS["assign"])
+    + """, 1)) >= 6 when 1 then length(match) >= 20 when 2 then true else x.place is not null end
+), o as (
+  select r, start, place, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_base36', 'entropy_base64'])[place] || ':' || cast(start as bigint) || ':' || cast(stop as bigint) as span from s
+)
+select d.doc_id, count(*) filter (place = 1) as n_assign, count(*) filter (place = 2) as n_access, count(*) filter (place = 3) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, place) filter (place <= 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, place), '') as spans
+from d left join o on o.r = d.r group by d.r, d.doc_id
+"""
+)
+
+
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -200,8 +254,8 @@ select o.vec_id, o.code, o.error, cast(sum(o.error) over (partition by v.label)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_html": op8_html, "op9_warc": op9_warc, "op10_language_id": op10_language_id, "op12_hard_negatives": op12_hard_negatives, "op13_vector_codes": op13_vector_codes}
+    return {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_near_duplicates": op4_near_duplicates, "op5_url_filter": op5_url_filter, "op6_embeddings": op6_embeddings, "op7_token_files": op7_token_files, "op8_html": op8_html, "op9_warc": op9_warc, "op10_language_id": op10_language_id, "op11_secret_scan": op11_secret_scan, "op12_hard_negatives": op12_hard_negatives, "op13_vector_codes": op13_vector_codes}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": SQL4, "op6_embeddings": SQL6, "op9_warc": SQL9, "op12_hard_negatives": SQL12, "op13_vector_codes": SQL13}
+    return {"op4_near_duplicates": SQL4, "op6_embeddings": SQL6, "op9_warc": SQL9, "op11_secret_scan": SQL11, "op12_hard_negatives": SQL12, "op13_vector_codes": SQL13}

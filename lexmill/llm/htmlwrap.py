@@ -11,8 +11,9 @@ pages it is summed up how much text each slot has, how much of it in links, and
 From these sums one element of the wrapper is chosen for each host: from the root down, past elements
 that are links for the most part or always the same, the element that holds most of what is left and
 more than a line (see decide). Tags and names like nav or sidebar count as much as being links, but never
-against an element that has most of the text; without any of them the sums alone decide. A page that
-lacks the chosen element is decided by its own sums.
+against an element that has most of the text; without any of them the sums alone decide. Elements named as
+comments are never chosen while there is a paragraph beside them, however long they are. Within the article links stay, unless
+they are the same on all pages. A page that lacks the chosen element is decided by its own sums.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import json
 import re
 import sys
 from difflib import SequenceMatcher
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,9 @@ NEGATIONS = frozenset("no not non has have with without is hide enable disable".
 CONTAINERS = frozenset("area bar block bottom box container content group inner item items left list outer panel posts right section text top unit widget wrap wrapper".split())
 
 
-#: Children of an element that are aligned in their order, at most.
+#: Text beside comments that may be an article is this share of all text at least.
+RICH = 0.005
+#: Children of an element that are aligned in their order, at most (see infer).
 WIDE = 64
 
 
@@ -194,21 +198,21 @@ def parse(page: str | None) -> list:
 # Wrappers: [label, children, least, many]; least 0: optional, many: repeated. A repeated group of several elements has the label "()".
 
 
-def wrapper(tree: list) -> list:
+def wrapper(tree: list, wide: int = WIDE) -> list:
     """The wrapper of one page."""
     if tree[0] == "#":
         return ["#", [], 1, False]
-    return [tree[0], fold([wrapper(k) for k in tree[1]]), 1, False]
+    return [tree[0], fold([wrapper(k, wide) for k in tree[1]], wide), 1, False]
 
 
-def both(a: list, b: list) -> list:
+def both(a: list, b: list, wide: int = WIDE) -> list:
     """The wrapper of what either wrapper of one label matches."""
-    return [a[0], align(a[1], b[1]), min(a[2], b[2]), a[3] or b[3]]
+    return [a[0], align(a[1], b[1], wide), min(a[2], b[2]), a[3] or b[3]]
 
 
-def narrow(kids: list) -> list:
-    """Children that are more than WIDE, such as an article's of every kind in any order, as one repeated part for each label: their order says nothing, and comparing it takes its square in time."""
-    if len(kids) <= WIDE:
+def narrow(kids: list, wide: int = WIDE) -> list:
+    """Children that are more than wide, such as an article's of every kind in any order, as one repeated part for each label: their order says nothing, and comparing it takes its square in time."""
+    if len(kids) <= wide:
         return kids
     out: dict = {}
     todo = kids[::-1]
@@ -217,16 +221,16 @@ def narrow(kids: list) -> list:
         if k[0] == "()":
             todo += k[1][::-1]
         else:
-            out[k[0]] = [*both(out[k[0]], k)[:2], 0, True] if k[0] in out else [*k[:2], 0, True]
+            out[k[0]] = [*both(out[k[0]], k, wide)[:2], 0, True] if k[0] in out else [*k[:2], 0, True]
     return list(out.values())
 
 
-def fold(kids: list) -> list:
+def fold(kids: list, wide: int = WIDE) -> list:
     """Neighbours of one label become a repeated part, then runs of a few that recur a repeated group."""
     out: list = []
     for k in kids:
         if out and out[-1][0] == k[0]:
-            out[-1] = [*both(out[-1], k)[:3], True]
+            out[-1] = [*both(out[-1], k, wide)[:3], True]
         else:
             out.append(k)
     for n in (2, 3, 4):
@@ -239,14 +243,14 @@ def fold(kids: list) -> list:
             if times > 1 and "()" not in names:
                 group = out[i : i + n]
                 for t in range(1, times):
-                    group = [both(a, b) for a, b in zip(group, out[i + t * n : i + (t + 1) * n])]
+                    group = [both(a, b, wide) for a, b in zip(group, out[i + t * n : i + (t + 1) * n])]
                 folded.append(["()", group, 1, True])
                 i += times * n
             else:
                 folded.append(out[i])
                 i += 1
         out = folded
-    return narrow(out)
+    return narrow(out, wide)
 
 
 def grouped(kids: list, groups: list[list]) -> list:
@@ -269,7 +273,7 @@ def key(node: list) -> str:
     return node[0] if node[0] != "()" else "(" + " ".join(k[0] for k in node[1]) + ")"
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, wide: int = WIDE) -> list:
     """Match two sequences of children; what only one of them has becomes optional."""
     if (groups := [k for k in a if k[0] == "()"]) and any(k[0] != "()" for k in b):
         b = grouped(b, groups)
@@ -277,20 +281,20 @@ def align(a: list, b: list) -> list:
         a = grouped(a, groups)
     x, y = [key(k) for k in a], [key(k) for k in b]
     if x == y:
-        return [both(p, q) for p, q in zip(a, b)]
+        return [both(p, q, wide) for p, q in zip(a, b)]
     out: list = []
     for kind, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [both(p, q) for p, q in zip(a[i:j], b[k:m])]
+            out += [both(p, q, wide) for p, q in zip(a[i:j], b[k:m])]
         else:
             out += [[p[0], p[1], 0, p[3]] for p in (*a[i:j], *b[k:m])]
     merged: list = []
     for node in out:  # the optional leftovers of both may stand side by side
         if merged and key(merged[-1]) == key(node):
-            merged[-1] = [*both(merged[-1], node)[:2], max(merged[-1][2], node[2]), True]
+            merged[-1] = [*both(merged[-1], node, wide)[:2], max(merged[-1][2], node[2]), True]
         else:
             merged.append(node)
-    return narrow(merged)
+    return narrow(merged, wide)
 
 
 def expression(node: list) -> str:
@@ -323,7 +327,7 @@ def loaded(text: str) -> list:
     return path[0]
 
 
-def places(kids: list, known: list) -> list:
+def places(kids: list, known: list, wide: int = WIDE) -> list:
     """The node among the wrapper's children known for each of a page's children: runs of one label, then groups, then alignment as in align().
 
     What doesn't align takes the first node of its label; None where the wrapper has no such label.
@@ -345,7 +349,7 @@ def places(kids: list, known: list) -> list:
     x, y = [k for k, _ in items], [key(k) for k in known]
     if x == y:
         to = dict(enumerate(range(len(y))))
-    elif len(x) > WIDE:
+    elif len(x) > wide:
         to = {}
     else:
         to = {m.a + n: m.b + n for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() for n in range(m.size)}
@@ -365,7 +369,7 @@ def places(kids: list, known: list) -> list:
     return out
 
 
-def slots(tree: list, whole: list, chosen: dict | None = None):
+def slots(tree: list, whole: list, chosen: dict | None = None, wide: int = WIDE):
     """(slot, text, characters in links) of the blocks of a page in page order; a slot is the number of the wrapper's node.
 
     Blocks that the wrapper doesn't have get the slot of the last element above them that it has. With chosen (see
@@ -379,28 +383,65 @@ def slots(tree: list, whole: list, chosen: dict | None = None):
             if inside:
                 yield slot, node[1], node[2]
             continue
-        for k, at in zip(reversed(node[1]), reversed(places(node[1], known[1] if known else []))):
+        for k, at in zip(reversed(node[1]), reversed(places(node[1], known[1] if known else [], wide))):
             if at is None:
                 todo.append((k, None, slot, inside))
             elif at[4] not in out:
                 todo.append((k, at, at[4], inside or at[4] in taken))
 
 
+def comment_regions(whole: list, sums: dict[int, tuple[int, int]]) -> frozenset[int]:
+    """Numbers of the elements that are named as comments, if there is other text that may be an article: a paragraph, or RICH of all text at least.
+
+    Text in headings, and in elements whose tag or name says that they are something else, is none. What holds the
+    page's own heading or main element isn't a region of comments.
+    """
+    found: list[int] = []
+    plain = {s: total - linked for s, (total, linked) in sums.items()}
+    rest, prose = 0, False
+    todo = [(whole, False, False)]
+    while todo:
+        node, spent, within = todo.pop()
+        tag, *names = parts(node[0])
+        said = {means(x) for x in names} if tag not in TOPS else set()
+        if said & COMMENT_NAMES and tag != "main" and not holds(node, ("h1", "main")):
+            found.append(node[4])
+            continue
+        spent = spent or tag in LEFT_OUT_TAGS or tag in HEADINGS or bool(said & LEFT_OUT_NAMES)
+        within = within or tag in PROSE
+        if not spent and plain.get(node[4], 0):
+            rest, prose = rest + plain[node[4]], prose or within
+        todo += [(k, spent, within) for k in node[1]]
+    return frozenset(found) if prose or rest and rest >= RICH * sum(plain.values()) else frozenset()
+
+
+def holds(node: list, tags: tuple[str, ...]) -> bool:
+    todo = list(node[1])
+    while todo:
+        k = todo.pop()
+        if tag_of(k) in tags:
+            return True
+        todo += k[1]
+    return False
+
+
 def decide(whole: list, sums: dict[int, tuple[int, int]], fixed: frozenset[int] = frozenset()) -> dict[str, list[int]]:
     """Numbers of the wrapper's nodes whose text is the article (take), and of those left out within them (out).
 
     sums: by slot the characters of its texts and those of them in links; fixed: slots whose text never changes.
     """
     deep()
-    size: dict[int, list[int]] = {}  # characters outside links, all characters, characters outside links that change
+    size: dict[int, list[int]] = {}  # characters outside links, all characters, characters outside links that change, all that change
+    comments = comment_regions(whole, sums)
 
     def add(node):
-        total, linked = sums.get(node[4], (0, 0))
-        own = [total - linked, total, 0 if node[4] in fixed else total - linked]
+        total, linked = sums.get(node[4], (0, 0)) if node[4] not in comments else (0, 0)
+        changing = 0 if node[4] in fixed else total
+        own = [total - linked, total, changing and total - linked, changing]
         for k in node[1]:
             add(k)
             own = [a + b for a, b in zip(own, size[k[4]])]
-        size[node[4]] = own
+        size[node[4]] = own if node[4] not in comments else [0] * 4
 
     add(whole)
 
@@ -411,9 +452,12 @@ def decide(whole: list, sums: dict[int, tuple[int, int]], fixed: frozenset[int]
             elif size[k[4]][1]:
                 yield k
 
-    def junk(node, frame, top):
-        """Whether an element isn't the article's; frame: the element within which it is judged, top: which is the page."""
-        plain, total, _ = size[node[4]]
+    def junk(node, frame, top, inside):
+        """Whether an element isn't the article's; frame: the element within which it is judged, top: which is the page; inside: which is the article.
+
+        Links within the article are its own unless they are the same on all pages.
+        """
+        plain, total, _, changing = size[node[4]]
         share = plain / max(1, size[frame[4]][0])
         tag, *names = parts(node[0])
         if tag in LEFT_OUT_TAGS and (top or tag != "header") and share < 0.8:
@@ -421,12 +465,12 @@ def decide(whole: list, sums: dict[int, tuple[int, int]], fixed: frozenset[int]
         said = {means(x) for x in names} if tag not in TOPS else set()
         if said & COMMENT_NAMES and share < 0.9 or said & LEFT_OUT_NAMES and (top or "header" not in said) and share < 0.5:
             return True
-        return tag not in PROSE and size[frame[4]][0] > 0 and total - plain >= 0.6 * total and share < 0.5
+        return tag not in PROSE and size[frame[4]][0] > 0 and total - plain >= 0.6 * total and share < 0.5 and not (inside and changing)
 
-    def judged(node, frame, top):
+    def judged(node, frame, top, inside=False):
         """The parts of node that are junk. Where others change from page to page, those of a page that never do are it too."""
         own = list(kids(node))
-        found = [k for k in own if junk(k, frame, top)]
+        found = [k for k in own if junk(k, frame, top, inside)]
         if top and any(size[k[4]][2] for k in own if k not in found):
             found += [k for k in own if not size[k[4]][2] and k not in found]
         return found
@@ -461,15 +505,12 @@ def decide(whole: list, sums: dict[int, tuple[int, int]], fixed: frozenset[int]
             break
         take += [k[4] for k in headings if k[4] < best[4]] if not alone else []
         at, top = best, tag in TOPS and tag_of(best) in TOPS
-    out: list[int] = []
+    out: list[int] = sorted(comments)
 
     def leave(node):
-        own = elements(node)
-        prose = sum(size[k[4]][0] for k in own if tag_of(k) in PROSE)
-        bad = judged(node, at, top)
+        bad = judged(node, at, top, not top)
         for k in kids(node):
-            line = top and k[0] != "#" and tag_of(k) not in PROSE and not elements(k) and not k[3] and size[k[4]][0] < 0.2 * prose
-            if line or k in bad:
+            if k in bad:
                 out.append(k[4])
             else:
                 leave(k)
@@ -478,15 +519,15 @@ def decide(whole: list, sums: dict[int, tuple[int, int]], fixed: frozenset[int]
     return {"take": [*take, at[4]], "out": out}
 
 
-def main_text(page: str | None, whole: list, fixed: frozenset[int], chosen: dict) -> str:
+def main_text(page: str | None, whole: list, fixed: frozenset[int], chosen: dict, wide: int = WIDE) -> str:
     """whole: the wrapper of the page's host; fixed: its slots whose text never changes; chosen: what its sums decide.
 
     A page in which the chosen elements have no text is decided by its own sums.
     """
     tree = parse(page)
-    found = [text for _, text, _ in slots(tree, whole, chosen)]
-    if not found and (own := summed(slots(tree, whole))):
-        found = [text for _, text, _ in slots(tree, whole, decide(whole, own, fixed))]
+    found = [text for _, text, _ in slots(tree, whole, chosen, wide)]
+    if not found and (own := summed(slots(tree, whole, None, wide))):
+        found = [text for _, text, _ in slots(tree, whole, decide(whole, own, fixed), wide)]
     return "\n".join(found)
 
 
@@ -498,7 +539,7 @@ def summed(blocks) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _learn(batches):
+def _learn(batches, wide):
     """Rows of wrappers (host, wrapper, pages)."""
     import pyarrow as pa
 
@@ -513,10 +554,10 @@ def _learn(batches):
     for batch in batches:
         for part in slices(batch, rows=256, text="html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                own = wrapper(parse(page))
+                own = wrapper(parse(page), wide)
                 if host in wrappers:
                     known = wrappers[host]
-                    known[:] = [both(known[0], own), known[1] + 1]
+                    known[:] = [both(known[0], own, wide), known[1] + 1]
                 else:
                     wrappers[host] = [own, 1]
             if len(wrappers) > 5_000:
@@ -525,14 +566,14 @@ def _learn(batches):
         yield out()
 
 
-def _merge(pdf):
+def _merge(pdf, wide):
     import pandas as pd
 
     deep()
     rows = sorted(zip(pdf["wrapper"], pdf["pages"]))
     whole, pages = loaded(rows[0][0]), rows[0][1]
     for other, n in rows[1:]:
-        whole, pages = both(whole, loaded(other)), pages + n
+        whole, pages = both(whole, loaded(other), wide), pages + n
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [dumped(whole)], "pages": [pages]})
 
 
@@ -542,7 +583,7 @@ MERGED = 64
 BROADCAST_BYTES = 32 << 20
 
 
-def merged(own: DataFrame) -> DataFrame:
+def merged(own: DataFrame, wide: int = WIDE) -> DataFrame:
     """One row a host of own (host, wrapper, pages): a host's different wrappers merge MERGED at a time, round by round."""
     shape = "host string, wrapper string, pages long"
     while True:
@@ -551,7 +592,7 @@ def merged(own: DataFrame) -> DataFrame:
         if tasks.isEmpty():
             return own
         dealt = own.join(tasks, "host").withColumn("share", F.pmod(F.xxhash64("wrapper"), F.col("tasks")))
-        own = own.join(tasks, "host", "left_anti").unionByName(dealt.select(*own.columns, "share").groupBy("host", "share").applyInPandas(_merge, shape))
+        own = own.join(tasks, "host", "left_anti").unionByName(dealt.select(*own.columns, "share").groupBy("host", "share").applyInPandas(lambda pdf: _merge(pdf, wide), shape))
 
 
 def with_rules(rows: DataFrame, rules: DataFrame, make):
@@ -580,16 +621,19 @@ def with_rules(rows: DataFrame, rules: DataFrame, make):
     return rows, get
 
 
-def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def infer(pages: DataFrame, url: str = "url", html: str = "html", wide: int = WIDE) -> DataFrame:
     """host, wrapper (JSON), pages, slots (JSON: number, characters, characters in links, and whether the text is the same on all pages that have it, two different ones at least), one row a host.
 
     Pages are different if any text in their slots is; copies, also under other URLs or in other frames, count as one page.
 
+    wide: an element of more children, runs and recurring groups counted once, is a repeated part for each label in its
+    wrapper, without order or optional parts: aligning takes the square of this number in time. Whatever it is, no text is lost.
+
     Pages of null url or url without host are the host "". Null and empty html are pages without elements.
     """
     prepare(pages.sparkSession)
     rows = pages.select(host_of(F.col(url).cast("string")).alias("host"), F.col(html).cast("string").alias("html"))
-    wrappers = merged(rows.mapInArrow(_learn, "host string, wrapper string, pages long"))
+    wrappers = merged(rows.mapInArrow(partial(_learn, wide=wide), "host string, wrapper string, pages long"), wide)
     rows, rules = with_rules(rows, wrappers.select("host", "wrapper"), loaded)
 
     def run(batches):
@@ -612,7 +656,7 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         for batch in batches:
             for part in slices(batch, rows=256, text="html"):
                 for host, page, whole in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), rules(part)):
-                    blocks = list(slots(parse(page), whole))
+                    blocks = list(slots(parse(page), whole, None, wide))
                     seen: dict[int, list[str]] = {}
                     for slot, text, _ in blocks:
                         seen.setdefault(slot, []).append(text)
@@ -640,15 +684,16 @@ def rule(wrapper: str, slots: str | None) -> tuple[list, frozenset[int], dict]:
     return whole, fixed, decide(whole, {s: (chars, linked) for s, chars, linked, _ in own}, fixed)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", wide: int = WIDE) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     text: the article's blocks in page order, one line each; white space inside a block is one space.
+    wide: see infer; it tells slots apart and keeps all text.
     Null or empty html and pages without text have the text "". Broken markup is read on, whole texts
     of any length and elements of any depth are kept. Repeated rows are extracted alike; an empty table gives no rows; other columns are ignored.
     """
     with temporary(pages.sparkSession) as scope:
-        rules = written(infer(pages, url_col, html_col).select("host", "wrapper", "slots"), "rules")
+        rules = written(infer(pages, url_col, html_col, wide).select("host", "wrapper", "slots"), "rules")
         scope.keep(rules)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows, get = with_rules(rows.withColumn("host", host_of(F.col("url"))), rules, rule)
@@ -659,7 +704,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         for batch in batches:
             for part in slices(batch, rows=256, text="html"):
-                texts = [main_text(page, *own) for page, own in zip(part.column("html").to_pylist(), get(part))]
+                texts = [main_text(page, *own, wide) for page, own in zip(part.column("html").to_pylist(), get(part))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     out = rows.mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 
@@ -132,6 +133,13 @@ def texts(spark, pages):
     return [r.text for r in sorted(htmlwrap.extract(df).collect())]
 
 
+def texts_of_hosts(spark, hosts):
+    """The texts of the pages of several hosts, in one go."""
+    rows = [(1_000 * h + k, f"http://h{h}.test/{k}", p) for h, pages in enumerate(hosts) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmlwrap.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [[got[1_000 * h + k] for k in range(len(pages))] for h, pages in enumerate(hosts)]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T{k}</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body class="x">
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li><li>Menu {k}</ul></nav><div class="notice cookie">We use cookies {k}</div><aside id="sidebar">side {k}</aside>
 <article><h1>Head {k} &amp; more</h1><p>One   two<br>three <b>bold</b>, <i>it</i>.<p>Second &lt;b&gt; {k}</p>{extra}<form><input>Search {k}</form><div class="ad-box">Buy {k}</div>
@@ -211,16 +219,63 @@ def test_names_and_tags_are_not_needed(spark):
 
 def test_names_do_not_delete_articles(spark):
     body = "<{0}><h1>Title {1}</h1><p>Body text {1}.</p><p class='notice-board'>Board {1} <span class=share>shared</span> <math><mi>x</mi></math>.</p></{2}>"
+    hosts = []
     for tag in ("article class='post no-comments'", "div class='has-sidebar content'", "div class='with-header-menu'", "div class=widget", "main id=comments-page", "form id=aspnetForm", "div"):
         pages = [f"<body><nav><a href=x>Menu {k}</a></nav>{body.format(tag, k, tag.split()[0])}</body>" for k in range(3)]
-        assert texts(spark, pages[:1]) + texts(spark, pages) == [f"Title {k}\nBody text {k}.\nBoard {k} shared x." for k in (0, 0, 1, 2)]
+        hosts += [pages[:1], pages]
+    want = [f"Title {k}\nBody text {k}.\nBoard {k} shared x." for k in range(3)]
+    assert texts_of_hosts(spark, hosts) == [want[: len(pages)] for pages in hosts]
 
 
 def test_parts_that_go(spark):
-    """Names of several words, hidden elements, controls, lists of links, and comments longer than the article."""
+    """Names of several words, hidden elements, controls, and comments longer than the article; lists of links that change are the article's."""
     parts = ["<div class=cookie-notice>Cookies {0}</div>", "<div class='comments-list'>" + "<p>Long comment {0} indeed</p>" * 9 + "</div>", "<ul><li><a href=a>One {0}</a><li><a href=b>Two</a></ul>", "<p hidden>no</p><div style='display: none'><p>no {0}</div>", "<p>A <button>Buy {0}</button><span hidden>no</span>line {0}</p>"]
     pages = [f"<body><nav><a href=x>Menu {k}</a></nav><article><h1>Title {k}</h1><p>The story of number {k}, told well</p>{''.join(parts).format(k)}<p>End {k}</p></article></body>" for k in range(3)]
-    assert texts(spark, pages) == [f"Title {k}\nThe story of number {k}, told well\nA line {k}\nEnd {k}" for k in range(3)]
+    assert texts(spark, pages) == [f"Title {k}\nThe story of number {k}, told well\nOne {k}\nTwo\nA line {k}\nEnd {k}" for k in range(3)]
+
+
+COMMENTS = [
+    ("<div class=comments>{}</div>", "<p>Comment {} of many, as long as a paragraph</p>"),
+    ("<section id=comment-list>{}</section>", "<article class=comment><p>Comment {} of many, long</p></article>"),
+    ("<div><div class='replies box'>{}</div></div>", "<div class=reply>Comment {} of many, quite long</div>"),
+]
+
+
+def test_comments_never_win(spark):
+    """From half to 99.8 % of a page's text are comments, beside the article and within it, with one page and with three a host."""
+    hosts, want = [], []
+    for (region, one), count, inside, pages in itertools.product(COMMENTS, (2, 8, 60, 900), (True, False), (1, 3)):
+
+        def page(k):
+            article = f"<h1>Title {k}</h1><p>The story of number {k}.</p><p>It goes on for some time {k}.</p><p>And on.</p><p>Then it ends {k}.</p>"
+            own = region.format("".join(one.format(f"{k}-{j}") for j in range(count)))
+            body = f"<article class=post>{article}{own}</article>" if inside else f"<article class=post>{article}</article>{own}"
+            return f"<body><nav><a href=x>Menu</a></nav>{body}<footer>Us</footer></body>"
+
+        hosts.append([page(k) for k in range(pages)])
+        want.append([f"Title {k}\nThe story of number {k}.\nIt goes on for some time {k}.\nAnd on.\nThen it ends {k}." for k in range(pages)])
+    assert texts_of_hosts(spark, hosts) == want
+
+
+def test_comments_alone_stay(spark):
+    """Where nothing else is rich the named region is the page's text."""
+    pages = [f"<body><h1>Guests {k}</h1><div class=comments>{''.join(f'<p>Entry {j} of {k}</p>' for j in range(9))}</div></body>" for k in range(3)]
+    assert all("Entry 8 of" in t for t in texts(spark, pages))
+
+
+def test_parts_that_stay(spark):
+    """Linked sources, tables of links, closing lines: all the article's, with one page and with three."""
+    told = [f"Paragraph {j} of story {{0}}, with words enough." for j in range(4)]
+    text = "".join(f"<p>{line}</p>" for line in told)
+    sources = "<h2>Sources</h2><ul>{}</ul>".format("".join(f"<li><a href=x{j}>Source {j} of {{0}}</a></li>" for j in range(12)))
+    table = "<table>{}</table>".format("".join(f"<tr><td><a href=x{j}>Cell {j} of {{0}}</a></td></tr>" for j in range(12)))
+    cases = [
+        (f"<nav><a href=x>Menu</a></nav><article><h1>T {{0}}</h1>{text}{sources}</article>", ["Sources", *(f"Source {j} of {{0}}" for j in range(12))]),
+        (f"<div><a href=x>Menu</a></div><div class=content><h1>T {{0}}</h1>{text}{table}</div>", [f"Cell {j} of {{0}}" for j in range(12)]),
+        (f"<h1>T {{0}}</h1>{text}<div>A closing sentence {{0}}.</div>", ["A closing sentence {0}."]),
+    ]
+    want = [["\n".join(["T {0}", *told, *rest]).format(k) for k in range(n)] for _, rest in cases for n in (1, 3)]
+    assert texts_of_hosts(spark, [[f"<body>{page.format(k)}</body>" for k in range(n)] for page, _ in cases for n in (1, 3)]) == want
 
 
 def test_menus_stay_menus_in_the_deep(spark):
@@ -237,7 +292,7 @@ def test_pages_of_another_kind(spark):
 
 
 def test_long_articles_of_every_kind(spark):
-    """Thousands of blocks in any order: all are kept, in order, and the wrapper stays small."""
+    """Thousands of blocks in any order: all are kept, in order, and the wrapper stays small, however wide it may be."""
     rng = random.Random(3)
     kinds = ["<p>{0}</p>", "<h2>{0}</h2>", "<ul><li>{0}</ul>", "<blockquote>{0}</blockquote>", "<pre>{0}</pre>"]
     blocks = [[f"block {k} {j}" for j in range(n)] for k, n in enumerate((3_000, 2_500, 70, 5))]
@@ -245,6 +300,17 @@ def test_long_articles_of_every_kind(spark):
     assert texts(spark, pages) == ["\n".join(own) for own in blocks]
     whole = htmlwrap.wrapper(htmlwrap.parse(pages[0]))
     assert len(htmlwrap.dumped(htmlwrap.both(whole, htmlwrap.wrapper(htmlwrap.parse(pages[1]))))) < 2_000
+    df = spark.createDataFrame([(k, "http://h.test/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in sorted(htmlwrap.extract(df, wide=5).collect())] == ["\n".join(own) for own in blocks]
+
+
+def test_wide_elements_keep_their_order():
+    """70 children of 7 kinds: beyond wide each kind is one repeated part, up to it order and optional parts are told."""
+    page = "<body>" + "".join(f"<{t}>x</{t}>" for k in range(70) for t in (["h2", "p", "pre", "ul", "ol", "dl", "blockquote"][k * k % 7],)) + "</body>"
+    tree = htmlwrap.parse(page)
+    narrow, wide = htmlwrap.wrapper(tree, wide=8), htmlwrap.wrapper(tree, wide=500)
+    assert max(len(narrow[1][0][1]), 8) == 8 < len(wide[1][0][1])
+    assert all(k[2] == 0 and k[3] for k in narrow[1][0][1]) and not any(k[2] == 0 for k in wide[1][0][1])
 
 
 def test_join_extracts_alike(spark, monkeypatch):

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..runtime import temporary, written
 
 ALLOW, BLOCK = "allow", "block"
-BROADCAST_RULES = 100_000
 
 
 def host(url: Column) -> Column:
@@ -74,56 +73,56 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*kinds))
 
 
-def grouped(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Rules of single tokens that settle the verdict, and tokens (token, item) that mining goes on with.
+def classes(rows: DataFrame, least: int) -> DataFrame:
+    """The tokens (token, item) of least rows or more: those that have the same rows are one item, or each set of them would be mined for itself.
 
-    rows: items and verdict, n times each. Only tokens of at least least rows count. A token all of whose rows have one verdict is a rule, and no longer rule with
-    it can say more. Of the others, those that have the same rows are one item: else each set of them
-    would be mined for itself.
+    rows: items and verdict, n times each.
     """
-    each = rows.select("verdict", "n", F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g"), F.explode("items").alias("token"))
-    sums = [F.sum("n").alias("n"), F.sum(F.when(F.col("verdict") == BLOCK, F.col("n")).otherwise(0)).alias("blocked")]
+    each = rows.select("n", F.xxhash64("items").alias("h"), F.xxhash64(F.lit(1), "items").alias("g"), F.explode("items").alias("token"))
     # What rows a token has, told by sums of their hashes.
     mark = [F.sum(F.col(c).cast("decimal(20)")).alias(c) for c in ("h", "g")]
-    tokens = written(each.groupBy("token").agg(*sums, *mark).where(F.col("n") >= least), "url-tokens")
-    sure = (F.col("blocked") == 0) | (F.col("blocked") == F.col("n"))
-    return tokens.where(sure), tokens.where(~sure).groupBy("n", "blocked", "h", "g").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("item")).select(F.explode("tokens").alias("token"), "item")
+    tokens = each.groupBy("token").agg(F.sum("n").alias("n"), *mark).where(F.col("n") >= least)
+    return tokens.groupBy("n", "h", "g").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("item")).select(F.explode("tokens").alias("token"), "item")
 
 
 def mine(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rules (rule_id, items, size, verdict, confidence, support) from labelled (items, verdict), and names (token, item): a URL that has a token has the item.
 
-    FP-growth runs over every labelled row, over items that no single token settles (see grouped). A rule is kept if no
-    kept verdict's rule with a part of its items is as confident: the longer says nothing more. Null verdicts count for nothing; without
+    FP-growth runs over every labelled row; all rules are its own. One is kept if no rule of the same verdict with a part
+    of its items is as confident: the longer says nothing more. Null verdicts count for nothing; without
     labelled rows there are no rules.
     """
     verdicts = [ALLOW, BLOCK]
     marks = [f"verdict:{v}" for v in verdicts]
-    rows = written(labelled.where(F.col("verdict").isin(verdicts)).groupBy(F.array_sort("items").alias("items"), "verdict").agg(F.count("*").alias("n")), "labelled")
+    rows = labelled.where(F.col("verdict").isin(verdicts)).groupBy(F.array_sort("items").alias("items"), "verdict").agg(F.count("*").alias("n"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "labelled")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    sure, names = grouped(rows, max(1, math.ceil(min_support * total - 1e-9)))
-    names = written(names, "items")
-    single = sure.select(F.array("token").alias("items"), F.when(F.col("blocked") == 0, ALLOW).otherwise(BLOCK).alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(max(1, total))).alias("support"))
+    names = written(classes(rows, max(1, math.ceil(min_support * total - 1e-9))), "items")
     # A row's items, and how often it is there: rows without any count for the supports still.
-    known = rows.withColumn("row", F.monotonically_increasing_id())
-    known = written(known, "rows")
-    item = known.select("row", F.explode("items").alias("token")).join(names, "token").groupBy("row").agg(F.collect_set("item").alias("own"))
+    item = rows.select("row", F.explode("items").alias("token")).join(names, "token").groupBy("row").agg(F.collect_set("item").alias("own"))
     basket = F.concat(F.coalesce("own", F.array().cast("array<string>")), F.array(F.concat(F.lit("verdict:"), F.col("verdict"))))
-    baskets = known.join(item, "row", "left").groupBy(F.array_sort(basket).alias("items")).agg(F.sum("n").alias("n"))
+    baskets = rows.join(item, "row", "left").groupBy(F.array_sort(basket).alias("items")).agg(F.sum("n").alias("n"))
     baskets = baskets.select("items", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).select("items")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].isin(marks) & ~F.arrays_overlap("antecedent", F.lit(marks)))
-    found = found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 9, 10).alias("verdict"), "confidence", "support")
-    rules = written(found.unionByName(single), "rules")
-    part = rules.select(F.col("items").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
-    # A rule's parts share its first kept item or lie within it: they are met under each of its items.
-    parts = rules.select("items", "verdict", "confidence", F.explode("items").alias("token")).join(part.withColumn("token", F.col("part")[0]), "token")
+    rules = written(found.select(F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 9, 10).alias("verdict"), "confidence", "support"), "rules")
+    # A rule's parts lie within it: they are met under their own rarest item.
+    part = rarest(rules).select("token", F.col("items").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
+    parts = rules.select("items", "verdict", "confidence", F.explode("items").alias("token")).join(part, "token")
     covered = parts.where((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0) & (F.col("verdict") == F.col("part_verdict")) & (F.col("part_confidence") >= F.col("confidence"))).select("items", "verdict").distinct()
     kept = rules.join(covered, ["items", "verdict"], "left_anti")
     kept = written(kept.select(F.concat_ws(" ", F.col("verdict"), F.array_join("items", " ")).alias("rule_id"), "items", F.size("items").alias("size"), "verdict", "confidence", "support"), "rules")
     return kept, names
 
 
+def rarest(rules: DataFrame) -> DataFrame:
+    """rules with token: the rarest of their items among all rules, so that an item of nearly every rule indexes few."""
+    numbered = rules.withColumn("row", F.monotonically_increasing_id())
+    spread = rules.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    own = numbered.select("row", F.explode("items").alias("token")).join(spread, "token").groupBy("row").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    return numbered.join(own, "row").drop("row")
+
+
 def match(urls: DataFrame, rules: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """items and the verdict of the best rule for each distinct token set in urls (items); sets that no rule fits are left out.
 
@@ -134,13 +133,12 @@ def match(urls: DataFrame, rules: DataFrame, names: DataFrame | None = None) ->
     tokens = sets.select("items", F.explode("items").alias("token"))
     if names is not None:
         tokens = tokens.join(names, "token", "left").withColumn("token", F.coalesce("item", "token")).drop("item").distinct()
-    # A rule hangs under its rarest item among the rules, so an item of nearly every URL indexes few.
-    spread = rules.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    posted = rules.select("rule_id", "items", F.explode("items").alias("token")).join(spread, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    index = posted.join(rules, "rule_id").select("token", F.col("items").alias("rule_items"), "verdict", F.struct("confidence", "support", "size", "rule_id").alias("rank"))
-    index = F.broadcast(index) if rules.count() <= BROADCAST_RULES else index
+    index = rarest(rules).select("token", F.col("items").alias("rule_items"), "verdict", F.struct("confidence", "support", "size", "rule_id").alias("rank"))
+    # Written: Spark knows its size, and sends it to the workers only if it is small.
+    index = written(index, "rule-index")
+    spread = rules.select(F.explode("items").alias("token")).distinct()
     # The items of a set, as far as rules have them, then the rules under each of these.
-    known = tokens.join(spread.select("token"), "token", "left_semi").groupBy("items").agg(F.collect_set("token").alias("own"))
+    known = tokens.join(spread, "token", "left_semi").groupBy("items").agg(F.collect_set("token").alias("own"))
     hits = known.select("items", "own", F.explode("own").alias("token")).join(index, "token").where(F.size(F.array_except("rule_items", "own")) == 0)
     return hits.groupBy("items").agg(F.max_by("verdict", "rank").alias("mined"))
 

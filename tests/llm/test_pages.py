@@ -3,8 +3,10 @@
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -128,6 +130,57 @@ def test_url_query(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule_of(host, path)) and (not r.rule or r.verdict == URL_RULES[r.rule])
 
 
+def url_tokens(url):
+    host, path = split(url)
+    labels = [x for x in host.split(".") if x]
+    parts = [y for x in labels for y in x.split("-") if y]
+    words = [w for w in re.split(r"[\W_]+", path.lower()) if w and not w.isnumeric()]
+    names = [n.lower() for n in re.findall(r"[?&]([^=&#]+)=", url or "")]
+    return {f"label:{x}" for x in labels} | ({f"top:{labels[-1]}"} if labels else set()) | ({f"part:{x}" for x in parts} if len(parts) > len(labels) else set()) | {f"path:{x}" for x in words} | {f"query:{x}" for x in names}
+
+
+def mined_verdicts(learn, urls, min_support=0.01, min_confidence=0.8):
+    """By all subsets: learn has (url, verdict), the result verdicts of urls or None."""
+    rows = [(url_tokens(u), v) for u, v in learn]
+    least = math.ceil(min_support * len(rows) - 1e-9)
+    having = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            having.setdefault(t, []).append(k)
+    own = {}
+    for t in sorted(having):
+        if len(having[t]) >= least:
+            own.setdefault(tuple(having[t]), t)
+    item = {t: own[tuple(h)] for t, h in having.items() if len(h) >= least}
+    counts = {}
+    for tokens, v in rows:
+        items = sorted({item[t] for t in tokens if t in item})
+        for n in range(1, len(items) + 1):
+            for part in itertools.combinations(items, n):
+                counts.setdefault(part, Counter())[v] += 1
+    rules = {(p, v): (n / sum(c.values()), n / len(rows)) for p, c in counts.items() for v, n in c.items() if n >= least and n >= min_confidence * sum(c.values())}
+    kept = [(p, v, *r) for (p, v), r in rules.items() if not any(rules.get((q, v), (0,))[0] >= r[0] for n in range(1, len(p)) for q in itertools.combinations(p, n))]
+    out = []
+    for u in urls:
+        has = {item.get(t, t) for t in url_tokens(u)}
+        fits = [(c, s, len(p), f"{v} {' '.join(p)}", v) for p, v, c, s in kept if set(p) <= has]
+        out.append(max(fits)[4] if fits else None)
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_url_query_mines_as_brute_force(spark, sf):
+    """The verdicts of all URLs that no given rule fits, by rules from all subsets of the others' tokens."""
+    path = f"/root/testdata/{sf}"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
+    given = {k: rule_of(*split(u)) for k, u in urls.items()}
+    rest = [k for k in urls if not given[k]]
+    want = dict(zip(rest, mined_verdicts([(u, URL_RULES[given[k]]) for k, u in urls.items() if given[k]], [urls[k] for k in rest])))
+    got = {r.page_id: r.verdict for r in op5_url_filter(spark, path).collect() if r.page_id in want}
+    assert got == {k: v or "allow" for k, v in want.items()}
+    assert sum(v is not None for v in want.values()) > len(want) / 2
+
+
 def texts(spark, pages):
     df = spark.createDataFrame([(k, f"http://h.test/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as wrapper", "3 as fixed")
     return [r.text for r in sorted(htmlwrap.extract(df).collect())]

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import embeddings
 
@@ -70,3 +71,44 @@ def test_cells_within_cells(spark, monkeypatch, seed):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in brute(rows, 0.98).items()}
     unit = embeddings.units([np.array(v).tobytes() for _, v, _ in rows[700:]], 4)
     assert embeddings.cut(unit, 150, 20, 0.98) is None
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_query_goes_through_k_means(spark, monkeypatch, sf):
+    """Every label of the table is cut by centroids, and vectors meet in cells alone."""
+    from lexmill.llm.queries import op6_embeddings
+
+    cells, whole = {}, embeddings.in_cells
+
+    def seen(nodes, least, cell):
+        placed = whole(nodes, least, cell)
+        cells.update((r.label, (r.cells, r.copies / r.nodes)) for r in placed.groupBy("label").agg(F.count_distinct("cell").alias("cells"), F.count("*").alias("copies"), F.count_distinct("node").alias("nodes")).collect())
+        return placed
+
+    monkeypatch.setattr(embeddings, "in_cells", seen)
+    assert op6_embeddings(spark, f"/root/testdata/{sf}").count() > 0
+    assert len(cells) == 10 and all(n >= 2 and copies <= embeddings.COPIES for n, copies in cells.values())
+
+
+def test_clustered_labels_have_as_many_cells_as_their_root(spark):
+    rng = np.random.default_rng(1)
+    bases = embeddings.units([v.tobytes() for v in rng.normal(size=(30, 16))], 16)
+    x = embeddings.units([v.tobytes() for k in range(900) for v in (bases[k % 30] + rng.normal(size=16) * 0.01,)], 16)
+    centers = embeddings.first_cut(x, 900, 0.98)
+    assert len(centers) >= 25 and embeddings.copies(x, centers, 0.98).sum() < 1.5
+
+
+@pytest.mark.parametrize("dim", [3, 32, 64, 384])
+def test_short_vectors_refuse_no_link(dim):
+    """Products of short vectors are never below the cosine, whatever the directions; they tell most random vectors apart."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(300, dim)) + (rng.random(300) < 0.3)[:, None] * 2
+    x = np.concatenate([x, x[:100] + rng.normal(size=(100, dim)) * 0.05])
+    x = embeddings.units([v.tobytes() for v in x], dim)
+    for directions in (embeddings.basis(x), embeddings.basis(x[:5])):
+        short = embeddings.shortened(x, directions)
+        assert short.shape[1] <= embeddings.SHORT + 1 and ((short @ short.T).astype(float) + embeddings.SLACK >= x @ x.T).all()
+    node, zero = np.arange(200), np.zeros(200, int)
+    x = embeddings.units([v.tobytes() for v in rng.normal(size=(200, dim))], dim)
+    near = embeddings.block_candidates(node, zero, zero, embeddings.shortened(x, embeddings.basis(x)), 0.98, True)
+    assert dim < 64 or near.sum() < 20

@@ -23,7 +23,7 @@ import sys
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import prepare
@@ -255,28 +255,39 @@ class Parser:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered)], [float(s) if ok else 0.0 for s, ok in zip(score, lettered)]
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 20_000, all_chars: int = 1_000_000, piece_chars: int = 2_000) -> dict[str, list[str]]:
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 20_000, all_chars: int = 1_000_000, piece_chars: int = 2_000, most_langs: int = 1_000) -> dict[str, list[str]]:
     """A sample of each language's labelled text, the same whatever the partitions.
 
     Bound: sample_chars characters a language (less if there are so many languages that all of them
-    would pass all_chars), in pieces of at most piece_chars a document. Documents are taken by the
-    hash of their id; the driver gathers a few times the bound. Rows that train refuses or of null id,
+    would pass all_chars), in pieces of at most piece_chars a document, each cut at a place that a hash tells.
+    Documents are taken by the hash of their id and text, however often one is repeated; the driver gathers a few times the bound. Of more than most_langs
+    different languages the most frequent are learned, ties by name. Rows that train refuses or of null id,
     language or text count for nothing.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), train.alias("ok"))
     rows = rows.where("ok and doc_id is not null and lang is not null and lang <> 'und' and text <> ''")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return {}
     chars = max(1, min(sample_chars, all_chars // len(counts)))
     least = 3 * -(-chars // piece_chars) + 20
     # Documents may be shorter than a piece, so several times as many are taken as pieces would fill the bound.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * least / n))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    got = rows.where(place < F.element_at(share, F.col("lang")) * (1 << 30)).select("lang", place.alias("place"), "doc_id", F.substring("text", 1, piece_chars).alias("text")).collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    start = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.greatest(F.length("text") - piece_chars, F.lit(0)) + 1)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+
+    def taken(shares: dict[str, float]):
+        near = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(shares.items()), "own_lang string, share double")), F.col("lang") == F.col("own_lang"))
+        near = near.where(place < F.col("share") * (1 << 30)).select("lang", place.alias("place"), "doc_id", F.col("text").substr((start + 1).cast("int"), F.lit(piece_chars)).alias("text"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= 4 * least).collect()
+
+    got = taken({lang: min(1.0, 2.0 * least / n) for lang, n in counts.items()})
+    # A language of few different rows may have none of them among those.
+    if missing := counts.keys() - {r.lang for r in got}:
+        got += taken(dict.fromkeys(sorted(missing), 1.0))
     out: dict[str, list[str]] = {}
     left = dict.fromkeys(counts, chars)
-    for r in sorted(got, key=lambda r: (r.lang, r.place, r.doc_id, r.text)):
+    for r in sorted(got, key=lambda r: (r.lang, r["rank"])):
         if left[r.lang] > 0:
             out.setdefault(r.lang, []).append(r.text[: left[r.lang]])
             left[r.lang] -= len(r.text)

@@ -64,17 +64,20 @@ class Packer:
         return doc, start, n, total, self.next, offset, bearing(loss, start, n), ids[: 4 * n], loss
 
     def pack(self, keep: int):
-        """Fill sequences until at most keep items wait."""
+        """Fill sequences until at most keep items wait, or, unless keep is 0, they are too few to fill one more."""
         items = self.items
         if len(items) <= keep:
             return
+        rest = sum(len(i[3]) // 4 for i in items)
+        if keep and rest < self.cap[0]:
+            return
         size = np.array([[len(i[3]) // 4, 1, bearing(i[4], i[1], len(i[3]) // 4)] for i in items], dtype=np.float64)
         # Demands count as shares of the limits, each dimension by how much of it all items ask for.
         share = size / self.cap
         weight = share.mean(axis=0)
         alive = np.ones(len(items), dtype=bool)
         waiting = len(items)
-        while waiting > keep:
+        while waiting > keep and (not keep or rest >= self.cap[0]):
             left, offset = self.cap.copy(), 0
             while waiting and left[0] > 0 and left[1] > 0:
                 fits = alive & (size <= left).all(axis=1)
@@ -98,6 +101,7 @@ class Packer:
                 items[k] = (doc, start + n, total, ids[4 * n :], loss)
                 share[k] = size[k] / self.cap
             self.next += 1
+            rest -= offset
         self.items = [i for i, a in zip(items, alive) if a]
 
     def _cut(self, items, size, alive, left) -> tuple[int, int]:
@@ -143,7 +147,7 @@ def pack(
     loss: SQL predicate over docs saying which rows' tokens bear loss (null counts as no); none: all do.
     parts: a column of arrays of structs (text, loss) to pack in place of texts, such as the turns of a
     conversation: the ids of each part bear loss or don't (null: don't), end_id does as the last part.
-    window: how many pieces wait for a place at most; min_cut: a gap of fewer tokens is left as padding.
+    window: how many pieces wait for a place, or as many as have capacity ids, at most; min_cut: a gap of fewer tokens is left as padding.
     Columns: doc_id, start (ids of the document before the piece), length, doc_tokens, sequence_id,
     offset (in the sequence, without gaps), loss_tokens, ids (little-endian unsigned 32-bit), and of parts
     loss_spans (runs of loss-bearing ids within the piece; null where loss_tokens says all).

@@ -26,7 +26,8 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=256))
+    # As many segments as tokens: that limit isn't asked for here, and would pad sequences of very short texts.
+    return piece_digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=2048))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

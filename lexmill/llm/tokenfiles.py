@@ -97,7 +97,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     """Write the ids of every text, end_id after each, to path/table and path/files in ascending doc_id order (null first).
 
     vocab: no id is as large (a larger one raises); up to 65,536 the ids wait in 16 bits each. file_tokens: about so many
-    ids a file. Null text: as empty, end_id alone. Repeated doc ids stay separate documents, next to each other, in no set order.
+    ids a file. Null text: as empty, end_id alone. Repeated doc ids stay separate documents, next to each other, in an order that their ids tell.
     An empty table writes a table without symbols and no file. Other columns are ignored.
     """
     prepare(docs.sparkSession)
@@ -177,7 +177,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
             yield out()
 
     files = max(1, round(sum(counts.values()) / file_tokens))
-    dealt = ids.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = (F.col("doc_id").asc_nulls_first(), "mark", "ids")
+    dealt = ids.withColumn("mark", F.xxhash64("ids")).repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).drop("mark")
     write_blobs(dealt.mapInArrow(to_files, "ordinal long, tokens long, body binary"), "body", f"{path}/files", ("ordinal", "tokens"))
     remove(docs.sparkSession, whole._lexmill_path)
 

@@ -205,3 +205,15 @@ def test_language_odd_rows(spark):
     assert kept.columns == df.columns and kept.count() == len(ODD) - 5 and langid.accept(df, samples, frozenset(["none"])).count() == 0
     assert langid.predict(df.where("false"), samples).count() == 0 and langid.fit(df.where("false"), F.lit(True)) == {}
     assert samples == langid.fit(df.repartition(5), F.lit(True))
+
+
+def test_samples_are_bounded_and_spread(spark):
+    """A hot id, a dirty column of languages, long texts: the driver gathers what the bounds say, pieces come from anywhere."""
+    rows = [(7, f"hot {k}", "en") for k in range(3_000)] + [(k, "x", f"l{k % 300}") for k in range(600)] + [(10_000 + k, "".join(f"{n} " for n in range(5_000)), "de") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.fit(df, F.lit(True), sample_chars=4_000, piece_chars=500, most_langs=12)
+    assert set(got) == {"en", "de", *sorted(f"l{k}" for k in range(300))[:10]}
+    assert all(sum(map(len, pieces)) <= 4_000 for pieces in got.values())
+    starts = {p.split()[1] for p in got["de"]}
+    assert len(starts) == len(got["de"]) >= 8 and any(int(s) > 2_000 for s in starts)
+    assert got == langid.fit(df.repartition(2), F.lit(True), sample_chars=4_000, piece_chars=500, most_langs=12)

@@ -98,3 +98,15 @@ def test_query(spark):
         ids = plain.encode(d.text, add_special_tokens=False).ids + [0]
         assert tuple(r) == (d.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_repeated_ids_keep_their_order(spark):
+    """Documents that share an id, or have none, lie in the same places whatever the partitions and files."""
+    rows = [(k % 3 if k % 5 else None, f"text number {k} " * (k % 7)) for k in range(200)]
+    found = []
+    for parts in (1, 7):
+        path = tokenfiles.new_path(spark)
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string").repartition(parts)
+        tokenfiles.write_tokens(df, path, PATH, file_tokens=100)
+        found.append([(r.doc_id, r.start, bytes(r.ids)) for r in tokenfiles.read_tokens(spark, path).orderBy("start").collect()])
+    assert found[0] == found[1] and len(found[0]) == 200

@@ -119,3 +119,11 @@ def test_odd_parts(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [None, (None, True), ("", None)]), (4, [("a b", None), ("c", True)]), (None, [("a", True)])], "doc_id long, p array<struct<text:string,loss:boolean>>").coalesce(1)
     rows = {r.doc_id: (r.length, r.loss_tokens, [tuple(s) for s in r.loss_spans]) for r in packing.pack(df, public_tokenizers.path(FILES["word"]), parts="p").collect()}
     assert rows == {1: (1, 0, []), 2: (1, 0, []), 3: (1, 0, []), 4: (4, 2, [(2, 2)]), None: (2, 2, [(0, 2)])}
+
+
+@pytest.mark.parametrize("text", ["", "a", "a b"])
+def test_tiny_texts_fill_sequences(spark, text):
+    """Thousands of texts of one to three ids: all sequences but a partition's last are full."""
+    docs = spark.createDataFrame([(k, text) for k in range(9_000)], "doc_id long, text string").repartition(2)
+    rows = packing.pack(docs, public_tokenizers.path(FILES["word"]), kind="word", max_segments=2048).groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] < 2048 for r in rows) <= 2 and sum(r[1] for r in rows) == 9_000 * (1 + len(text.split()))

@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=256))
+    return piece_digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), kind="word", end_id=1, capacity=2048, max_segments=2048))
 
 
 STAGES = [("language", language), ("quality", quality_stage), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,6 @@ def scratch(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-_OPEN: list[list[str]] = []
-
-
 class Scope(list):
     """Paths written while the scope is open; those of the frames kept stay."""
 
@@ -55,18 +53,24 @@ class Scope(list):
         for frame in frames:
             path = frame._lexmill_path
             self.remove(path)
-            if len(_OPEN) > 1:
-                _OPEN[-2].append(path)
+            if len(_OPEN.get()) > 1:
+                _OPEN.get()[-2].append(path)
+
+
+#: The scopes that are open, the innermost last; each thread has its own.
+_OPEN: ContextVar[tuple[Scope, ...]] = ContextVar("open scopes", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Scope]:
     """What is written within is removed at its end, but for what was kept: only frames that read nothing else may leave."""
-    _OPEN.append(Scope())
+    scope = Scope()
+    token = _OPEN.set((*_OPEN.get(), scope))
     try:
-        yield _OPEN[-1]
+        yield scope
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in scope:
             remove(spark, path)
 
 
@@ -77,8 +81,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 

@@ -1,8 +1,8 @@
 """Learning merges from word counts.
 
 Counting is Spark's work and grows with the corpus; the rest depends on the distinct words alone. Up
-to KERNEL_WORDS of them one process learns the merges; beyond that the same rule runs as relational
-steps over written frames (learn_relational).
+to KERNEL_WORDS and KERNEL_BYTES of them one process learns the merges; beyond that shards of words learn together, many merges a
+round (shards.learn_sharded). learn_relational is the rule as plain joins and sums, a few merges a step: what the others are held against.
 
 counting="compat", the default, is the rule whose vocabularies this library reproduces: a merge adds
 the pairs with the new token (a pair of two new ones twice) and takes every other pair of each visited
@@ -22,17 +22,22 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pretokens import byte_words, pair_counts, pairs, postings, word_counts
+from ..functions.pretokens import pair_counts, pairs, postings, word_counts
 from ..runtime import remove, temporary, written
 from .vocab import FIRST_MERGE, Vocabulary
 
-KERNEL_WORDS = 5_000_000
+#: Distinct words that one process learns from, and bytes of them, at most: a process takes some 40 bytes of memory for each of theirs.
+KERNEL_WORDS, KERNEL_BYTES = 1_000_000, 10 << 20
 MAX_SIZE = 300_001
 COUNTINGS = ("compat", "exact")
 
 Pair = tuple[int, int]
 
 
+def places() -> array:
+    return array("i")
+
+
 class Learner:
     """Pair counts over a table of words that one merge after another changes.
 
@@ -47,7 +52,7 @@ class Learner:
         self.tokens: list[str] = []
         self.freq: list[int] = []
         self.count: dict[str, int] = defaultdict(int)
-        self.words: dict[str, array] = defaultdict(lambda: array("l"))
+        self.words: dict[str, array] = defaultdict(places)
         for k, (word, freq) in enumerate(words):
             own = word.decode("latin-1")
             self.tokens.append(own)
@@ -70,9 +75,9 @@ class Learner:
                 heapq.heappush(self.queue, (-now, pair))
         return None
 
-    def merge(self, pair: str, new: int) -> None:
+    def visit(self, pair: str, new: int) -> tuple[dict[str, int], dict[str, int]]:
+        """Merge in the pair's words; how much the pairs with the new token come to, and how much others lose."""
         visited = set(self.words.pop(pair, ()))
-        self.count.pop(pair, None)
         grown: dict[str, int] = defaultdict(int)
         less: dict[str, int] = defaultdict(int)
         glyph = chr(new)
@@ -97,9 +102,14 @@ class Learner:
                     if now[i] != glyph and now[i + 1] != glyph:
                         less[now[i : i + 2]] -= f
             self.tokens[w] = now
+        return grown, {p: n for p, n in less.items() if n}
+
+    def merge(self, pair: str, new: int) -> None:
+        self.count.pop(pair, None)
+        grown, less = self.visit(pair, new)
         # What grows has the new token and what shrinks has not; a pair that falls to nothing is dead.
         for p, n in less.items():
-            if n and p in self.count:
+            if p in self.count:
                 if self.count[p] > n:
                     self.count[p] -= n
                 else:
@@ -222,6 +232,7 @@ def _merged_words(texts: DataFrame, touched: DataFrame) -> DataFrame:
 def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, text_col: str = "text", counting: str = "compat", kernel_words: int = KERNEL_WORDS, resume: Vocabulary | None = None) -> Vocabulary:
     """A vocabulary from all texts of docs: 256 bytes and up to vocab_size - 256 merges, those of resume first.
 
+    Up to kernel_words distinct words, and KERNEL_BYTES of them, one process learns; beyond that the same rules come from shards.
     Null texts have no words; an empty corpus gives the 256 bytes. vocab_size may not pass 300,001,
     where ids would meet those of special tokens; min_frequency must be 1 at least.
     """
@@ -235,8 +246,11 @@ def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, te
         counts = written(word_counts(docs, text_col), "word-counts")
         merges = vocab_size - len(Vocabulary().token_bytes)
         known = resume.merges if resume else ()
-        if counts.count() <= kernel_words:
+        size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pre_token")), F.lit(0)).alias("bytes")).first()
+        if size.n <= kernel_words and size.bytes <= KERNEL_BYTES:
             table = counts.toArrow()
             words = zip((w.encode() for w in table["pre_token"].to_pylist()), table["freq"].to_pylist())
             return Vocabulary.of_merges(learn(words, merges, min_frequency, counting, known=known))
-        return Vocabulary.of_merges(learn_relational(byte_words(counts), merges, min_frequency, counting, known))
+        from .shards import learn_sharded
+
+        return Vocabulary.of_merges(learn_sharded(counts, merges, min_frequency, counting, known))

@@ -255,6 +255,17 @@ def train_exact_first(spark, sf_dir):
     return train.train(table(spark, sf_dir, "documents"), vocab_size=256 + 8, counting="exact").merges_frame(spark)
 
 
+@query(train_sql(12))
+def train_sharded(spark, sf_dir):
+    """The rules of train_kernel, learned over shards."""
+    return train.train(table(spark, sf_dir, "documents"), vocab_size=256 + 12, kernel_words=0).merges_frame(spark)
+
+
+@query(exact_sql(8))
+def train_sharded_exact(spark, sf_dir):
+    return train.train(table(spark, sf_dir, "documents"), vocab_size=256 + 8, counting="exact", kernel_words=0).merges_frame(spark)
+
+
 @query(train_sql(12))
 def train_resumed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

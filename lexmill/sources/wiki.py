@@ -16,17 +16,23 @@ REVISION = T.StructType([T.StructField("text", TEXT)])
 PAGE = T.StructType([T.StructField("title", T.StringType()), T.StructField("ns", T.StringType()), T.StructField("revision", REVISION)])
 
 
+#: Between pages: what every page's end tag ends in, whatever its prefix, as a separator of rows; the end of a page's row; its start, if it has attributes; a tag's prefix.
+BETWEEN, ENDED, STARTED, PREFIX = "page>", r"</(?:[A-Za-z_][\w.-]*:)?[\w.-]*$", r"(?s)^.*<(?:[A-Za-z_][\w.-]*:)?[\w.-]*page\s[^<>]*>", r"<(/?)[A-Za-z_][\w.-]*:"
+
+
 def parse_pages(chunks: DataFrame, column: str = "value") -> DataFrame:
-    """title, ns, text of each <page> element that begins in a row of chunks; rows were cut at </page>."""
-    element = F.concat(F.regexp_extract(column, r"(?s)(<page[\s>].*)", 1), F.lit("</page>"))
-    parsed = F.from_xml(element, PAGE, {"ignoreSurroundingSpaces": "false", "rowTag": "page"})
+    """title, ns, text of each page that ends at a row's end; rows were cut at BETWEEN. Tags may have any prefix; page is every name that ends so."""
+    inner = F.regexp_replace(F.regexp_replace(column, ENDED, ""), STARTED, "")
+    prefixed = F.col(column).rlike(r"</[A-Za-z_][\w.-]*:[\w.-]*$")
+    inner = F.when(prefixed, F.regexp_replace(inner, PREFIX, "<$1")).otherwise(inner)
+    parsed = F.from_xml(F.concat(F.lit("<page>"), inner, F.lit("</page>")), PAGE, {"ignoreSurroundingSpaces": "false", "rowTag": "page"})
     # The text element may carry attributes or none: its own text is read either way.
-    return chunks.where(F.col(column).rlike(r"<page[\s>]")).select(parsed.alias("p")).select("p.title", "p.ns", F.col("p.revision.text._VALUE").alias("text"))
+    return chunks.where(F.col(column).rlike(ENDED)).select(parsed.alias("p")).select("p.title", "p.ns", F.col("p.revision.text._VALUE").alias("text"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """title, ns, text of a dump's pages. </page> can't occur within a page's text, so files split there."""
-    return parse_pages(spark.read.text(path, lineSep="</page>"))
+    """title, ns, text of a dump's pages, from any file system of Spark's, bz2 in many parts. In a dump > is &gt; in texts, so files split at page>."""
+    return parse_pages(spark.read.text(path, lineSep=BETWEEN))
 
 
 def is_article(ns, title, text):
@@ -43,14 +49,14 @@ def unreadable(pages: DataFrame) -> DataFrame:
     return pages.where(is_article(strip("ns"), F.col("title"), F.col("text"))).where(wikitext.plain_column("text").isNull()).select("title")
 
 
-def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None = None, unicode_form: str | None = "NFC", **options) -> DataFrame:
+def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None = None, unicode_form: str | None = "NFC", keep: tuple[str, ...] = (), **options) -> DataFrame:
     """title, text (clean) of the pages that are articles of min_length characters at least.
 
     Cheap filters come before the scanner. Pages whose markup can't be read are left out (see unreadable). max_articles
-    counts after all filters; 0 or None is no limit.
+    counts after all filters, in no set order (see dumpsource.first_articles); 0 or None is no limit. keep: columns of pages to keep.
     """
     kept = pages.where(is_article(strip("ns"), F.col("title"), F.col("text")))
-    out = kept.select("title", preprocess(wikitext.clean("text"), unicode_form, **options).alias("text")).where(F.length("text") >= min_length)
+    out = kept.select(*keep, "title", preprocess(wikitext.clean("text"), unicode_form, **options).alias("text")).where(F.length("text") >= min_length)
     return out.limit(max_articles) if max_articles else out
 
 

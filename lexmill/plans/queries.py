@@ -18,7 +18,7 @@ from ..functions.sql import register
 from ..operators import codec, report, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
 from ..runtime import fresh_path
-from ..sources import files, wiki
+from ..sources import dumpsource, files, wiki
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,82 +272,82 @@ def train_resumed(spark, sf_dir):
     return train.train(docs, vocab_size=256 + 12, resume=train.train(docs, vocab_size=256 + 5)).merges_frame(spark)
 
 
-# Vocabularies
+# Vocabularies, learned from the documents
 
 SPECIAL_SQL = rows_sql([(i, t) for t, i in SPECIAL_TOKENS.items()], "token_id, token")
+STEPS = 12
+#: What the documents teach: rules; v has each token's bytes in hexadecimal, by its rules alone.
+LEARNED_SQL = f"""with recursive rules as materialized ({train_sql(STEPS)}), r as (
+  select 0 as k, list_transform(range(256), lambda i: lpad(upper(to_hex(i)), 2, '0')) as hexes
+  union all select k + 1, list_append(hexes, hexes[l + 1] || hexes[r + 1]) from r join rules on priority = k
+), v as (
+  select cast(unnest(range(len(hexes))) as int) as token_id, unnest(hexes) as hex from r where k = (select count(*) from rules)
+), s as (
+  select token_id, token, upper(hex(encode(token))) as hex from {SPECIAL_SQL}
+)"""
 
 
-def token_hex() -> list[tuple[int, str]]:
-    return [(i, b.hex().upper()) for i, b in VOCAB.token_bytes.items()]
+def learned(spark, sf_dir) -> Vocabulary:
+    return train.train(table(spark, sf_dir, "documents"), vocab_size=256 + STEPS)
 
 
-@query("select cast(i as int) as token_id, lpad(upper(to_hex(i)), 2, '0') as hex from range(256) t(i)")
+@query(f"{LEARNED_SQL} select token_id, hex from v where token_id < 256")
 def base_vocab(spark, sf_dir):
-    return Vocabulary().vocab_frame(spark).where("not special").select("token_id", F.hex("bytes").alias("hex"))
+    return learned(spark, sf_dir).vocab_frame(spark).where("not special and token_id < 256").select("token_id", F.hex("bytes").alias("hex"))
 
 
-@query(f"with s as (select count(*) as n from {SPECIAL_SQL}) select 256 + {len(RULES)} + n as vocab_size, cast({len(RULES)} as bigint) as num_merges, n as n_special from s")
+@query(f"{LEARNED_SQL} select (select count(*) from v) + (select count(*) from s) as vocab_size, (select count(*) from rules) as num_merges, (select count(*) from s) as n_special")
 def vocab_sizes(spark, sf_dir):
-    return VOCAB.vocab_frame(spark).agg(F.count("*").alias("vocab_size"), F.count_if(~F.col("special") & (F.col("token_id") >= 256)).alias("num_merges"), F.count_if("special").alias("n_special"))
+    return learned(spark, sf_dir).vocab_frame(spark).agg(F.count("*").alias("vocab_size"), F.count_if(~F.col("special") & (F.col("token_id") >= 256)).alias("num_merges"), F.count_if("special").alias("n_special"))
 
 
-@query(f"select token_id, token, upper(hex(encode(token))) as hex from {SPECIAL_SQL}")
+@query(f"{LEARNED_SQL} select token_id, token, hex from s")
 def special_tokens(spark, sf_dir):
-    return VOCAB.vocab_frame(spark).where("special").select("token_id", F.col("bytes").cast("string").alias("token"), F.hex("bytes").alias("hex"))
+    return learned(spark, sf_dir).vocab_frame(spark).where("special").select("token_id", F.col("bytes").cast("string").alias("token"), F.hex("bytes").alias("hex"))
 
 
-def bytes_sql() -> str:
-    """token_id and hex of the queries' vocabulary, by its rules alone."""
-    parts = ["v0 as (select cast(i as int) as token_id, lpad(upper(to_hex(i)), 2, '0') as hex from range(256) t(i))"]
-    for k, (left, right) in enumerate(RULES):
-        parts.append(f"v{k + 1} as (select * from v{k} union all select {256 + k}, (select hex from v{k} where token_id = {left}) || (select hex from v{k} where token_id = {right}))")
-    return f"with {', '.join(parts)} select token_id, hex from v{len(RULES)}"
-
-
-@query(bytes_sql())
+@query(f"{LEARNED_SQL} select token_id, hex from v")
 def merge_bytes(spark, sf_dir):
-    return VOCAB.vocab_frame(spark).where("not special").select("token_id", F.hex("bytes").alias("hex"))
+    return learned(spark, sf_dir).vocab_frame(spark).where("not special").select("token_id", F.hex("bytes").alias("hex"))
 
 
-@query(f"select *, false as special from ({bytes_sql()}) union all select token_id, upper(hex(encode(token))), true from {SPECIAL_SQL}")
-def saved_vocab(spark, sf_dir):
+def saved(spark, sf_dir) -> str:
     path = fresh_path(spark, "vocabulary")
-    VOCAB.write(spark, path)
-    return Vocabulary.read(spark, path).vocab_frame(spark).select("token_id", F.hex("bytes").alias("hex"), "special")
+    learned(spark, sf_dir).write(spark, path)
+    return path
 
 
-@query(f"select priority, l, r, 256 + priority as new_token from {rows_sql([(k, *p) for k, p in enumerate(RULES)], 'priority, l, r')}")
-def saved_merges(spark, sf_dir):
-    path = fresh_path(spark, "vocabulary")
-    VOCAB.write(spark, path)
-    return Vocabulary.read(spark, path).merges_frame(spark)
+@query(f"{LEARNED_SQL} select token_id, hex, false as special from v union all select token_id, hex, true from s")
+def saved_vocab(spark, sf_dir):
+    return Vocabulary.read(spark, saved(spark, sf_dir)).vocab_frame(spark).select("token_id", F.hex("bytes").alias("hex"), "special")
 
 
-LOOKED_UP = [0, 65, 255, 256, 257, 268, 269, 300_000, 300_001, 300_003, -1]
+@query(f"{LEARNED_SQL} select priority, l, r, new_token from rules")
+def saved_merges(spark, sf_dir):
+    return Vocabulary.read(spark, saved(spark, sf_dir)).merges_frame(spark)
 
 
-@query(f"""with v as (select token_id, hex from ({bytes_sql()}) union all select token_id, upper(hex(encode(token))) from {SPECIAL_SQL}), k as (select unnest({LOOKED_UP}) as token_id)
-select k.token_id, v.hex, (select max(x.token_id) from v x where x.hex = v.hex and x.token_id < 300001) as by_bytes, s.token_id as special from k left join v using (token_id) left join {SPECIAL_SQL.replace(' as t(', ' as s(')} on upper(hex(encode(s.token))) = v.hex""")
+@query(f"""{LEARNED_SQL}, k as (select l as token_id from rules union select r from rules union select new_token + 1 from rules union select token_id from s union select -1)
+select k.token_id, coalesce(v.hex, s.hex) as hex, (select max(x.token_id) from v x where x.hex = v.hex) as by_bytes, s.token_id as special from k left join v using (token_id) left join s on s.token_id = k.token_id""")
 def token_lookups(spark, sf_dir):
-    rows = []
-    for i in LOOKED_UP:
-        raw = VOCAB.get_token_bytes(i)
-        rows.append((i, None if raw is None else raw.hex().upper(), None if raw is None else VOCAB.get_token_id(raw), None if raw is None else VOCAB.get_special_token_id(raw.decode("utf-8", "replace"))))
-    return spark.createDataFrame(rows, "token_id int, hex string, by_bytes int, special int")
+    """Ids to bytes, bytes to the last id that has them, special tokens' ids: joins with the vocabulary."""
+    vocab = learned(spark, sf_dir)
+    rules = vocab.merges_frame(spark)
+    tokens = vocab.vocab_frame(spark).select("token_id", F.hex("bytes").alias("hex"), "special")
+    asked = rules.select(F.explode(F.array("l", "r", F.col("new_token") + 1)).alias("token_id")).union(tokens.where("special").select("token_id")).union(spark.range(1).select(F.lit(-1))).distinct()
+    last = tokens.where("not special").groupBy(F.col("hex").alias("own_hex")).agg(F.max("token_id").alias("by_bytes"))
+    rows = asked.join(tokens, "token_id", "left").join(last, (F.col("hex") == F.col("own_hex")) & ~F.col("special"), "left")
+    return rows.select("token_id", "hex", "by_bytes", F.when(F.col("special"), F.col("token_id")).alias("special"))
 
 
-@query(f"select priority, l || ' ' || r || ' -> ' || (256 + priority) as line from {rows_sql([(k, *p) for k, p in enumerate(RULES)], 'priority, l, r')}")
+@query(f"{LEARNED_SQL} select priority, l || ' ' || r || ' -> ' || new_token as line from rules")
 def merges_txt_lines(spark, sf_dir):
-    return VOCAB.merges_frame(spark).select("priority", F.concat_ws(" ", "l", "r", F.lit("->"), "new_token").alias("line"))
+    return learned(spark, sf_dir).merges_frame(spark).select("priority", F.concat_ws(" ", "l", "r", F.lit("->"), "new_token").alias("line"))
 
 
-@query(
-    f"select case when ok then s else '<0x' || lower(hex) || '>' end as token, max(token_id) as token_id from ("
-    f"select token_id, hex, case when token_id < 128 or token_id >= 256 then true else false end as ok, case when token_id < 128 or token_id >= 256 then decode(unhex(hex)) end as s from ({bytes_sql()})) group by all "
-    f"union all select token, token_id from {SPECIAL_SQL}"
-)
+@query(f"{LEARNED_SQL} select token, max(token_id) as token_id from (select coalesce(try(decode(unhex(hex))), '<0x' || lower(hex) || '>') as token, token_id from v) group by token union all select token, token_id from s")
 def get_vocab(spark, sf_dir):
-    rows = VOCAB.vocab_frame(spark)
+    rows = learned(spark, sf_dir).vocab_frame(spark)
     text = F.col("bytes").cast("string")
     name = F.when(F.is_valid_utf8(text), text).otherwise(F.concat(F.lit("<0x"), F.lower(F.hex("bytes")), F.lit(">")))
     return rows.groupBy(name.alias("token")).agg(F.max_by("token_id", "place").alias("token_id"))
@@ -373,10 +373,12 @@ def encode_specials(spark, sf_dir):
     return codec.encode(table(spark, sf_dir, "benchmark"), VOCAB, specials=True).select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("select * from (values (1, 0), (2, 0), (3, 3)) t(k, n_ids)")
+@query(f"select doc_id, cast(case when coalesce(t, '') = '' then 0 else len({encoded_sql('t')}) + 2 end as int) as n_ids from (select doc_id, case doc_id % 3 when 0 then '' when 2 then text end as t from documents)")
 def encode_empty(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ""), (2, None), (3, "a")], "k int, text string")
-    return codec.encode(rows, VOCAB, specials=True).select("k", F.size("ids").alias("n_ids"))
+    """Every third text empty, every third null: no ids, nor special ones."""
+    third = F.col("doc_id") % 3
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(third == 0, "").when(third == 2, F.col("text")).alias("text"))
+    return codec.encode(rows, VOCAB, specials=True).select("doc_id", F.size("ids").alias("n_ids"))
 
 
 @query("select conv_id, turn, text as decoded, true as same from conversations")
@@ -391,10 +393,14 @@ def decode_skip_special(spark, sf_dir):
     return codec.decode(codec.decode(rows, VOCAB, out="skipped"), VOCAB, out="shown", skip_special=False).select("item_id", "skipped", "shown")
 
 
-@query("select * from (values (1, 'AB'), (2, ''), (3, chr(65533) || 'a'), (4, 'é'), (5, null), (6, 'the')) t(k, decoded)")
+@query("select doc_id, decode(encode(text)) || chr(65533) || 'a' as decoded from documents where text is not null union all select doc_id, null from documents where text is null")
 def decode_unknown_ids(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [65, 999999, 66]), (2, []), (3, [195, 97]), (4, [195, 169]), (5, None), (6, [257, -1])], "k int, ids array<int>")
-    return codec.decode(rows, VOCAB).select("k", "decoded")
+    """Ids that no vocabulary has, before, within and behind a text's own: nothing; a byte that begins no letter: the replacement character."""
+    rows = codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCAB)
+    half = (F.size("ids") / 2).cast("int")
+    odd = lambda *ids: F.array(*(F.lit(i) for i in ids))
+    ids = F.concat(odd(999_999), F.slice("ids", 1, half), odd(-1, 299_999), F.slice("ids", half + 1, F.size("ids") - half), odd(195, 97, 999_999))
+    return codec.decode(rows.withColumn("ids", F.when(F.col("text").isNotNull(), ids)), VOCAB).select("doc_id", "decoded")
 
 
 @query(f"select item_id, len({pre_sql('text')}) as n_tokens, len({encoded_sql('text')}) as n_ids, text as decoded from benchmark")
@@ -518,23 +524,53 @@ def html_unescape(spark, sf_dir):
 # Wiki pages
 
 
-def wiki_rows(spark) -> DataFrame:
-    return spark.createDataFrame(WIKI, "id int, text string")
+#: What stands before and after a text to make it markup: templates in templates, tables, files, references, links, headings, tags.
+BEFORE = "{{Info|a={{b|c}}|d=[[x]]}}'''Entry''' (''né'' [[1 May]], [[Town|a  town]])[[File:p.jpg|thumb|A [[view|sight]] of it]]\n\n\n\n== Life ==\n"
+AFTER = '<ref name="r">see {{cite|x}}</ref><ref name="r"/> <!-- a\nnote --><b class="k">bold</b>\n{| class="w"\n! a\n|-\n| {{in|side}}\n|}\n<gallery>a.jpg</gallery>[http://a.b/c the site] [//a.b/d]&eacute; &amp;lt; [[Category:Things]] <references />\n=== End ===\nx'
+
+
+def markup_sql() -> str:
+    lines = lambda x: " || chr(10) || ".join(quoted(part) for part in x.split("\n"))
+    return f"({lines(BEFORE)} || text || {lines(AFTER)})"
+
+
+def with_markup(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text", F.concat(F.lit(BEFORE), "text", F.lit(AFTER)))
+
+
+def wiki_rows(spark, sf_dir) -> DataFrame:
+    """The fixtures and all documents with markup."""
+    own = with_markup(table(spark, sf_dir, "documents")).select((F.col("doc_id") + 1000).cast("int").alias("id"), "text")
+    return spark.createDataFrame(WIKI, "id int, text string").unionByName(own)
+
+
+def doc_pages(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) as pages: every third a talk page, French ones redirects, German ones lists."""
+    title = F.concat(F.when(F.col("lang") == "de", "List of ").otherwise("Page "), F.col("doc_id").cast("string"))
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit("#REDIRECT "), "text")).otherwise(F.col("text"))
+    return docs.select("doc_id", title.alias("title"), (F.col("doc_id") % 3 == 1).cast("int").cast("string").alias("ns"), text.alias("text"))
+
 
+def wiki_pages(spark, sf_dir) -> DataFrame:
+    """The fixtures and all documents as pages."""
+    own = doc_pages(with_markup(table(spark, sf_dir, "documents"))).drop("doc_id")
+    return spark.createDataFrame(PAGES, "title string, ns string, text string").unionByName(own)
 
-WIKI_SQL = rows_sql(WIKI, "id, text")
-PAGES_SQL = rows_sql(PAGES, "title, ns, text")
+
+WIKI_SQL = f"(select id, text from {rows_sql(WIKI, 'id, text')} union all select cast(doc_id + 1000 as int), {markup_sql()} from documents)"
+DOC_PAGES_SQL = f"select case when lang = 'de' then 'List of ' else 'Page ' end || doc_id as title, cast(cast(doc_id % 3 = 1 as int) as varchar) as ns, case when lang = 'fr' then '#REDIRECT ' else '' end || {markup_sql()} as text from documents"
+PAGES_SQL = f"(select title, ns, text from {rows_sql(PAGES, 'title, ns, text')} union all {DOC_PAGES_SQL})"
 NAMESPACED_SQL = r"regexp_replace(text, '(?i)\[\[(File|Image|Category):[^\]]+\]\]', '', 'g')"
 
 
 @query(rf"select id, {NAMESPACED_SQL} as kept, regexp_replace(text, '\[\[([^\]|]+\|)?([^\]]+)\]\]', '\2', 'g') as labels from {WIKI_SQL}")
 def wiki_links(spark, sf_dir):
-    return wiki_rows(spark).select("id", K.remove_namespaced("text").alias("kept"), K.link_labels("text").alias("labels"))
+    return wiki_rows(spark, sf_dir).select("id", K.remove_namespaced("text").alias("kept"), K.link_labels("text").alias("labels"))
 
 
 @query(rf"select id, regexp_replace(text, '={{2,}}.*?={{2,}}', '', 'g') as headers, regexp_replace(text, '''{{2,}}', '', 'g') as quotes, regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g') as runs from {WIKI_SQL}")
 def wiki_headers(spark, sf_dir):
-    return wiki_rows(spark).select("id", K.remove_headers("text").alias("headers"), K.remove_quotes("text").alias("quotes"), K.cap_runs("text").alias("runs"))
+    return wiki_rows(spark, sf_dir).select("id", K.remove_headers("text").alias("headers"), K.remove_quotes("text").alias("quotes"), K.cap_runs("text").alias("runs"))
 
 
 ARTICLE_SQL = "coalesce(try_cast(trim(ns) as int) = 0, true) and not coalesce(regexp_matches(lower(title), 'disambiguation|list of|index of'), false) and text <> '' and not starts_with(lower(text), '#redirect')"
@@ -542,7 +578,7 @@ ARTICLE_SQL = "coalesce(try_cast(trim(ns) as int) = 0, true) and not coalesce(re
 
 @query(f"select title, ns, text from {PAGES_SQL} where {ARTICLE_SQL}")
 def wiki_filters(spark, sf_dir):
-    pages = spark.createDataFrame(PAGES, "title string, ns string, text string")
+    pages = wiki_pages(spark, sf_dir)
     return pages.where(wiki.is_article(X.strip("ns"), F.col("title"), F.col("text")))
 
 
@@ -568,7 +604,7 @@ def plain_sql(x: str) -> str:
 
 @query(f"select title, text from (select title, {preprocess_sql(plain_sql('text'))} as text from {PAGES_SQL} where {ARTICLE_SQL}) where length(text) >= 16")
 def wiki_min_length(spark, sf_dir):
-    return wiki.articles(spark.createDataFrame(PAGES, "title string, ns string, text string"), min_length=16)
+    return wiki.articles(wiki_pages(spark, sf_dir), min_length=16)
 
 
 @query(f"select page_id, {plain_sql('html')} as clean from pages")
@@ -576,23 +612,20 @@ def wiki_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.clean("html").alias("clean"))
 
 
-#: What stands before and after a text to make it markup: templates in templates, tables, files, references, links, headings, tags.
-BEFORE = "{{Info|a={{b|c}}|d=[[x]]}}'''Entry''' (''né'' [[1 May]], [[Town|a  town]])[[File:p.jpg|thumb|A [[view|sight]] of it]]\n\n\n\n== Life ==\n"
-AFTER = '<ref name="r">see {{cite|x}}</ref><ref name="r"/> <!-- a\nnote --><b class="k">bold</b>\n{| class="w"\n! a\n|-\n| {{in|side}}\n|}\n<gallery>a.jpg</gallery>[http://a.b/c the site] [//a.b/d]&eacute; &amp;lt; [[Category:Things]] <references />\n=== End ===\nx'
+@query(f"select doc_id, {plain_sql(markup_sql())} as clean from documents")
+def wiki_markup(spark, sf_dir):
+    return with_markup(table(spark, sf_dir, "documents")).select("doc_id", K.clean("text").alias("clean"))
 
 
-def markup_sql() -> str:
-    lines = lambda x: " || chr(10) || ".join(quoted(part) for part in x.split("\n"))
-    return f"({lines(BEFORE)} || text || {lines(AFTER)})"
+#: Marks that nest: an argument with a default, references in references, tables in tables, text that is no markup, an argument within a template, formulas.
+NESTED_BEFORE = "{{{1|lead}}} <ref>one <ref>two</ref> three {{x</ref>"
+NESTED_AFTER = "<table>a<table>b</table>c</table> <nowiki>(x) {{t}} <b> &amp;</nowiki>{{a|{{{2|}}}|<ref>in</ref>}} <math>a<b</math>{{{3}}} <REF>never closed {{{{{4}}}}}"
 
 
-def with_markup(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.concat(F.lit(BEFORE), "text", F.lit(AFTER)))
-
-
-@query(f"select doc_id, {plain_sql(markup_sql())} as clean from documents")
-def wiki_markup(spark, sf_dir):
-    return with_markup(table(spark, sf_dir, "documents")).select("doc_id", K.clean("text").alias("clean"))
+@query(f"select doc_id, replace({plain_sql("('lead ' || text || ' QNOWIKIQ  never closed ')")}, 'QNOWIKIQ', '(x) {{{{t}}}} <b> &amp;') as clean from documents")
+def wiki_nested(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(NESTED_BEFORE), "text", F.lit(NESTED_AFTER)).alias("text"))
+    return rows.select("doc_id", K.clean("text").alias("clean"))
 
 
 # Sources
@@ -620,33 +653,57 @@ def files_of_folder(spark, sf_dir):
     return files.read_corpus(spark, path)
 
 
-def dump(docs: DataFrame, path: str, compression: str) -> None:
-    """docs (doc_id, text, lang) as a wiki dump: every third page a talk page, French ones redirects, German ones lists."""
+def dump(docs: DataFrame, path: str, compression: str = "none", prefix: str = "") -> None:
+    """docs (doc_id, text, lang) as a wiki dump (see doc_pages), in the order of doc_id by the files' names."""
+    pages = doc_pages(docs).orderBy("doc_id")
     escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    text = F.when(F.col("lang") == "fr", F.concat(F.lit("#REDIRECT "), escaped)).otherwise(escaped)
-    title = F.concat(F.when(F.col("lang") == "de", "List of ").otherwise("Page "), F.col("doc_id").cast("string"))
-    ns = (F.col("doc_id") % 3 == 1).cast("int").cast("string")
-    page = F.concat(F.lit("  <page>\n    <title>"), title, F.lit("</title>\n    <ns>"), ns, F.lit('</ns>\n    <revision><text bytes="1" xml:space="preserve">'), text, F.lit("</text></revision>\n  </page>"))
-    docs.select(page.alias("value")).write.option("compression", compression).text(path)
+    p = prefix
+    page = F.concat(
+        *(F.lit(f"  <{p}page>\n    <{p}title>"), F.col("title"), F.lit(f"</{p}title>\n    <{p}ns>"), F.col("ns")),
+        *(F.lit(f'</{p}ns>\n    <{p}revision><{p}text bytes="1" xml:space="preserve">'), escaped, F.lit(f"</{p}text></{p}revision>\n  </{p}page>")),
+    )
+    pages.select(page.alias("value")).write.option("compression", compression).text(path)
 
 
 DUMP_SQL = f"select title, clean as text from (select 'Page ' || doc_id as title, {preprocess_sql(plain_sql(markup_sql()))} as clean from documents where doc_id % 3 <> 1 and lang not in ('fr', 'de')) where length(clean) >= 500"
 
 
-def read_dump(spark, sf_dir, compression: str) -> DataFrame:
+def dumped(spark, sf_dir, compression: str = "none", prefix: str = "") -> str:
     path = fresh_path(spark, "dump")
-    dump(with_markup(table(spark, sf_dir, "documents")), path, compression)
-    return wiki.read_articles(spark, path)
+    dump(with_markup(table(spark, sf_dir, "documents")), path, compression, prefix)
+    return path
 
 
 @query(DUMP_SQL)
 def wiki_dump(spark, sf_dir):
-    return read_dump(spark, sf_dir, "none")
+    return wiki.read_articles(spark, dumped(spark, sf_dir))
 
 
 @query(DUMP_SQL)
 def wiki_dump_bz2(spark, sf_dir):
-    return read_dump(spark, sf_dir, "bzip2")
+    return wiki.read_articles(spark, dumped(spark, sf_dir, "bzip2"))
+
+
+@query(DUMP_SQL)
+def wiki_dump_prefixed(spark, sf_dir):
+    """Every tag with a prefix, in archives."""
+    return wiki.read_articles(spark, dumped(spark, sf_dir, "bzip2", "m:"))
+
+
+@query(DUMP_SQL)
+def wiki_dump_format(spark, sf_dir):
+    """The same by the format's name in SQL, in ranges of bytes."""
+    dumpsource.register(spark)
+    spark.sql(f"create or replace temporary view lexmill_dump using {dumpsource.FORMAT} options (path '{dumped(spark, sf_dir, prefix='m:')}', splitBytes '1000000')")
+    pages = spark.table("lexmill_dump")
+    spark.catalog.dropTempView("lexmill_dump")
+    return wiki.articles(pages)
+
+
+@query(f"select title, text from (select 'Page ' || doc_id as title, doc_id, {preprocess_sql(plain_sql(markup_sql()))} as text from documents where doc_id % 3 <> 1 and lang not in ('fr', 'de')) where length(text) >= 500 order by doc_id limit 100")
+def wiki_first_articles(spark, sf_dir):
+    """The first hundred articles in the order of the dump."""
+    return dumpsource.first_articles(spark, dumped(spark, sf_dir), 100, split_bytes=200_000).select("title", "text")
 
 
 @query("select text from documents")

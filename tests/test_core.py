@@ -93,19 +93,19 @@ def test_exact_counting_beyond_the_kernel(spark):
 
 
 @pytest.mark.parametrize("counting", ["compat", "exact"])
-@pytest.mark.parametrize(("seed", "batch", "compact"), [(1, 1, 3), (2, 8, 2), (3, 64, 32)])
+@pytest.mark.parametrize(("seed", "batch", "compact"), [(1, 1, 3), (3, 64, 2)])
 def test_relational_steps_of_many_merges(spark, counting, seed, batch, compact):
     """Many words with few letters in common: several merges a step give what one after the other gives."""
     rng = random.Random(seed)
-    words = {bytes(rng.choice([b"ab", b"cd", b"ef", b"abc"])[0:1] * rng.randrange(1, 3) + bytes(rng.choices(rng.choice([b"ab", b"cde", b"fgh", b"ij"]), k=rng.randrange(1, 6)))): rng.randrange(1, 40) for _ in range(60)}
+    words = {bytes(rng.choice([b"ab", b"cd", b"ef", b"abc"])[0:1] * rng.randrange(1, 3) + bytes(rng.choices(rng.choice([b"ab", b"cde", b"fgh", b"ij"]), k=rng.randrange(1, 6)))): rng.randrange(1, 40) for _ in range(40)}
     frame = spark.createDataFrame([(f, list(w)) for w, f in words.items()], "freq long, toks array<int>")
     steps = []
-    want = train.learn(words.items(), 25, 2, counting)
+    want = train.learn(words.items(), 10, 2, counting)
     real, train.written = train.written, lambda df, name, *a: (steps.append(name), real(df, name, *a))[1]
     try:
-        assert train.learn_relational(frame, 25, 2, counting, batch=batch, compact=compact) == want
-        assert len(want) == 25 and (batch == 1 or steps.count("visited") < 25)
-        assert train.learn_relational(frame, 9, 2, counting, known=want[:4], batch=batch) == want[:9] == train.learn(words.items(), 9, 2, counting, known=want[:4])
+        assert train.learn_relational(frame, 10, 2, counting, batch=batch, compact=compact) == want
+        assert len(want) == 10 and (batch == 1 or steps.count("visited") < 10)
+        assert train.learn_relational(frame, 6, 2, counting, known=want[:4], batch=batch) == want[:6] == train.learn(words.items(), 6, 2, counting, known=want[:4])
     finally:
         train.written = real
 
@@ -413,14 +413,14 @@ def test_queries_against_duckdb(spark, name):
 
 def test_written_frames_go_with_their_scope(spark):
     df = spark.range(5)
-    before = len(runtime._OPEN)
+    before = len(runtime._OPEN.get())
     with runtime.temporary(spark) as outer:
         with runtime.temporary(spark) as inner:
             a, b, c = (runtime.written(df, name) for name in "abc")
             inner.keep(a, b)
         assert files.exists(spark, a._lexmill_path)[0] and not files.exists(spark, c._lexmill_path)[0]
         outer.keep(b)
-    assert b.count() == 5 and not files.exists(spark, a._lexmill_path)[0] and len(runtime._OPEN) == before
+    assert b.count() == 5 and not files.exists(spark, a._lexmill_path)[0] and len(runtime._OPEN.get()) == before
     with pytest.raises(KeyError), runtime.temporary(spark):
         d = runtime.written(df, "d")
         raise KeyError

@@ -134,6 +134,11 @@ def _encode_by_join(docs: DataFrame, vocab: Vocabulary, text_col: str, out: str,
     # Rows are told apart by a number of their own, which a written frame keeps: ids may repeat.
     base = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     table = written(word_counts(base, text_col).select("pre_token", "freq", run("pre_token").alias("part")), "encoded-words")
+    return joined_back(base, table, text_col, out, specials)
+
+
+def joined_back(base: DataFrame, table: DataFrame, text_col: str, out: str, specials: bool) -> DataFrame:
+    """base (numbered by __row) without __row and with out, the ids of its words in order; table: pre_token, freq, part of all words."""
     # The most frequent words make up most rows: as few as HOT_WORDS short ones go to where the rows are, the others' rows are shuffled.
     hot = table.where(F.length("pre_token") <= HOT_LENGTH).orderBy(F.desc("freq"), "pre_token").limit(HOT_WORDS)
     rows = exploded(base, "__row", text_col)

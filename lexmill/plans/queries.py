@@ -15,7 +15,7 @@ from ..functions import pretokens as P
 from ..functions import text as X
 from ..functions import wikitext as K
 from ..functions.sql import register
-from ..operators import codec, report, train
+from ..operators import codec, report, ruleframes, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
 from ..runtime import fresh_path
 from ..sources import dumpsource, files, wiki
@@ -311,6 +311,12 @@ def merge_bytes(spark, sf_dir):
     return learned(spark, sf_dir).vocab_frame(spark).where("not special").select("token_id", F.hex("bytes").alias("hex"))
 
 
+@query(f"{LEARNED_SQL} select token_id, hex from v")
+def rule_bytes(spark, sf_dir):
+    """The same from the rules alone, by pointer doubling."""
+    return ruleframes.token_bytes(learned(spark, sf_dir).merges_frame(spark)).select("token_id", F.hex("bytes").alias("hex"))
+
+
 def saved(spark, sf_dir) -> str:
     path = fresh_path(spark, "vocabulary")
     learned(spark, sf_dir).write(spark, path)
@@ -368,6 +374,13 @@ def encode_by_join(spark, sf_dir):
     return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
+@query(f"select doc_id, array_to_string({encoded_sql('text')}, ' ') as ids from documents")
+def encode_in_jvm(spark, sf_dir):
+    """The same by rules that are a frame, without a Python worker."""
+    rows = ruleframes.encode_by_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCAB.merges_frame(spark))
+    return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @query(f"select item_id, '300003 ' || array_to_string({encoded_sql('text')}, ' ') || ' 300001' as ids from benchmark")
 def encode_specials(spark, sf_dir):
     return codec.encode(table(spark, sf_dir, "benchmark"), VOCAB, specials=True).select("item_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
@@ -387,6 +400,14 @@ def decode_roundtrip(spark, sf_dir):
     return rows.select("conv_id", "turn", "decoded", (F.col("decoded") == F.col("text")).alias("same"))
 
 
+@query("select conv_id, turn, text as decoded from conversations")
+def decode_by_join(spark, sf_dir):
+    """Conversations, encoded by rules that the documents teach, decoded by a join with the tokens' bytes; both as frames."""
+    rules = learned(spark, sf_dir).merges_frame(spark)
+    rows = ruleframes.encode_by_rules(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), rules)
+    return ruleframes.decode_by_join(rows, ruleframes.token_bytes(rules)).select("conv_id", "turn", F.when(F.col("text").isNotNull(), F.col("decoded")).alias("decoded"))
+
+
 @query("select item_id, text as skipped, '<|startoftext|>' || text || '<|endoftext|>' as shown from benchmark")
 def decode_skip_special(spark, sf_dir):
     rows = codec.encode(table(spark, sf_dir, "benchmark"), VOCAB, specials=True)

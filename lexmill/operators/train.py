@@ -236,14 +236,24 @@ def train(docs: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, te
     Null texts have no words; an empty corpus gives the 256 bytes. vocab_size may not pass 300,001,
     where ids would meet those of special tokens; min_frequency must be 1 at least.
     """
+    _check(vocab_size, min_frequency, counting)
+    with temporary(docs.sparkSession):
+        return train_counts(written(word_counts(docs, text_col), "word-counts"), vocab_size, min_frequency, counting, kernel_words, resume)
+
+
+def _check(vocab_size: int, min_frequency: int, counting: str) -> None:
     if min_frequency < 1:
         raise ValueError("min_frequency must be positive")
     if vocab_size > MAX_SIZE:
         raise ValueError(f"vocab_size may not pass {MAX_SIZE}")
     if counting not in COUNTINGS:
         raise ValueError("counting is compat or exact")
-    with temporary(docs.sparkSession):
-        counts = written(word_counts(docs, text_col), "word-counts")
+
+
+def train_counts(counts: DataFrame, vocab_size: int = 300_000, min_frequency: int = 2, counting: str = "compat", kernel_words: int = KERNEL_WORDS, resume: Vocabulary | None = None) -> Vocabulary:
+    """As train, from counts: pre_token and freq, each pre-token once; read several times."""
+    _check(vocab_size, min_frequency, counting)
+    with temporary(counts.sparkSession):
         merges = vocab_size - len(Vocabulary().token_bytes)
         known = resume.merges if resume else ()
         size = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("pre_token")), F.lit(0)).alias("bytes")).first()

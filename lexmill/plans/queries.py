@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pretokens as P
@@ -17,8 +17,9 @@ from ..functions import wikitext as K
 from ..functions.sql import register
 from ..operators import codec, report, ruleframes, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
-from ..runtime import fresh_path
+from ..runtime import fresh_path, written
 from ..sources import dumpsource, files, wiki
+from ..streaming import text as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,6 +273,28 @@ def train_resumed(spark, sf_dir):
     return train.train(docs, vocab_size=256 + 12, resume=train.train(docs, vocab_size=256 + 5)).merges_frame(spark)
 
 
+def streamed(spark, sf_dir) -> str:
+    """The folder of the counts that a stream of the documents left, two files a batch, half of them before a restart."""
+    texts, counts, checkpoint = (fresh_path(spark, name) for name in ("texts", "counts", "checkpoint"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(6, "doc_id")
+    for half in range(2):
+        docs.where(F.col("doc_id") % 2 == half).drop("doc_id").write.mode("append").parquet(texts)
+        stream = streaming.read_stream(spark, texts, spark.read.parquet(texts).schema, max_files=2)
+        streaming.count_batches(stream, counts, checkpoint, availableNow=True).awaitTermination()
+    return counts
+
+
+@query(train_sql(12))
+def train_streamed(spark, sf_dir):
+    """The rules of train_kernel, from counts of a stream that stopped and went on."""
+    return train.train_counts(streaming.word_totals(spark, streamed(spark, sf_dir)), vocab_size=256 + 12).merges_frame(spark)
+
+
+@query(f"with {PAIRS_SQL} select l, r, n from c")
+def pair_count_streamed(spark, sf_dir):
+    return streaming.pair_totals(spark, streamed(spark, sf_dir))
+
+
 # Vocabularies, learned from the documents
 
 SPECIAL_SQL = rows_sql([(i, t) for t, i in SPECIAL_TOKENS.items()], "token_id, token")
@@ -628,6 +651,17 @@ def wiki_min_length(spark, sf_dir):
     return wiki.articles(wiki_pages(spark, sf_dir), min_length=16)
 
 
+COUNTED_SQL = f"select {ARTICLE_SQL} as own, length({preprocess_sql(plain_sql('text'))}) as n from {PAGES_SQL}"
+
+
+@query(f"select count(*) as pages, count(*) filter (not coalesce(own, false)) as not_articles, cast(0 as bigint) as unreadable, count(*) filter (own and n < 500) as short, count(*) filter (own and n >= 500) as kept from ({COUNTED_SQL})")
+def wiki_page_counts(spark, sf_dir):
+    """What becomes of the pages, counted in the pass that writes the articles."""
+    seen = Observation()
+    written(wiki.articles(wiki_pages(spark, sf_dir), observation=seen), "articles")
+    return spark.createDataFrame([seen.get], "pages long, not_articles long, unreadable long, short long, kept long")
+
+
 @query(f"select page_id, {plain_sql('html')} as clean from pages")
 def wiki_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", K.clean("html").alias("clean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,15 +49,27 @@ def unreadable(pages: DataFrame) -> DataFrame:
     return pages.where(is_article(strip("ns"), F.col("title"), F.col("text"))).where(wikitext.plain_column("text").isNull()).select("title")
 
 
-def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None = None, unicode_form: str | None = "NFC", keep: tuple[str, ...] = (), **options) -> DataFrame:
+def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None = None, unicode_form: str | None = "NFC", keep: tuple[str, ...] = (), observation: Observation | str | None = None, **options) -> DataFrame:
     """title, text (clean) of the pages that are articles of min_length characters at least.
 
     Cheap filters come before the scanner. Pages whose markup can't be read are left out (see unreadable). max_articles
     counts after all filters, in no set order (see dumpsource.first_articles); 0 or None is no limit. keep: columns of pages to keep.
+
+    observation (a name for streams) gets, from the same pass, the number of pages, of not_articles, of those
+    unreadable, of those that are short and of those kept. It doesn't go with max_articles, which would end the pass early.
     """
-    kept = pages.where(is_article(strip("ns"), F.col("title"), F.col("text")))
-    out = kept.select(*keep, "title", preprocess(wikitext.clean("text"), unicode_form, **options).alias("text")).where(F.length("text") >= min_length)
-    return out.limit(max_articles) if max_articles else out
+    own = is_article(strip("ns"), F.col("title"), F.col("text"))
+    if observation is None:
+        kept = pages.where(own)
+        out = kept.select(*keep, "title", preprocess(wikitext.clean("text"), unicode_form, **options).alias("text")).where(F.length("text") >= min_length)
+        return out.limit(max_articles) if max_articles else out
+    if max_articles:
+        raise ValueError("pages are counted in a whole pass: no max_articles")
+    # Only articles' texts go to the scanner, as above.
+    rows = pages.select(*keep, "title", own.alias("__own"), preprocess(wikitext.clean(F.when(own, F.col("text"))), unicode_form, **options).alias("text"))
+    read, long = F.col("text").isNotNull(), F.length("text") >= min_length
+    counts = {"pages": F.lit(True), "not_articles": ~F.col("__own"), "unreadable": F.col("__own") & ~read, "short": F.col("__own") & ~long, "kept": F.col("__own") & long}
+    return rows.observe(observation, *(F.count_if(c).alias(name) for name, c in counts.items())).where(F.col("__own") & long).drop("__own")
 
 
 def read_articles(spark: SparkSession, path: str, **options) -> DataFrame:

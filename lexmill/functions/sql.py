@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeResult
 
 from ..operators.codec import _encode_lists
 from ..operators.vocab import Vocabulary
@@ -49,3 +52,53 @@ def register(spark: SparkSession, vocab: Vocabulary | None = None) -> None:
     spark.udf.register("bpe_decode", bpe_decode)
     spark.sql("create or replace temporary function bpe_encode(t string) returns array<int> return bpe_words(pre_tokenize(t))")
     spark.sql(f"create or replace temporary function bpe_tokens(t string) returns table(pos int, token_id int) return select pos, col from (select bpe_words({words}) as ids), lateral posexplode(ids)")
+
+
+def register_tokenizer(spark: SparkSession, name: str, tokenizer) -> None:
+    """A table function of any object with encode(text) and decode(ids) that can be sent to the workers; what it returns depends on what it is given.
+
+    A text: a row a token, pos, token_id and piece (what decode gives for that id alone). An array of ids: one row, text. A
+    table (name(table(t), column => 'text')): its rows with a column ids more, which may not be there before. Null texts and ids: no
+    rows, and null ids in tables. Rows travel in Arrow batches and stay where they are.
+    """
+    prepare(spark)
+    # By value, so that classes of a notebook or a test can go along.
+    known = spark.sparkContext.broadcast(cloudpickle.dumps(tokenizer))
+    ids = T.ArrayType(T.IntegerType())
+
+    class Tokens:
+        def __init__(self):
+            self.own = cloudpickle.loads(known.value)
+
+        @staticmethod
+        def analyze(given, column=None):
+            if given.isTable:
+                of = column.value if column is not None else "text"
+                if column is not None and not column.isConstantExpression:
+                    raise ValueError("column is a constant")
+                fields = given.dataType.fields
+                if not any(f.name == of and isinstance(f.dataType, T.StringType) for f in fields):
+                    raise ValueError(f"the table has no text column {of}")
+                if any(f.name.lower() == "ids" for f in fields):
+                    raise ValueError("the table has a column ids")
+                return AnalyzeResult(T.StructType([*fields, T.StructField("ids", ids)]))
+            if column is not None:
+                raise ValueError("column goes with a table")
+            if isinstance(given.dataType, T.StringType):
+                return AnalyzeResult(T.StructType().add("pos", T.IntegerType()).add("token_id", T.IntegerType()).add("piece", T.StringType()))
+            if isinstance(given.dataType, T.ArrayType) and isinstance(given.dataType.elementType, (T.IntegerType, T.LongType)):
+                return AnalyzeResult(T.StructType().add("text", T.StringType()))
+            raise ValueError("a text, an array of ids or a table")
+
+        def eval(self, given, column="text"):
+            own = self.own
+            if isinstance(given, str):
+                for pos, i in enumerate(own.encode(given)):
+                    yield pos, int(i), own.decode([i])
+            elif isinstance(given, T.Row):
+                text = given[column]
+                yield *given, None if text is None else [int(i) for i in own.encode(text)]
+            elif given is not None:
+                yield (own.decode(list(given)),)
+
+    spark.udtf.register(name, F.udtf(Tokens, useArrow=True))

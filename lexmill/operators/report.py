@@ -74,3 +74,17 @@ def benchmark_other(docs: DataFrame, tokenizer, name: str, iterations: int = 1,
 def compare(own: dict, other: dict) -> dict:
     """token_efficiency: other's tokens by own; speed_ratio: own characters a second by other's."""
     return {"token_efficiency": other["total_tokens"] / own["total_tokens"], "speed_ratio": own["throughput_chars"] / other["throughput_chars"]}
+
+
+def compare_totals(docs: DataFrame, own: Vocabulary, other: Vocabulary, by: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """own_tokens, other_tokens, chars, token_efficiency (other's tokens by own) and both round trips' errors, over docs or for each group of by.
+
+    One pass, both vocabularies side by side; a group without tokens has no efficiency. Null texts count as empty.
+    """
+    rows = docs.select(*(by or []), F.coalesce(text_col, F.lit("")).alias("__text"))
+    for vocab, name in ((own, "own"), (other, "other")):
+        rows = decode(encode(rows, vocab, text_col="__text", out=f"__{name}_ids"), vocab, ids_col=f"__{name}_ids", out=f"__{name}_text")
+    sums = [F.coalesce(F.sum(F.size(f"__{name}_ids")), F.lit(0)).cast("long").alias(f"{name}_tokens") for name in ("own", "other")]
+    wrong = [F.count_if(F.col(f"__{name}_text") != F.col("__text")).alias(f"{name}_errors") for name in ("own", "other")]
+    out = rows.groupBy(*(by or [])).agg(*sums, F.coalesce(F.sum(F.length("__text")), F.lit(0)).cast("long").alias("chars"), *wrong)
+    return out.withColumn("token_efficiency", F.when(F.col("own_tokens") != 0, F.col("other_tokens") / F.col("own_tokens")))

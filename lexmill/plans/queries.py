@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import pretokens as P
 from ..functions import text as X
 from ..functions import wikitext as K
-from ..functions.sql import register
+from ..functions.sql import register, register_tokenizer
 from ..operators import codec, report, ruleframes, train
 from ..operators.vocab import SPECIAL_TOKENS, Vocabulary
 from ..runtime import fresh_path, written
@@ -780,3 +780,50 @@ def benchmark_report(spark, sf_dir):
 @query(f"select lang, {RATIOS_SQL} from {REPORT_SQL} group by lang")
 def compression_by_lang(spark, sf_dir):
     return report.totals(table(spark, sf_dir, "documents"), VOCAB, by=["lang"])
+
+
+@query(f"""select lang, own_tokens, other_tokens, chars, cast(0 as bigint) as own_errors, cast(0 as bigint) as other_errors, other_tokens / own_tokens as token_efficiency
+from (select lang, sum(n)::bigint as own_tokens, sum(octet_length(encode(text)))::bigint as other_tokens, sum(length(text))::bigint as chars from {REPORT_SQL} group by lang)""")
+def compare_by_lang(spark, sf_dir):
+    """The small vocabulary against bytes alone."""
+    return report.compare_totals(table(spark, sf_dir, "documents"), VOCAB, Vocabulary(), by=["lang"])
+
+
+class Letters:
+    """A tokenizer that isn't this library's: a code point a token."""
+
+    def encode(self, text):
+        return [ord(c) for c in text]
+
+    def decode(self, ids):
+        return "".join(map(chr, ids))
+
+
+@query("select lang, ord(c) as token_id, c as piece, count(*) as n from (select lang, unnest(string_split(text, '')) as c from documents where text <> '') group by lang, c")
+def table_function_letters(spark, sf_dir):
+    """Another tokenizer's tokens as a table beside each row of documents."""
+    register_tokenizer(spark, "letter_tokens", Letters())
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return spark.sql("select lang, t.token_id, t.piece, count(*) as n from {docs} d, lateral letter_tokens(d.text) t group by lang, t.token_id, t.piece", docs=docs)
+
+
+@query("select doc_id, length(text) as n_ids, text as decoded from documents where text is not null")
+def table_function_rows(spark, sf_dir):
+    """A whole table through the function, and its ids back to texts."""
+    register_tokenizer(spark, "letter_tokens", Letters())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spark.sql("select * from letter_tokens(table({docs}))", docs=docs)
+    return spark.sql("select r.doc_id, cast(size(r.ids) as long) as n_ids, t.text as decoded from {rows} r, lateral letter_tokens(r.ids) t", rows=rows)
+
+
+#: How many more code points the decomposed form of a text has: a letter with one mark is two.
+MARKS_SQL = "len(list_filter(string_split({x}, ''), lambda c: strip_accents(c) <> c))"
+
+
+@query(f"select doc_id, nfc_normalize(text) as composed, length(nfc_normalize(text)) + {MARKS_SQL.format(x='nfc_normalize(text)')} as nfd_chars, nfc_normalize(text) as compatible from documents")
+def normalize_forms(spark, sf_dir):
+    """Decomposed, composed again; the texts have no letters for compatibility alone."""
+    docs = table(spark, sf_dir, "documents")
+    form = lambda name, c="text": X.normalize_unicode(c, name)
+    rows = docs.select("doc_id", "text", form("NFD").alias("nfd"), form("NFKD").alias("nfkd"))
+    return rows.select("doc_id", form("NFC", "nfd").alias("composed"), F.length("nfd").cast("long").alias("nfd_chars"), form("NFKC", "nfkd").alias("compatible"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import heapq
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pretokens import exploded, pre_tokenize, word_counts
+from ..functions.pretokens import pre_tokenize, word_counts
 from ..functions.text import column
 from ..runtime import prepare, written
 from .vocab import BOS, EOS, PAD, SPECIAL_TOKENS, Vocabulary
 
 SHORT = 48
 #: Words that mode "join" sends to all workers, and the longest of them.
-HOT_WORDS, HOT_LENGTH = 10_000, 100
+HOT_WORDS, HOT_LENGTH = 20_000, 100
 CACHED = 300_000
 
 
@@ -137,18 +139,52 @@ def _encode_by_join(docs: DataFrame, vocab: Vocabulary, text_col: str, out: str,
     return joined_back(base, table, text_col, out, specials)
 
 
+def held(table: DataFrame, key: str, value: str) -> Callable[[Column], Column]:
+    """The value of a key in table, null for others, as an expression that may stand within others; each key once, of a table of bounded size.
+
+    The table goes through the driver into the plan, as an array of small maps found by the key's hash: no map is searched for long.
+    """
+    size = max(HOT_WORDS, 1)
+    place = lambda c: F.pmod(F.hash(c), F.lit(size))
+    cells: list[dict | None] = [None] * size
+    for row in table.select(place(F.col(key)).alias("at"), F.col(key).alias("key"), F.to_json(F.struct(F.col(value).alias("x"))).alias("value")).collect():
+        cells[row.at] = {**(cells[row.at] or {}), row.key: json.loads(row.value)["x"]}
+    maps = F.from_json(F.lit(json.dumps(cells)), f"array<map<string,{table.schema[value].dataType.simpleString()}>>")
+    return lambda c: F.element_at(F.element_at(maps, place(c) + 1), c)
+
+
+def frequent(table: DataFrame) -> Callable[[Column], Column]:
+    """The ids of a word if it is among the most frequent of table (pre_token, freq, part), else null, as an expression.
+
+    The words are those above a frequency that HOT_WORDS words of up to HOT_LENGTH characters pass at most.
+    """
+    step = F.floor(F.log2("freq") * 8)
+    short = table.where(F.length("pre_token") <= HOT_LENGTH)
+    total, least = 0, None
+    for row in short.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += row.n
+        if total > HOT_WORDS:
+            break
+        least = row.step
+    if least is None:
+        return lambda word: F.lit(None).cast("array<int>")
+    return held(short.where(step >= least), "pre_token", "part")
+
+
 def joined_back(base: DataFrame, table: DataFrame, text_col: str, out: str, specials: bool) -> DataFrame:
-    """base (numbered by __row) without __row and with out, the ids of its words in order; table: pre_token, freq, part of all words."""
-    # The most frequent words make up most rows: as few as HOT_WORDS short ones go to where the rows are, the others' rows are shuffled.
-    hot = table.where(F.length("pre_token") <= HOT_LENGTH).orderBy(F.desc("freq"), "pre_token").limit(HOT_WORDS)
-    rows = exploded(base, "__row", text_col)
-    met = rows.join(F.broadcast(hot.select(F.col("pre_token").alias("own"), F.col("part").alias("hot"))), F.col("pre_token") == F.col("own"), "left").drop("own")
-    rare = met.where("hot is null").drop("hot").join(table.select(F.col("pre_token").alias("own"), "part"), F.col("pre_token") == F.col("own"))
-    parts = met.where("hot is not null").select("__row", "pos", F.col("hot").alias("part")).unionByName(rare.select("__row", "pos", "part"))
-    whole = parts.groupBy(F.col("__row").alias("__own")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    whole = whole.select("__own", F.flatten(F.transform("parts", lambda x: x["part"])).alias("__ids"))
-    joined = base.join(whole, F.col("__row") == F.col("__own"), "left")
-    return joined.withColumn(out, _wrapped(F.col("__ids"), F.col(text_col), specials)).drop("__row", "__own", "__ids")
+    """base (numbered by __row) without __row and with out, the ids of its words in order; table: pre_token, freq, part of all words.
+
+    The frequent words' ids are looked up where the rows are. Only the other words' places are shuffled, to the words and back to their rows.
+    """
+    known = frequent(table)
+    words = pre_tokenize(text_col)
+    rare = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("pos"), w.alias("own"))), lambda x: known(x["own"]).isNull())
+    met = base.select(F.col("__row").alias("__own"), F.inline(rare)).join(table.select(F.col("pre_token").alias("own"), "part"), "own")
+    met = met.groupBy("__own").agg(F.collect_list(F.struct("pos", "part")).alias("__rare"))
+    here = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("pos"), known(w).alias("part"))), lambda x: x["part"].isNotNull())
+    parts = F.when(F.col("__rare").isNull(), here).otherwise(F.sort_array(F.concat(here, F.coalesce("__rare", F.array()))))
+    joined = base.join(met, F.col("__row") == F.col("__own"), "left")
+    return joined.withColumn(out, _wrapped(F.flatten(F.transform(parts, lambda x: x["part"])), F.col(text_col), specials)).drop("__row", "__own", "__rare")
 
 
 def token_bytes_column(ids: Column | str, vocab: Vocabulary, skip_special: bool = True) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.pretokens import word_counts
 from ..functions.text import column
 from ..runtime import remove, temporary, written
-from .codec import joined_back
+from .codec import held, joined_back
 from .vocab import FIRST_MERGE
 
 #: Rules that a vocabulary may have: their ids lie between the bytes' and the special tokens'.
@@ -21,6 +21,8 @@ MOST_RULES = 300_001 - FIRST_MERGE
 HOLE, MOVED = 0xD800, 0x800
 #: A priority that no rule has.
 NEVER = (1 << 31) - 1
+#: Rules up to which words look theirs up where they are; more of them are joined with the words' pairs.
+HELD_RULES = 20_000
 #: Bytes of tokens that decoding sends to all workers; a larger table is joined by id, each id's rows dealt over SALTS.
 SENT_BYTES, SALTS = 32 << 20, 16
 
@@ -106,7 +108,8 @@ def encoded_words(words: DataFrame, rules: DataFrame) -> DataFrame:
         table = last.join(used, F.col("new_token") == F.col("side"), "left").select(
             F.concat(glyph("l"), glyph("r")).alias("pair"), glyph("new_token").alias("new"), "priority", F.coalesce("until", F.lit(NEVER)).alias("until")
         )
-        table = written(table, "pair-rules")
+        table = written(table.select("pair", F.struct("priority", "pair", "new", "until").alias("rule")), "pair-rules")
+        known = held(table, "pair", "rule") if table.count() <= HELD_RULES else None
         # Bytes as characters. Numbers of their own, that a written frame keeps, stand for words while they are in rounds.
         state = written(words.select(F.monotonically_increasing_id().alias("k"), "pre_token", F.decode(F.encode("pre_token", "utf-8"), "ISO-8859-1").alias("s")), "glyph-words")
         done = []
@@ -114,10 +117,14 @@ def encoded_words(words: DataFrame, rules: DataFrame) -> DataFrame:
             chars = glyphs("s")
             n = F.greatest(F.size(chars) - 1, F.lit(0))
             pairs = F.array_distinct(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda l, r: F.concat(l, r)))
-            # checked() bounds the rules, so that they may go to all workers.
-            met = state.select("k", F.explode(pairs).alias("pair")).join(F.broadcast(table), "pair")
-            found = met.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("priority", "pair", "new", "until"))).alias("found"))
-            rounds = written(state.join(found, "k", "left").select("k", "pre_token", _applied(F.col("s"), F.col("found")).alias("s"), F.col("found").isNotNull().alias("more")), "glyph-words")
+            if known:
+                found = F.filter(F.transform(pairs, known), lambda x: x.isNotNull())
+                seen = state.withColumn("found", F.when(F.size(found) > 0, F.sort_array(found)))
+            else:
+                # checked() bounds the rules, so that they may go to all workers.
+                met = state.select("k", F.explode(pairs).alias("pair")).join(F.broadcast(table), "pair")
+                seen = state.join(met.groupBy("k").agg(F.sort_array(F.collect_list("rule")).alias("found")), "k", "left")
+            rounds = written(seen.select("k", "pre_token", _applied(F.col("s"), F.col("found")).alias("s"), F.col("found").isNotNull().alias("more")), "glyph-words")
             done.append(rounds.where("not more").select("pre_token", "s"))
             state = rounds.where("more").drop("more")
             if state.isEmpty():
@@ -170,14 +177,16 @@ def decode_by_join(rows: DataFrame, tokens: DataFrame, ids_col: str = "ids", out
     best = tokens.groupBy("token_id").agg(F.max(F.struct("special", "bytes")).alias("x")).select(F.col("token_id").alias("own"), "x.*")
     table = written((best.where("not special") if skip_special else best).select("own", F.hex("bytes").alias("hex")), "token-bytes")
     base = written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    flat = base.select("__row", F.posexplode(ids_col).alias("pos", "id"))
     size = table.agg(F.coalesce(F.sum(F.length("hex") + 16), F.lit(0))).first()[0]
     if size <= sent_bytes:
+        # Rows move before they are taken apart, so that tokens needn't.
+        flat = base.select("__row", ids_col).repartition("__row").select("__row", F.posexplode(ids_col).alias("pos", "id"))
         met = flat.join(F.broadcast(table), F.col("id") == F.col("own"))
     else:
         salted = table.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        flat = base.select("__row", F.posexplode(ids_col).alias("pos", "id"))
         met = flat.withColumn("salt", F.col("pos") % SALTS).join(salted, (F.col("id") == F.col("own")) & (F.col("salt") == F.col("own_salt")))
-    whole = met.groupBy(F.col("__row").alias("__own")).agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
+    whole = met.groupBy(F.col("__row").alias("__own")).agg(F.sort_array(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
     text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")).cast("string"))
     joined = base.join(whole.select("__own", text.alias("__text")), F.col("__row") == F.col("__own"), "left")
     return joined.withColumn(out, F.when(F.col(ids_col).isNotNull(), F.coalesce("__text", F.lit("")))).drop("__row", "__own", "__text")

@@ -193,12 +193,30 @@ def test_both_modes_agree(spark, tokenizer):
 def test_join_keeps_rows_of_one_id_apart(spark, tokenizer, monkeypatch):
     rows = [(1, "ab cd"), (1, "xyz"), (None, "the the"), (2, ""), (2, None), (1, "ab cd")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for hot in (10_000, 1):
+    for hot in (10_000, 3, 0):
         monkeypatch.setattr(codec, "HOT_WORDS", hot)
         one, other = (codec.encode(df, tokenizer.vocab, mode=m) for m in ("map", "join"))
         assert other.columns == one.columns and sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
 
 
+def test_frequent_words_stay_within_their_bound(spark, tokenizer, monkeypatch):
+    """Frequent, rare and long words in one text; quotes, line ends and letters beyond two bytes; ties at the bound's edge."""
+    from pyspark.sql import functions as F
+
+    long = "x" * (codec.HOT_LENGTH + 1)
+    texts = [f'the "the" 🎈 {long} one\n\\ \0 é', f"the the {long} two 🎈🎈", long * 3, "the " * 50 + "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = {r.doc_id: r.ids for r in codec.encode(df, tokenizer.vocab).collect()}
+    for hot in (0, 1, 2, 5, 100):
+        monkeypatch.setattr(codec, "HOT_WORDS", hot)
+        assert want == {r.doc_id: r.ids for r in codec.encode(df, tokenizer.vocab, mode="join").collect()}
+    words = spark.createDataFrame([("a", 9, [1]), ("b", 2, [2]), ("c", 2, [3]), (long, 99, [4])], "pre_token string, freq long, part array<int>")
+    for hot, found in ((2, ["a"]), (3, ["a", "b", "c"]), (0, [])):
+        monkeypatch.setattr(codec, "HOT_WORDS", hot)
+        known = codec.frequent(words)
+        assert [r.pre_token for r in words.where(known(F.col("pre_token")).isNotNull()).orderBy("pre_token").collect()] == found
+
+
 def test_vocabularies_on_any_file_system(spark, tokenizer, tmp_path):
     tokenizer.vocab.write(spark, f"file://{tmp_path}/v")
     assert Vocabulary.read(spark, f"file://{tmp_path}/v") == tokenizer.vocab

@@ -61,9 +61,10 @@ def test_rules_of_no_vocabulary_raise(spark, rows):
         R.encode_by_rules(spark.createDataFrame([("ab",)], "text string"), spark.createDataFrame(rows, RULES))
 
 
-@pytest.mark.parametrize("seed,step", [(1, 1), (2, 1), (3, 1500)])
-def test_encoding_equals_the_heap(spark, seed, step):
-    """Random rules over few letters, so that rules wait for each other; ids on both sides of what no text may hold."""
+@pytest.mark.parametrize("seed,step,most", [(1, 1, R.HELD_RULES), (1, 1, 0), (2, 1, R.HELD_RULES), (3, 1500, 0), (3, 1500, R.HELD_RULES)])
+def test_encoding_equals_the_heap(spark, monkeypatch, seed, step, most):
+    """Random rules over few letters, so that rules wait for each other; ids on both sides of what no text may hold; rules looked up in place and joined."""
+    monkeypatch.setattr(R, "HELD_RULES", most)
     vocab = vocabulary(80, "abc", seed, step, longest=40)
     rng = random.Random(seed)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(60))) for _ in range(400)]

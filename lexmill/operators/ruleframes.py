@@ -1,4 +1,4 @@
-"""Encoding and decoding by vocabularies that are frames: no Python worker, no vocabulary in the driver.
+"""Encoding and decoding by vocabularies that are frames: no Python worker, and no table in the driver beyond a set size.
 
 A rule is a row of priority, l, r, new_token, as Vocabulary.merges_frame or a saved table has it. Ids are
 held as characters of a string (glyphs), so that the JVM's own replace merges a pair all over a word in one pass.

@@ -27,7 +27,8 @@ def parse_pages(chunks: DataFrame, column: str = "value") -> DataFrame:
     inner = F.when(prefixed, F.regexp_replace(inner, PREFIX, "<$1")).otherwise(inner)
     parsed = F.from_xml(F.concat(F.lit("<page>"), inner, F.lit("</page>")), PAGE, {"ignoreSurroundingSpaces": "false", "rowTag": "page"})
     # The text element may carry attributes or none: its own text is read either way.
-    return chunks.where(F.col(column).rlike(ENDED)).select(parsed.alias("p")).select("p.title", "p.ns", F.col("p.revision.text._VALUE").alias("text"))
+    # Made as rows of a generator, pages are parsed once: a filter on their fields isn't moved below it, which would parse for each field anew.
+    return chunks.where(F.col(column).rlike(ENDED)).select(F.explode(F.array(parsed)).alias("p")).select("p.title", "p.ns", F.col("p.revision.text._VALUE").alias("text"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -59,14 +60,19 @@ def articles(pages: DataFrame, min_length: int = 500, max_articles: int | None =
     unreadable, of those that are short and of those kept. It doesn't go with max_articles, which would end the pass early.
     """
     own = is_article(strip("ns"), F.col("title"), F.col("text"))
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        # Each text goes through the workers and the passes once: the filter on its length isn't moved below a generator, and no branch repeats what was before.
+        rows = rows.withColumn("text", wikitext.plain_column("text", once=True)).withColumn("text", wikitext.markup_passes("text"))
+        return rows.select(*(c for c in rows.columns if c != "text"), F.explode(F.array(preprocess("text", unicode_form, once=True, **options))).alias("text"))
+
     if observation is None:
-        kept = pages.where(own)
-        out = kept.select(*keep, "title", preprocess(wikitext.clean("text"), unicode_form, **options).alias("text")).where(F.length("text") >= min_length)
+        out = cleaned(pages.where(own).select(*keep, "title", "text")).where(F.length("text") >= min_length)
         return out.limit(max_articles) if max_articles else out
     if max_articles:
         raise ValueError("pages are counted in a whole pass: no max_articles")
     # Only articles' texts go to the scanner, as above.
-    rows = pages.select(*keep, "title", own.alias("__own"), preprocess(wikitext.clean(F.when(own, F.col("text"))), unicode_form, **options).alias("text"))
+    rows = cleaned(pages.select(*keep, "title", own.alias("__own"), F.when(own, F.col("text")).alias("text")))
     read, long = F.col("text").isNotNull(), F.length("text") >= min_length
     counts = {"pages": F.lit(True), "not_articles": ~F.col("__own"), "unreadable": F.col("__own") & ~read, "short": F.col("__own") & ~long, "kept": F.col("__own") & long}
     return rows.observe(observation, *(F.count_if(c).alias(name) for name, c in counts.items())).where(F.col("__own") & long).drop("__own")

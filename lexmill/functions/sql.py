@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeResult
 
-from ..operators.codec import _encode_lists
+from ..operators.codec import _encode_lists, token_texts
 from ..operators.vocab import Vocabulary
 from ..runtime import prepare
 from . import text as X
@@ -43,10 +43,7 @@ def register(spark: SparkSession, vocab: Vocabulary | None = None) -> None:
 
     @F.arrow_udf("string")
     def bpe_decode(lists):
-        import pyarrow as pa
-
-        get = known.value[1].get
-        return pa.array([None if x is None else b"".join(get(i, b"") for i in x).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+        return token_texts(lists, known.value[1])
 
     spark.udf.register("bpe_words", bpe_words)
     spark.udf.register("bpe_decode", bpe_decode)

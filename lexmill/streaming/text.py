@@ -46,18 +46,19 @@ BATCH = "pre_token string, freq long, batch long"
 PAIRS = "l int, r int, n long, batch long"
 
 
-def count_batches(stream: DataFrame, folder: str, checkpoint: str, text_col: str = "text", **trigger) -> StreamingQuery:
+def count_batches(stream: DataFrame, folder: str, checkpoint: str, text_col: str = "text", pairs: bool = True, **trigger) -> StreamingQuery:
     """Start a query that writes the counts of each batch's words and byte pairs below folder, on a file system that all share.
 
     checkpoint: where Spark keeps how far it has read; a query started anew with the same two goes on from there.
-    trigger: as DataStreamWriter.trigger has it. Null and empty texts have no words.
+    trigger: as DataStreamWriter.trigger has it. Null and empty texts have no words. Without pairs only words are counted, which is what learning reads.
     """
 
     def count(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         words = f"{folder}/{WORD_COUNTS}/batch={number}"
         word_counts(batch, text_col).write.mode("overwrite").parquet(words)
-        pair_counts(byte_words(spark.read.parquet(words))).write.mode("overwrite").parquet(f"{folder}/{PAIR_COUNTS}/batch={number}")
+        if pairs:
+            pair_counts(byte_words(spark.read.parquet(words))).write.mode("overwrite").parquet(f"{folder}/{PAIR_COUNTS}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

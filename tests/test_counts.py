@@ -72,3 +72,29 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
     assert {(r.l, r.r): r.n for r in streaming.pair_totals(spark, counts).collect()} == pairs
     learned = train.train_counts(streaming.word_totals(spark, counts), vocab_size=300)
     assert learned == train.train(docs, vocab_size=300)
+
+
+def test_counts_to_learn_from_are_worked_out_once(spark, tmp_path):
+    """Sums of batches are not added up again by each pass of the learner over them."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    words = [("hello", 5), (" help", 4), ("held", 3), ("low", 2)]
+    counts = spark.createDataFrame(words, "pre_token string, freq long").mapInArrow(seen, "pre_token string, freq long")
+    for most in (0, 100):
+        before = worked.value
+        assert train.train_counts(counts, vocab_size=260, kernel_words=most).num_merges == 4
+        assert worked.value - before == len(words)
+
+
+def test_stream_counts_words_alone(spark, tmp_path):
+    texts, counts, checkpoint = (f"{tmp_path}/{name}" for name in ("texts", "counts", "checkpoint"))
+    docs = spark.createDataFrame([("a b a",), (None,)], "text string")
+    docs.write.parquet(texts)
+    streaming.count_batches(streaming.read_stream(spark, texts, docs.schema), counts, checkpoint, pairs=False, availableNow=True).awaitTermination()
+    assert {r.pre_token: r.freq for r in streaming.word_totals(spark, counts).collect()} == {"a": 1, " b": 1, " a": 1}
+    assert not os.path.exists(f"{counts}/{streaming.PAIR_COUNTS}")

@@ -112,3 +112,27 @@ def test_special_ids_win(spark):
     rows = spark.createDataFrame([([97, 300001],)], "ids array<int>")
     assert R.decode_by_join(rows, tokens).first().decoded == "a"
     assert R.decode_by_join(rows, tokens, skip_special=False).first().decoded == "a<|endoftext|>"
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_few_rules_need_no_shuffle(spark, monkeypatch, few):
+    """Rule after rule over texts where they lie, and words joined back: the same ids, the first without an exchange."""
+    monkeypatch.setattr(R, "FEW_RULES", few)
+    vocab = vocabulary(80, "abc", 4, 1500, longest=40)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc é\U0010ffff\n'") for _ in range(rng.randrange(80))) for _ in range(200)] + ["", None, "aaa" * 50, "a", "\x00\xff", "🎈ab"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "n int, text string")
+    found = R.encode_by_rules(docs, vocab.merges_frame(spark), specials=True)
+    assert ("exchange" in plans(found)) == (few == 0)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, codec.encode(docs, vocab, specials=True).collect()), key=str)
+
+
+def test_rules_out_of_turn_are_joined(spark):
+    """A pair learned twice whose first token another rule uses: rule after rule would find what no word has."""
+    rules = spark.createDataFrame([(0, 97, 98, 256), (1, 256, 97, 257), (2, 97, 98, 258)], RULES)
+    assert R.few_in_turn(rules) == [(256, 97, 257), (97, 98, 258)]
+    assert R.encode_by_rules(spark.createDataFrame([("abaab",)], "text string"), rules).first().ids == [258, 97, 258]
+    # The last counts, so that the pair is merged behind a rule that uses its token.
+    late = spark.createDataFrame([(0, 97, 98, 256), (1, 98, 99, 257), (2, 257, 97, 258), (3, 98, 99, 259)], RULES)
+    ids = R.encode_by_rules(spark.createDataFrame([("bcabc",)], "text string"), late).first().ids
+    assert ids == codec.encode_word(b"bcabc", {(97, 98): (0, 256), (98, 99): (3, 259), (257, 97): (2, 258)})

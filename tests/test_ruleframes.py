@@ -136,3 +136,27 @@ def test_rules_out_of_turn_are_joined(spark):
     late = spark.createDataFrame([(0, 97, 98, 256), (1, 98, 99, 257), (2, 257, 97, 258), (3, 98, 99, 259)], RULES)
     ids = R.encode_by_rules(spark.createDataFrame([("bcabc",)], "text string"), late).first().ids
     assert ids == codec.encode_word(b"bcabc", {(97, 98): (0, 256), (98, 99): (3, 259), (257, 97): (2, 258)})
+
+
+@pytest.mark.parametrize("most", [0, R.HELD_TOKENS])
+@pytest.mark.parametrize("far", [300_001, (1 << 31) - 1])
+def test_few_tokens_are_found_where_ids_are(spark, monkeypatch, most, far):
+    """Looked up in the plan, without an exchange, and joined: the same texts; rows repeat."""
+    monkeypatch.setattr(R, "HELD_TOKENS", most)
+    tokens = spark.createDataFrame([*((k, bytearray([k])) for k in range(256)), (256, bytearray("é".encode())), (far, bytearray(b"far")), (-7, bytearray(b"less")), (97, bytearray(b"A"))], "token_id int, bytes binary")
+    ids = [[97, 256, far, -7], [], None, [None, 98, 257, -8, far - 1], [195], [195, 169], [98] * 3]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(ids)] * 2, "k int, ids array<int>")
+    found = R.decode_by_join(rows, tokens)
+    assert ("exchange" in plans(found)) == (most == 0)
+    want = ["aéfarless", "", None, "b", "\ufffd", "é", "bbb"]
+    assert sorted((r.k, r.decoded) for r in found.where("k <> 2").collect()) == sorted((k, w) for k, w in enumerate(want) if k != 2 for _ in range(2))
+    assert [r.decoded for r in found.where("k = 2").collect()] == [None, None]
+
+
+def test_tokens_without_cells_of_their_own_are_joined(spark):
+    """Ids that no small array tells apart; no tokens at all."""
+    far = [k * 720_720 for k in range(-900, 900)]
+    tokens = spark.createDataFrame([(i, bytearray(b"x")) for i in far], "token_id int, bytes binary")
+    rows = spark.createDataFrame([(far[:3] + [1],)], "ids array<int>")
+    assert R.decode_by_join(rows, tokens).first().decoded == "xxx"
+    assert R.decode_by_join(rows, tokens.limit(0)).first().decoded == ""

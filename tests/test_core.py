@@ -443,3 +443,24 @@ def test_written_frames_go_with_their_scope(spark):
         d = runtime.written(df, "d")
         raise KeyError
     assert not files.exists(spark, d._lexmill_path)[0]
+
+
+def test_words_are_joined_once_a_chunk(spark, monkeypatch):
+    """Chunks of any size, rows that are chunks of their own, rows that repeat, null and empty texts, further columns: the ids of mode map; a word goes to a chunk once, not to each of its places."""
+    texts = ["the cat the cat the", None, "", "on the mat " * 400, "é́ ß the", "\x00 the", "in the rain in spain", " "] * 6
+    docs = spark.createDataFrame([(k % 5, {"a": k % 3}, t) for k, t in enumerate(texts)], "doc_id int, more map<string,int>, text string")
+    vocab = Vocabulary.of_merges([(116, 104), (256, 101), (32, 257), (105, 110)])
+    for size in (1, 60, 4 << 20):
+        monkeypatch.setattr(codec, "CHUNK_BYTES", size)
+        for specials in (False, True):
+            found = codec.encode(docs, vocab, mode="join", specials=specials)
+            assert found.columns == ["doc_id", "more", "text", "ids"]
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, codec.encode(docs, vocab, specials=specials).collect()), key=str)
+    none = codec.encode(docs.limit(0), vocab, mode="join")
+    assert none.collect() == []
+    kept = {}
+    monkeypatch.setattr(codec, "written", lambda df, name: kept.setdefault(name, df.cache()))
+    codec.encode(docs.coalesce(1), vocab, mode="join").collect()
+    long_rows = 6
+    words = {w for t in texts for w in ("" if not t or len(t) > 1000 else t).split()}
+    assert kept["chunk-words"].where("own = ' the'").count() <= 1 + long_rows and len(words) > 5

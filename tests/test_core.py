@@ -464,3 +464,29 @@ def test_words_are_joined_once_a_chunk(spark, monkeypatch):
     long_rows = 6
     words = {w for t in texts for w in ("" if not t or len(t) > 1000 else t).split()}
     assert kept["chunk-words"].where("own = ' the'").count() <= 1 + long_rows and len(words) > 5
+
+
+def test_exact_visits_look_at_neighbours_alone():
+    """True counts after each merge against counting anew; a merge in a very long word costs what it changes, not the word's pairs in Python."""
+    import random
+    import time
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = [("".join(rng.choice("aab") for _ in range(rng.randrange(1, 14))).encode(), rng.randrange(1, 9)) for _ in range(80)]
+    learner = train.Learner(words, "exact")
+    for new in range(256, 290):
+        if (pair := learner.best(1)) is None:
+            break
+        learner.merge(pair, new)
+        anew = Counter()
+        for own, freq in zip(learner.tokens, learner.freq):
+            for i in range(len(own) - 1):
+                anew[own[i : i + 2]] += freq
+        assert anew == {p: n for p, n in learner.count.items() if n}
+    long = bytes(rng.choice(b"abcdefgh") for _ in range(300_000)) + bytes(range(128, 256))
+    learner = train.Learner([(long, 1)], "exact")
+    start = time.process_time()
+    for k in range(60):
+        learner.merge(chr(128 + 2 * k) + chr(129 + 2 * k), 256 + k)
+    assert time.process_time() - start < 1.5
